@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, saved, word_array
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +14,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir)).drop("clean_text")
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules,)}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    sized = documents(spark, sf_dir).select("doc_id", "source", F.size(word_array(F.col("text"))).cast("long").alias("size"))
+    mixed = mix(saved(sized, "mix-sizes"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+
+
+QUERIES = {f.__name__: f for f in (op4_mixing, op7_quality_rules)}
 ORACLE: dict[str, str] = {}
