@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, saved, word_array
+from .common import documents, saved, vocabulary, word_array
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +22,17 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op7_quality_rules)}
+def op9_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .binary_tokens import read_blocks, token_files
+
+    return read_blocks(token_files(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens, write_flat
+
+    return count_tokens(write_flat(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")))
+
+
+QUERIES = {f.__name__: f for f in (op4_mixing, op7_quality_rules, op9_binary_tokens, op10_token_counts)}
 ORACLE: dict[str, str] = {}
