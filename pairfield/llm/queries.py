@@ -8,12 +8,37 @@ from pyspark.sql import functions as F
 from .common import documents, saved, vocabulary, word_array
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .winnowing import chosen, half_replaced, hashes, likeness, shown, with_next
+
+    docs = with_next(documents(spark, sf_dir)).withColumn("edited", half_replaced(F.col("text"), F.col("next_text")))
+    # explode of one struct: each fingerprint is worked out once
+    made = docs.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.explode(F.array(F.struct(chosen(F.col("text")).alias("a"), chosen(F.col("edited")).alias("b"), chosen(F.col("next_text")).alias("c")))).alias("f"),
+    )
+    sets = made.select("*", F.explode(F.array(F.struct(hashes(F.col("f.a")).alias("a"), hashes(F.col("f.b")).alias("b"), hashes(F.col("f.c")).alias("c")))).alias("h"))
+    return sets.select(
+        "doc_id", "n_chars", "edited_sha256", shown(F.col("f.a")).alias("fingerprint"), shown(F.col("f.b")).alias("edited_fingerprint"),
+        likeness(F.col("h.a"), F.col("h.b")).alias("near_edited"), likeness(F.col("h.a"), F.col("h.c")).alias("near_next"),
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
     return judge(documents(spark, sf_dir)).drop("clean_text")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import dedup
+
+    found = dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("kept_sha256"), "removed")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -34,5 +59,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(write_flat(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op7_quality_rules, op9_binary_tokens, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_mixing, op6_fingerprints, op7_quality_rules, op9_binary_tokens, op10_token_counts)}
 ORACLE: dict[str, str] = {}
