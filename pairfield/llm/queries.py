@@ -47,6 +47,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .binary_tokens import read_blocks, token_files
 
@@ -59,5 +65,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(write_flat(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_mixing, op6_fingerprints, op7_quality_rules, op9_binary_tokens, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_mixing, op6_fingerprints, op7_quality_rules, op8_pii_surrogates, op9_binary_tokens, op10_token_counts)}
 ORACLE: dict[str, str] = {}
