@@ -9,14 +9,14 @@ cache; all others through its whole pipeline.
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker keeps.
+#: Words and pieces that a worker keeps.
 CACHED = 400_000
 
 
@@ -43,34 +43,47 @@ class WordEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> bytes:
         ids = self.known.get(piece)
         if ids is None:
-            if len(self.known) >= CACHED:
-                self.known.clear()
             shown = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = self.known[piece] = [t.id for t in self.model.tokenize(shown)]
+            ids = self.known[piece] = array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return ids
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
+        """The ids of a word, as uint16."""
         if not self.simple(word) or "<|" in word:
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        word = word.lower()
-        if word.isalpha():
-            return self.piece(word)
-        return [i for p in self.pieces(word) for i in self.piece(p)]
+            ids = array("H", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        else:
+            low = word.lower()
+            if low.isalpha():
+                ids = self.piece(low)
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                ids = self.piece(low[:-1]) + self.piece(low[-1])
+            else:
+                ids = b"".join(map(self.piece, self.pieces(low)))
+        if len(word) <= 64:
+            self.words[word] = ids
+        return ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: none) in a row, and the count of each text."""
+        for known in (self.words, self.known):
+            if len(known) >= CACHED:
+                known.clear()
         parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         words = parts.flatten().dictionary_encode()
         codes = words.indices.to_numpy(zero_copy_only=False)
-        lists = [self.word(w) for w in words.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.uint16, int(sizes.sum()))
-        ids, ends = spread(flat, sizes, codes)
+        get, word = self.words.get, self.word
+        # no word holds a space: one long text is split faster than an array is listed
+        listed = pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary.cast(pa.string()))
+        distinct = pc.binary_join(listed, " ")[0].as_py().split(" ") if len(words.dictionary) else []
+        made = [word(w) if (ids := get(w)) is None else ids for w in distinct]
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) >> 1
+        ids, ends = spread(np.frombuffer(b"".join(made), np.uint16), sizes, codes)
         counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
 
