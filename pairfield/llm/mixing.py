@@ -26,7 +26,7 @@ from .common import saved
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
-BUCKET = 50_000
+BUCKET = 2_000
 ITERATIONS = 60
 TOLERANCE = 1e-9
 _EXACT = "decimal(38,6)"
