@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import documents, saved, vocabulary, word_array
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_groups
+
+    return jaccard_groups(documents(spark, sf_dir))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .winnowing import chosen, half_replaced, hashes, likeness, shown, with_next
 
@@ -71,5 +77,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(write_flat(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op4_mixing, op6_fingerprints, op7_quality_rules, op8_pii_surrogates, op9_binary_tokens, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op4_mixing, op5_ngram_jaccard, op6_fingerprints, op7_quality_rules, op8_pii_surrogates, op9_binary_tokens, op10_token_counts)}
 ORACLE: dict[str, str] = {}
