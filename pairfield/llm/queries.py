@@ -51,6 +51,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    found = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "removed")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -77,5 +84,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(write_flat(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op4_mixing, op5_ngram_jaccard, op6_fingerprints, op7_quality_rules, op8_pii_surrogates, op9_binary_tokens, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_suffix_dedup, op4_mixing, op5_ngram_jaccard, op6_fingerprints, op7_quality_rules, op8_pii_surrogates, op9_binary_tokens, op10_token_counts)}
 ORACLE: dict[str, str] = {}
