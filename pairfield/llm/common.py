@@ -70,6 +70,11 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without the columns that a result would bring again: the result's take their place."""
+    return df.drop(*[c for c in df.columns if c in names])
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value worked out once for each row."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -14,7 +14,8 @@ that rounding misses are then made up with the part's smallest documents.
 
 A null source is a source of its own, last in order. Texts without words have
 size 0; they keep one copy and take no words. Repeated rows count each. An empty
-table gives an empty result; other columns pass through.
+table gives an empty result; other columns pass through,
+those with the name of a result are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, without
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
@@ -113,6 +114,7 @@ def solve(counts: DataFrame, targets: DataFrame, most: int = MOST_COPIES) -> Dat
 
 def mix(docs: DataFrame, size: str = "size", source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """docs with source_size, target, rate and copies; size: a column of word counts."""
+    docs = without(docs, "source_size", "target", "rate", "copies", "lam", "mean_size", "n_docs")
     own = docs.columns
     keyed = docs.withColumns({"__source": F.col(source), "__size": F.col(size).cast("long")})
     counts = saved(keyed.groupBy(F.col("__source").alias("source"), F.col("__size").alias("size")).agg(F.count(F.lit(1)).alias("n")), "mix-counts")

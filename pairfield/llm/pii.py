@@ -16,7 +16,7 @@ type get different ones:
 
 Null texts stay null with no entities; texts without entities stay as they are.
 Repeated rows are treated alike. An empty table gives an empty result; other
-columns pass through.
+columns pass through, those with the name of a result are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, sliced
+from .common import saved, sliced, without
 
 KEY = b"surrogates"
 ROUNDS = 20
@@ -271,6 +271,7 @@ def collisions(every: DataFrame) -> DataFrame | None:
 
 def pseudonymise(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the text replaced, n_entities and kinds (how many of each kind)."""
+    docs = without(docs, "n_entities", "kinds", "__row", "__again")
     own = docs.columns
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
     every = saved(corpus_entities(rows, text), "entities")

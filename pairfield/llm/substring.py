@@ -10,7 +10,7 @@ that have nothing else in common.
 
 Null and empty texts have no chunks and stay as they are. Repeated rows are
 repeats of the first one. An empty table gives an empty result; other columns
-pass through.
+pass through, those with the name of a result are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, text_buffers
+from .common import sliced, text_buffers, without
 
 MEAN_CHUNK = 40
 MOST_CHUNK = 4096
@@ -77,6 +77,7 @@ def chunks(docs: DataFrame, text: str, key: str, row: str) -> DataFrame:
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with clean_text, n_bytes, n_removed, n_spans and removed, the spans as (start, end) bytes."""
+    docs = without(docs, "clean_text", "n_bytes", "n_removed", "n_spans", "removed", "__row", "__found")
     own = docs.columns
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
     every = chunks(rows.withColumn(key, F.col(key).cast("long")), text, key, "__row")

@@ -28,7 +28,7 @@ there each string's digest is counted.
 
 Null and empty texts and those of fewer than LENGTH bytes lose nothing, repeated
 rows are repeats of each other, an empty table gives an empty result; other
-columns pass through. Bytes are removed wherever they are: what is kept need not
+columns pass through, those with the name of a result are replaced. Bytes are removed wherever they are: what is kept need not
 be valid UTF-8, and is binary.
 """
 
@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shuffle_width, sliced, text_buffers
+from .common import saved, shuffle_width, sliced, text_buffers, without
 
 LENGTH, GRAM, STEP = 400, 32, 64
 CORE = LENGTH - STEP + 1
@@ -300,6 +300,7 @@ def crowd_repeats(parts: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with kept (binary), n_bytes, n_removed, n_spans and removed, the spans as (start, end) bytes."""
+    docs = without(docs, "kept", "n_bytes", "n_removed", "n_spans", "removed", "__row", "__found")
     own = docs.columns
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
     every = saved(item_rows(rows, text, "__row"), "suffix-items")
