@@ -1,6 +1,8 @@
-"""Queries by name, and the SQL that gives the same rows."""
+"""All queries over the reference tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import evaluation, features, flows, logs, points, sampling, surfaces, tables  # noqa: F401  they register their queries
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
