@@ -38,7 +38,7 @@ BLOCK = 1 << 20
 BASE = 49_408
 MOST_SYMBOLS = 65_536
 #: Rules that a round may add, the fewest places that make a rule, and the saving that ends the rounds.
-ROUND_RULES, LEAST_PLACES, LEAST_SAVING, ROUNDS = 2_048, 8, 0.02, 6
+ROUND_RULES, LEAST_PLACES, LEAST_SAVING, ROUNDS = 4_096, 8, 0.02, 3
 END = 1
 FILE_SCHEMA = "shard int, block int, n_docs long, n_ids long, doc_ids binary, n_symbols binary, rules binary, lengths binary, symbols binary"
 
