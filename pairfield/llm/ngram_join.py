@@ -147,7 +147,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray, text: str, key: str, gram: int
 
 
 def shared_lists(groups: DataFrame, percent: int) -> DataFrame:
-    """token, gid, n, pos of the prefix tokens at which two groups of fitting size meet."""
+    """token, gid, n, pos of the prefix tokens at which two groups of fitting size meet, or (the first token) the members of one group."""
 
     def run(batches):
         carry = None
@@ -158,17 +158,19 @@ def shared_lists(groups: DataFrame, percent: int) -> DataFrame:
             # in rising size, a row fits none of its list if it does not fit the next and the one before
             fits = np.zeros(len(token) + 1, bool)
             fits[1:-1] = (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:])
-            keep = fits[1:] | fits[:-1]
+            keep = fits[1:] | fits[:-1] | batch.column(4).to_numpy(zero_copy_only=False)
             # the last row waits for the next batch, with one that it fits
             hold = 2 if len(token) > 1 and fits[-2] else 1
-            carry = batch.slice(batch.num_rows - hold)
-            yield batch.filter(pa.array(keep)).slice(0, int(keep[: len(token) - hold].sum()))
+            done = len(token) - hold
+            carry = batch.slice(done)
+            yield batch.slice(0, done).filter(pa.array(keep[:done])).select(["token", "gid", "n", "pos"])
         if carry is not None:
             token, n = carry.column(0).to_numpy(), carry.column(2).to_numpy()
-            if len(token) == 2 and token[0] == token[1] and 100 * n[0] >= percent * n[1]:
-                yield carry
+            both = len(token) == 2 and token[0] == token[1] and 100 * n[0] >= percent * n[1]
+            keep = np.full(len(token), both) | carry.column(4).to_numpy(zero_copy_only=False)
+            yield carry.filter(pa.array(keep)).select(["token", "gid", "n", "pos"])
 
-    posted = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", "n", "pos")
+    posted = groups.select("gid", "n", "several", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", "n", "pos", (F.col("several") & (F.col("pos") == 0)).alias("meet"))
     ordered = posted.repartition(shuffle_width(groups.sparkSession), "token").sortWithinPartitions("token", "n", "gid")
     return saved(ordered.mapInArrow(run, "token long, gid long, n long, pos int"), "ngram-lists")
 
@@ -312,26 +314,19 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", gra
     every = saved(prefixes(docs, levels, text, key, gram, percent), "ngram-prefixes")
     full = every.where("n > 0 AND doc_id IS NOT NULL")
     # documents with one set: the least doc_id stands for them
-    classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("member"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("n").alias("n"))
-    groups = full.groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix"))
+    classes = saved(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("member"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("n").alias("n"), F.first("map").alias("map")), "ngram-classes")
+    several = (F.min("k1") < F.max("k1")) | (F.min("k2") < F.max("k2"))
+    groups = full.groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("gid"), several.alias("several"), F.first("prefix").alias("prefix"))
     lists = shared_lists(groups, percent)
-    busy = lists.select("gid").distinct()
-    members = classes.join(full.groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("gid")), ["p1", "p2", "n"]).select("gid", "member").join(busy, "gid", "left_semi")
-    maps = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("member"), F.first("map").alias("map")).select("member", "map")
-    members = saved(members.join(maps, "member"), "ngram-members")
-    # groups of several members with one prefix meet at each of its tokens: the list may hold one group alone
-    alone = members.groupBy("gid").count().where("count > 1").select("gid")
-    crowded = full.groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("gid"), F.countDistinct("k1", "k2").alias("c"), F.first("prefix").alias("prefix")).where("c > 1")
-    inside = crowded.join(alone, "gid", "left_anti").select(F.element_at("prefix", 1).alias("token"), "gid", "n", F.lit(0).alias("pos"))
-    more = classes.join(crowded.select("p1", "p2", "n", "gid"), ["p1", "p2", "n"]).join(alone, "gid", "left_anti").select("gid", "member").join(maps, "member").select("member", "gid", "map")
-    members = members.select("member", "gid", "map").unionByName(more).distinct()
-    lists = lists.unionByName(inside.select(*lists.columns)).distinct()
+    gids = classes.groupBy("p1", "p2", "n").agg(F.min("member").alias("gid"))
+    members = classes.join(gids, ["p1", "p2", "n"]).select("gid", "member", "map").join(lists.select("gid").distinct(), "gid", "left_semi")
+    members = saved(members, "ngram-members")
     heavy = lists.groupBy("token").count().where(f"count > {BLOCK}").select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     rows = lists.join(members, "gid").join(heavy, "token", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")))
     other = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.select("token", "n", "pos", "member", "map", "block", F.explode(other).alias("o")).select("token", F.least("block", "o").alias("b1"), F.greatest("block", "o").alias("b2"), "block", "n", "pos", "member", "map")
     rows = saved(rows, "ngram-rows")
-    sets = saved(member_sets(docs, members.select("member").distinct(), text, key, gram), "ngram-sets").dropDuplicates(["member"])
+    sets = saved(member_sets(docs, members.select("member"), text, key, gram), "ngram-sets").dropDuplicates(["member"])
     near = list_pairs(rows.withColumn("comp", F.col("member")), percent, True)
     best = near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select("a", "b").unionByName(near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"))
     links = saved(verified(saved(best.distinct(), "ngram-pairs"), sets, percent), "ngram-links")
@@ -340,5 +335,5 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", gra
     apart = saved(list_pairs(placed, percent, False).select("a", "b").distinct(), "ngram-pairs")
     links = links.unionByName(saved(verified(apart, sets, percent), "ngram-links"))
     found = components(links)
-    named = classes.select("k1", "k2", "member").join(found.select(F.col("node").alias("member"), "label"), "member", "left").select("k1", "k2", F.coalesce("label", "member").alias("component_id"))
+    named = classes.select("k1", "k2", "member").join(saved(found, "ngram-components").select(F.col("node").alias("member"), "label"), "member", "left").select("k1", "k2", F.coalesce("label", "member").alias("component_id"))
     return every.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
