@@ -160,7 +160,8 @@ def polygon_mask(points: DataFrame, w: int, h: int, by: list[str] = ("pair_id",)
 
     A pixel belongs if its centre line y crosses the outline an odd number of times
     at or left of x: an edge from y1 to y2 counts where min <= y < max, and spans
-    run from the first crossing, rounded up, to before the second.
+    run from the first crossing, rounded up, to before the second; spans of a line do not
+    overlap, so no pixel comes twice.
     """
     w_ = Window.partitionBy(*by).orderBy("kp_idx")
     whole = Window.partitionBy(*by).orderBy("kp_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -172,7 +173,7 @@ def polygon_mask(points: DataFrame, w: int, h: int, by: list[str] = ("pair_id",)
     order = Window.partitionBy(*by, "py").orderBy("cx")
     paired = cross.withColumns({"k": F.row_number().over(order), "end": F.lead("cx").over(order)}).where("k % 2 = 1 AND end IS NOT NULL")
     spans = paired.withColumns({"a": F.greatest(F.lit(0), F.ceil("cx")), "b": F.least(F.lit(w - 1), F.ceil("end") - 1)}).where("a <= b")
-    return spans.select(*by, F.col("py").alias("y"), F.explode(F.sequence(F.col("a").cast("long"), F.col("b").cast("long"))).alias("x")).distinct()
+    return spans.select(*by, F.col("py").alias("y"), F.explode(F.sequence(F.col("a").cast("long"), F.col("b").cast("long"))).alias("x"))
 
 
 def minmax_rescale(df: DataFrame, by: list[str], col: str) -> DataFrame:

@@ -1 +1,252 @@
-"""Queries."""
+"""Queries of flow grids: Q05, Q09, Q10, Q11, Q19, Q30, Q38, Q39, Q40."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import points as P
+from ..operators import filters as L
+from ..operators import geometry as Y
+from ..operators import grids as G
+from ..operators import matching as X
+from ..operators import metrics as M
+from ..operators import profiling as R
+from ..sources.readers import decode_kitti
+from .fixtures import fixture
+from .registry import query
+
+
+def _flow(spark, sf_dir):
+    return fixture(spark, sf_dir, "fx_flow")
+
+
+@query("""WITH m AS (SELECT pair_id, 1.0E0 + (pair_id % 5) / 50.0E0 AS a, (pair_id % 7) / 100.0E0 AS b, (pair_id % 3) * 1.0E0 AS c, (pair_id % 4) / 100.0E0 AS d, 1.0E0 - (pair_id % 6) / 60.0E0 AS e, (pair_id % 2) * 2.0E0 AS f, (pair_id % 3) / 1000.0E0 AS g FROM fx_pairs WHERE split = 'P'),
+          g AS (SELECT m.*, y, x FROM m, (SELECT unnest(range(0, 8)) AS y) r, (SELECT unnest(range(0, 8)) AS x) s),
+          w AS (SELECT pair_id, y, x, (a * x + b * y + c) / (g * x + 1.0E0 + 1e-8) AS wx, (d * x + e * y + f) / (g * x + 1.0E0 + 1e-8) AS wy FROM g)
+          SELECT pair_id, y, x, wx BETWEEN 0 AND 7 AND wy BETWEEN 0 AND 7 AS valid,
+                 CASE WHEN wx BETWEEN 0 AND 7 AND wy BETWEEN 0 AND 7 THEN round(wx - x, 6) END AS dx, CASE WHEN wx BETWEEN 0 AND 7 AND wy BETWEEN 0 AND 7 THEN round(wy - y, 6) END AS dy FROM w""")
+def q05_homography_flow(spark, sf_dir):
+    p = F.col("pair_id")
+    one, zero = F.lit(1.0), F.lit(0.0)
+    mat = F.array(1.0 + (p % 5) / 50.0, (p % 7) / 100.0, (p % 3) * 1.0, (p % 4) / 100.0, 1.0 - (p % 6) / 60.0, (p % 2) * 2.0, (p % 3) / 1000.0, zero, one)
+    pairs = L.select_split(fixture(spark, sf_dir, "fx_pairs"), "P").select("pair_id", mat.alias("mat"))
+    got = Y.homography_flow(pairs, 8, 8)
+    return got.select("pair_id", "y", "x", "valid", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
+
+
+@query("""WITH m AS (SELECT pair_id, 2.0E0 + pair_id % 5 AS a, (pair_id % 7) / 10.0E0 AS b, (pair_id % 3) * 1.0E0 AS c, (pair_id % 4) / 10.0E0 AS d, 3.0E0 + pair_id % 6 AS e, (pair_id % 2) * 2.0E0 AS f FROM fx_pairs),
+          t AS (SELECT *, a * e - b * d AS det FROM m)
+          SELECT pair_id, round(e / det, 6) AS i0, round(-b / det, 6) AS i1, round((b * f - c * e) / det, 6) AS i2, round((a * (2 * 1.0E0)) * 1.0E0, 6) AS s0, round(c * 2.0E0, 6) AS s2 FROM t""")
+def q05b_inverse_and_rescale(spark, sf_dir):
+    p = F.col("pair_id")
+    zero, one = F.lit(0.0), F.lit(1.0)
+    mat = F.array(2.0 + p % 5, (p % 7) / 10.0, (p % 3) * 1.0, (p % 4) / 10.0, 3.0 + p % 6, (p % 2) * 2.0, zero, zero, one)
+    rows = fixture(spark, sf_dir, "fx_pairs").select("pair_id", mat.alias("m"))
+    rows = rows.withColumn("i", P.compose(P.inverse3(F.col("m")), F.array(one, zero, zero, zero, one, zero, zero, zero, one))).withColumn("s", P.rescale_homography(F.col("m"), (8, 8), (8, 8), (8, 8), (16, 16)))
+    return rows.select("pair_id", *[F.round(F.col("i")[k] + 0.0, 6).alias(f"i{k}") for k in range(3)], F.round(F.col("s")[0], 6).alias("s0"), F.round(F.col("s")[2], 6).alias("s2"))
+
+
+BILINEAR = """k AS (SELECT CAST(pair_id % 59 AS BIGINT) AS pair_id, pair_id * 100 + kp_idx AS kp_idx, src_x / 32.0E0 AS sx, src_y / 32.0E0 AS sy, trg_x / 34.5E0 AS px, trg_y / 34.5E0 AS py FROM fx_kp),
+          c AS (SELECT k.*, floor(px) + i AS gx, floor(py) + j AS gy, (CASE WHEN i = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) * (CASE WHEN j = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) AS w
+                FROM k, (SELECT unnest([0, 1]) AS i) a, (SELECT unnest([0, 1]) AS j) b)"""
+
+
+def _scaled_points(spark, sf_dir):
+    kp = fixture(spark, sf_dir, "fx_kp")
+    return kp.select((F.col("pair_id") % 59).alias("pair_id"), (F.col("pair_id") * 100 + F.col("kp_idx")).alias("kp_idx"), (F.col("src_x") / 32.0).alias("src_x"), (F.col("src_y") / 32.0).alias("src_y"), (F.col("trg_x") / 34.5).alias("trg_x"), (F.col("trg_y") / 34.5).alias("trg_y"))
+
+
+@query(f"""WITH {BILINEAR}, v AS (SELECT c.pair_id, c.kp_idx, any_value(sx) AS sx, any_value(sy) AS sy, sum(w * coalesce(f.x + f.dx, 0)) AS mx, sum(w * coalesce(f.y + f.dy, 0)) AS my FROM c LEFT JOIN fx_flow f ON f.pair_id = c.pair_id AND f.y = c.gy AND f.x = c.gx AND f.dx IS NOT NULL GROUP BY c.pair_id, c.kp_idx)
+           SELECT pair_id, round(avg(sqrt((mx - sx) * (mx - sx) + (my - sy) * (my - sy))), 6) AS distance FROM v GROUP BY pair_id""")
+def q09_bilinear_lookup(spark, sf_dir):
+    return G.keypoint_distance(_scaled_points(spark, sf_dir), _flow(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
+
+
+@query("""WITH g AS (SELECT unnest(range(0, 16)) AS c), b AS (SELECT c, 32 * c + 16 - 24 AS lo, 32 * c + 16 + 24 AS hi FROM g),
+          m AS (SELECT k.*, r.c AS row_i, s.c AS col_i FROM fx_kp k JOIN b r ON k.trg_y BETWEEN r.lo AND r.hi JOIN b s ON k.trg_x BETWEEN s.lo AND s.hi)
+          SELECT pair_id, CAST(row_i AS BIGINT) AS y, CAST(col_i AS BIGINT) AS x, round((arg_max(src_x, kp_idx) - avg(trg_x)) / 32, 6) AS dx, round((arg_max(src_y, kp_idx) - avg(trg_y)) / 32, 6) AS dy FROM m GROUP BY pair_id, row_i, col_i""")
+def q10_keypoints_to_flow(spark, sf_dir):
+    cells = X.cells_for_points(fixture(spark, sf_dir, "fx_kp"), (16, 16), 32, 48)
+    return G.keypoints_to_flow(cells, 512, 16).select("pair_id", "y", "x", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
+
+
+@query("""SELECT pair_id, CAST(trg_y AS BIGINT) AS y, CAST(trg_x AS BIGINT) AS x, arg_max(src_x - trg_x, kp_idx) AS dx, arg_max(src_y - trg_y, kp_idx) AS dy FROM fx_kp WHERE trg_x < 400 AND trg_y < 400 GROUP BY pair_id, trg_y, trg_x""")
+def q10b_sparse_raster(spark, sf_dir):
+    return G.keypoints_to_sparse_flow(fixture(spark, sf_dir, "fx_kp"), 400, 400)
+
+
+@query("""WITH b AS (SELECT i, floor(i * 16 / 5.0) AS lo, ceil((i + 1) * 16 / 5.0) AS hi FROM (SELECT unnest(range(0, 5)) AS i) t)
+          SELECT f.pair_id, CAST(r.i AS BIGINT) AS y, CAST(s.i AS BIGINT) AS x, max(greatest(dx, 0)) - max(greatest(-dx, 0)) AS dx, max(greatest(dy, 0)) - max(greatest(-dy, 0)) AS dy
+          FROM fx_flow f JOIN b r ON f.y >= r.lo AND f.y < r.hi JOIN b s ON f.x >= s.lo AND f.x < s.hi WHERE dx IS NOT NULL GROUP BY f.pair_id, r.i, s.i""")
+def q11_sparse_downsample(spark, sf_dir):
+    return G.sparse_downsample(_flow(spark, sf_dir), (16, 16), (5, 5))
+
+
+@query("""WITH b AS (SELECT pair_id, CAST(floor(y / 4.0) AS BIGINT) AS y, CAST(floor(x / 4.0) AS BIGINT) AS x, sum(dx) AS sx, sum(dy) AS sy, count(dx) AS n FROM fx_flow GROUP BY pair_id, floor(y / 4.0), floor(x / 4.0))
+          SELECT pair_id, y, x, CASE WHEN n / 16.0 > 0.5 THEN round(sx / 64.0E0, 6) ELSE 0 END AS dx, CASE WHEN n / 16.0 > 0.5 THEN round(sy / 64.0E0, 6) ELSE 0 END AS dy FROM b""")
+def q11b_mean_downsample(spark, sf_dir):
+    got = G.mean_downsample(_flow(spark, sf_dir), (16, 16), (4, 4))
+    return got.select("pair_id", "y", "x", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
+
+
+@query("""WITH o AS (SELECT unnest(range(0, 8)) AS o), p AS (SELECT o, greatest(0, least(15, (o + 0.5E0) * 2 - 0.5E0)) AS p FROM o),
+          c AS (SELECT a.o AS y, b.o AS x, floor(a.p) + j AS gy, floor(b.p) + i AS gx, (CASE WHEN i = 1 THEN b.p - floor(b.p) ELSE 1 - (b.p - floor(b.p)) END) * (CASE WHEN j = 1 THEN a.p - floor(a.p) ELSE 1 - (a.p - floor(a.p)) END) AS w FROM p a, p b, (SELECT unnest([0, 1]) AS i) s, (SELECT unnest([0, 1]) AS j) t),
+          i AS (SELECT DISTINCT pair_id FROM fx_flow), u AS (SELECT i.pair_id, c.y, c.x, sum(w * coalesce(pdx, 0)) AS dx, sum(w * coalesce(pdy, 0)) AS dy FROM c CROSS JOIN i LEFT JOIN fx_flow f ON f.pair_id = i.pair_id AND f.y = c.gy AND f.x = c.gx GROUP BY i.pair_id, c.y, c.x)
+          SELECT pair_id, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(dx, 6) AS dx, round(dy, 6) AS dy FROM u""")
+def q11c_resize(spark, sf_dir):
+    full = _flow(spark, sf_dir).select("pair_id", "y", "x", F.col("pdx").alias("dx"), F.col("pdy").alias("dy"))
+    got = G.resize_grid(full, (16, 16), (8, 8), ["dx", "dy"], ["pair_id"])
+    return got.select("pair_id", "y", "x", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
+
+
+@query("""WITH f AS (SELECT pair_id, y, x, x + pdx / 2 AS px, y + pdy / 2 AS py, pdx FROM fx_flow),
+          c AS (SELECT pair_id, y, x, floor(py) + j AS gy, floor(px) + i AS gx, (CASE WHEN i = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) * (CASE WHEN j = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) AS w FROM f, (SELECT unnest([0, 1]) AS i) a, (SELECT unnest([0, 1]) AS j) b)
+          SELECT c.pair_id, c.y, c.x, round(sum(w * coalesce(g.pdx, 0)), 6) AS pdx FROM c LEFT JOIN fx_flow g ON g.pair_id = c.pair_id AND g.y = c.gy AND g.x = c.gx GROUP BY c.pair_id, c.y, c.x""")
+def q11d_warp_grid(spark, sf_dir):
+    f = _flow(spark, sf_dir)
+    moves = f.select("pair_id", "y", "x", (F.col("pdx") / 2).alias("dx"), (F.col("pdy") / 2).alias("dy"))
+    return G.warp_grid(f, moves, ["pdx"], ["pair_id"]).withColumn("pdx", F.round("pdx", 6))
+
+
+@query("""WITH e AS (SELECT 0 AS level, sqrt((pdx - dx) * (pdx - dx) + (pdy - dy) * (pdy - dy)) AS err FROM fx_flow WHERE dx IS NOT NULL
+                     UNION ALL SELECT 1, sqrt((pdx / 2 - dx) * (pdx / 2 - dx) + (pdy / 2 - dy) * (pdy / 2 - dy)) FROM fx_flow WHERE dx IS NOT NULL)
+          SELECT round(0.32 * avg(CASE WHEN level = 0 THEN err END) + 0.08 * avg(CASE WHEN level = 1 THEN err END), 6) AS loss FROM e""")
+def q11e_multiscale_epe(spark, sf_dir):
+    f = _flow(spark, sf_dir)
+    level = F.explode(F.array(F.lit(0), F.lit(1))).alias("level")
+    targets = f.select(level, "pair_id", "y", "x", "dx", "dy")
+    share = F.when(F.col("level") == 1, F.lit(2.0)).otherwise(F.lit(1.0))
+    preds = f.select(level, "pair_id", "y", "x", "pdx", "pdy").select("level", "pair_id", "y", "x", (F.col("pdx") / share).alias("dx"), (F.col("pdy") / share).alias("dy"))
+    return M.multiscale_epe(preds, targets).withColumn("loss", F.round("loss", 6))
+
+
+@query("""WITH c AS (SELECT pair_id, CAST(floor(y / 2.0) AS BIGINT) AS y, CAST(floor(x / 2.0) AS BIGINT) AS x, avg(pdx) AS dx, avg(pdy) AS dy FROM fx_flow GROUP BY pair_id, floor(y / 2.0), floor(x / 2.0)),
+          p AS (SELECT o, greatest(0, least(7, (o + 0.5E0) / 2 - 0.5E0)) AS p FROM (SELECT unnest(range(0, 16)) AS o) t),
+          k AS (SELECT a.o AS y, b.o AS x, floor(a.p) + j AS gy, floor(b.p) + i AS gx, (CASE WHEN i = 1 THEN b.p - floor(b.p) ELSE 1 - (b.p - floor(b.p)) END) * (CASE WHEN j = 1 THEN a.p - floor(a.p) ELSE 1 - (a.p - floor(a.p)) END) AS w FROM p a, p b, (SELECT unnest([0, 1]) AS i) s, (SELECT unnest([0, 1]) AS j) t),
+          i AS (SELECT DISTINCT pair_id FROM fx_flow), u AS (SELECT i.pair_id, k.y, k.x, sum(w * coalesce(c.dx, 0)) AS dx, sum(w * coalesce(c.dy, 0)) AS dy FROM k CROSS JOIN i LEFT JOIN c ON c.pair_id = i.pair_id AND c.y = k.gy AND c.x = k.gx GROUP BY i.pair_id, k.y, k.x)
+          SELECT f.pair_id, f.y, f.x, round(u.dx * 2 + f.pdx, 6) AS dx, round(u.dy * 2 + f.pdy, 6) AS dy FROM u JOIN fx_flow f ON f.pair_id = u.pair_id AND f.y = u.y AND f.x = u.x""")
+def q11f_add_flow(spark, sf_dir):
+    f = _flow(spark, sf_dir)
+    full = f.select("pair_id", "y", "x", F.col("pdx").alias("dx"), F.col("pdy").alias("dy"))
+    coarse = full.groupBy("pair_id", F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")).agg(F.avg("dx").alias("dx"), F.avg("dy").alias("dy"))
+    return G.add_flow(coarse, full, (8, 8), (16, 16), 2.0).select("pair_id", "y", "x", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
+
+
+CURVE = """n AS (SELECT object_id, image_id, y, x, cx, cy, cz, cx / sqrt(cx * cx + cy * cy + cz * cz) AS nx, cy / sqrt(cx * cx + cy * cy + cz * cz) AS ny, cz / sqrt(cx * cx + cy * cy + cz * cz) AS nz FROM fx_surface),
+          w AS (SELECT n.*, a.nx AS ux, a.ny AS uy, a.nz AS uz, b.nx AS dx, b.ny AS dy, b.nz AS dz, c.nx AS lx, c.ny AS ly, c.nz AS lz, d.nx AS rx, d.ny AS ry, d.nz AS rz,
+                 sqrt((b.cx - a.cx) * (b.cx - a.cx) + (b.cy - a.cy) * (b.cy - a.cy) + (b.cz - a.cz) * (b.cz - a.cz)) AS l1, sqrt((d.cx - c.cx) * (d.cx - c.cx) + (d.cy - c.cy) * (d.cy - c.cy) + (d.cz - c.cz) * (d.cz - c.cz)) AS l2
+                FROM n JOIN n a ON a.object_id = n.object_id AND a.image_id = n.image_id AND a.x = n.x AND a.y = n.y - 1 JOIN n b ON b.object_id = n.object_id AND b.image_id = n.image_id AND b.x = n.x AND b.y = n.y + 1
+                       JOIN n c ON c.object_id = n.object_id AND c.image_id = n.image_id AND c.y = n.y AND c.x = n.x - 1 JOIN n d ON d.object_id = n.object_id AND d.image_id = n.image_id AND d.y = n.y AND d.x = n.x + 1),
+          k AS (SELECT object_id, image_id, y, x, 2 * sin(acos(greatest(-1, least(1, ux * dx + uy * dy + uz * dz))) / 2) / l1 AS k1, 2 * sin(acos(greatest(-1, least(1, lx * rx + ly * ry + lz * rz))) / 2) / l2 AS k2 FROM w WHERE l1 > 0 AND l2 > 0),
+          i AS (SELECT object_id, image_id, avg((k1 + k2) / 2) AS mean, stddev_samp((k1 + k2) / 2) AS std, count(*) AS n FROM k GROUP BY object_id, image_id)"""
+
+
+def _curvature(spark, sf_dir):
+    s = fixture(spark, sf_dir, "fx_surface")
+    r = F.sqrt(F.col("cx") * F.col("cx") + F.col("cy") * F.col("cy") + F.col("cz") * F.col("cz"))
+    return R.curvature(s.withColumns({"nx": F.col("cx") / r, "ny": F.col("cy") / r, "nz": F.col("cz") / r}))
+
+
+@query(f"""WITH {CURVE} SELECT object_id, image_id, round(mean, 4) AS mean, round(std, 4) AS std, CAST(n AS BIGINT) AS n FROM i""")
+def q19_curvature(spark, sf_dir):
+    images, _ = R.curvature_stats(_curvature(spark, sf_dir))
+    return images.select("object_id", "image_id", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "n")
+
+
+@query(f"""WITH {CURVE}, o AS (SELECT object_id, avg(mean) AS mean, avg(std) AS std, CAST(sum(n) AS BIGINT) AS n FROM i GROUP BY object_id)
+           SELECT object_id, round(2 * mean * std / (mean + std) * (1 + 0.5E0), 4) AS score, n FROM o""")
+def q19b_complexity(spark, sf_dir):
+    _, objects = R.curvature_stats(_curvature(spark, sf_dir))
+    return R.complexity_score(objects.withColumn("ratio", F.lit(0.5))).select("object_id", F.round("score", 4).alias("score"), "n")
+
+
+PROB = """p AS (SELECT pair_id, kp_idx, trg_x / 8.0E0 AS tx, trg_y / 8.0E0 AS ty, src_x / 8.0E0 AS sx, src_y / 8.0E0 AS sy FROM fx_kp),
+          q AS (SELECT pair_id, kp_idx, CAST(floor(ty) + j AS BIGINT) AS y, CAST(floor(tx) + i AS BIGINT) AS x, (2 - abs(tx - floor(tx) - i) - abs(ty - floor(ty) - j)) / 4 AS p FROM p, (SELECT unnest([0, 1]) AS i) a, (SELECT unnest([0, 1]) AS j) b),
+          f AS (SELECT * FROM q WHERE y BETWEEN 0 AND 63 AND x BETWEEN 0 AND 63),
+          n AS (SELECT pair_id, kp_idx, y, x, p / sqrt(sum(p * p) OVER (PARTITION BY pair_id, kp_idx)) AS p FROM f)"""
+
+
+def _maps(spark, sf_dir):
+    kp = fixture(spark, sf_dir, "fx_kp")
+    return kp, G.probability_map(kp.select("pair_id", "kp_idx", (F.col("trg_x") / 8.0).alias("x"), (F.col("trg_y") / 8.0).alias("y")), 64, 64)
+
+
+@query(f"WITH {PROB} SELECT pair_id, kp_idx, y, x, round(p, 6) AS p FROM n")
+def q30_location_probability(spark, sf_dir):
+    return _maps(spark, sf_dir)[1].withColumn("p", F.round("p", 6))
+
+
+@query(f"""WITH {PROB}, s AS (SELECT pair_id, kp_idx, CAST(floor(sy) AS BIGINT) AS y, CAST(floor(sx) AS BIGINT) AS x, 1.0E0 AS score FROM p),
+           d AS (SELECT coalesce(n.pair_id, s.pair_id) AS pair_id, coalesce(n.p, 0) - coalesce(s.score, 0) AS d FROM n FULL JOIN s ON n.pair_id = s.pair_id AND n.kp_idx = s.kp_idx AND n.y = s.y AND n.x = s.x),
+           l AS (SELECT pair_id, sqrt(sum(d * d)) AS loss FROM d GROUP BY pair_id) SELECT round(avg(loss), 6) AS loss FROM l""")
+def q30b_location_loss(spark, sf_dir):
+    kp, maps = _maps(spark, sf_dir)
+    corr = kp.select("pair_id", "kp_idx", F.floor(F.col("src_y") / 8.0).alias("y"), F.floor(F.col("src_x") / 8.0).alias("x"), F.lit(1.0).alias("score"))
+    return G.location_loss(maps, corr).withColumn("loss", F.round("loss", 6))
+
+
+@query("""WITH k AS (SELECT CAST(pair_id % 59 AS BIGINT) AS pair_id, pair_id * 100 + kp_idx AS kp_idx, trg_x / 34.5E0 AS tx, trg_y / 34.5E0 AS ty FROM fx_kp)
+          SELECT k.pair_id, k.kp_idx, floor(tx) + f.dx AS pred_x, floor(ty) + f.dy AS pred_y FROM k LEFT JOIN fx_flow f ON f.pair_id = k.pair_id AND f.y = floor(ty) AND f.x = floor(tx)""")
+def q38_sample_flow(spark, sf_dir):
+    return G.sample_flow(_scaled_points(spark, sf_dir), _flow(spark, sf_dir).select("pair_id", "y", "x", "dx", "dy"), 16, 16).select("pair_id", "kp_idx", "pred_x", "pred_y")
+
+
+@query("""SELECT pair_id, kp_idx, src_x, src_y, trg_x, trg_y, false AS reverse FROM fx_kp UNION ALL SELECT pair_id, kp_idx, trg_x, trg_y, src_x, src_y, true FROM fx_kp""")
+def q38b_bidirectional(spark, sf_dir):
+    return Y.make_bidirectional(fixture(spark, sf_dir, "fx_kp").select("pair_id", "kp_idx", "src_x", "src_y", "trg_x", "trg_y"))
+
+
+@query("""SELECT pair_id, y, x, dx * 4 AS dx, dy * 2 AS dy, x + dx AS mx, round(2 * (y + dy) / 15.0E0 - 1, 6) AS my_n FROM fx_flow""")
+def q38c_flow_mapping(spark, sf_dir):
+    f = _flow(spark, sf_dir).select("pair_id", "y", "x", "dx", "dy")
+    there = Y.flow_to_mapping(Y.mapping_to_flow(Y.flow_to_mapping(f)))
+    normal = Y.flow_to_mapping(f, (16, 16)).select("pair_id", "y", "x", F.round("my", 6).alias("my_n"))
+    return Y.scale_flow(there, (16, 16), (64, 32)).join(normal, ["pair_id", "y", "x"]).select("pair_id", "y", "x", "dx", "dy", "mx", "my_n")
+
+
+@query("""WITH s AS (SELECT object_id, image_id, y, x, (cx - 0.485E0) / 0.229E0 AS r, (cy - 0.456E0) / 0.224E0 AS g, (cz - 0.406E0) / 0.225E0 AS b, cx, cy FROM fx_surface),
+          t AS (SELECT *, (cx - avg(cx) OVER (PARTITION BY object_id)) / (stddev_samp(cx) OVER (PARTITION BY object_id) + 1e-6) AS z, (cy - min(cy) OVER (PARTITION BY image_id)) / (max(cy) OVER (PARTITION BY image_id) - min(cy) OVER (PARTITION BY image_id)) AS m FROM s)
+          SELECT object_id, image_id, y, x, round(r, 5) AS r, round(g, 5) AS g, round(b, 5) AS b, round(z, 5) AS z, round(m, 5) AS m FROM t""")
+def q39_standardise(spark, sf_dir):
+    s = L.foreground(fixture(spark, sf_dir, "fx_surface"))
+    s = Y.standardize(s.withColumns({"r": F.col("cx"), "g": F.col("cy"), "b": F.col("cz"), "z": F.col("cx"), "m": F.col("cy")}), "imagenet")
+    s = G.minmax_rescale(G.standardize_by(s, ["object_id"], ["z"]), ["image_id"], "m")
+    return s.select("object_id", "image_id", "y", "x", *[F.round(c, 5).alias(c) for c in ("r", "g", "b", "z", "m")])
+
+
+@query("""WITH r AS (SELECT pair_id, y, x, CASE WHEN dx IS NULL THEN 0 ELSE 1 END AS v, pdx * 64 + 32768 AS u, pdy * 64 + 32768 AS w, (y + x) % 2 = 0 AS noc FROM fx_flow)
+          SELECT pair_id, y, x, CASE WHEN u = 32768 THEN 1e-10 ELSE (u - 32768) / 64 END AS dx, CASE WHEN w = 32768 THEN 1e-10 ELSE (w - 32768) / 64 END AS dy FROM r WHERE v = 1 AND NOT noc""")
+def q40_occlusion_decode(spark, sf_dir):
+    f = _flow(spark, sf_dir)
+    raw = f.select("pair_id", "y", "x", F.when(F.col("dx").isNull(), 0).otherwise(1).alias("c0"), (F.col("pdx") * 64 + 32768).alias("c1"), (F.col("pdy") * 64 + 32768).alias("c2"))
+    noc = raw.withColumn("c0", F.when((F.col("y") + F.col("x")) % 2 == 0, F.col("c0")).otherwise(0))
+    return L.select_occlusion(decode_kitti(raw, noc), "only_occ").select("pair_id", "y", "x", "dx", "dy")
+
+
+@query("""SELECT pair_id, y, x, CASE WHEN dx = 0 AND dy = 0 THEN NULL ELSE dx END AS dx, CASE WHEN pdx > 9 THEN 1 ELSE 0 END AS border FROM fx_flow WHERE dx IS NOT NULL AND (pdx >= 2 OR pdy >= 2) AND x + pdx BETWEEN 0 AND 15 AND y + pdy BETWEEN 0 AND 15""")
+def q40b_flow_filters(spark, sf_dir):
+    f = _flow(spark, sf_dir).withColumns({"mx": F.col("x") + F.col("pdx"), "my": F.col("y") + F.col("pdy")})
+    got = L.in_bounds(L.nonzero_border(L.valid_flow(f), 2, ("pdx", "pdy")), 16, 16)
+    return L.to_null(got, "zero").select("pair_id", "y", "x", "dx", F.when(F.col("pdx") > 9, 1).otherwise(0).alias("border"))
+
+
+@query("""SELECT pair_id, y, x, x + dx AS ex, y + dy AS ey FROM fx_flow WHERE dx IS NOT NULL AND y % 4 = 0 AND x % 4 = 0""")
+def q40c_flow_grid_sample(spark, sf_dir):
+    return L.sample_flow_grid(_flow(spark, sf_dir), 16, 16, 4).select("pair_id", "y", "x", "ex", "ey")
+
+
+@query("""WITH p AS (SELECT pair_id, kp_idx, trg_x / 16.0E0 AS x, trg_y / 16.0E0 AS y FROM fx_kp), e AS (SELECT pair_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER (PARTITION BY pair_id ORDER BY kp_idx)) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER (PARTITION BY pair_id ORDER BY kp_idx)) AS ny FROM p WINDOW w AS (PARTITION BY pair_id ORDER BY kp_idx)),
+          l AS (SELECT pair_id, CAST(r.py AS BIGINT) AS py, x + (r.py - y) * (nx - x) / (ny - y) AS cx FROM e JOIN (SELECT unnest(range(0, 32)) AS py) r ON r.py >= least(y, ny) AND r.py < greatest(y, ny)),
+          k AS (SELECT pair_id, py, cx, row_number() OVER (PARTITION BY pair_id, py ORDER BY cx) AS k, lead(cx) OVER (PARTITION BY pair_id, py ORDER BY cx) AS ex FROM l)
+          SELECT pair_id, CAST(sum(greatest(0, least(31, ceil(ex) - 1) - greatest(0, ceil(cx)) + 1)) AS BIGINT) AS area FROM k WHERE k % 2 = 1 AND ex IS NOT NULL GROUP BY pair_id HAVING sum(greatest(0, least(31, ceil(ex) - 1) - greatest(0, ceil(cx)) + 1)) > 0""")
+def q28b_polygon_mask(spark, sf_dir):
+    kp = fixture(spark, sf_dir, "fx_kp").select("pair_id", "kp_idx", (F.col("trg_x") / 16.0).alias("x"), (F.col("trg_y") / 16.0).alias("y"))
+    return G.polygon_mask(kp, 32, 32).groupBy("pair_id").agg(F.count(F.lit(1)).alias("area"))
+
+
+@query("""SELECT pair_id, CAST(y2 AS BIGINT) AS y, CAST(x2 AS BIGINT) AS x, round(avg(x1 - x2), 6) AS dx, round(avg(y1 - y2), 6) AS dy
+          FROM (SELECT CAST(pair_id % 59 AS BIGINT) AS pair_id, floor(trg_y / 32.0) AS y2, floor(trg_x / 32.0) AS x2, src_y / 32.0E0 AS y1, src_x / 32.0E0 AS x1 FROM fx_kp) t GROUP BY pair_id, y2, x2""")
+def q11g_points_to_flow(spark, sf_dir):
+    kp = fixture(spark, sf_dir, "fx_kp")
+    m = kp.select((F.col("pair_id") % 59).alias("pair_id"), F.floor(F.col("trg_y") / 32.0).alias("y2"), F.floor(F.col("trg_x") / 32.0).alias("x2"), (F.col("src_y") / 32.0).alias("y1"), (F.col("src_x") / 32.0).alias("x1"))
+    return G.points_to_flow(m).select("pair_id", "y", "x", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
