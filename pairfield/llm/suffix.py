@@ -87,13 +87,46 @@ def items(data: np.ndarray, offsets: np.ndarray):
     return starts, sizes, at[starts], h[at[starts]]
 
 
-def item_rows(docs: DataFrame, text: str, row: str) -> DataFrame:
+def anchor_rows(docs: DataFrame, text: str) -> DataFrame:
+    """The anchor hash of every item."""
+
+    def run(batches):
+        for batch in sliced(batches, text):
+            _, _, _, h = items(*text_buffers(batch.column(0)))
+            if len(h):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+
+    return docs.select(text).mapInArrow(run, "h long")
+
+
+def _bloom(ids: DataFrame) -> np.ndarray:
+    mask = BLOOM_BITS - 1
+    at = F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask)))
+    words = ids.select(at.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b")).toArrow()
+    out = np.zeros(BLOOM_BITS >> 6, np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out
+
+
+def _held(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the hashes the Bloom filter may hold."""
+    mask = np.uint64(BLOOM_BITS - 1)
+    p, q = (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
+    return ((words[p >> 6] >> (p & 63)) & (words[q >> 6] >> (q & 63)) & 1) == 1
+
+
+def item_rows(docs: DataFrame, again: DataFrame, text: str, row: str) -> DataFrame:
+    """row, start, n, h and digest of the items whose anchors occur again (h); a Bloom filter of fixed size may let some others pass."""
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(again))
+
     def run(batches):
         for batch in sliced(batches, text):
             data, offsets = text_buffers(batch.column(1))
             starts, sizes, _, h = items(data, offsets)
-            if not len(starts):
+            hit = _held(bloom.value, h) if len(h) else np.zeros(0, bool)
+            if not hit.any():
                 continue
+            starts, sizes, h = starts[hit], sizes[hit], h[hit]
             whole, doc = data.tobytes(), np.searchsorted(offsets, starts, "right") - 1
             d = np.frombuffer(b"".join([blake2b(whole[a : a + k + LENGTH - 1], digest_size=16).digest() for a, k in zip(starts.tolist(), sizes.tolist())]), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
@@ -104,15 +137,6 @@ def item_rows(docs: DataFrame, text: str, row: str) -> DataFrame:
     return docs.select(row, text).mapInArrow(run, f"{row} long, start int, n int, h long, d1 long, d2 long")
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    mask = BLOOM_BITS - 1
-    at = F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask)))
-    words = ids.select(at.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b")).toArrow()
-    out = np.zeros(BLOOM_BITS >> 6, np.int64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy()
-    return out
-
-
 PART = "c1 long, c2 long, i1 long, i2 long, at int, n int, side binary, core int"
 
 
@@ -121,12 +145,10 @@ def part_rows(docs: DataFrame, open_: DataFrame, text: str) -> DataFrame:
     bloom = docs.sparkSession.sparkContext.broadcast(_bloom(open_))
 
     def run(batches):
-        words, mask = bloom.value, np.uint64(BLOOM_BITS - 1)
         for batch in sliced(batches, text):
             data, offsets = text_buffers(batch.column(0))
             starts, sizes, anchors, h = items(data, offsets)
-            p, q = (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
-            hit = np.flatnonzero(((words[p >> 6] >> (p & 63)) & (words[q >> 6] >> (q & 63)) & 1) == 1)
+            hit = np.flatnonzero(_held(bloom.value, h)) if len(h) else np.zeros(0, np.int64)
             whole, seen, out = data.tobytes(), set(), []
             for a, k, anchor in zip(starts[hit].tolist(), sizes[hit].tolist(), anchors[hit].tolist()):
                 digest = blake2b(whole[a : a + k + LENGTH - 1], digest_size=16).digest()
@@ -303,16 +325,17 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = without(docs, "kept", "n_bytes", "n_removed", "n_spans", "removed", "__row", "__found")
     own = docs.columns
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    every = saved(item_rows(rows, text, "__row"), "suffix-items")
+    again = anchor_rows(docs, text).groupBy("h").count().where("count > 1").select("h")
+    every = saved(item_rows(rows, again, text, "__row"), "suffix-items")
     kinds = every.groupBy("h", "d1", "d2").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
     whole = kinds.where("k > 1").select("d1", "d2", F.lit(0).alias("at"), "n")
     open_ = kinds.groupBy("h").count().where("count > 1").select("h")
+    # parts of one item come from every text that holds it: they count once
     parts = saved(part_rows(docs, open_, text), "suffix-parts")
-    # parts of one item come from every text that holds it: once is enough
-    parts = parts.dropDuplicates(["c1", "c2", "i1", "i2"])
-    size = parts.groupBy("c1", "c2").count().where("count > 1")
-    parts = saved(parts.join(size, ["c1", "c2"]), "suffix-parts")
-    calm, crowd = parts.where(f"count <= {CROWD}").drop("count"), parts.where(f"count > {CROWD}").drop("count")
+    crowds = parts.select("c1", "c2", "i1", "i2").distinct().groupBy("c1", "c2").count().where(f"count > {CROWD}").select("c1", "c2")
+    crowds = saved(crowds, "suffix-crowds")
+    calm = parts.join(crowds, ["c1", "c2"], "left_anti")
+    crowd = parts.join(crowds, ["c1", "c2"], "left_semi").dropDuplicates(["c1", "c2", "i1", "i2"])
     found = saved(group_repeats(calm).unionByName(crowd_repeats(crowd)).groupBy("i1", "i2").agg(F.collect_set(F.struct("at", "n")).alias("runs")), "suffix-found")
     marked = whole.select("d1", "d2", F.array(F.struct("at", "n")).alias("runs")).unionByName(found.select(F.col("i1").alias("d1"), F.col("i2").alias("d2"), "runs"))
     spans = every.join(marked, ["d1", "d2"]).select("__row", F.explode("runs").alias("r"), "start").select("__row", (F.col("start") + F.col("r.at")).alias("a"), (F.col("start") + F.col("r.at") + F.col("r.n") + (LENGTH - 1)).alias("b"))
