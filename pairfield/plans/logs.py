@@ -1 +1,66 @@
-"""Queries."""
+"""Queries of metric logs: Q20, Q32, Q43."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import tracking as T
+from ..streaming.logs import best_so_far, metric_windows
+from .fixtures import fixture
+from .registry import query
+
+EPOCHS = "e AS (SELECT benchmark, epoch, round(avg(value), 6) AS value FROM fx_metrics GROUP BY benchmark, epoch)"
+
+
+def _epochs(spark, sf_dir):
+    return fixture(spark, sf_dir, "fx_metrics").groupBy("benchmark", "epoch").agg(F.round(F.avg("value"), 6).alias("value"))
+
+
+@query(f"""WITH {EPOCHS}, b AS (SELECT *, greatest(0, coalesce(max(value) OVER (PARTITION BY benchmark ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS best_before FROM e)
+           SELECT benchmark, epoch, value, best_before, value > best_before AS is_best FROM b""")
+def q20_running_best(spark, sf_dir):
+    return T.running_best(_epochs(spark, sf_dir))
+
+
+@query(f"""WITH {EPOCHS} SELECT benchmark, max(value) AS best, CASE WHEN min(CASE WHEN value = m THEN epoch END) > 0 THEN 'epoch_' || min(CASE WHEN value = m THEN epoch END) ELSE 'N/A' END AS checkpoint
+           FROM (SELECT *, max(value) OVER (PARTITION BY benchmark) AS m FROM e) t GROUP BY benchmark""")
+def q20b_training_summary(spark, sf_dir):
+    return T.training_summary(_epochs(spark, sf_dir))
+
+
+@query("""SELECT run, benchmark, epoch, step, round(avg(value) OVER (PARTITION BY run, epoch ORDER BY step ROWS UNBOUNDED PRECEDING), 9) AS running_mean FROM fx_metrics""")
+def q20c_running_mean(spark, sf_dir):
+    return T.running_mean(fixture(spark, sf_dir, "fx_metrics")).select("run", "benchmark", "epoch", "step", F.round("running_mean", 9).alias("running_mean"))
+
+
+@query(f"""WITH {EPOCHS}, b AS (SELECT *, coalesce(max(value) OVER (PARTITION BY benchmark ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m FROM e) SELECT benchmark, epoch, value FROM b WHERE value > m""")
+def q20d_best_so_far(spark, sf_dir):
+    return best_so_far(_epochs(spark, sf_dir))
+
+
+@query("""SELECT run, benchmark, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean, min(value) AS lo, max(value) AS hi
+          FROM fx_metrics GROUP BY run, benchmark, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01')""")
+def q32_metric_windows(spark, sf_dir):
+    got = metric_windows(fixture(spark, sf_dir, "fx_metrics"), "6 hours")
+    return got.select("run", "benchmark", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 6).alias("mean"), "lo", "hi")
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY run, benchmark ORDER BY ts, step) + INTERVAL 1 HOUR THEN 1 WHEN lag(ts) OVER (PARTITION BY run, benchmark ORDER BY ts, step) IS NULL THEN 1 ELSE 0 END AS s FROM fx_metrics),
+          k AS (SELECT *, sum(s) OVER (PARTITION BY run, benchmark ORDER BY ts, step ROWS UNBOUNDED PRECEDING) AS k FROM g)
+          SELECT run, benchmark, min(ts) AS start, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean FROM k GROUP BY run, benchmark, k""")
+def q32b_metric_sessions(spark, sf_dir):
+    got = metric_windows(fixture(spark, sf_dir, "fx_metrics"), "1 hour", session=True)
+    return got.select("run", "benchmark", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("mean", 6).alias("mean"))
+
+
+@query("""WITH r AS (SELECT run, benchmark, step, value, row_number() OVER (PARTITION BY run, benchmark ORDER BY step DESC) AS l, row_number() OVER (PARTITION BY run, benchmark ORDER BY value DESC, step) AS b FROM fx_metrics)
+          SELECT 'last' AS policy, run, benchmark, step, value FROM r WHERE l = 1 UNION ALL SELECT 'best', run, benchmark, step, value FROM r WHERE b = 1""")
+def q43_checkpoint_policies(spark, sf_dir):
+    m = fixture(spark, sf_dir, "fx_metrics").select("run", "benchmark", "step", "value")
+    rows = [T.select_checkpoints(m, p, ["run", "benchmark"]).select(F.lit(p).alias("policy"), "run", "benchmark", "step", "value") for p in ("last", "best")]
+    return rows[0].unionByName(rows[1])
+
+
+@query("""SELECT regexp_extract(p_name, '^([^. ]*)', 1) AS prefix, CAST(sum(p_size) AS BIGINT) AS total FROM part GROUP BY 1""")
+def q43b_counts_by_prefix(spark, sf_dir):
+    return T.count_by_prefix(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_name", "p_size")
