@@ -229,13 +229,13 @@ def flo_pixels(files: DataFrame) -> DataFrame:
                 head = raw.slice(0, 12).to_pybytes()
                 if head[:4] != FLO_TAG:
                     raise ValueError(f"{path} is no flow file")
-                w, h = np.frombuffer(head[4:], "<i4")
+                w, h = np.frombuffer(head[4:], "<i4").tolist()
                 uv = np.frombuffer(raw.slice(12), "<f4").reshape(h, w, 2).astype(float)
                 bad = (np.abs(uv) > 1e9).any(2)
-                step = max(1, 1_000_000 // int(w))
-                for a in range(0, int(h), step):
+                step = max(1, 1_000_000 // w)
+                for a in range(0, h, step):
                     part, gone = uv[a : a + step], bad[a : a + step].ravel()
-                    y, x = np.mgrid[a : a + len(part), 0:w]
+                    y, x = np.mgrid[a : a + len(part), 0:w].astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(gone)), pa.array(y.ravel()), pa.array(x.ravel()), pa.array(part[..., 0].ravel(), mask=gone), pa.array(part[..., 1].ravel(), mask=gone)], ["path", "y", "x", "dx", "dy"])
 
     return files.select("path", "content").mapInArrow(run, "path string, y long, x long, dx double, dy double")
