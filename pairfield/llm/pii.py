@@ -225,7 +225,7 @@ def _searched(batch: pa.RecordBatch, column: str):
 
 
 def corpus_entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """row, kind, norm and found of each entity of each row; row: the column __row."""
+    """__row, kind, norm and found of each entity of each row; __row: the text's hash."""
 
     def run(batches):
         for batch in sliced(batches, text):
@@ -273,7 +273,7 @@ def pseudonymise(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the text replaced, n_entities and kinds (how many of each kind)."""
     docs = without(docs, "n_entities", "kinds", "__row", "__again")
     own = docs.columns
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = docs.withColumn("__row", F.xxhash64(text))
     every = saved(corpus_entities(rows, text), "entities")
     again = collisions(every)
     if again is None:

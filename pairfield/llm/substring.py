@@ -4,12 +4,13 @@ A gear hash rolls over the UTF-8 bytes; where it falls under a threshold a chunk
 ends, at the next character. A cut depends on the last 32 bytes only, so an
 insertion changes the chunks around it and no others. Every chunk's 128-bit
 digest is counted over the corpus; chunks after the first one of their digest
-(by doc_id, then row, then place) are repeats. Runs of repeats with LEAST_RUN
+(by doc_id, then place) are repeats. Runs of repeats with LEAST_RUN
 bytes or more are removed; shorter ones stay, since short phrases recur in texts
 that have nothing else in common.
 
-Null and empty texts have no chunks and stay as they are. Repeated rows are
-repeats of the first one. An empty table gives an empty result; other columns
+Null and empty texts have no chunks and stay as they are. Rows of one doc_id are
+one document: a row that repeats another has the same result. Null doc_ids come
+first and count as one. An empty table gives an empty result; other columns
 pass through, those with the name of a result are replaced.
 """
 
@@ -53,12 +54,12 @@ def cuts(data: np.ndarray, offsets: np.ndarray, mean: int = MEAN_CHUNK, most: in
     return at
 
 
-def chunks(docs: DataFrame, text: str, key: str, row: str) -> DataFrame:
-    """row, doc_id, place (byte), size and digest (two longs) of every chunk."""
+def chunks(docs: DataFrame, text: str) -> DataFrame:
+    """id, place (byte), size and digest (two longs) of every chunk; docs has __id."""
 
     def run(batches):
         for batch in sliced(batches, text):
-            data, offsets = text_buffers(batch.column(2))
+            data, offsets = text_buffers(batch.column(1))
             if not len(data):
                 continue
             ends = cuts(data, offsets)
@@ -68,23 +69,23 @@ def chunks(docs: DataFrame, text: str, key: str, row: str) -> DataFrame:
             d = np.frombuffer(digests, "<i8").reshape(-1, 2)
             doc = np.searchsorted(offsets, starts, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array((starts - offsets[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])],
-                [row, key, "place", "size", "d1", "d2"],
+                [batch.column(0).take(pa.array(doc)), pa.array((starts - offsets[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])],
+                ["id", "place", "size", "d1", "d2"],
             )
 
-    return docs.select(row, key, text).mapInArrow(run, f"{row} long, {key} long, place int, size int, d1 long, d2 long")
+    return docs.select("__id", text).mapInArrow(run, "id long, place int, size int, d1 long, d2 long")
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with clean_text, n_bytes, n_removed, n_spans and removed, the spans as (start, end) bytes."""
-    docs = without(docs, "clean_text", "n_bytes", "n_removed", "n_spans", "removed", "__row", "__found")
+    docs = without(docs, "clean_text", "n_bytes", "n_removed", "n_spans", "removed", "__id", "__found")
     own = docs.columns
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    every = chunks(rows.withColumn(key, F.col(key).cast("long")), text, key, "__row")
-    here = F.struct(F.col(key), F.col("__row"), F.col("place"))
+    rows = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))))
+    every = chunks(rows, text)
+    here = F.struct("id", "place")
     twice = every.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first")).where("n > 1")
-    again = every.join(twice, ["d1", "d2"]).where(~here.eqNullSafe(F.col("first"))).select("__row", "place", "size")
-    found = again.groupBy("__row").agg(F.collect_list(F.struct("place", "size")).alias("__found"))
+    again = every.join(twice, ["d1", "d2"]).where(here != F.col("first"))
+    found = again.groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("place", "size", F.col("d1").alias("tag"))).alias("__found"))
 
     def run(batches):
         for batch in sliced(batches, text):
@@ -93,18 +94,19 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             for t, got in zip(texts, spans):
                 data = (t or "").encode()
                 merged: list[list[int]] = []
-                for x in sorted((g["place"], g["place"] + g["size"]) for g in got or ()):
-                    if merged and merged[-1][1] == x[0]:
-                        merged[-1][1] = x[1]
+                # a doc_id may name several texts: each loses the chunks that it has
+                for a, b in sorted({(g["place"], g["place"] + g["size"]) for g in got or () if blake2b(data[g["place"] : g["place"] + g["size"]], digest_size=16).digest()[:8] == g["tag"].to_bytes(8, "little", signed=True)}):
+                    if merged and merged[-1][1] == a:
+                        merged[-1][1] = b
                     else:
-                        merged.append(list(x))
+                        merged.append([a, b])
                 merged = [x for x in merged if x[1] - x[0] >= LEAST_RUN]
                 edges = [0, *(e for x in merged for e in x), len(data)]
                 clean.append(t if not merged else b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])).decode())
                 sizes.append(len(data))
                 gone.append(sum(b - a for a, b in merged))
                 runs.append([{"start": a, "end": b} for a, b in merged])
-            kept = batch.drop_columns(["__found", "__row"])
+            kept = batch.drop_columns(["__found"])
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [*kept.columns, pa.array(clean, pa.string()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(r) for r in runs], pa.int64()), pa.array(runs, span)],
@@ -113,4 +115,4 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {types[c]}" for c in own) + ", clean_text string, n_bytes long, n_removed long, n_spans long, removed array<struct<start: bigint, end: bigint>>"
-    return rows.join(found, "__row", "left").select(*own, "__row", "__found").mapInArrow(run, schema)
+    return rows.join(found, "__id", "left").select(*own, "__found").mapInArrow(run, schema)

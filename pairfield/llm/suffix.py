@@ -115,13 +115,13 @@ def _held(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((words[p >> 6] >> (p & 63)) & (words[q >> 6] >> (q & 63)) & 1) == 1
 
 
-def item_rows(docs: DataFrame, again: DataFrame, text: str, row: str) -> DataFrame:
-    """row, start, n, h and digest of the items whose anchors occur again (h); a Bloom filter of fixed size may let some others pass."""
+def item_rows(docs: DataFrame, again: DataFrame, text: str) -> DataFrame:
+    """t1, t2 (the text's hashes), start, n, h and digest of the items whose anchors occur again (h); a Bloom filter of fixed size may let some others pass."""
     bloom = docs.sparkSession.sparkContext.broadcast(_bloom(again))
 
     def run(batches):
         for batch in sliced(batches, text):
-            data, offsets = text_buffers(batch.column(1))
+            data, offsets = text_buffers(batch.column(2))
             starts, sizes, _, h = items(data, offsets)
             hit = _held(bloom.value, h) if len(h) else np.zeros(0, bool)
             if not hit.any():
@@ -130,11 +130,11 @@ def item_rows(docs: DataFrame, again: DataFrame, text: str, row: str) -> DataFra
             whole, doc = data.tobytes(), np.searchsorted(offsets, starts, "right") - 1
             d = np.frombuffer(b"".join([blake2b(whole[a : a + k + LENGTH - 1], digest_size=16).digest() for a, k in zip(starts.tolist(), sizes.tolist())]), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc)), pa.array((starts - offsets[doc]).astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1])],
-                [row, "start", "n", "h", "d1", "d2"],
+                [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array((starts - offsets[doc]).astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1])],
+                ["t1", "t2", "start", "n", "h", "d1", "d2"],
             )
 
-    return docs.select(row, text).mapInArrow(run, f"{row} long, start int, n int, h long, d1 long, d2 long")
+    return docs.select("t1", "t2", text).mapInArrow(run, "t1 long, t2 long, start int, n int, h long, d1 long, d2 long")
 
 
 PART = "c1 long, c2 long, i1 long, i2 long, at int, n int, side binary, core int"
@@ -322,11 +322,12 @@ def crowd_repeats(parts: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with kept (binary), n_bytes, n_removed, n_spans and removed, the spans as (start, end) bytes."""
-    docs = without(docs, "kept", "n_bytes", "n_removed", "n_spans", "removed", "__row", "__found")
+    docs = without(docs, "kept", "n_bytes", "n_removed", "n_spans", "removed", "t1", "t2", "__found")
     own = docs.columns
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    # rows are told apart by their texts: equal texts lose the same bytes
+    rows = docs.withColumns({"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)})
     again = anchor_rows(docs, text).groupBy("h").count().where("count > 1").select("h")
-    every = saved(item_rows(rows, again, text, "__row"), "suffix-items")
+    every = saved(item_rows(rows, again, text), "suffix-items")
     kinds = every.groupBy("h", "d1", "d2").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
     whole = kinds.where("k > 1").select("d1", "d2", F.lit(0).alias("at"), "n")
     open_ = kinds.groupBy("h").count().where("count > 1").select("h")
@@ -338,8 +339,8 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     crowd = parts.join(crowds, ["c1", "c2"], "left_semi").dropDuplicates(["c1", "c2", "i1", "i2"])
     found = saved(group_repeats(calm).unionByName(crowd_repeats(crowd)).groupBy("i1", "i2").agg(F.collect_set(F.struct("at", "n")).alias("runs")), "suffix-found")
     marked = whole.select("d1", "d2", F.array(F.struct("at", "n")).alias("runs")).unionByName(found.select(F.col("i1").alias("d1"), F.col("i2").alias("d2"), "runs"))
-    spans = every.join(marked, ["d1", "d2"]).select("__row", F.explode("runs").alias("r"), "start").select("__row", (F.col("start") + F.col("r.at")).alias("a"), (F.col("start") + F.col("r.at") + F.col("r.n") + (LENGTH - 1)).alias("b"))
-    per = spans.groupBy("__row").agg(F.collect_set(F.struct("a", "b")).alias("__found"))
+    spans = every.join(marked, ["d1", "d2"]).select("t1", "t2", F.explode("runs").alias("r"), "start").select("t1", "t2", (F.col("start") + F.col("r.at")).alias("a"), (F.col("start") + F.col("r.at") + F.col("r.n") + (LENGTH - 1)).alias("b"))
+    per = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("__found"))
 
     def run(batches):
         for batch in sliced(batches, text):
@@ -367,4 +368,4 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {types[c]}" for c in own) + ", kept binary, n_bytes long, n_removed long, n_spans long, removed array<struct<start: bigint, end: bigint>>"
-    return rows.join(per, "__row", "left").select(*own, "__found").mapInArrow(run, schema)
+    return rows.join(per, ["t1", "t2"], "left").select(*own, "__found").mapInArrow(run, schema)
