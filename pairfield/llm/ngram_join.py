@@ -333,7 +333,8 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", gra
     found = saved(components(links), "ngram-components")
     placed = rows.join(found.select(F.col("node").alias("member"), "label"), "member", "left").withColumn("comp", F.coalesce("label", "member"))
     apart = saved(list_pairs(placed, percent, False).select("a", "b").distinct(), "ngram-pairs")
-    links = links.unionByName(saved(verified(apart, sets, percent), "ngram-links"))
+    # the components found stand for their links
+    links = saved(verified(apart, sets, percent), "ngram-links").unionByName(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
     found = components(links)
     named = classes.select("k1", "k2", "member").join(saved(found, "ngram-components").select(F.col("node").alias("member"), "label"), "member", "left").select("k1", "k2", F.coalesce("label", "member").alias("component_id"))
     return every.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
