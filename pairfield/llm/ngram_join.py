@@ -270,8 +270,9 @@ def _bloom(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def member_sets(docs: DataFrame, members: DataFrame, text: str, key: str, gram: int) -> DataFrame:
-    """member and set (uint64, binary) of the members; texts of other documents are left out by a Bloom filter of fixed size."""
+def member_sets(docs: DataFrame, pairs: DataFrame, text: str, key: str, gram: int) -> DataFrame:
+    """member and set (uint64, binary) of the members of pairs, saved; texts of other documents are left out by a Bloom filter of fixed size."""
+    members = pairs.select(F.explode(F.array("a", "b")).alias("member"))
     bloom = docs.sparkSession.sparkContext.broadcast(_bloom(members, "member"))
     places = [F.pmod(F.xxhash64(F.col("doc_id"), F.lit(i)), F.lit(BLOOM_BITS)).alias(f"p{i}") for i in range(2)]
 
@@ -286,7 +287,7 @@ def member_sets(docs: DataFrame, members: DataFrame, text: str, key: str, gram:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s[b - k : b].tobytes() for b, k in zip(ends, n.tolist())], pa.binary())], ["member", "set"])
 
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null").select("doc_id", "text", *places)
-    return slim.mapInArrow(run, "member long, set binary")
+    return saved(slim.mapInArrow(run, "member long, set binary"), "ngram-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -302,8 +303,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * same >= percent * (len(u) + len(v) - same))
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    one = pairs.join(sets.select(F.col("member").alias("a"), F.col("set").alias("sa")), "a")
-    two = one.join(sets.select(F.col("member").alias("b"), F.col("set").alias("sb")), "b")
+    # one way to join at any size: the pairs may be few, the sets are long
+    one = pairs.hint("merge").join(sets.select(F.col("member").alias("a"), F.col("set").alias("sa")), "a")
+    two = one.hint("merge").join(sets.select(F.col("member").alias("b"), F.col("set").alias("sb")), "b")
     return two.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -326,15 +328,15 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", gra
     other = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.select("token", "n", "pos", "member", "map", "block", F.explode(other).alias("o")).select("token", F.least("block", "o").alias("b1"), F.greatest("block", "o").alias("b2"), "block", "n", "pos", "member", "map")
     rows = saved(rows, "ngram-rows")
-    sets = saved(member_sets(docs, members.select("member"), text, key, gram), "ngram-sets").dropDuplicates(["member"])
     near = list_pairs(rows.withColumn("comp", F.col("member")), percent, True)
     best = near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select("a", "b").unionByName(near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"))
-    links = saved(verified(saved(best.distinct(), "ngram-pairs"), sets, percent), "ngram-links")
+    near = saved(best.distinct(), "ngram-pairs")
+    links = saved(verified(near, member_sets(docs, near, text, key, gram), percent), "ngram-links")
     found = saved(components(links), "ngram-components")
     placed = rows.join(found.select(F.col("node").alias("member"), "label"), "member", "left").withColumn("comp", F.coalesce("label", "member"))
     apart = saved(list_pairs(placed, percent, False).select("a", "b").distinct(), "ngram-pairs")
     # the components found stand for their links
-    links = saved(verified(apart, sets, percent), "ngram-links").unionByName(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    links = saved(verified(apart, member_sets(docs, apart, text, key, gram), percent), "ngram-links").unionByName(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
     found = components(links)
     named = classes.select("k1", "k2", "member").join(saved(found, "ngram-components").select(F.col("node").alias("member"), "label"), "member", "left").select("k1", "k2", F.coalesce("label", "member").alias("component_id"))
     return every.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
