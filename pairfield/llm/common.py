@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: The white space that ends a word, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 BATCH_ROWS = 2_000
+#: Folders of sessions that name no shared one, by application.
+_own_folders: dict[str, str] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,10 +36,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     The cluster names that folder in spark.checkpoint.dir; a local session that
     names none gets a temporary one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="pairfield-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="pairfield-")
+        base = _own_folders[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
