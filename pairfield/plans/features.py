@@ -129,3 +129,20 @@ def q34_max_pool4d(spark, sf_dir):
 @query()
 def q35_pca_project(spark, sf_dir):
     return R.pca_project(fixture(spark, sf_dir, "fx_features"), ["pair_id", "side", "pos"], 3)
+
+
+@query("""WITH e AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+          d AS (SELECT a.id, b.id AS neighbor, list_distance(a.v, b.v) AS distance FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbor) AS k FROM d)
+          SELECT id, neighbor, round(distance, 6) AS distance FROM r WHERE k = 1""")
+def q17b_find_nn(spark, sf_dir):
+    """JON-14."""
+    db = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return X.find_nn(db.where("id % 50 = 0"), db).withColumn("distance", F.round("distance", 6))
+
+
+@query("""WITH c AS (SELECT category, count(*) AS n FROM fx_catalog GROUP BY category), r AS (SELECT category, CAST(n AS BIGINT) AS n, row_number() OVER (ORDER BY n DESC, category) AS rank FROM c) SELECT category, n, rank FROM r WHERE rank <= 10""")
+def q18e_top_categories(spark, sf_dir):
+    """TOP-3, SET-1: the limit is the feature."""
+    cat = fixture(spark, sf_dir, "fx_catalog")
+    both = R.union_datasets({"even": cat.where("asset_id % 2 = 0"), "odd": cat.where("asset_id % 2 = 1")})
+    return R.top_categories(both, 10).select("category", "n", "rank")

@@ -58,3 +58,24 @@ def q31_schedules(spark, sf_dir):
     config = interpolate_config({"size": 3, "lr": 0.5, "name": "a"}, {"size": 11, "lr": 0.25, "name": "b"}, x)
     cols = {"lin": x, "poly": P.schedule(e, 5000, "poly"), "ex": P.schedule(e, 5000, "exp"), "sn": P.schedule(e, 5000, "sin"), "mixed": config["size"], "lr": config["lr"], "remember": P.remember_rate(e, 1000, 4000, 0.3), "warp": P.warp_strength(e, 0.1, 1.5, 1000, 0.4), "scaled": P.linear_scale(e, 256, 2, 4)}
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", *[F.round(v, 6).alias(n) for n, v in cols.items()])
+
+
+@query("""SELECT pair_id, kp_idx, src_x / 2 AS x1, src_y / 4 AS y1, CASE WHEN kp_idx % 2 = 0 THEN 256 - (src_x + 40) / 2 ELSE src_x / 2 END AS bx1, CASE WHEN kp_idx % 2 = 0 THEN 256 - src_x / 2 ELSE (src_x + 40) / 2 END AS bx2, (src_y + 30) / 4 AS by2 FROM fx_kp""")
+def q02c_boxes(spark, sf_dir):
+    """PRJ-3, PRJ-4: boxes given by corner and size, rescaled and mirrored."""
+    from ..operators.geometry import hflip, rescale_box
+
+    kp = fixture(spark, sf_dir, "fx_kp").withColumn("box", P.xywh_to_xyxy(F.col("src_x"), F.col("src_y"), F.lit(40.0), F.lit(30.0)))
+    kp = rescale_box(kp, "box", (512, 512), (256, 128)).withColumns({"x1": F.col("box.x1"), "y1": F.col("box.y1")})
+    kp = hflip(kp, [], 256.0, F.col("kp_idx") % 2 == 0, ["box"])
+    return kp.select("pair_id", "kp_idx", "x1", "y1", F.col("box.x1").alias("bx1"), F.col("box.x2").alias("bx2"), F.col("box.y2").alias("by2"))
+
+
+@query("""SELECT pair_id, kp_idx, src_y - 100 AS y1, src_x - 50 AS x1, trg_y - 20 AS y2, trg_x - 30 AS x2 FROM fx_kp
+          WHERE src_y - 100 >= 0 AND src_y - 100 < 299 AND src_x - 50 >= 0 AND src_x - 50 < 399 AND trg_y - 20 >= 0 AND trg_y - 20 < 399 AND trg_x - 30 >= 0 AND trg_x - 30 < 299""")
+def q02d_crop_matches(spark, sf_dir):
+    """FLT-8."""
+    from ..operators.filters import crop_matches
+
+    kp = fixture(spark, sf_dir, "fx_kp").select("pair_id", "kp_idx", F.col("src_y").alias("y1"), F.col("src_x").alias("x1"), F.col("trg_y").alias("y2"), F.col("trg_x").alias("x2"))
+    return crop_matches(kp, (100, 50, 300, 400), (20, 30, 400, 300))

@@ -221,3 +221,9 @@ def q42d_quaternions(spark, sf_dir):
            SELECT w.asset_id, r.asset_id AS match_id FROM w JOIN r ON w.category = r.category AND w.want = r.r""")
 def q27b_assign_match(spark, sf_dir):
     return X.assign_match(fixture(spark, sf_dir, "fx_catalog"), "asset_id", "category", 0.4, SEED).select("asset_id", "match_id")
+
+
+@query("""SELECT pair_id, CAST(src_image AS BIGINT) AS size, (trg_image % 100) / 100.0E0 AS hit_rate, CAST(src_image + CASE WHEN (trg_image % 100) / 100.0E0 > 0.8 THEN -5 WHEN (trg_image % 100) / 100.0E0 < 0.5 THEN 5 ELSE 0 END AS BIGINT) AS next_size FROM fx_pairs""")
+def q24g_adapt_pool(spark, sf_dir):
+    p = fixture(spark, sf_dir, "fx_pairs").select("pair_id", F.col("src_image").alias("size"), ((F.col("trg_image") % 100) / 100.0).alias("hit_rate"))
+    return S.adapt_pool(p)

@@ -74,3 +74,12 @@ def q37c_assemble_images(spark, sf_dir):
     classes = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("class_id"), F.col("n_name").alias("class_name"))
     got = X.assemble_images(c.select("image_id", F.col("c_nationkey").cast("long").alias("class_id")), classes, c.select("image_id", F.round("c_acctbal", 2).alias("box_w")), c.select("image_id", F.col("c_mktsegment").alias("split")))
     return got.select("image_id", "class_id", "class_name", "split", "box_w")
+
+
+@query("""WITH a AS (SELECT CAST(o_custkey AS BIGINT) AS image, CAST(o_orderkey % 7 AS BIGINT) AS kp_idx, max(o_totalprice) AS x, min(o_totalprice) AS y FROM orders GROUP BY o_custkey, o_orderkey % 7)
+          SELECT p.pair_id, s.kp_idx, s.x AS src_x, s.y AS src_y, t.x AS trg_x, t.y AS trg_y FROM fx_pairs p JOIN a s ON p.src_image = s.image JOIN a t ON p.trg_image = t.image AND s.kp_idx = t.kp_idx""")
+def q01c_attach_annotations(spark, sf_dir):
+    """JON-1."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    ann = o.groupBy(F.col("o_custkey").alias("image"), (F.col("o_orderkey") % 7).alias("kp_idx")).agg(F.max("o_totalprice").alias("x"), F.min("o_totalprice").alias("y"))
+    return X.attach_annotations(fixture(spark, sf_dir, "fx_pairs").select("pair_id", "src_image", "trg_image"), ann).select("pair_id", "kp_idx", "src_x", "src_y", "trg_x", "trg_y")
