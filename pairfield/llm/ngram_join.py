@@ -250,8 +250,10 @@ def list_pairs(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
             table = pa.Table.from_batches([batch])
             if carry is not None:
                 table = pa.concat_tables([carry, table])
-            token = table.column("token").to_numpy()
-            last = int(np.searchsorted(token, token[-1])) if len(token) else 0
+            token, b1, b2 = (table.column(c).to_numpy() for c in ("token", "b1", "b2"))
+            # only the last list, or pair of blocks, waits for the next batch
+            other = np.flatnonzero((token != token[-1:]) | (b1 != b1[-1:]) | (b2 != b2[-1:]))
+            last = int(other[-1]) + 1 if len(other) else 0
             carry = table.slice(last)
             if last:
                 yield from pairs(table.slice(0, last))
@@ -323,7 +325,9 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", gra
     gids = classes.groupBy("p1", "p2", "n").agg(F.min("member").alias("gid"))
     members = classes.join(gids, ["p1", "p2", "n"]).select("gid", "member", "map").join(lists.select("gid").distinct(), "gid", "left_semi")
     members = saved(members, "ngram-members")
-    heavy = lists.groupBy("token").count().where(f"count > {BLOCK}").select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    # a list is as long as the members of its groups
+    held = lists.join(members.groupBy("gid").agg(F.count(F.lit(1)).alias("held")), "gid").groupBy("token").agg(F.sum("held").alias("held"))
+    heavy = held.where(f"held > {BLOCK}").select("token", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
     rows = lists.join(members, "gid").join(heavy, "token", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")))
     other = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.select("token", "n", "pos", "member", "map", "block", F.explode(other).alias("o")).select("token", F.least("block", "o").alias("b1"), F.greatest("block", "o").alias("b2"), "block", "n", "pos", "member", "map")

@@ -192,6 +192,27 @@ def test_jaccard_groups(docs, empty, monkeypatch):
     assert ngram_join.jaccard_groups(empty).count() == 0
 
 
+def test_jaccard_cuts_one_large_group_into_blocks(spark, monkeypatch):
+    from pairfield.llm import ngram_join
+
+    # every slot of the counting table hit alike: the order is by hash, and most texts with another last word have one prefix and size
+    monkeypatch.setattr(ngram_join, "count_table", lambda *_: np.ones(1 << ngram_join.COUNTERS_BITS, np.uint64))
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    most, real = [], ngram_join.list_pairs
+
+    def seen(rows, *rest):
+        most.append(rows.groupBy("token", "b1", "b2").count().agg(F.max("count")).first()[0])
+        return real(rows, *rest)
+
+    monkeypatch.setattr(ngram_join, "list_pairs", seen)
+    rng = random.Random(5)
+    words = " ".join(f"w{rng.randrange(10**6)}" for _ in range(120))
+    rows = [(i, f"{words} last{i}") for i in range(120)]
+    got = ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == 120 and {r.component_id for r in got} == {0}
+    assert max(most) <= 5 * ngram_join.BLOCK
+
+
 def test_components_of_a_path(spark):
     from pairfield.llm.components import components
 
