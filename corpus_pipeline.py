@@ -2,7 +2,10 @@
 
 1. quality: rejected documents go, failing lines of the others go;
 2. near_duplicates: one document of each group of like texts stays, the one of the
-   least doc_id (five-word shingles, similarity 0.8 or more);
+   least doc_id (five-word shingles, similarity 0.8 or more). Texts are compared,
+   not ids: rows without a doc_id, and different texts of one, are documents of
+   their own. Rows without an id come last in their group, ties go by the
+   text's digest;
 3. personal_data: entities are replaced by surrogates;
 4. mixing: a document stands as often as the mix takes it;
 5. tokens: ids of every row, encoded and decoded, as counts and digests.
@@ -13,7 +16,10 @@ tests compare it with a plain Python version.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairfield import ship
@@ -25,6 +31,8 @@ from pairfield.llm.pii import pseudonymise
 from pairfield.llm.quality import judge
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+OTHERS = ("lang", "source", "n_chars")
+SALTS = 8
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -36,10 +44,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(judged.where("kept").withColumnRenamed("clean_text", "text"))
 
 
+def text_key(docs: DataFrame) -> Column:
+    """A long for each text: no two texts of docs have the same one (by their 128-bit digests)."""
+    for salt in range(SALTS):
+        key = F.xxhash64(F.lit(salt), F.col("text"))
+        told = docs.select(key.alias("k"), F.md5("text").alias("d")).groupBy("k").agg(F.min("d").alias("a"), F.max("d").alias("b"))
+        if told.where("a <> b").isEmpty():
+            return key
+    raise ValueError(f"{SALTS} keyed hashes of the texts all collide")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_groups(docs, gram=5, percent=80)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    rows = docs.withColumn("__key", text_key(docs))
+    groups = jaccard_groups(rows, key="__key", gram=5, percent=80).select(F.col("doc_id").alias("__key"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("__group"))
+    slim = rows.select("__key", F.col("doc_id").isNull().alias("last"), "doc_id", F.md5("text").alias("digest"), *OTHERS).distinct()
+    own = F.struct("last", "doc_id", "digest", *OTHERS, "__key")
+    best = slim.join(groups.where("__group IS NOT NULL").distinct(), "__key").groupBy("__group").agg(F.min(own).alias("s")).select("s.__key", "s")
+    same = [F.col(c).eqNullSafe(F.col(f"s.{c}")) for c in ("doc_id", *OTHERS)]
+    found = rows.join(best, "__key").where(reduce(and_, same)).dropDuplicates(["__key"])
+    # texts without words are like no other
+    wordless = docs.where(F.size(word_array(F.col("text"))) == 0)
+    return found.select(*COLUMNS).unionByName(wordless.where("doc_id IS NOT NULL").distinct().unionByName(wordless.where("doc_id IS NULL")).select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

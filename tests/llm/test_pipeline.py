@@ -55,6 +55,24 @@ def test_stages(spark, tmp_path):
     assert sorted((r.doc_id, r.ids_sha256) for r in kept["tokens"]) == sorted((i, want[i]) for i in mixed)
 
 
+def test_near_duplicates_tell_rows_by_their_text(spark):
+    import random
+
+    import corpus_pipeline as C
+
+    rng = random.Random(8)
+    one, two, three, four = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(4))
+    said = [(None, one), (None, one + " end"), (None, two), (7, two), (5, three), (5, four), (3, three + " end"), (7, two), (None, ""), (None, ""), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in said], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted([(3, three + " end"), (5, four), (7, two), (9, "")]) + [(None, "")] * 2
+    for parts in (1, 5):
+        got = [(r.doc_id, r.text) for r in C.near_duplicates(spark, docs.repartition(parts), "").collect()]
+        assert sorted(x for x in got if x[0] is not None) == want[:4]
+        mine = sorted(t for i, t in got if i is None)
+        # of the two like texts without an id one stays, the same in each run
+        assert mine[:2] == ["", ""] and mine[2:] == [min((one, one + " end"), key=lambda t: hashlib.md5(t.encode()).hexdigest())]
+
+
 def test_every_operator_is_registered():
     import __spark_entry__
 
