@@ -4,7 +4,10 @@ Entities are found by patterns per type and replaced by keyed surrogates of the
 same kind: digits for digits in the same layout, a mail address for a mail
 address, letters of the same script and case, first names of the gender that the
 title tells. The same entity gets the same surrogate everywhere (an entity is
-its normal form: digits without layout, lower case); different entities of a
+its normal form: digits without layout, lower case, and a + before a phone's
+country code; secrets are told by their case). A surrogate is drawn from the
+normal form and laid out as the entity was found, so all spellings share it. A
+name has one gender: the one that its titles tell, none if they differ. Different entities of a
 type get different ones:
 
 - numbers pass a keyed permutation of all numbers of their length, so two never
@@ -12,7 +15,8 @@ type get different ones:
 - other surrogates come from a keyed hash. All entities of the corpus and their
   surrogates are compared: where two entities got one surrogate, or a surrogate
   is another entity's own text, all but the first entity are drawn anew, until
-  none collide. The entities drawn anew reach their documents by a join.
+  none collide; late draws are longer, and if the last round leaves some, an
+  error tells it. The entities drawn anew, and names of several genders, reach their documents by a join.
 
 Null texts stay null with no entities; texts without entities stay as they are.
 Repeated rows are treated alike. An empty table gives an empty result; other
@@ -34,6 +38,10 @@ from .common import saved, sliced, without
 
 KEY = b"surrogates"
 ROUNDS = 20
+#: Draws from this one on are longer, by one more place each.
+WIDER = 10
+#: Country codes of one and two digits; the others have three.
+CODES = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 #: Titles and the gender they tell.
 TITLES = {
@@ -102,16 +110,22 @@ def luhn(digits: str) -> int:
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10
 
 
+def wider(attempt: int) -> int:
+    return max(0, attempt - WIDER + 1)
+
+
 def laid_out(found: str, fresh: str) -> str:
-    """found with its digits replaced, one by one."""
+    """found with its digits replaced, one by one; those left over follow."""
     at = iter(fresh)
-    return "".join(next(at) if c.isdigit() else c for c in found)
+    return "".join(next(at) if c.isdigit() else c for c in found) + "".join(at)
 
 
 def normal(kind: str, found: str) -> str:
     if kind in ("phone", "card", "ssn"):
-        return "".join(c for c in found if c.isdigit())
-    return "".join(found.split()).lower() if kind in ("email", "iban") else found
+        return ("+" if kind == "phone" and found.startswith("+") else "") + "".join(c for c in found if c.isdigit())
+    if kind == "ip":
+        return ".".join(str(int(part)) for part in found.split("."))
+    return "".join(found.split()).lower() if kind in ("email", "iban") else found.lower() if kind == "person" else found
 
 
 def script(word: str) -> str:
@@ -146,14 +160,15 @@ def hexed(kind: str, text: str, attempt: int, key: bytes = KEY) -> str:
 def surrogate(kind: str, found: str, attempt: int = 0, key: bytes = KEY) -> str:
     """The surrogate of an entity as found, of attempt 0 unless it was drawn anew."""
     if kind == "card":
-        digits = normal(kind, found)
+        digits = normal(kind, found) + "0" * wider(attempt)
         body = permuted(kind, digits[:-1], attempt, key) if not luhn(digits) else None
         # a valid number stays valid; the others pass the permutation whole
         fresh = permuted(kind, digits, attempt, key) if body is None else next(body + str(d) for d in range(10) if not luhn(body + str(d)))
         return laid_out(found, fresh)
     if kind in ("phone", "ssn"):
-        digits = normal(kind, found)
-        code = len(regex.match(r"\+?(\d*)", found)[1]) if found.startswith("+") and not found[1:].isdigit() else 0
+        norm = normal(kind, found)
+        marked = regex.match(CODES, norm)
+        digits, code = norm.lstrip("+") + "0" * wider(attempt), len(marked[0]) - 1 if marked else 0
         return laid_out(found, digits[:code] + permuted(f"{kind}{digits[:code]}", digits[code:], attempt, key))
     if kind == "ip":
         n = 0
@@ -166,11 +181,12 @@ def surrogate(kind: str, found: str, attempt: int = 0, key: bytes = KEY) -> str:
     if kind == "email":
         name, _, host = found.lower().rpartition("@")
         labels = host.split(".")
-        return letters(kind, f"{name}", attempt, key)[: len(name)] + "@" + ".".join([*(letters("host", x, attempt, key) for x in labels[:-1]), labels[-1]])
+        return letters(kind, name + "a" * wider(attempt), attempt, key) + "@" + ".".join([*(letters("host", x, attempt, key) for x in labels[:-1]), labels[-1]])
     if kind == "secret":
         return hexed(kind, found, attempt, key) if all(c in "0123456789abcdefABCDEF" for c in found) else letters(kind, found, attempt, key)
     if kind == "iban":
-        return found[:2] + letters(kind, found[2:], attempt, key)
+        at = iter(letters(kind, "".join(found[2:].split()), attempt, key))
+        return found[:2] + "".join(c if c.isspace() else next(at) for c in found[2:])
     return found
 
 
@@ -180,15 +196,16 @@ def person(names: str, gender: str, attempt: int = 0, key: bytes = KEY) -> str:
     for i, name in enumerate(parts):
         kind = script(name)
         if i < len(parts) - 1:
-            pool = FIRST.get((kind, gender)) or FIRST[(kind, "f" if number("gender", name, key=key) % 2 else "m")]
-            out.append(pool[number("first", attempt, name.lower(), gender, key=key) % len(pool)])
+            pool = FIRST.get((kind, gender)) or FIRST[(kind, "f" if number("gender", name.lower(), key=key) % 2 else "m")]
+            made = pool[number("first", attempt, name.lower(), gender, key=key) % len(pool)]
         else:
             draw, syllables = number("last", attempt, name.lower(), key=key), SYLLABLES[kind]
             made = ""
-            for _ in range(6 if attempt else 5):
+            for _ in range((6 if attempt else 5) + wider(attempt)):
                 draw, r = divmod(draw, len(syllables))
                 made += syllables[r]
-            out.append(made.capitalize())
+            made = made.capitalize()
+        out.append(made.upper() if name.isupper() else made)
     return " ".join(out)
 
 
@@ -204,11 +221,15 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(taken)
 
 
-def replaced(text: str, found: list[tuple[int, int, str, str]], attempts: dict[str, int]) -> str:
+def replaced(text: str, found: list[tuple[int, int, str, str]], again: dict[str, dict]) -> str:
+    """text with surrogates; again: attempt and gender of the entities that have others than found here."""
     out, at = [], 0
     for a, b, kind, gender in found:
         said = text[a:b]
-        attempt = attempts.get(f"{kind}|{normal(kind, said)}", 0)
+        if other := again.get(f"{kind}|{normal(kind, said)}"):
+            attempt, gender = other["attempt"], other["gender"]
+        else:
+            attempt = 0
         out += [text[at:a], person(said, gender, attempt) if kind == "person" else surrogate(kind, said, attempt)]
         at = b
     return "".join(out) + text[at:]
@@ -241,7 +262,7 @@ def corpus_entities(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def collisions(every: DataFrame) -> DataFrame | None:
-    """kind, norm and attempt of the entities that must be drawn anew; None if there are none."""
+    """kind, norm, attempt and gender of the entities that must be drawn anew or have several genders; None if there are none."""
 
     def draw(batches):
         for batch in batches:
@@ -251,11 +272,15 @@ def collisions(every: DataFrame) -> DataFrame | None:
                 r["made"] = normal(r["kind"], made)
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("kind", pa.string()), ("norm", pa.string()), ("found", pa.string()), ("gender", pa.string()), ("attempt", pa.int32()), ("made", pa.string())]))
 
-    state = every.groupBy("kind", "norm").agg(F.min("found").alias("found"), F.min("gender").alias("gender")).withColumn("attempt", F.lit(0))
+    told = F.collect_set(F.when(F.col("gender") != "n", F.col("gender")))
+    settled = F.when(F.max("gender") == "", "").when(F.size(told) == 1, F.get(told, F.lit(0))).otherwise("n")
+    state = every.groupBy("kind", "norm").agg(F.min("found").alias("found"), settled.alias("gender"), (F.min("gender") < F.max("gender")).alias("several"))
+    state = saved(state, "entities-told")
     fields = "kind string, norm string, found string, gender string, attempt int, made string"
-    drawn = saved(state.mapInArrow(draw, fields), "surrogates")
+    several = state.where("several").select("kind", "norm")
+    drawn = saved(state.drop("several").withColumn("attempt", F.lit(0)).mapInArrow(draw, fields), "surrogates")
     own = drawn.select("kind", F.col("norm").alias("made")).withColumn("real", F.lit(True))
-    for _ in range(ROUNDS):
+    for at in range(ROUNDS + 1):
         # the first entity that drew a surrogate keeps it, unless the corpus has that text
         holders = drawn.groupBy("kind", "made").agg(F.min(F.struct("attempt", "norm")).alias("holder"))
         judged = drawn.join(holders, ["kind", "made"]).join(own, ["kind", "made"], "left")
@@ -263,9 +288,11 @@ def collisions(every: DataFrame) -> DataFrame | None:
         judged = judged.withColumn("bad", bad)
         if judged.where("bad").isEmpty():
             break
+        if at == ROUNDS:
+            raise RuntimeError(f"{judged.where('bad').count()} entities still share a surrogate after {ROUNDS} rounds")
         fresh = judged.select("kind", "norm", "found", "gender", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"))
         drawn = saved(fresh.mapInArrow(draw, fields), "surrogates")
-    again = drawn.where("attempt > 0").select("kind", "norm", "attempt")
+    again = drawn.join(several.withColumn("several", F.lit(True)), ["kind", "norm"], "left").where("attempt > 0 OR several").select("kind", "norm", "attempt", "gender")
     return None if again.isEmpty() else again
 
 
@@ -277,10 +304,10 @@ def pseudonymise(docs: DataFrame, text: str = "text") -> DataFrame:
     every = saved(corpus_entities(rows, text), "entities")
     again = collisions(every)
     if again is None:
-        rows = rows.drop("__row").withColumn("__again", F.lit(None).cast("map<string,int>"))
+        rows = rows.drop("__row").withColumn("__again", F.lit(None).cast("map<string,struct<attempt:int,gender:string>>"))
     else:
-        named = every.join(again, ["kind", "norm"]).select("__row", F.concat_ws("|", "kind", "norm").alias("k"), "attempt").distinct()
-        named = named.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("__again"))
+        named = every.drop("gender").join(again, ["kind", "norm"]).select("__row", F.concat_ws("|", "kind", "norm").alias("k"), F.struct("attempt", "gender").alias("v")).distinct()
+        named = named.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("__again"))
         rows = rows.join(named, "__row", "left").drop("__row")
 
     def run(batches):

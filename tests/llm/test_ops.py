@@ -304,6 +304,26 @@ def test_surrogates_are_distinct(spark, monkeypatch):
     assert len(set(texts)) == 40
 
 
+def test_surrogates_of_all_spellings_agree(spark, monkeypatch):
+    from pairfield.llm import pii
+
+    pairs = [("phone", "+1 555 123 4567", "+15551234567"), ("iban", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"), ("ip", "97.5.1.3", "97.05.01.3")]
+    for kind, a, b in pairs:
+        assert pii.normal(kind, a) == pii.normal(kind, b)
+        for attempt in (0, 1, 12):
+            assert pii.normal(kind, pii.surrogate(kind, a, attempt)) == pii.normal(kind, pii.surrogate(kind, b, attempt))
+    rows = ["Mr Kim Lee", "Dr Kim Lee", "Dr KIM LEE", "Mr Jo Ray", "Mrs Jo Ray", "Call +1 555 123 4567", "Call +15551234567"]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)).collect()}
+    assert got[0][3:] == got[1][3:] and got[2][3:] == got[0][3:].upper() and got[0].split()[1] in pii.FIRST["Latin", "m"]
+    assert got[3][3:] == got[4][4:] and got[3].split()[1] in pii.FIRST["Latin", "n"]
+    assert re.sub(r"\D", "", got[5]) == re.sub(r"\D", "", got[6]) and got[5].startswith("Call +1 ")
+    # collisions that no draw mends are told
+    monkeypatch.setattr(pii, "person", lambda *_: "Same Name")
+    with pytest.raises(RuntimeError):
+        monkeypatch.setattr(pii, "ROUNDS", 1)
+        pii.collisions(spark.createDataFrame([("person", f"a{i}", f"A{i}", "m") for i in range(2)], "kind string, norm string, found string, gender string"))
+
+
 def test_token_files(docs, empty):
     from tokenizers import Tokenizer
 
