@@ -4,7 +4,7 @@ Documents are encoded where they are read, dealt out by ranges of doc_id and
 written as blocks of about BLOCK ids. Each block is compressed by Re-Pair: the
 most frequent pairs of neighbouring symbols become new symbols, again and again
 (a round replaces many pairs at once; where their places overlap the more
-frequent pair wins), until a round saves little. A row of the file table is one
+frequent pair wins), until a round saves little or symbols run out. A row of the file table is one
 block:
 
     shard, block     order of the blocks: ascending doc_id
@@ -38,7 +38,7 @@ BLOCK = 1 << 20
 BASE = 49_408
 MOST_SYMBOLS = 65_536
 #: Rules that a round may add, the fewest places that make a rule, and the saving that ends the rounds.
-ROUND_RULES, LEAST_PLACES, LEAST_SAVING, ROUNDS = 4_096, 8, 0.02, 3
+ROUND_RULES, LEAST_PLACES, LEAST_SAVING = 4_096, 8, 0.02
 END = 1
 FILE_SCHEMA = "shard int, block int, n_docs long, n_ids long, doc_ids binary, n_symbols binary, rules binary, lengths binary, symbols binary"
 
@@ -50,7 +50,7 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(ROUNDS):
+    while True:
         room = min(ROUND_RULES, MOST_SYMBOLS - BASE - made)
         if room <= 0 or len(a) < 2 * LEAST_PLACES:
             break
@@ -77,22 +77,23 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         place = np.full(len(pairs) + 2, len(keys), np.int32)
         place[1:-1][hit] = rank[at[hit]]
         here, before, after = place[1:-1], place[:-2], place[2:]
-        take = hit & (here < before) & (here <= after)
-        if not take.any():
-            # one symbol repeated: every second place of a run
-            run = np.arange(len(hit)) - np.maximum.accumulate(np.where(hit, 0, np.arange(1, len(hit) + 1)))
-            take = hit & (run % 2 == 0)
+        # of a symbol repeated, every second place
+        at = np.arange(len(hit))
+        first = np.maximum.accumulate(np.where(here != before, at, 0))
+        take = hit & (here < before)[first] & ((at - first) % 2 == 0) & (here <= after)
         where = np.flatnonzero(take)
         if len(where) < LEAST_SAVING * len(a) and rules:
             break
-        a[where] = BASE + made + here[where].astype(np.uint32)
+        # pairs that lost all their places take no symbol
+        used, symbol = np.unique(here[where], return_inverse=True)
+        a[where] = BASE + made + symbol.astype(np.uint32)
         last[where] = last[where + 1]
         stay = np.ones(len(a), bool)
         stay[where + 1] = False
         a, last = a[stay], last[stay]
-        chosen = keys[order]
+        chosen = keys[order][used]
         rules.append(np.stack([chosen >> 16, chosen & 0xFFFF], 1))
-        made += len(keys)
+        made += len(used)
     # the ends in the symbols: full documents end where last stands, empty ones add nothing
     full = np.diff(np.concatenate([[0], ends])) > 0
     where = np.concatenate([[0], np.flatnonzero(last) + 1])

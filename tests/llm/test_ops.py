@@ -380,3 +380,12 @@ def test_repair_round_trip():
         size = np.ones(len(symbols), np.int64)
         size[symbols >= BASE] = rule_lengths(rules)[symbols[symbols >= BASE].astype(int) - BASE]
         assert (np.concatenate([[0], np.cumsum(size)])[at] == ends).all()
+
+
+def test_repair_folds_long_copies():
+    from pairfield.llm.binary_tokens import compress, expand
+
+    rng = np.random.default_rng(1)
+    for ids in (np.tile(rng.integers(2, 40_000, 1000), 40).astype(np.uint16), np.full(4096, 5, np.uint16)):
+        symbols, _, rules = compress(ids, np.array([len(ids)]))
+        assert (expand(symbols, rules) == ids).all() and len(ids) > 100 * len(symbols)
