@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: The white space that ends a word, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 BATCH_ROWS = 2_000
+#: The most that a Bloom filter may take: 32 MB.
+MOST_BLOOM_BITS = 1 << 28
 #: Folders of sessions that name no shared one, by application.
 _own_folders: dict[str, str] = {}
 
@@ -34,10 +36,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that driver and executors share.
 
     The cluster names that folder in spark.checkpoint.dir; a local session that
-    names none gets a temporary one.
+    names none gets a temporary one, any other an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_folders:
             _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="pairfield-")
@@ -84,6 +88,35 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def bloom_filter(ids: DataFrame, *hashes: Column, bits: int | None = None) -> np.ndarray:
+    """A Bloom filter, as 64-bit words, of rows whose bits the columns of longs tell.
+
+    It has 16 bits a row, but no more than MOST_BLOOM_BITS (32 MB): a fuller one
+    lets more rows pass that are not in it, and never stops one that is.
+    """
+    if bits is None:
+        bits = min(MOST_BLOOM_BITS, max(64, 1 << (16 * ids.count()).bit_length()))
+    at = F.explode(F.array(*[h.bitwiseAND(F.lit(bits - 1).cast("long")) for h in hashes]))
+    words = ids.select(at.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b")).toArrow()
+    out = np.zeros(bits >> 6, np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out
+
+
+def bloom_hits(words: np.ndarray, *hashes: np.ndarray) -> np.ndarray:
+    """Which rows the filter may hold; hashes: int64, as told to bloom_filter."""
+    hit = np.ones(len(hashes[0]), bool)
+    for h in hashes:
+        p = h & (64 * len(words) - 1)
+        hit &= (words[p >> 6] >> (p & 63)) & 1 == 1
+    return hit
+
+
+def bloom_places(column: str) -> list[Column]:
+    """Hashes of a column for a Bloom filter."""
+    return [F.xxhash64(F.col(column), F.lit(i)).alias(f"p{i}") for i in range(2)]
+
+
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array (null: empty) and the n+1 offsets into them."""
     texts = texts.cast(pa.large_string()).fill_null("")

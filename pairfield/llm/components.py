@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-ROUNDS = 60
-
 
 def _stars(e: DataFrame) -> bool:
     """Whether each edge (a, b) hangs a leaf a, of no other edge, on a centre b."""
@@ -24,9 +22,7 @@ def _stars(e: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """node and label, its component's least node, for edges (a, b) of longs; only nodes with an edge."""
     e = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(ROUNDS):
-        if _stars(e):
-            break
+    while not _stars(e):  # each round shortens the longest path, by about a half
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")

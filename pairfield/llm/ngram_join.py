@@ -1,29 +1,40 @@
 """N-gram Jaccard join: which texts share enough word n-grams, and their groups.
 
 The sets hold 64-bit hashes of GRAM-word shingles of the text with A-Z in lower
-case. Tokens get one order for the whole corpus: by how often their slot of a
-counting table of fixed size was hit, rare ones first, then by hash. Two sets that
-are alike enough share one of the first n - ceil(t n) + 1 tokens of both.
+case. Tokens get one order for the whole corpus: by hash, but those that are heavy
+come last. Two sets that are alike enough share one of the first n - ceil(t n) + 1
+tokens of both, whatever the order is. Heavy are the tokens that stand in more
+than HEAVY_DOCS texts (among the first ones by hash, half as many again as a
+prefix has); if they are more than MOST_HEAVY, the most frequent ones, so that what
+is broadcast has a bound at any corpus size.
 
 1. Documents with one set count once; those with one prefix and size form a group.
 2. Groups meet at the tokens of their prefixes; sizes and places of the token
    rule out pairs of groups, and lists without such a pair fall away.
-3. The groups left are expanded to their members, with a 512-bit parity map of
-   each set: the bits in which two maps differ are a lower bound of the
-   difference of the sets.
-4. First each member is paired with the nearest one of its lists, these pairs are
-   verified and components formed. Then all pairs of members whose components
-   still differ, and which no bound rules out, are verified too. A pair inside a
-   component can change nothing, so no link that matters is lost, and a large
-   group of near copies costs one pair a member.
-
-Lists of more than BLOCK members are dealt out as pairs of blocks. Pairs are
-verified on the whole sets.
+3. The groups left are expanded to their members, with a parity map of each set,
+   of about as many bits as the set has shingles: the bits in which two maps differ
+   are a lower bound of the difference of the sets. The map of a larger set is
+   folded to the size of the smaller one's.
+4. Chains: in the lists of its first SEEDS tokens each member looks for the nearest
+   larger one (long lists are dealt out in chunks for this). These pairs are
+   verified and components formed, so that a cluster of near copies costs one pair
+   a member.
+5. While long lists hold several components, chains of one member of each join
+   what they can.
+6. Then lists that hold more than one component are worked off whole: first the
+   nearest pair of each two components, then, with the components that these
+   leave, every pair that no bound rules out. A pair inside a component can change
+   nothing, so no link that matters is lost.
+
+In step 6 lists of more than BLOCK members are cut into blocks. The members of the
+list's largest component are dealt out once, as they need not meet each other;
+the others meet them and themselves block by block. Pairs are verified on the
+whole sets.
 
 A text with fewer than GRAM words has one shingle, all of them; null and empty
 texts and those without words have none, and are alone. Repeated rows have one
-set and stay together. An empty table gives an empty result; other columns are
-not read.
+set and stay together; rows of one doc_id are one document. An empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,17 +44,19 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, shuffle_width, sliced
+from .common import bloom_filter, bloom_hits, bloom_places, saved, shuffle_width, sliced
 from .components import components
 
 GRAM, PERCENT = 4, 85
-COUNTERS_BITS = 20
-MAP_BITS = 512
-BLOCK = 2_000
-BLOOM_BITS = 1 << 25
+HEAVY_DOCS, MOST_HEAVY = 50, 1 << 20
+SEEDS, CHUNK, BLOCK = 4, 512, 2_000
+#: Lists of up to so many members are paired many at once.
+SMALL = 48
+#: Parts into which the rows of one hot token are dealt where they meet a small table.
+SALTS = 16
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,58 +109,78 @@ def shingle_sets(texts: pa.Array, gram: int = GRAM) -> tuple[np.ndarray, np.ndar
     return s[fresh], np.bincount(of[fresh], minlength=len(counts))
 
 
-def count_table(docs: DataFrame, text: str, gram: int) -> np.ndarray:
-    """Hits of each slot over all sets; the table has one size for any corpus."""
-    pieces = 64
+def _prefix_size(n, percent: int):
+    return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
-    def run(batches):
-        hits = np.zeros(1 << COUNTERS_BITS, np.uint32)
-        for batch in sliced(batches, text):
-            s, _ = shingle_sets(batch.column(0), gram)
-            hits += np.bincount((s >> np.uint64(64 - COUNTERS_BITS)).astype(np.int64), minlength=len(hits)).astype(np.uint32)
-        if hits.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([x.tobytes() for x in np.split(hits, pieces)], pa.binary())], ["piece", "hits"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) for x in table.column("hits"))
-        return pa.table({"piece": table.column("piece").slice(0, 1), "hits": pa.array([total.tobytes()], pa.binary())})
+def heavy_tokens(docs: DataFrame, text: str, gram: int, percent: int, least: int, most: int) -> np.ndarray:
+    """Tokens of more than `least` texts, rising; at most `most` of them, the most frequent ones."""
 
-    rows = docs.select(text).mapInArrow(run, "piece int, hits binary").groupBy("piece").applyInArrow(add, "piece int, hits binary").collect()
-    out = np.zeros((pieces, (1 << COUNTERS_BITS) // pieces), np.uint64)
-    for r in rows:
-        out[r.piece] = np.frombuffer(r.hits, np.uint64)
-    return out.ravel()
+    def run(batches):
+        for batch in sliced(batches, text):
+            s, n = shingle_sets(batch.column(0), gram)
+            first = np.repeat(np.cumsum(n) - n, n)
+            reach = np.repeat(_prefix_size(n, percent) * 3 // 2, n)
+            token, count = np.unique(s[np.arange(len(s)) - first < reach], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count.astype(np.int32))], ["token", "n"])
+
+    counts = docs.select(text).mapInArrow(run, "token long, n int").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    counts = saved(counts.select("token", F.floor(8 * F.log2("n")).cast("int").alias("level")), "ngram-heavy")
+    held, floor = 0, 0
+    for r in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        held += r["count"]
+        if held > most:
+            floor = r["level"] + 1
+            break
+    return np.sort(counts.where(F.col("level") >= floor).select("token").toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _digest(data: bytes) -> list[int]:
     return np.frombuffer(blake2b(data, digest_size=16).digest(), "<i8").tolist()
 
 
-def prefixes(docs: DataFrame, levels: np.ndarray, text: str, key: str, gram: int, percent: int) -> DataFrame:
-    """doc_id, n, digests of set and prefix, the prefix's tokens and the parity map."""
-    told = docs.sparkSession.sparkContext.broadcast(levels)
-    fields = [("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("map", pa.binary())]
+def parity_map(s: np.ndarray) -> bytes:
+    """Which bits an odd number of the set's hashes fall on; from 64 bits to the least power of two that is no less than the set."""
+    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    at = ((s >> np.uint64(24)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def prefixes(docs: DataFrame, heavy: np.ndarray, text: str, key: str, gram: int, percent: int) -> DataFrame:
+    """doc_id, n, digests of set and prefix, the prefix's tokens, how many of them are light, and the parity map."""
+    told = docs.sparkSession.sparkContext.broadcast(heavy)
+    fields = [("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("light", pa.int32()), ("map", pa.binary())]
 
     def run(batches):
-        level = told.value.astype(np.uint64)
+        last = told.value
+        near = np.zeros(1 << 22, bool)
+        near[(last >> np.uint64(42)).astype(np.int64)] = True
         for batch in sliced(batches, text):
             s, n = shingle_sets(batch.column(1), gram)
-            token = (level[(s >> np.uint64(64 - COUNTERS_BITS)).astype(np.int64)] << np.uint64(55)) | (s & np.uint64(2**55 - 1))
-            bits = np.repeat(np.arange(len(n)), n) * MAP_BITS + ((s >> np.uint64(24)) & np.uint64(MAP_BITS - 1)).astype(np.int64)
-            maps = np.packbits((np.bincount(bits, minlength=len(n) * MAP_BITS) & 1).astype(np.uint8).reshape(len(n), MAP_BITS), axis=1)
+            late = near[(s >> np.uint64(42)).astype(np.int64)]
+            at = np.flatnonzero(late)
+            found = np.searchsorted(last, s[at])
+            late[at] = last[np.minimum(found, max(len(last) - 1, 0))] == s[at] if len(last) else False
             out = []
             ends = np.cumsum(n).tolist()
-            for i, (doc, b, size) in enumerate(zip(batch.column(0).to_pylist(), ends, n.tolist())):
-                own = np.sort(token[b - size : b])[: size - (percent * size + 99) // 100 + 1 if size else 0].astype(np.int64)
-                out.append((doc, size, *_digest(s[b - size : b].tobytes()), *_digest(own.tobytes()), own, maps[i].tobytes()))
+            any_late = np.add.reduceat(np.append(late, False), np.minimum(np.cumsum(n) - n, len(late))) if len(n) else late
+            for i, (doc, b, size, p) in enumerate(zip(batch.column(0).to_pylist(), ends, n.tolist(), _prefix_size(n, percent).tolist())):
+                own = s[b - size : b]
+                if size and any_late[i]:
+                    h = late[b - size : b]
+                    light = min(p, size - int(h.sum()))
+                    first = np.concatenate([own[~h], own[h]])[:p]
+                else:
+                    light, first = p, own[:p]
+                out.append((doc, size, *_digest(own.tobytes()), *_digest(first.tobytes()), first.view(np.int64), light, parity_map(own)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), fields)], [f for f, _ in fields])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, p1 long, p2 long, prefix array<bigint>, map binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, p1 long, p2 long, prefix array<bigint>, light int, map binary")
 
 
 def shared_lists(groups: DataFrame, percent: int) -> DataFrame:
-    """token, gid, n, pos of the prefix tokens at which two groups of fitting size meet, or (the first token) the members of one group."""
+    """token, gid, pos of the prefix tokens at which two groups of fitting size meet, or (the first token) the members of one group."""
 
     def run(batches):
         carry = None
@@ -163,89 +196,123 @@ def shared_lists(groups: DataFrame, percent: int) -> DataFrame:
             hold = 2 if len(token) > 1 and fits[-2] else 1
             done = len(token) - hold
             carry = batch.slice(done)
-            yield batch.slice(0, done).filter(pa.array(keep[:done])).select(["token", "gid", "n", "pos"])
+            yield batch.slice(0, done).filter(pa.array(keep[:done])).select(["token", "gid", "pos"])
         if carry is not None:
             token, n = carry.column(0).to_numpy(), carry.column(2).to_numpy()
             both = len(token) == 2 and token[0] == token[1] and 100 * n[0] >= percent * n[1]
             keep = np.full(len(token), both) | carry.column(4).to_numpy(zero_copy_only=False)
-            yield carry.filter(pa.array(keep)).select(["token", "gid", "n", "pos"])
-
-    posted = groups.select("gid", "n", "several", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", "n", "pos", (F.col("several") & (F.col("pos") == 0)).alias("meet"))
-    ordered = posted.repartition(shuffle_width(groups.sparkSession), "token").sortWithinPartitions("token", "n", "gid")
-    return saved(ordered.mapInArrow(run, "token long, gid long, n long, pos int"), "ngram-lists")
-
-
-def _candidates(n, pos, comp, block, maps, percent: int, nearest: bool):
-    """Pairs (i, j, bits that differ) of one list in rising n that no bound rules out."""
-    m = len(n)
-    step = max(1, 4_000_000 // (m * 8))
-    for a in range(0, m - 1, step):
-        i = np.arange(a, min(a + step, m - 1))
-        # rows of the later, larger member j against each i
-        fit = (np.arange(m)[None, :] > i[:, None]) & (100 * n[i][:, None] >= percent * n[None, :]) & (comp[i][:, None] != comp[None, :])
-        if block is not None:
-            fit &= block[i][:, None] != block[None, :]
-        x, y = np.nonzero(fit)
-        if not len(x):
-            continue
-        x = x + a
+            yield carry.filter(pa.array(keep)).select(["token", "gid", "pos"])
+
+    posted = groups.select("gid", "n", "light", "several", F.posexplode("prefix").alias("pos", "token"))
+    few = posted.where("pos < light").select("token", "gid", "n", "pos", (F.col("several") & (F.col("pos") == 0)).alias("meet"))
+    ordered = few.repartition(shuffle_width(groups.sparkSession), "token").sortWithinPartitions("token", "n", "gid")
+    # the lists of heavy tokens are long: their rows stay, and stay where they are
+    many = posted.where("pos >= light").select("token", "gid", "pos")
+    return saved(ordered.mapInArrow(run, "token long, gid long, pos int").unionByName(many), "ngram-lists")
+
+
+def _by_token(rows: DataFrame, small: DataFrame, own: str, how: str = "inner") -> DataFrame:
+    """rows with the columns of small (one row for each token); a hot token's rows are dealt out by their column own."""
+    spread = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int")).join(spread, ["token", "salt"], how).drop("salt")
+
+
+def differing(words: np.ndarray, first: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which the maps of x and y differ; maps: words[first : first + size], y's as long as x's or longer, then folded."""
+    out = np.zeros(len(x), np.int64)
+    shapes = size[x] * 64 + size[y] // size[x]
+    for shape in np.unique(shapes).tolist():
+        at, w, folds = np.flatnonzero(shapes == shape), shape // 64, shape % 64
+        step = max(1, 1_000_000 // w)
+        for a in range(0, len(at), step):
+            i = at[a : a + step]
+            u = words[first[x[i]][:, None] + np.arange(w)]
+            for k in range(folds):
+                u ^= words[first[y[i]][:, None] + np.arange(k * w, (k + 1) * w)]
+            out[i] = np.bitwise_count(u).sum(1)
+    return out
+
+
+CHAIN, NEAREST, ALL = range(3)
+LISTED = ("token", "b1", "b2", "block", "n", "pos", "member", "comp", "map")
+
+
+def list_pairs(rows: DataFrame, percent: int, kind: int) -> DataFrame:
+    """a, b, apart: pairs of members of one list in different components that no bound rules out; rows have LISTED.
+
+    CHAIN: for each member (a) the nearest one after it by size; NEAREST: for each
+    two components (in ca, cb) the nearest pair; ALL: all.
+    """
+
+    def bounded(x, y, n, pos, comp, block, cell, maps):
+        ok = (comp[x] != comp[y]) & (100 * n[x] >= percent * n[y]) & (cell[x] | (block[x] != block[y]))
+        x, y = x[ok], y[ok]
         need = -(-percent * (n[x] + n[y]) // (100 + percent))
-        room = np.minimum(pos[x], pos[y]) + 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1
-        ok = room >= need
+        ok = np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need
         x, y, need = x[ok], y[ok], need[ok]
-        apart = np.bitwise_count(maps[x] ^ maps[y]).sum(1)
+        apart = differing(*maps, x, y)
         ok = apart <= n[x] + n[y] - 2 * need
-        x, y, apart = x[ok], y[ok], apart[ok]
-        if nearest and len(x):
-            order = np.lexsort((apart, x))
-            first = np.ones(len(order), bool)
-            first[1:] = x[order][1:] != x[order][:-1]
-            x, y, apart = x[order][first], y[order][first], apart[order][first]
-        yield x, y, apart
-
-
-def list_pairs(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """a, b, apart: pairs of members of one list; rows: token, b1, b2, block, n, pos, member, comp, map."""
+        return x[ok], y[ok], apart[ok]
+
+    def least(x, y, apart, comp):
+        """The pairs that stay of those of one kind."""
+        if kind == ALL or not len(x):
+            return x, y, apart
+        one = x if kind == CHAIN else np.minimum(comp[x], comp[y])
+        two = one if kind == CHAIN else np.maximum(comp[x], comp[y])
+        order = np.lexsort((-y, x, apart, two, one))  # ties go to the last one: then many choose the same
+        first = np.ones(len(order), bool)
+        first[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        return x[order][first], y[order][first], apart[order][first]
+
+    def long_pairs(low, high, n, comp):
+        """Rows (x, y) of one long list, in pieces: all but pairs inside its largest component and of unlike sizes."""
+        _, of, count = np.unique(comp[low:high], return_inverse=True, return_counts=True)
+        inside = of == count.argmax()
+        seek = np.flatnonzero(~inside) + low
+        step = max(1, 1_000_000 // (high - low))
+        for a in range(0, len(seek), step):
+            i = seek[a : a + step]
+            # in rising size; those inside are met on both sides, the others once
+            first = low + int(np.searchsorted(n[low:high], -(-percent * n[i[0]] // 100)))
+            last = low + int(np.searchsorted(n[low:high], n[i[-1]] * 100 // percent, "right"))
+            j = np.arange(first, last)
+            x, y = i.repeat(len(j)), np.tile(j, len(i))
+            once = (y > x) | (inside[y - low] & (y != x))
+            x, y = x[once], y[once]
+            yield np.minimum(x, y), np.maximum(x, y)
+
+    def pairs(group):
+        b1, b2, block, n, pos, member, comp = (group.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in LISTED[1:-1])
+        token = group.column("token").to_numpy(zero_copy_only=False)
+        raw = group.column("map").cast(pa.large_binary()).combine_chunks()
+        raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
+        edges = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] // 8
+        maps = np.frombuffer(raw.buffers()[2], np.uint64), edges[:-1], np.diff(edges)
+        head = np.concatenate([[True], (token[1:] != token[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])])
+        of = np.cumsum(head) - 1
+        sizes = np.bincount(of)
+        rest = n, pos, comp, block, b1 == b2, maps
+        found = []
+        small = sizes[of] <= SMALL
+        for d in range(1, min(SMALL, int(sizes.max()))):
+            x = np.flatnonzero(small[:-d] & (of[d:] == of[:-d]))
+            if not len(x):
+                break
+            found.append(bounded(x, x + d, *rest))
+        starts = np.flatnonzero(head)
+        for k in np.flatnonzero(sizes > SMALL).tolist():
+            for x, y in long_pairs(int(starts[k]), int(starts[k] + sizes[k]), n, comp):
+                found.append(least(*bounded(x, y, *rest), comp))
+        if not found:
+            return
+        x, y, apart = least(*(np.concatenate(c) for c in zip(*found)), comp)
+        if len(x):
+            a, b = (member[x], member[y]) if kind == CHAIN else (np.minimum(member[x], member[y]), np.maximum(member[x], member[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(apart), pa.array(np.minimum(comp[x], comp[y])), pa.array(np.maximum(comp[x], comp[y]))], ["a", "b", "apart", "ca", "cb"])
 
     def run(batches):
         carry = None
-
-        def pairs(group):
-            n, pos, member, comp = (group.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "pos", "member", "comp"))
-            raw = group.column("map").combine_chunks()
-            maps = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(len(n), MAP_BITS // 64)
-            token, b1, b2 = (group.column(c).to_numpy(zero_copy_only=False) for c in ("token", "b1", "b2"))
-            block = group.column("block").to_numpy(zero_copy_only=False)
-            heads = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])]))
-            sizes = np.diff(np.concatenate([heads, [len(token)]]))
-            found = []
-            two = heads[sizes == 2]
-            if len(two):  # lists of two, all at once
-                x, y = two, two + 1
-                need = -(-percent * (n[x] + n[y]) // (100 + percent))
-                room = np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y])
-                apart = np.bitwise_count(maps[x] ^ maps[y]).sum(1)
-                ok = (comp[x] != comp[y]) & (100 * n[x] >= percent * n[y]) & (room >= need) & (apart <= n[x] + n[y] - 2 * need) & ((b1[x] == b2[x]) | (block[x] != block[y]))
-                found.append((x[ok], y[ok], apart[ok]))
-            for h, size in zip(heads[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                w = slice(h, h + size)
-                for x, y, apart in _candidates(n[w], pos[w], comp[w], block[w] if b1[h] != b2[h] else None, maps[w], percent, nearest):
-                    found.append((x + h, y + h, apart))
-            if found:
-                x, y, apart = (np.concatenate(c) for c in zip(*found))
-                a, b = np.minimum(member[x], member[y]), np.maximum(member[x], member[y])
-                if not nearest and len(a):
-                    both, at = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
-                    a, b, apart = both[:, 0], both[:, 1], apart[at]
-                elif len(a):
-                    # one pair for each member: the nearest
-                    order = np.lexsort((apart, member[x]))
-                    first = np.ones(len(order), bool)
-                    first[1:] = member[x][order][1:] != member[x][order][:-1]
-                    a, b, apart = a[order][first], b[order][first], apart[order][first]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(apart.astype(np.int64))], ["a", "b", "apart"])
-
         for batch in batches:
             table = pa.Table.from_batches([batch])
             if carry is not None:
@@ -261,34 +328,23 @@ def list_pairs(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
             yield from pairs(carry)
 
     ordered = rows.repartition(shuffle_width(rows.sparkSession), "token", "b1", "b2").sortWithinPartitions("token", "b1", "b2", "n", "member")
-    return ordered.select("token", "b1", "b2", "block", "n", "pos", "member", "comp", "map").mapInArrow(run, "a long, b long, apart long")
-
-
-def _bloom(ids: DataFrame, column: str) -> np.ndarray:
-    at = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(column), F.lit(i)), F.lit(BLOOM_BITS)) for i in range(2)]))
-    words = ids.select(at.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b")).toArrow()
-    out = np.zeros(BLOOM_BITS >> 6, np.int64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy()
-    return out
+    return ordered.select(*LISTED).mapInArrow(run, "a long, b long, apart long, ca long, cb long").where("a <> b")
 
 
 def member_sets(docs: DataFrame, pairs: DataFrame, text: str, key: str, gram: int) -> DataFrame:
-    """member and set (uint64, binary) of the members of pairs, saved; texts of other documents are left out by a Bloom filter of fixed size."""
-    members = pairs.select(F.explode(F.array("a", "b")).alias("member"))
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(members, "member"))
-    places = [F.pmod(F.xxhash64(F.col("doc_id"), F.lit(i)), F.lit(BLOOM_BITS)).alias(f"p{i}") for i in range(2)]
+    """member and set (uint64, binary) of the members of pairs, saved; a Bloom filter leaves out the texts of most other documents."""
+    told = bloom_filter(pairs.select(F.explode(F.array("a", "b")).alias("member")), *bloom_places("member"))
+    bloom = docs.sparkSession.sparkContext.broadcast(told)
 
     def run(batches):
-        words = bloom.value
         for batch in batches:
-            p0, p1 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            hit = ((words[p0 >> 6] >> (p0 & 63)) & (words[p1 >> 6] >> (p1 & 63)) & 1) == 1
+            hit = bloom_hits(bloom.value, *(batch.column(i).to_numpy() for i in (2, 3)))
             for part in sliced([batch.filter(pa.array(hit))], "text"):
                 s, n = shingle_sets(part.column(1), gram)
                 ends = np.cumsum(n).tolist()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s[b - k : b].tobytes() for b, k in zip(ends, n.tolist())], pa.binary())], ["member", "set"])
 
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null").select("doc_id", "text", *places)
+    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null").select("doc_id", "text", *bloom_places("doc_id"))
     return saved(slim.mapInArrow(run, "member long, set binary"), "ngram-sets")
 
 
@@ -311,36 +367,80 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def chain_rows(lists: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of the lists of each group's first SEEDS tokens, long lists dealt out in chunks."""
+    first = lists.withColumn("at", F.row_number().over(Window.partitionBy("gid").orderBy("token"))).where(F.col("at") <= SEEDS).drop("at")
+    rows = first.join(members, "gid")
+    held = first.join(members.groupBy("gid").agg(F.count(F.lit(1)).alias("held")), "gid").groupBy("token").agg(F.sum("held").alias("held"))
+    long = held.where(F.col("held") > CHUNK).select("token", F.ceil(F.col("held") / CHUNK).cast("int").alias("chunks"))
+    chunk = F.coalesce(F.pmod(F.xxhash64("member", "token"), F.col("chunks")), F.lit(0)).cast("int")
+    dealt = _by_token(rows, long, "member", "left").withColumn("b1", chunk)
+    return dealt.select("token", "b1", F.col("b1").alias("b2"), F.col("b1").alias("block"), "n", "pos", "member", F.col("member").alias("comp"), "map")
+
+
+def placed(lists: DataFrame, members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the lists with their components (found: node, label), and of each list with several: how many members and components, and the largest one."""
+    slim = members.select("gid", "member").join(found.select(F.col("node").alias("member"), "label"), "member", "left").select("gid", "member", F.coalesce("label", "member").alias("comp"))
+    listed = lists.join(slim, "gid")
+    per = listed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("held"), F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds"))
+    return listed, saved(per.where("kinds > 1"), "ngram-cuts")
+
+
+def head_rows(listed: DataFrame, cut: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of one member of each component in the lists of cut, dealt out in chunks."""
+    heads = _by_token(listed, cut.select("token", F.ceil(F.col("kinds") / CHUNK).cast("int").alias("chunks")), "member").groupBy("token", "comp").agg(F.min(F.struct("member", "gid", "pos", "chunks")).alias("h")).select("token", "comp", "h.*")
+    dealt = heads.withColumn("b1", F.pmod(F.xxhash64("member", "token"), F.col("chunks")).cast("int")).withColumns({"b2": F.col("b1"), "block": F.col("b1")})
+    return dealt.join(members, ["gid", "member"]).select(*LISTED)
+
+
+def cross_rows(listed: DataFrame, cut: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of the lists of cut, long ones cut into pairs of blocks."""
+    long = F.col("held") > BLOCK
+    tops = F.when(long, F.ceil(F.col("top.k") / BLOCK)).otherwise(1).cast("int")
+    others = F.when(long, F.ceil((F.col("held") - F.col("top.k")) / BLOCK)).otherwise(0).cast("int")
+    rows = _by_token(listed, cut.select("token", F.col("top.comp").alias("top"), tops.alias("tops"), others.alias("others")), "member").withColumn("is_top", (F.col("comp") == F.col("top")) & (F.col("others") > 0))
+    own = F.when(F.col("others") == 0, F.lit(0)).when(F.col("is_top"), F.pmod(F.xxhash64("member"), F.col("tops"))).otherwise(F.col("tops") + F.pmod(F.xxhash64("member"), F.col("others"))).cast("int")
+    meets = F.when(F.col("others") == 0, F.array(F.lit(0))).when(F.col("is_top"), F.sequence(F.col("tops"), F.col("tops") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("tops") + F.col("others") - 1))
+    rows = rows.withColumn("block", own).withColumn("o", F.explode(meets)).select("token", F.least("block", "o").alias("b1"), F.greatest("block", "o").alias("b2"), "block", "pos", "gid", "member", "comp")
+    return rows.join(members, ["gid", "member"]).select(*LISTED)
+
+
 def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
-    hits = count_table(docs, text, gram)
-    levels = np.minimum(255, (4 * np.log2(hits + 1.0)).astype(np.int64)).astype(np.uint8)
-    every = saved(prefixes(docs, levels, text, key, gram, percent), "ngram-prefixes")
-    full = every.where("n > 0 AND doc_id IS NOT NULL")
+    heavy = heavy_tokens(docs, text, gram, percent, HEAVY_DOCS, MOST_HEAVY)
+    every = saved(prefixes(docs, heavy, text, key, gram, percent), "ngram-prefixes")
+    full = every.where("n > 0 AND doc_id IS NOT NULL").withColumn("gid", F.xxhash64("p1", "p2", "n"))
     # documents with one set: the least doc_id stands for them
-    classes = saved(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("member"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("n").alias("n"), F.first("map").alias("map")), "ngram-classes")
+    classes = saved(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("member"), *(F.first(c).alias(c) for c in ("gid", "n", "map"))), "ngram-classes")
     several = (F.min("k1") < F.max("k1")) | (F.min("k2") < F.max("k2"))
-    groups = full.groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("gid"), several.alias("several"), F.first("prefix").alias("prefix"))
+    groups = full.groupBy("gid", "p1", "p2", "n").agg(several.alias("several"), F.first("prefix").alias("prefix"), F.first("light").alias("light"))
     lists = shared_lists(groups, percent)
-    gids = classes.groupBy("p1", "p2", "n").agg(F.min("member").alias("gid"))
-    members = classes.join(gids, ["p1", "p2", "n"]).select("gid", "member", "map").join(lists.select("gid").distinct(), "gid", "left_semi")
-    members = saved(members, "ngram-members")
-    # a list is as long as the members of its groups
-    held = lists.join(members.groupBy("gid").agg(F.count(F.lit(1)).alias("held")), "gid").groupBy("token").agg(F.sum("held").alias("held"))
-    heavy = held.where(f"held > {BLOCK}").select("token", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
-    rows = lists.join(members, "gid").join(heavy, "token", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")))
-    other = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("token", "n", "pos", "member", "map", "block", F.explode(other).alias("o")).select("token", F.least("block", "o").alias("b1"), F.greatest("block", "o").alias("b2"), "block", "n", "pos", "member", "map")
-    rows = saved(rows, "ngram-rows")
-    near = list_pairs(rows.withColumn("comp", F.col("member")), percent, True)
-    best = near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select("a", "b").unionByName(near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"))
-    near = saved(best.distinct(), "ngram-pairs")
-    links = saved(verified(near, member_sets(docs, near, text, key, gram), percent), "ngram-links")
-    found = saved(components(links), "ngram-components")
-    placed = rows.join(found.select(F.col("node").alias("member"), "label"), "member", "left").withColumn("comp", F.coalesce("label", "member"))
-    apart = saved(list_pairs(placed, percent, False).select("a", "b").distinct(), "ngram-pairs")
-    # the components found stand for their links
-    links = saved(verified(apart, member_sets(docs, apart, text, key, gram), percent), "ngram-links").unionByName(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    found = components(links)
-    named = classes.select("k1", "k2", "member").join(saved(found, "ngram-components").select(F.col("node").alias("member"), "label"), "member", "left").select("k1", "k2", F.coalesce("label", "member").alias("component_id"))
+    members = saved(classes.select("gid", "member", "n", "map").join(lists.select("gid").distinct(), "gid", "left_semi"), "ngram-members")
+
+    def joined(found: DataFrame | None, pairs: DataFrame) -> DataFrame | None:
+        """The components after those of pairs that are links are joined; None if none is."""
+        pairs = saved(pairs.select("a", "b").distinct(), "ngram-pairs")
+        if pairs.isEmpty():
+            return None
+        links = saved(verified(pairs, member_sets(docs, pairs, text, key, gram), percent), "ngram-links")
+        if links.isEmpty():
+            return None
+        # the components found stand for their links
+        return saved(components(links if found is None else links.unionByName(found.select(F.col("node").alias("a"), F.col("label").alias("b")))), "ngram-components")
+
+    nearest = F.min_by("b", F.struct("apart", -F.col("b"))).alias("b")
+    found = joined(None, list_pairs(chain_rows(lists, members), percent, CHAIN).groupBy("a").agg(nearest))
+    if found is None:
+        found = docs.sparkSession.createDataFrame([], "node long, label long")
+    listed, cut = placed(lists, members, found)
+    while not (long := cut.where(F.col("held") > CHUNK)).isEmpty():
+        more = joined(found, list_pairs(head_rows(listed, long, members), percent, CHAIN).groupBy("a").agg(nearest))
+        if more is None:
+            break
+        found = more
+        listed, cut = placed(lists, members, found)
+    pairs = list_pairs(cross_rows(listed, cut, members), percent, NEAREST).groupBy("ca", "cb").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
+    found = joined(found, pairs) or found
+    found = joined(found, list_pairs(cross_rows(*placed(lists, members, found), members), percent, ALL)) or found
+    named = classes.select("k1", "k2", "member").join(found.select(F.col("node").alias("member"), "label"), "member", "left").select("k1", "k2", F.coalesce("label", "member").alias("component_id"))
     return every.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

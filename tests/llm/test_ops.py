@@ -5,13 +5,14 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pairfield.llm import suffix
-from pairfield.llm.common import vocabulary, word_array
+from pairfield.llm.common import bloom_filter, vocabulary, word_array
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -184,33 +185,64 @@ def test_jaccard_groups(docs, empty, monkeypatch):
             if i < j and both and 100 * both >= 85 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
-    for block in (2_000, 2):
+    # few and many chunks, blocks and heavy tokens; a filter that lets all pass
+    for block, chunk, least, bits in ((2_000, 512, 50, None), (2, 2, 0, 64), (2, 3, 1, None)):
         monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+        monkeypatch.setattr(ngram_join, "HEAVY_DOCS", least)
+        monkeypatch.setattr(ngram_join, "SMALL", block)
+        monkeypatch.setattr(ngram_join, "bloom_filter", partial(bloom_filter, bits=bits))
         rows = ngram_join.jaccard_groups(docs).collect()
         assert len(rows) == len(REPEATED)
         assert all((r.n_shingles, r.component_id) == (len(sets[r.doc_id]), find(r.doc_id)) for r in rows)
     assert ngram_join.jaccard_groups(empty).count() == 0
 
 
-def test_jaccard_cuts_one_large_group_into_blocks(spark, monkeypatch):
+def test_jaccard_keeps_heavy_tokens_bounded(docs):
     from pairfield.llm import ngram_join
 
-    # every slot of the counting table hit alike: the order is by hash, and most texts with another last word have one prefix and size
-    monkeypatch.setattr(ngram_join, "count_table", lambda *_: np.ones(1 << ngram_join.COUNTERS_BITS, np.uint64))
-    monkeypatch.setattr(ngram_join, "BLOCK", 8)
-    most, real = [], ngram_join.list_pairs
+    every = ngram_join.heavy_tokens(docs, "text", 4, 85, 1, 1 << 20)
+    few = ngram_join.heavy_tokens(docs, "text", 4, 85, 1, 3)
+    assert len(every) > 3 >= len(few) and set(few) <= set(every) and (np.diff(every.astype(object)) > 0).all()
 
-    def seen(rows, *rest):
-        most.append(rows.groupBy("token", "b1", "b2").count().agg(F.max("count")).first()[0])
-        return real(rows, *rest)
+
+def test_parity_maps_bound_the_difference():
+    from pairfield.llm.ngram_join import differing, parity_map
+
+    rng = np.random.default_rng(3)
+    for n in (1, 63, 64, 65, 700, 1500):
+        u = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for v in (u, u[: len(u) * 9 // 10 + 1], np.unique(np.concatenate([u, rng.integers(0, 2**63, n // 5).astype(np.uint64)]))):
+            x, y = sorted((u, v), key=len)
+            maps = [parity_map(x), parity_map(y)]
+            size = np.array([len(m) // 8 for m in maps])
+            words = np.frombuffer(b"".join(maps), np.uint64)
+            apart = int(differing(words, np.cumsum(size) - size, size, np.array([0]), np.array([1]))[0])
+            assert apart <= len(np.setxor1d(u, v)) and (apart == 0) == (len(np.setxor1d(u, v)) == 0)
+
+
+def test_jaccard_of_one_large_cluster(spark, monkeypatch):
+    """20,000 near copies and texts that share only a passage with them: one component, few pairs, no long list in one task."""
+    from pairfield.llm import ngram_join
+
+    most, pairs, real = [], [], ngram_join.list_pairs
+
+    def seen(rows, percent, kind):
+        rows = ngram_join.saved(rows, "rows")
+        most.append(rows.groupBy("token", "b1", "b2").count().agg(F.max("count")).first()[0] or 0)
+        out = ngram_join.saved(real(rows, percent, kind), "pairs")
+        pairs.append(out.count())
+        return out
 
     monkeypatch.setattr(ngram_join, "list_pairs", seen)
     rng = random.Random(5)
-    words = " ".join(f"w{rng.randrange(10**6)}" for _ in range(120))
-    rows = [(i, f"{words} last{i}") for i in range(120)]
-    got = ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    assert len(got) == 120 and {r.component_id for r in got} == {0}
-    assert max(most) <= 5 * ngram_join.BLOCK
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    near = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(" ".join(words)), F.lit(" last"), F.col("id").cast("string")).alias("text"))
+    other = [(20_000 + i, " ".join([*words[:40], *(f"v{rng.randrange(10**6)}" for _ in range(80))])) for i in range(300)]
+    got = ngram_join.jaccard_groups(near.unionByName(spark.createDataFrame(other, "doc_id long, text string")).repartition(5)).collect()
+    label = {r.doc_id: r.component_id for r in got}
+    assert len(got) == 20_300 and all(label[i] == (0 if i < 20_000 else i) for i in label)
+    assert max(most) <= 3 * ngram_join.BLOCK and max(pairs) <= 5 * 20_300
 
 
 def test_components_of_a_path(spark):
