@@ -88,14 +88,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def bloom_filter(ids: DataFrame, *hashes: Column, bits: int | None = None) -> np.ndarray:
+def bloom_filter(ids: DataFrame, *hashes: Column, rows: int | None = None, bits: int | None = None) -> np.ndarray:
     """A Bloom filter, as 64-bit words, of rows whose bits the columns of longs tell.
 
     It has 16 bits a row, but no more than MOST_BLOOM_BITS (32 MB): a fuller one
-    lets more rows pass that are not in it, and never stops one that is.
+    lets more rows pass that are not in it, and never stops one that is. rows: how
+    many there are, if that is known.
     """
     if bits is None:
-        bits = min(MOST_BLOOM_BITS, max(64, 1 << (16 * ids.count()).bit_length()))
+        bits = min(MOST_BLOOM_BITS, max(64, 1 << (16 * (ids.count() if rows is None else rows)).bit_length()))
     at = F.explode(F.array(*[h.bitwiseAND(F.lit(bits - 1).cast("long")) for h in hashes]))
     words = ids.select(at.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b")).toArrow()
     out = np.zeros(bits >> 6, np.int64)

@@ -6,7 +6,8 @@ come last. Two sets that are alike enough share one of the first n - ceil(t n) +
 tokens of both, whatever the order is. Heavy are the tokens that stand in more
 than HEAVY_DOCS texts (among the first ones by hash, half as many again as a
 prefix has); if they are more than MOST_HEAVY, the most frequent ones, so that what
-is broadcast has a bound at any corpus size.
+is broadcast has a bound at any corpus size. Tables that grow with the corpus
+are joined by sorting at any size.
 
 1. Documents with one set count once; those with one prefix and size form a group.
 2. Groups meet at the tokens of their prefixes; sizes and places of the token
@@ -22,9 +23,9 @@ is broadcast has a bound at any corpus size.
 5. While long lists hold several components, chains of one member of each join
    what they can.
 6. Then lists that hold more than one component are worked off whole: first the
-   nearest pair of each two components, then, with the components that these
-   leave, every pair that no bound rules out. A pair inside a component can change
-   nothing, so no link that matters is lost.
+   nearest pair of each two components, then, of those that have several and are
+   still apart, every pair that no bound rules out. A pair inside a component can
+   change nothing, so no link that matters is lost.
 
 In step 6 lists of more than BLOCK members are cut into blocks. The members of the
 list's largest component are dealt out once, as they need not meet each other;
@@ -39,6 +40,7 @@ an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from hashlib import blake2b
 
 import numpy as np
@@ -56,7 +58,7 @@ SEEDS, CHUNK, BLOCK = 4, 512, 2_000
 #: Lists of up to so many members are paired many at once.
 SMALL = 48
 #: Parts into which the rows of one hot token are dealt where they meet a small table.
-SALTS = 16
+SALTS = 4
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,8 +115,8 @@ def _prefix_size(n, percent: int):
     return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
 
-def heavy_tokens(docs: DataFrame, text: str, gram: int, percent: int, least: int, most: int) -> np.ndarray:
-    """Tokens of more than `least` texts, rising; at most `most` of them, the most frequent ones."""
+def token_counts(docs: DataFrame, text: str, gram: int, percent: int, least: int) -> DataFrame:
+    """token and level, 8 log2 of its texts, of the tokens of `least` texts or more among the first ones of each; saved."""
 
     def run(batches):
         for batch in sliced(batches, text):
@@ -124,10 +126,14 @@ def heavy_tokens(docs: DataFrame, text: str, gram: int, percent: int, least: int
             token, count = np.unique(s[np.arange(len(s)) - first < reach], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count.astype(np.int32))], ["token", "n"])
 
-    counts = docs.select(text).mapInArrow(run, "token long, n int").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > least)
-    counts = saved(counts.select("token", F.floor(8 * F.log2("n")).cast("int").alias("level")), "ngram-heavy")
-    held, floor = 0, 0
-    for r in sorted(counts.groupBy("level").count().collect(), reverse=True):
+    counts = docs.select(text).mapInArrow(run, "token long, n int").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return saved(counts.select("token", F.floor(8 * F.log2("n")).cast("int").alias("level")), "ngram-tokens")
+
+
+def heavy_tokens(counts: DataFrame, least: int, most: int) -> np.ndarray:
+    """Tokens of about `least` texts or more, rising; at most `most` of them, the most frequent ones."""
+    held, floor = 0, math.ceil(8 * math.log2(least))
+    for r in sorted(counts.where(F.col("level") >= floor).groupBy("level").count().collect(), reverse=True):
         held += r["count"]
         if held > most:
             floor = r["level"] + 1
@@ -214,7 +220,7 @@ def shared_lists(groups: DataFrame, percent: int) -> DataFrame:
 def _by_token(rows: DataFrame, small: DataFrame, own: str, how: str = "inner") -> DataFrame:
     """rows with the columns of small (one row for each token); a hot token's rows are dealt out by their column own."""
     spread = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int")).join(spread, ["token", "salt"], how).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int")).join(spread.hint("merge"), ["token", "salt"], how).drop("salt")
 
 
 def differing(words: np.ndarray, first: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -241,7 +247,8 @@ def list_pairs(rows: DataFrame, percent: int, kind: int) -> DataFrame:
     """a, b, apart: pairs of members of one list in different components that no bound rules out; rows have LISTED.
 
     CHAIN: for each member (a) the nearest one after it by size; NEAREST: for each
-    two components (in ca, cb) the nearest pair; ALL: all.
+    two components (in ca, cb) the nearest pair, and whether there are several; ALL:
+    all.
     """
 
     def bounded(x, y, n, pos, comp, block, cell, maps):
@@ -255,15 +262,15 @@ def list_pairs(rows: DataFrame, percent: int, kind: int) -> DataFrame:
         return x[ok], y[ok], apart[ok]
 
     def least(x, y, apart, comp):
-        """The pairs that stay of those of one kind."""
+        """The pairs that stay of those of one kind, and whether others of the same two went."""
         if kind == ALL or not len(x):
-            return x, y, apart
+            return x, y, apart, np.zeros(len(x), bool)
         one = x if kind == CHAIN else np.minimum(comp[x], comp[y])
         two = one if kind == CHAIN else np.maximum(comp[x], comp[y])
         order = np.lexsort((-y, x, apart, two, one))  # ties go to the last one: then many choose the same
         first = np.ones(len(order), bool)
         first[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-        return x[order][first], y[order][first], apart[order][first]
+        return x[order][first], y[order][first], apart[order][first], np.diff(np.append(np.flatnonzero(first), len(order))) > 1
 
     def long_pairs(low, high, n, comp):
         """Rows (x, y) of one long list, in pieces: all but pairs inside its largest component and of unlike sizes."""
@@ -299,17 +306,22 @@ def list_pairs(rows: DataFrame, percent: int, kind: int) -> DataFrame:
             x = np.flatnonzero(small[:-d] & (of[d:] == of[:-d]))
             if not len(x):
                 break
-            found.append(bounded(x, x + d, *rest))
+            x, y, apart = bounded(x, x + d, *rest)
+            found.append((x, y, apart, np.zeros(len(x), bool)))
         starts = np.flatnonzero(head)
         for k in np.flatnonzero(sizes > SMALL).tolist():
             for x, y in long_pairs(int(starts[k]), int(starts[k] + sizes[k]), n, comp):
                 found.append(least(*bounded(x, y, *rest), comp))
         if not found:
             return
-        x, y, apart = least(*(np.concatenate(c) for c in zip(*found)), comp)
+        x, y, apart, went = (np.concatenate(c) for c in zip(*found))
+        again = {(i, j) for i, j in zip(comp[x[went]].tolist(), comp[y[went]].tolist())}
+        x, y, apart, several = least(x, y, apart, comp)
+        if again:
+            several |= np.array([(i, j) in again or (j, i) in again for i, j in zip(comp[x].tolist(), comp[y].tolist())], bool)
         if len(x):
             a, b = (member[x], member[y]) if kind == CHAIN else (np.minimum(member[x], member[y]), np.maximum(member[x], member[y]))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(apart), pa.array(np.minimum(comp[x], comp[y])), pa.array(np.maximum(comp[x], comp[y]))], ["a", "b", "apart", "ca", "cb"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(apart), pa.array(np.minimum(comp[x], comp[y])), pa.array(np.maximum(comp[x], comp[y])), pa.array(several)], ["a", "b", "apart", "ca", "cb", "several"])
 
     def run(batches):
         carry = None
@@ -328,12 +340,12 @@ def list_pairs(rows: DataFrame, percent: int, kind: int) -> DataFrame:
             yield from pairs(carry)
 
     ordered = rows.repartition(shuffle_width(rows.sparkSession), "token", "b1", "b2").sortWithinPartitions("token", "b1", "b2", "n", "member")
-    return ordered.select(*LISTED).mapInArrow(run, "a long, b long, apart long, ca long, cb long").where("a <> b")
+    return ordered.select(*LISTED).mapInArrow(run, "a long, b long, apart long, ca long, cb long, several boolean").where("a <> b")
 
 
 def member_sets(docs: DataFrame, pairs: DataFrame, text: str, key: str, gram: int) -> DataFrame:
     """member and set (uint64, binary) of the members of pairs, saved; a Bloom filter leaves out the texts of most other documents."""
-    told = bloom_filter(pairs.select(F.explode(F.array("a", "b")).alias("member")), *bloom_places("member"))
+    told = bloom_filter(pairs.select(F.explode(F.array("a", "b")).alias("member")), *bloom_places("member"), rows=2 * pairs.count())
     bloom = docs.sparkSession.sparkContext.broadcast(told)
 
     def run(batches):
@@ -370,18 +382,32 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def chain_rows(lists: DataFrame, members: DataFrame) -> DataFrame:
     """Rows of the lists of each group's first SEEDS tokens, long lists dealt out in chunks."""
     first = lists.withColumn("at", F.row_number().over(Window.partitionBy("gid").orderBy("token"))).where(F.col("at") <= SEEDS).drop("at")
-    rows = first.join(members, "gid")
-    held = first.join(members.groupBy("gid").agg(F.count(F.lit(1)).alias("held")), "gid").groupBy("token").agg(F.sum("held").alias("held"))
+    rows = first.join(members.hint("merge"), "gid")
+    held = first.join(members.groupBy("gid").agg(F.count(F.lit(1)).alias("held")).hint("merge"), "gid").groupBy("token").agg(F.sum("held").alias("held"))
     long = held.where(F.col("held") > CHUNK).select("token", F.ceil(F.col("held") / CHUNK).cast("int").alias("chunks"))
     chunk = F.coalesce(F.pmod(F.xxhash64("member", "token"), F.col("chunks")), F.lit(0)).cast("int")
     dealt = _by_token(rows, long, "member", "left").withColumn("b1", chunk)
     return dealt.select("token", "b1", F.col("b1").alias("b2"), F.col("b1").alias("block"), "n", "pos", "member", F.col("member").alias("comp"), "map")
 
 
-def placed(lists: DataFrame, members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of the lists with their components (found: node, label), and of each list with several: how many members and components, and the largest one."""
-    slim = members.select("gid", "member").join(found.select(F.col("node").alias("member"), "label"), "member", "left").select("gid", "member", F.coalesce("label", "member").alias("comp"))
-    listed = lists.join(slim, "gid")
+def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """members with comp, their component's label or themselves; found: node, label."""
+    named = found.select(F.col("node").alias("member"), "label").hint("merge")
+    return members.join(named, "member", "left").withColumn("comp", F.coalesce("label", "member")).drop("label")
+
+
+def mixed_lists(lists: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
+    """token, gid, pos and member of the lists that hold several components; saved."""
+    slim = _labelled(members.select("gid", "member"), found)
+    ends = slim.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    mixed = lists.join(ends.hint("merge"), "gid").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("token")
+    kept = _by_token(lists, mixed, "gid")
+    return saved(kept.join(members.select("gid", "member").hint("merge"), "gid").select("token", "gid", "pos", "member"), "ngram-mixed")
+
+
+def placed(mixed: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the lists with their components, and of each list with several: how many members and components, and the largest one."""
+    listed = _labelled(mixed, found)
     per = listed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("held"), F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds"))
     return listed, saved(per.where("kinds > 1"), "ngram-cuts")
 
@@ -390,7 +416,7 @@ def head_rows(listed: DataFrame, cut: DataFrame, members: DataFrame) -> DataFram
     """Rows of one member of each component in the lists of cut, dealt out in chunks."""
     heads = _by_token(listed, cut.select("token", F.ceil(F.col("kinds") / CHUNK).cast("int").alias("chunks")), "member").groupBy("token", "comp").agg(F.min(F.struct("member", "gid", "pos", "chunks")).alias("h")).select("token", "comp", "h.*")
     dealt = heads.withColumn("b1", F.pmod(F.xxhash64("member", "token"), F.col("chunks")).cast("int")).withColumns({"b2": F.col("b1"), "block": F.col("b1")})
-    return dealt.join(members, ["gid", "member"]).select(*LISTED)
+    return dealt.join(members.hint("merge"), ["gid", "member"]).select(*LISTED)
 
 
 def cross_rows(listed: DataFrame, cut: DataFrame, members: DataFrame) -> DataFrame:
@@ -402,12 +428,12 @@ def cross_rows(listed: DataFrame, cut: DataFrame, members: DataFrame) -> DataFra
     own = F.when(F.col("others") == 0, F.lit(0)).when(F.col("is_top"), F.pmod(F.xxhash64("member"), F.col("tops"))).otherwise(F.col("tops") + F.pmod(F.xxhash64("member"), F.col("others"))).cast("int")
     meets = F.when(F.col("others") == 0, F.array(F.lit(0))).when(F.col("is_top"), F.sequence(F.col("tops"), F.col("tops") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("tops") + F.col("others") - 1))
     rows = rows.withColumn("block", own).withColumn("o", F.explode(meets)).select("token", F.least("block", "o").alias("b1"), F.greatest("block", "o").alias("b2"), "block", "pos", "gid", "member", "comp")
-    return rows.join(members, ["gid", "member"]).select(*LISTED)
+    return rows.join(members.hint("merge"), ["gid", "member"]).select(*LISTED)
 
 
 def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
-    heavy = heavy_tokens(docs, text, gram, percent, HEAVY_DOCS, MOST_HEAVY)
+    heavy = heavy_tokens(token_counts(docs, text, gram, percent, HEAVY_DOCS), HEAVY_DOCS, MOST_HEAVY)
     every = saved(prefixes(docs, heavy, text, key, gram, percent), "ngram-prefixes")
     full = every.where("n > 0 AND doc_id IS NOT NULL").withColumn("gid", F.xxhash64("p1", "p2", "n"))
     # documents with one set: the least doc_id stands for them
@@ -432,15 +458,26 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", gra
     found = joined(None, list_pairs(chain_rows(lists, members), percent, CHAIN).groupBy("a").agg(nearest))
     if found is None:
         found = docs.sparkSession.createDataFrame([], "node long, label long")
-    listed, cut = placed(lists, members, found)
+    mixed = mixed_lists(lists, members, found)
+    listed, cut = placed(mixed, found)
     while not (long := cut.where(F.col("held") > CHUNK)).isEmpty():
         more = joined(found, list_pairs(head_rows(listed, long, members), percent, CHAIN).groupBy("a").agg(nearest))
         if more is None:
             break
         found = more
-        listed, cut = placed(lists, members, found)
-    pairs = list_pairs(cross_rows(listed, cut, members), percent, NEAREST).groupBy("ca", "cb").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
-    found = joined(found, pairs) or found
-    found = joined(found, list_pairs(cross_rows(*placed(lists, members, found), members), percent, ALL)) or found
+        listed, cut = placed(mixed, found)
+    pair = F.struct("apart", "a", "b")
+    pairs = saved(list_pairs(cross_rows(listed, cut, members), percent, NEAREST).groupBy("ca", "cb").agg(F.min(pair).alias("p"), (F.bool_or("several") | (F.min(F.struct("a", "b")) < F.max(F.struct("a", "b")))).alias("several")), "ngram-nearest")
+    more = joined(found, pairs.select("p.a", "p.b"))
+    # two components with several pairs that are still apart: all of their pairs are tried
+    ends = (found if more is None else more).select(F.col("node").alias("c"), "label")
+    for c in ("ca", "cb"):
+        pairs = pairs.join(ends.select(F.col("c").alias(c), F.col("label").alias(f"l{c}")).hint("merge"), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
+    open_ = saved(pairs.where("several AND lca <> lcb").select(F.explode(F.array("ca", "cb")).alias("comp")).distinct(), "ngram-open")
+    if not open_.isEmpty():
+        left = listed.join(open_.hint("merge"), "comp", "left_semi").select("token", "gid", "pos", "member")
+        found = more or found
+        more = joined(found, list_pairs(cross_rows(*placed(saved(left, "ngram-left"), found), members), percent, ALL))
+    found = more or found
     named = classes.select("k1", "k2", "member").join(found.select(F.col("node").alias("member"), "label"), "member", "left").select("k1", "k2", F.coalesce("label", "member").alias("component_id"))
     return every.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
