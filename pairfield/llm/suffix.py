@@ -1,35 +1,37 @@
 """Removal of long repeats, found in suffix arrays by Lyndon grouping.
 
 A byte goes if some string of LENGTH bytes that covers it starts anywhere else in
-the corpus too. One suffix array of a corpus fits no machine, so strings that can
-be equal are brought together first, without loss:
+the corpus too. Bytes that a string of NOTED bytes covers which starts elsewhere
+are counted beside it (n_repeated), and stay. One suffix array of a corpus fits no
+machine, so strings that can be equal are brought together first, without loss:
 
-1. Of each LENGTH-byte string the least hash of its GRAM-byte grams (rightmost of
+1. Of each NOTED-byte string the least hash of its GRAM-byte grams (rightmost of
    several) is its anchor. Strings with the same anchor follow each other; they
-   are an item, on average some 185 strings. Equal strings have equal anchors, so
-   an item whose anchor occurs once has no repeat; items with equal bytes repeat
-   each other whole.
+   are an item. Equal strings have equal anchors, so an item whose anchor occurs
+   once has no repeat; items with equal bytes, up to LENGTH after their last
+   string's start, repeat each other whole.
 2. Items left over, whose anchors occur in items with other bytes, are cut by the
    anchor's place in the string into parts of STEP strings. All strings of a part
-   share a core of LENGTH - STEP + 1 bytes, which equal strings share as well:
+   share a core of NOTED - STEP + 1 bytes, which equal strings share as well:
    parts are grouped by the core's digest. A part is the core, one symbol, with
-   up to STEP - 1 bytes on each side.
-3. Each group gets the suffix array of its parts. Suffixes are grouped by their
-   longest Lyndon prefix, which ends at the next smaller suffix; the pointers to
-   the previous and next smaller suffixes come from one pass with a stack. Groups
-   are ordered by their Lyndon words, worked off from the greatest to fix where
-   each begins; then the array is filled from its start, every suffix putting
-   those whose next smaller suffix it is into their groups. Nothing is renamed
-   and no level recurses. Neighbours in the array that agree in a string's
-   symbols are repeats.
-
-Groups of more than CROWD parts go another way, so that none grows without bound:
-there each string's digest is counted.
-
-Null and empty texts and those of fewer than LENGTH bytes lose nothing, repeated
+   up to STEP - 1 bytes before it and LENGTH - NOTED more after it.
+3. Each group gets the suffix array of its parts. Suffixes stand in groups by
+   their longest Lyndon prefix, first by its first symbol. From the greatest group
+   down, each group finds its members' pointers to the previous suffix of a smaller
+   group; those suffixes' prefixes grow by the group's, so they move to new groups
+   just above their old ones, the ones that grow more often the higher. Then the
+   array is filled from its start: a suffix puts those whose Lyndon prefix ends
+   where it begins, found along the same pointers, next into their groups. Nothing
+   is compared, renamed or sorted but the first symbols. Neighbours in the array
+   that agree for a string's symbols are repeats.
+
+A group of more than CROWD parts, which one task might not hold, is cut into
+single strings, and these are grouped by their whole bytes instead of the core's.
+
+Null and empty texts and those of fewer than NOTED bytes lose nothing, repeated
 rows are repeats of each other, an empty table gives an empty result; other
-columns pass through, those with the name of a result are replaced. Bytes are removed wherever they are: what is kept need not
-be valid UTF-8, and is binary.
+columns pass through, those with the name of a result are replaced. Bytes are
+removed wherever they are: what is kept need not be valid UTF-8, and is binary.
 """
 
 from __future__ import annotations
@@ -42,18 +44,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shuffle_width, sliced, text_buffers, without
+from .common import bloom_filter, bloom_hits, saved, shuffle_width, sliced, text_buffers, without
 
-LENGTH, GRAM, STEP = 400, 32, 64
-CORE = LENGTH - STEP + 1
+LENGTH, NOTED, GRAM, STEP = 400, 300, 32, 128
+CORE, MORE = NOTED - STEP + 1, LENGTH - NOTED
 CROWD = 2_000
-BLOOM_BITS = 1 << 26
+#: Parts into which the copies of one text are dealt where their spans meet them.
+SALTS = 4
 
 
 def items(data: np.ndarray, offsets: np.ndarray):
     """First strings, numbers of strings, anchors and anchor hashes of all items."""
     n = len(data)
-    if n < LENGTH:
+    if n < NOTED:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     with np.errstate(over="ignore"):
         h, b, w = data.astype(np.uint64) + np.uint64(1), np.uint64(0x9E3779B97F4A7C15), 1
@@ -65,14 +68,14 @@ def items(data: np.ndarray, offsets: np.ndarray):
         h ^= h >> np.uint64(32)
     # the hash's upper half, then the place counted down: the least is the rightmost least
     m = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(h), dtype=np.uint64))
-    span, w = LENGTH - GRAM + 1, 1
+    span, w = NOTED - GRAM + 1, 1
     while 2 * w <= span:
         m = np.minimum(m[:-w], m[w:])
         w *= 2
     m = np.minimum(m[: len(m) - (span - w)], m[span - w :])
     at = (np.uint64(0xFFFFFFFF) - (m & np.uint64(0xFFFFFFFF))).astype(np.int64)
-    begins = offsets[:-1][np.diff(offsets) >= LENGTH]
-    lasts = offsets[1:][np.diff(offsets) >= LENGTH] - LENGTH
+    begins = offsets[:-1][np.diff(offsets) >= NOTED]
+    lasts = offsets[1:][np.diff(offsets) >= NOTED] - NOTED
     fresh = np.zeros(len(at) + 1, bool)
     fresh[1:-1] = at[1:] != at[:-1]
     fresh[begins] = True
@@ -99,42 +102,41 @@ def anchor_rows(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "h long")
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    mask = BLOOM_BITS - 1
-    at = F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", 32).bitwiseAND(mask)))
-    words = ids.select(at.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b")).toArrow()
-    out = np.zeros(BLOOM_BITS >> 6, np.int64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy()
-    return out
+def _places(h):
+    return h, F.shiftrightunsigned(h, 32)
 
 
 def _held(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which of the hashes the Bloom filter may hold."""
-    mask = np.uint64(BLOOM_BITS - 1)
-    p, q = (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
-    return ((words[p >> 6] >> (p & 63)) & (words[q >> 6] >> (q & 63)) & 1) == 1
+    return bloom_hits(words, h.view(np.int64), (h >> np.uint64(32)).view(np.int64)) if len(h) else np.zeros(0, bool)
+
+
+def _ids(whole: bytes, starts, sizes, ends) -> np.ndarray:
+    """Digests (n, 2) of items: how many strings they have, and the bytes up to LENGTH after the last one's start or the text's end."""
+    return np.frombuffer(b"".join([blake2b(whole[a : min(a + k - 1 + LENGTH, end)], digest_size=16, salt=k.to_bytes(4, "big")).digest() for a, k, end in zip(starts.tolist(), sizes.tolist(), ends.tolist())]), "<i8").reshape(-1, 2)
 
 
 def item_rows(docs: DataFrame, again: DataFrame, text: str) -> DataFrame:
-    """t1, t2 (the text's hashes), start, n, h and digest of the items whose anchors occur again (h); a Bloom filter of fixed size may let some others pass."""
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(again))
+    """t1, t2 (the text's hashes), start, n strings, m of which have LENGTH bytes, h and digest of the items whose anchors occur again (h); a Bloom filter lets some others pass."""
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_filter(again, *_places(F.col("h"))))
 
     def run(batches):
         for batch in sliced(batches, text):
             data, offsets = text_buffers(batch.column(2))
             starts, sizes, _, h = items(data, offsets)
-            hit = _held(bloom.value, h) if len(h) else np.zeros(0, bool)
+            hit = _held(bloom.value, h)
             if not hit.any():
                 continue
             starts, sizes, h = starts[hit], sizes[hit], h[hit]
-            whole, doc = data.tobytes(), np.searchsorted(offsets, starts, "right") - 1
-            d = np.frombuffer(b"".join([blake2b(whole[a : a + k + LENGTH - 1], digest_size=16).digest() for a, k in zip(starts.tolist(), sizes.tolist())]), "<i8").reshape(-1, 2)
+            doc = np.searchsorted(offsets, starts, "right") - 1
+            ends = offsets[doc + 1]
+            d, full = _ids(data.tobytes(), starts, sizes, ends), np.clip(ends - LENGTH + 1 - starts, 0, sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array((starts - offsets[doc]).astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1])],
-                ["t1", "t2", "start", "n", "h", "d1", "d2"],
+                [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), *(pa.array(x.astype(np.int32)) for x in (starts - offsets[doc], sizes, full)), pa.array(h.view(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1])],
+                ["t1", "t2", "start", "n", "m", "h", "d1", "d2"],
             )
 
-    return docs.select("t1", "t2", text).mapInArrow(run, "t1 long, t2 long, start int, n int, h long, d1 long, d2 long")
+    return docs.select("t1", "t2", text).mapInArrow(run, "t1 long, t2 long, start int, n int, m int, h long, d1 long, d2 long")
 
 
 PART = "c1 long, c2 long, i1 long, i2 long, at int, n int, side binary, core int"
@@ -142,26 +144,26 @@ PART = "c1 long, c2 long, i1 long, i2 long, at int, n int, side binary, core int
 
 def part_rows(docs: DataFrame, open_: DataFrame, text: str) -> DataFrame:
     """Parts of the items whose anchors open_ (h) names: core digest, item, first string, strings, both sides and the left one's length."""
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(open_))
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_filter(open_, *_places(F.col("h"))))
 
     def run(batches):
         for batch in sliced(batches, text):
             data, offsets = text_buffers(batch.column(0))
             starts, sizes, anchors, h = items(data, offsets)
-            hit = np.flatnonzero(_held(bloom.value, h)) if len(h) else np.zeros(0, np.int64)
+            hit = np.flatnonzero(_held(bloom.value, h))
             whole, seen, out = data.tobytes(), set(), []
-            for a, k, anchor in zip(starts[hit].tolist(), sizes[hit].tolist(), anchors[hit].tolist()):
-                digest = blake2b(whole[a : a + k + LENGTH - 1], digest_size=16).digest()
-                if digest in seen:
+            starts, sizes = starts[hit], sizes[hit]
+            ends = offsets[np.searchsorted(offsets, starts, "right")]
+            for a, k, anchor, end, (i1, i2) in zip(starts.tolist(), sizes.tolist(), anchors[hit].tolist(), ends.tolist(), _ids(whole, starts, sizes, ends).tolist()):
+                if (i1, i2) in seen:
                     continue
-                seen.add(digest)
-                i1, i2 = np.frombuffer(digest, "<i8").tolist()
+                seen.add((i1, i2))
                 # strings start at a .. a+k-1; the anchor's place in them tells the part
                 for c in range((anchor - a - k + 1) // STEP, (anchor - a) // STEP + 1):
                     core = anchor - STEP * c
                     first, last = max(a, core - STEP + 1), min(a + k - 1, core)
                     c1, c2 = np.frombuffer(blake2b(whole[core : core + CORE], digest_size=16, salt=c.to_bytes(2, "big")).digest(), "<i8").tolist()
-                    out.append((c1, c2, i1, i2, first - a, last - first + 1, whole[first:core] + whole[core + CORE : last + LENGTH], core - first))
+                    out.append((c1, c2, i1, i2, first - a, last - first + 1, whole[first:core] + whole[core + CORE : min(last + LENGTH, end)], core - first))
             if out:
                 kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["c1", "c2", "i1", "i2", "at", "n", "side", "core"])
@@ -169,72 +171,101 @@ def part_rows(docs: DataFrame, open_: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, PART)
 
 
-def suffix_array(text: str) -> list[int]:
-    """Starts of the suffixes of text in their order; the last symbol of each part of text must occur once."""
+def suffix_array(text: np.ndarray) -> list[int]:
+    """Starts of the suffixes of text (symbols, uint16) in their order."""
     n = len(text)
-    reach = 2 * STEP + 2  # no two suffixes agree for longer: parts end in symbols of their own
-    nearer, following, stack = [-1] * n, [n] * n, []
-    tops = [text[i : i + reach] for i in range(n)]
-    for i, word in enumerate(tops):
-        while stack and word < tops[stack[-1]]:
-            following[stack.pop()] = i
-        nearer[i] = stack[-1] if stack else -1  # the previous smaller suffix
-        stack.append(i)
-    groups: dict[str, list[int]] = defaultdict(list)
-    for i in range(n):
-        groups[text[i : following[i]]].append(i)
-    # from the greatest group down: where each begins
-    begin, at = {}, n
-    for word in sorted(groups, reverse=True):
-        at -= len(groups[word])
-        for i in groups[word]:
-            begin[i] = word
-        groups[word] = at  # type: ignore[assignment]
-    smaller: dict[int, list[int]] = defaultdict(list)
-    for i in range(n):
-        smaller[following[i]].append(i)
-    out = [0] * n
-    place: dict[str, int] = groups  # type: ignore[assignment]
-
-    def fill(s: int) -> None:
-        for i in smaller.get(s, ()):
-            out[place[begin[i]]] = i
-            place[begin[i]] += 1
-
-    fill(n)
-    for k in range(n):
-        fill(out[k])
+    order = np.argsort(text, kind="stable")  # by counting
+    fresh = np.ones(n, bool)
+    fresh[1:] = text[order][1:] != text[order][:-1]
+    head = np.flatnonzero(fresh)
+    begins, places = np.empty(n, np.int64), np.empty(n, np.int64)
+    begins[order], places[order] = head[np.cumsum(fresh) - 1], np.arange(n)
+    lengths = np.zeros(n + 1, np.int64)
+    lengths[head] = np.diff(np.append(head, n))
+    # row: suffixes by group; where: a suffix's place in it; group: its group's first place; size: of the group that begins there
+    row, where, group, size = order.tolist(), places.tolist(), begins.tolist(), lengths.tolist()
+    smaller = [-1] * n  # the previous suffix of a smaller group
+    end = n
+    while end:
+        begin = group[row[end - 1]]
+        members = row[begin:end]
+        for i in members:
+            p = i - 1
+            while p >= 0 and group[p] > begin:
+                p = smaller[p]
+            smaller[i] = p
+        grown: dict[int, int] = {}
+        for i in members:
+            p = top = smaller[i]
+            while top >= 0 and group[top] == begin:
+                top = smaller[top]
+            while p != top:  # shortens the way for the others of a run
+                smaller[p], p = top, smaller[p]
+            smaller[i] = top
+            if top >= 0:
+                grown[top] = grown.get(top, 0) + 1
+        times: list[list[int]] = [[] for _ in range(max(grown.values(), default=0))]
+        for p, k in grown.items():
+            times[k - 1].append(p)
+        for same in reversed(times):
+            for p in same:
+                g = group[p]
+                size[g] -= 1
+                last = g + size[g]
+                q, x = row[last], where[p]
+                row[x], where[q], row[last], where[p] = q, x, p, last
+            for p in same:
+                group[p] += size[group[p]]
+            for p in same:
+                size[group[p]] += 1
+        end = begin
+    out, free, placed = [0] * n, list(range(n)), [False] * n
+    at = -1
+    while at < n:
+        p = (n if at < 0 else out[at]) - 1
+        while p >= 0 and not placed[p]:
+            g = group[p]
+            out[free[g]], placed[p] = p, True
+            free[g] += 1
+            p = smaller[p]
+        at += 1
+        if at == n:
+            break
     return out
 
 
-def repeats(parts: list[tuple[bytes, int, int]]) -> list[list[int]]:
-    """For each part (both sides, length of the left one, strings) the strings that another part has too.
+def repeats(parts: list[tuple[bytes, int, int]]) -> list[tuple[list[int], list[int]]]:
+    """For each part (both sides, length of the left one, strings) the strings that another part has too: of NOTED bytes, and of LENGTH.
 
     Parts with equal sides and core places must be given once.
     """
     m = len(parts)
-    core, base = chr(m), m + 1
-    symbols, firsts, at = [], [], 0
+    pieces = []
     for k, (side, left, _) in enumerate(parts):
-        text = "".join(map(chr, [base + b for b in side]))
-        symbols.append(text[:left] + core + text[left:] + chr(k))
-        firsts.append(at)
-        at += len(side) + 2
-    text = "".join(symbols)
+        data = np.frombuffer(side, np.uint8).astype(np.uint16) + np.uint16(m + 1)
+        pieces += [data[:left], [m], data[left:], [k]]
+    symbols = np.concatenate(pieces).astype(np.uint16)
+    firsts = np.cumsum([0, *(len(side) + 2 for side, _, _ in parts)]).tolist()
+    text = "".join(map(chr, symbols.tolist()))
     # a string is the core and STEP - 1 bytes beside it
     number = {first + j: (k, j) for k, (first, (_, _, n)) in enumerate(zip(firsts, parts)) for j in range(n)}
-    found: list[set[int]] = [set() for _ in parts]
-    last, before = None, ""
-    for s in suffix_array(text):
-        if s not in number:
-            last = None
-            continue
-        here = text[s : s + STEP]
-        if last is not None and here == before:
+    noted: list[set[int]] = [set() for _ in parts]
+    gone: list[set[int]] = [set() for _ in parts]
+    last = -1
+    for s in suffix_array(symbols):
+        if s in number and last in number and text[s : s + STEP] == text[last : last + STEP]:
             for k, j in (number[last], number[s]):
-                found[k].add(j)
-        last, before = s, here
-    return [sorted(f) for f in found]
+                noted[k].add(j)
+            if text[s : s + STEP + MORE] == text[last : last + STEP + MORE]:
+                for k, j in (number[last], number[s]):
+                    gone[k].add(j)
+        last = s
+    return [(sorted(x), sorted(y)) for x, y in zip(noted, gone)]
+
+
+def _long(side: bytes, n: int) -> int:
+    """How many of a part's n strings have LENGTH bytes."""
+    return max(0, min(n, len(side) + 1 - (STEP + MORE) + 1))
 
 
 def _runs(strings: list[int]):
@@ -246,7 +277,7 @@ def _runs(strings: list[int]):
 
 
 def group_repeats(parts: DataFrame) -> DataFrame:
-    """i1, i2, at, n: strings of items that repeat, from parts grouped by their cores."""
+    """i1, i2, at, n, size: strings of items that repeat (n of size bytes from at on), from parts grouped by their cores."""
 
     def run(batches):
         carry = None
@@ -263,13 +294,14 @@ def group_repeats(parts: DataFrame) -> DataFrame:
                 if sum(map(len, sides.values())) < 2:
                     return
                 kinds = list(sides)
-                found = repeats(kinds) if len(kinds) > 1 else [[]]
+                found = repeats([(side, core, n) for side, core, n in kinds]) if len(kinds) > 1 else [([], [])]
                 for (side, core, n), again in zip(kinds, found):
                     owners = sides[side, core, n]
-                    strings = range(n) if len(owners) > 1 else again
-                    if strings:
-                        for first, count in _runs(list(strings)):
-                            out.extend((i1, i2, at + first, count) for i1, i2, at in owners)
+                    if len(owners) > 1:
+                        again = list(range(n)), list(range(_long(side, n)))
+                    for strings, size in zip(again, (NOTED, LENGTH)):
+                        for first, count in _runs(strings) if strings else ():
+                            out.extend((i1, i2, at + first, count, size) for i1, i2, at in owners)
 
             for c1, c2, *rest in rows:
                 if (c1, c2) != key:
@@ -280,7 +312,7 @@ def group_repeats(parts: DataFrame) -> DataFrame:
             if len(held) > 1:
                 close()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int64()] * 2 + [pa.int32()] * 2)], ["i1", "i2", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int64()] * 2 + [pa.int32()] * 3)], ["i1", "i2", "at", "n", "size"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -296,76 +328,85 @@ def group_repeats(parts: DataFrame) -> DataFrame:
             yield from work(carry)
 
     ordered = parts.repartition(shuffle_width(parts.sparkSession), "c1", "c2").sortWithinPartitions("c1", "c2", "i1", "i2")
-    return ordered.mapInArrow(run, "i1 long, i2 long, at int, n int")
+    return ordered.mapInArrow(run, "i1 long, i2 long, at int, n int, size int")
 
 
 def crowd_repeats(parts: DataFrame) -> DataFrame:
-    """The same from crowded groups, by the digests of single strings."""
+    """The same from crowded groups, cut into single strings."""
 
     def run(batches):
         for batch in batches:
             out = []
             for c1, c2, i1, i2, at, n, side, core in zip(*(c.to_pylist() for c in batch.columns)):
-                for j in range(n):
-                    # string j: the left side from j on, the core, then as much as makes it whole
-                    own = side[j : j + STEP - 1]
-                    w1, w2 = np.frombuffer(blake2b(own, digest_size=16, salt=(core - j).to_bytes(2, "big")).digest(), "<i8").tolist()
-                    out.append((c1, c2, w1, w2, i1, i2, at + j))
+                for size, beside, count in ((NOTED, STEP - 1, n), (LENGTH, STEP - 1 + MORE, _long(side, n))):
+                    for j in range(count):
+                        # string j: the left side from j on, the core, then as much as makes it whole
+                        w1, w2 = np.frombuffer(blake2b(side[j : j + beside], digest_size=16, salt=(core - j).to_bytes(2, "big")).digest(), "<i8").tolist()
+                        out.append((c1, c2, w1, w2, size, i1, i2, at + j))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int64()] * 6 + [pa.int32()])], ["c1", "c2", "w1", "w2", "i1", "i2", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()])], ["c1", "c2", "w1", "w2", "size", "i1", "i2", "at"])
 
-    strings = parts.mapInArrow(run, "c1 long, c2 long, w1 long, w2 long, i1 long, i2 long, at int")
-    key = ["c1", "c2", "w1", "w2"]
+    strings = parts.mapInArrow(run, "c1 long, c2 long, w1 long, w2 long, size int, i1 long, i2 long, at int")
+    key = ["c1", "c2", "w1", "w2", "size"]
     again = strings.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*key)
-    return strings.join(again, key).select("i1", "i2", "at", F.lit(1).alias("n"))
+    return strings.join(again, key).select("i1", "i2", "at", F.lit(1).alias("n"), "size")
+
+
+def _merged(spans) -> list[list[int]]:
+    merged: list[list[int]] = []
+    for a, b in sorted(spans):
+        if merged and merged[-1][1] >= a:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    return merged
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with kept (binary), n_bytes, n_removed, n_spans and removed, the spans as (start, end) bytes."""
-    docs = without(docs, "kept", "n_bytes", "n_removed", "n_spans", "removed", "t1", "t2", "__found")
+    """docs with kept (binary), n_bytes, n_removed, n_spans, removed (the spans as (start, end) bytes) and n_repeated."""
+    docs = without(docs, "kept", "n_bytes", "n_removed", "n_spans", "removed", "n_repeated", "t1", "t2", "salt", "__found")
     own = docs.columns
     # rows are told apart by their texts: equal texts lose the same bytes
     rows = docs.withColumns({"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)})
-    again = anchor_rows(docs, text).groupBy("h").count().where("count > 1").select("h")
+    again = saved(anchor_rows(docs, text).groupBy("h").count().where("count > 1").select("h"), "suffix-anchors")
     every = saved(item_rows(rows, again, text), "suffix-items")
-    kinds = every.groupBy("h", "d1", "d2").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
-    whole = kinds.where("k > 1").select("d1", "d2", F.lit(0).alias("at"), "n")
-    open_ = kinds.groupBy("h").count().where("count > 1").select("h")
+    kinds = every.groupBy("h", "d1", "d2").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
+    run = F.struct(F.lit(0).alias("at"), F.col("n"), F.lit(NOTED).alias("size")), F.struct(F.lit(0).alias("at"), F.col("m").alias("n"), F.lit(LENGTH).alias("size"))
+    whole = kinds.where("k > 1").select("d1", "d2", F.array_distinct(F.when(F.col("m") > 0, F.array(*run)).otherwise(F.array(run[0]))).alias("runs"))
+    open_ = saved(kinds.groupBy("h").count().where("count > 1").select("h"), "suffix-open")
     # parts of one item come from every text that holds it: they count once
     parts = saved(part_rows(docs, open_, text), "suffix-parts")
     crowds = parts.select("c1", "c2", "i1", "i2").distinct().groupBy("c1", "c2").count().where(f"count > {CROWD}").select("c1", "c2")
     crowds = saved(crowds, "suffix-crowds")
     calm = parts.join(crowds, ["c1", "c2"], "left_anti")
     crowd = parts.join(crowds, ["c1", "c2"], "left_semi").dropDuplicates(["c1", "c2", "i1", "i2"])
-    found = saved(group_repeats(calm).unionByName(crowd_repeats(crowd)).groupBy("i1", "i2").agg(F.collect_set(F.struct("at", "n")).alias("runs")), "suffix-found")
-    marked = whole.select("d1", "d2", F.array(F.struct("at", "n")).alias("runs")).unionByName(found.select(F.col("i1").alias("d1"), F.col("i2").alias("d2"), "runs"))
-    spans = every.join(marked, ["d1", "d2"]).select("t1", "t2", F.explode("runs").alias("r"), "start").select("t1", "t2", (F.col("start") + F.col("r.at")).alias("a"), (F.col("start") + F.col("r.at") + F.col("r.n") + (LENGTH - 1)).alias("b"))
-    per = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("__found"))
+    found = group_repeats(calm).unionByName(crowd_repeats(crowd)).groupBy(F.col("i1").alias("d1"), F.col("i2").alias("d2")).agg(F.collect_set(F.struct("at", "n", "size")).alias("runs"))
+    marked = saved(whole.unionByName(found), "suffix-found")
+    spans = every.join(marked, ["d1", "d2"]).select("t1", "t2", F.explode("runs").alias("r"), "start")
+    spans = spans.select("t1", "t2", (F.col("start") + F.col("r.at")).alias("a"), (F.col("start") + F.col("r.at") + F.col("r.n") + F.col("r.size") - 1).alias("b"), (F.col("r.size") == LENGTH).alias("gone"))
+    per = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b", "gone")).alias("__found")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
-    def run(batches):
+    def cut(batches):
         for batch in sliced(batches, text):
             texts, spans = batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index("__found")).to_pylist()
-            kept, sizes, gone, runs = [], [], [], []
+            kept, sizes, gone, runs, noted = [], [], [], [], []
             for t, got in zip(texts, spans):
                 data = (t or "").encode()
-                merged: list[list[int]] = []
-                for a, b in sorted((g["a"], g["b"]) for g in got or ()):
-                    if merged and merged[-1][1] >= a:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
+                merged = _merged((g["a"], g["b"]) for g in got or () if g["gone"])
                 edges = [0, *(e for x in merged for e in x), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 sizes.append(len(data))
                 gone.append(sum(b - a for a, b in merged))
                 runs.append([{"start": a, "end": b} for a, b in merged])
+                noted.append(sum(b - a for a, b in _merged((g["a"], g["b"]) for g in got or ())))
             left = batch.drop_columns(["__found"])
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [*left.columns, pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(r) for r in runs], pa.int64()), pa.array(runs, span)],
-                [*left.schema.names, "kept", "n_bytes", "n_removed", "n_spans", "removed"],
+                [*left.columns, pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(r) for r in runs], pa.int64()), pa.array(runs, span), pa.array(noted, pa.int64())],
+                [*left.schema.names, "kept", "n_bytes", "n_removed", "n_spans", "removed", "n_repeated"],
             )
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in own) + ", kept binary, n_bytes long, n_removed long, n_spans long, removed array<struct<start: bigint, end: bigint>>"
-    return rows.join(per, ["t1", "t2"], "left").select(*own, "__found").mapInArrow(run, schema)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in own) + ", kept binary, n_bytes long, n_removed long, n_spans long, removed array<struct<start: bigint, end: bigint>>, n_repeated long"
+    salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    return salted.join(per, ["t1", "t2", "salt"], "left").select(*own, "__found").mapInArrow(cut, schema)
