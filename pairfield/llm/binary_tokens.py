@@ -4,8 +4,8 @@ Documents are encoded where they are read, dealt out by ranges of doc_id and
 written as blocks of about BLOCK ids. Each block is compressed by Re-Pair: the
 most frequent pairs of neighbouring symbols become new symbols, again and again
 (a round replaces many pairs at once; where their places overlap the more
-frequent pair wins), until a round saves little or symbols run out. A row of the file table is one
-block:
+frequent pair wins), until no pair stands in LEAST_PLACES places or the symbols
+that 16 bits hold run out. A row of the file table is one block:
 
     shard, block     order of the blocks: ascending doc_id
     doc_ids          int64, one for each document
@@ -37,8 +37,9 @@ from .common import saved, shuffle_width, sliced
 BLOCK = 1 << 20
 BASE = 49_408
 MOST_SYMBOLS = 65_536
-#: Rules that a round may add, the fewest places that make a rule, and the saving that ends the rounds.
-ROUND_RULES, LEAST_PLACES, LEAST_SAVING = 4_096, 8, 0.02
+#: Rules that a round may add, and the fewest places that make a rule.
+ROUND_RULES, LEAST_PLACES = 4_096, 8
+SLOT_BITS = 20
 END = 1
 FILE_SCHEMA = "shard int, block int, n_docs long, n_ids long, doc_ids binary, n_symbols binary, rules binary, lengths binary, symbols binary"
 
@@ -50,49 +51,47 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
     made = 0
-    while True:
-        room = min(ROUND_RULES, MOST_SYMBOLS - BASE - made)
-        if room <= 0 or len(a) < 2 * LEAST_PLACES:
-            break
-        pairs = (a[:-1] << 16) | a[1:]
-        inside = ~last[:-1]
-        ranked = np.sort(pairs[inside])
-        if not len(ranked):
+    table = np.zeros(1 << SLOT_BITS, np.int32)
+    # places whose pair may be frequent: a round makes none but beside the places that it replaced
+    live = np.flatnonzero(~last[:-1])
+    while (room := min(ROUND_RULES, MOST_SYMBOLS - BASE - made)) > 0 and len(live):
+        pairs = (a[live] << np.uint32(16)) | a[live + 1]
+        # pairs whose slot was hit too seldom are too seldom themselves
+        slot = (pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
+        often = np.bincount(slot, minlength=len(table))[slot] >= LEAST_PLACES
+        live, pairs, slot = live[often], pairs[often], slot[often]
+        if not len(live):
             break
+        ranked = np.sort(pairs)
         heads = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         counts = np.diff(np.concatenate([heads, [len(ranked)]]))
-        often = np.flatnonzero(counts >= LEAST_PLACES)
-        if len(often) > room:
-            often = often[np.argsort(-counts[often], kind="stable")[:room]]
-            often.sort()
-        if not len(often):
-            break
-        keys, weight = ranked[heads[often]], counts[often]
-        order = np.argsort(-weight, kind="stable")
-        rank = np.empty(len(keys), np.int32)
-        rank[order] = np.arange(len(keys), dtype=np.int32)
-        at = np.searchsorted(keys, pairs)
-        at[at == len(keys)] = 0
-        hit = inside & (keys[at] == pairs)
-        place = np.full(len(pairs) + 2, len(keys), np.int32)
-        place[1:-1][hit] = rank[at[hit]]
-        here, before, after = place[1:-1], place[:-2], place[2:]
-        # of a symbol repeated, every second place
-        at = np.arange(len(hit))
-        first = np.maximum.accumulate(np.where(here != before, at, 0))
-        take = hit & (here < before)[first] & ((at - first) % 2 == 0) & (here <= after)
-        where = np.flatnonzero(take)
-        if len(where) < LEAST_SAVING * len(a) and rules:
+        chosen = np.flatnonzero(counts >= LEAST_PLACES)
+        chosen = chosen[np.argsort(-counts[chosen], kind="stable")[:room]]
+        if not len(chosen):
             break
+        keys = ranked[heads[chosen]]  # the most frequent first
+        # of two in one slot the more frequent is taken now, the other in a later round
+        table[(keys[::-1] * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)] = np.arange(len(keys), dtype=np.int32)[::-1]
+        rank = table[slot]
+        hit = keys[np.minimum(rank, len(keys) - 1)] == pairs
+        where, rank = live[hit], rank[hit]
+        # where places overlap the more frequent pair wins; of a symbol repeated, every second place
+        beside = np.where(np.diff(where) == 1, 0, len(keys))
+        before, after = np.append(len(keys), np.maximum(rank[:-1], beside)), np.append(np.maximum(rank[1:], beside), len(keys))
+        at = np.arange(len(where))
+        first = np.maximum.accumulate(np.where(rank != before, at, 0))
+        take = (rank < before)[first] & ((at - first) % 2 == 0) & (rank <= after)
+        where = where[take]
         # pairs that lost all their places take no symbol
-        used, symbol = np.unique(here[where], return_inverse=True)
+        used, symbol = np.unique(rank[take], return_inverse=True)
         a[where] = BASE + made + symbol.astype(np.uint32)
         last[where] = last[where + 1]
-        stay = np.ones(len(a), bool)
+        stay, open_ = np.ones(len(a), bool), np.zeros(len(a), bool)
         stay[where + 1] = False
+        open_[live] = open_[where] = open_[np.maximum(where, 1) - 1] = True
         a, last = a[stay], last[stay]
-        chosen = keys[order][used]
-        rules.append(np.stack([chosen >> 16, chosen & 0xFFFF], 1))
+        live = np.flatnonzero(open_[stay][:-1] & ~last[:-1])
+        rules.append(np.stack([keys[used] >> 16, keys[used] & 0xFFFF], 1))
         made += len(used)
     # the ends in the symbols: full documents end where last stands, empty ones add nothing
     full = np.diff(np.concatenate([[0], ends])) > 0
@@ -144,6 +143,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, bounds: list[int], text:
         enc, edges = encoder(vocabulary), np.array(bounds, np.int64)
         for batch in sliced(batches, text):
             ids, counts = enc.encode(batch.column(1))
+            if len(ids) and int(ids.max()) >= BASE:
+                raise ValueError(f"ids must be under {BASE}: {vocabulary}")
             n = len(counts)
             ends = np.cumsum(counts + 1)
             full = np.insert(ids, np.cumsum(counts), end).astype(np.uint16)

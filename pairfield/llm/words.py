@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words and pieces that a worker keeps.
+#: Pieces that a worker keeps, and half of the words.
 CACHED = 400_000
 
 
@@ -45,6 +45,7 @@ class WordEncoder:
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
         ids = self.known.get(piece)
@@ -69,19 +70,26 @@ class WordEncoder:
             self.words[word] = ids
         return ids
 
+    def renewed(self, word: str) -> bytes:
+        if (ids := self.before.get(word)) is None:
+            return self.word(word)
+        self.words[word] = ids
+        return ids
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: none) in a row, and the count of each text."""
-        for known in (self.words, self.known):
-            if len(known) >= CACHED:
-                known.clear()
+        if len(self.known) >= CACHED:
+            self.known.clear()
+        if len(self.words) >= CACHED:  # words not met again since the last time are forgotten
+            self.words, self.before = {}, self.words
         parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         words = parts.flatten().dictionary_encode()
         codes = words.indices.to_numpy(zero_copy_only=False)
-        get, word = self.words.get, self.word
+        get, renewed = self.words.get, self.renewed
         # no word holds a space: one long text is split faster than an array is listed
         listed = pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary.cast(pa.string()))
         distinct = pc.binary_join(listed, " ")[0].as_py().split(" ") if len(words.dictionary) else []
-        made = [word(w) if (ids := get(w)) is None else ids for w in distinct]
+        made = [renewed(w) if (ids := get(w)) is None else ids for w in distinct]
         sizes = np.fromiter(map(len, made), np.int64, len(made)) >> 1
         ids, ends = spread(np.frombuffer(b"".join(made), np.uint16), sizes, codes)
         counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
