@@ -8,7 +8,7 @@ joins are then repaired: ids beside a join are encoded again between the nearest
 places where a token surely ends (white space after a letter or mark), further
 out if the two sides do not end a token there, until both agree.
 
-Which chunks occur again is told to the readers by a Bloom filter of fixed size;
+Which chunks occur again is told to the readers by a Bloom filter of bounded size;
 a chunk wrongly taken for a shared one goes the longer way and comes out the same.
 Documents with one text share all work: they are told apart by the text's digest.
 
@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, sliced, text_buffers
+from .common import bloom_filter, bloom_hits, saved, sliced, text_buffers
 from .substring import cuts
 
 MEAN_CHUNK = 512
-#: Bits of the Bloom filter: 16 MB at any corpus size.
-BLOOM_BITS = 1 << 27
+#: Chunks of which a task remembers that it has handed their bytes on.
+MOST_TOLD = 500_000
 SPECIAL = "<|endoftext|>"
 
 
@@ -69,7 +69,7 @@ class ByteCoder:
     def encode(self, data: bytes) -> list[int]:
         if not data:
             return []
-        if data.isascii() or max(data) < 0xC9:
+        if data.isascii() or max(data) < 0xC9:  # no byte that begins a letter after U+023F
             return self.fast.encode(data.decode(), allowed_special={SPECIAL})
         return self.whole.encode(data.decode(), add_special_tokens=False).ids
 
@@ -139,8 +139,7 @@ def _chunked(texts: pa.Array):
 
 
 def _places(d1, d2):
-    mask = BLOOM_BITS - 1
-    return [d1.bitwiseAND(mask), F.shiftrightunsigned(d1, 32).bitwiseAND(mask), d2.bitwiseAND(mask)]
+    return d1, F.shiftrightunsigned(d1, 32), d2
 
 
 def shared_filter(docs: DataFrame, text: str) -> np.ndarray:
@@ -152,12 +151,8 @@ def shared_filter(docs: DataFrame, text: str) -> np.ndarray:
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["d1", "d2"])
 
-    again = docs.select(text).mapInArrow(run, "d1 long, d2 long").groupBy("d1", "d2").count().where("count > 1")
-    bits = again.select(F.explode(F.array(*_places(F.col("d1"), F.col("d2")))).alias("p"))
-    words = bits.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b")).toArrow()
-    out = np.zeros(BLOOM_BITS >> 6, np.int64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy()
-    return out
+    again = docs.select(text).mapInArrow(run, "d1 long, d2 long").groupBy("d1", "d2").count().where("count > 1").select("d1", "d2")
+    return bloom_filter(saved(again, "bpe-shared"), *_places(F.col("d1"), F.col("d2")))
 
 
 FIELDS = "kind int, k1 long, k2 long, doc_id long, place int, d1 long, d2 long, data binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -173,16 +168,13 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
     names = schema.names
 
     def read(batches):
-        enc, words, mask = coder(vocabulary), bloom.value, BLOOM_BITS - 1
-
-        def known(p):
-            return (words[p >> 6] >> (p & 63)) & 1
-
+        enc = coder(vocabulary)
+        told: set[bytes] = set()  # chunks whose bytes this task has handed on
         for batch in sliced(batches, text):
             whole, offsets, edges, found = _chunked(batch.column(1))
-            u = found.view(np.uint64)
-            p1, p2, p3 = (u[:, 0] & np.uint64(mask)).astype(np.int64), ((u[:, 0] >> np.uint64(32)) & np.uint64(mask)).astype(np.int64), (u[:, 1] & np.uint64(mask)).astype(np.int64)
-            hot = (known(p1) & known(p2) & known(p3)) == 1
+            hot = bloom_hits(bloom.value, found[:, 0], (found[:, 0].view(np.uint64) >> np.uint64(32)).view(np.int64), found[:, 1])
+            if len(told) > MOST_TOLD:
+                told.clear()
             first = np.searchsorted(edges, offsets[:-1])
             last = np.searchsorted(edges, offsets[1:])
             rows: list[tuple] = []
@@ -202,7 +194,9 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
                             own = np.array(enc.encode(whole[edges[begin] : edges[j]]), np.uint16)
                             rows.append((OWN, k1, k2, None, int(edges[begin]) - a, None, None, own.tobytes(), *[None] * 3))
                         if j < y:
-                            rows.append((SHARED, k1, k2, None, int(edges[j]) - a, *found[j].tolist(), whole[edges[j] : edges[j + 1]], *[None] * 3))
+                            d = found[j].tobytes()
+                            rows.append((SHARED, k1, k2, None, int(edges[j]) - a, *found[j].tolist(), None if d in told else whole[edges[j] : edges[j + 1]], *[None] * 3))
+                            told.add(d)
                         begin = j + 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], names)
@@ -216,7 +210,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["d1", "d2", "ids"])
 
     pieces = read_.where(F.col("kind") == SHARED)
-    known = pieces.groupBy("d1", "d2").agg(F.first("data").alias("data")).mapInArrow(once, "d1 long, d2 long, ids binary")
+    known = pieces.groupBy("d1", "d2").agg(F.first("data", ignorenulls=True).alias("data")).mapInArrow(once, "d1 long, d2 long, ids binary")
     uses = pieces.select("k1", "k2", "place", "d1", "d2").distinct().join(known, ["d1", "d2"]).select("k1", "k2", "place", "ids")
     own = read_.where(F.col("kind") == OWN).groupBy("k1", "k2", "place").agg(F.first("data").alias("ids"))
     texts = uses.unionByName(own).groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("parts"))
