@@ -7,7 +7,10 @@ title tells. The same entity gets the same surrogate everywhere (an entity is
 its normal form: digits without layout, lower case, and a + before a phone's
 country code; secrets are told by their case). A surrogate is drawn from the
 normal form and laid out as the entity was found, so all spellings share it. A
-name has one gender: the one that its titles tell, none if they differ. Different entities of a
+name has one gender: the one that its titles (or, without any, its known first
+names) tell, none if they differ. People are found by a title, or by a first name
+of FIRST before a surname; their surnames are found wherever else the text has
+them, and get the surname of the full name's surrogate. Different entities of a
 type get different ones:
 
 - numbers pass a keyed permutation of all numbers of their length, so two never
@@ -26,6 +29,7 @@ columns pass through, those with the name of a result are replaced.
 from __future__ import annotations
 
 import hmac
+from bisect import bisect
 from functools import lru_cache
 
 import pyarrow as pa
@@ -36,7 +40,6 @@ from pyspark.sql import functions as F
 
 from .common import saved, sliced, without
 
-KEY = b"surrogates"
 ROUNDS = 20
 #: Draws from this one on are longer, by one more place each.
 WIDER = 10
@@ -66,6 +69,8 @@ SYLLABLES = {
     "Greek": "βα βε δα δε κα κε κο λα λε λο μα με μο να νε νο πα πε πο ρα ρε ρο σα σε τα τε το".split(),
 }
 
+#: Genders of the first names; those of several pools tell none.
+GENDERS = {name: gender if sum(name in pool for pool in FIRST.values()) == 1 else "n" for (_, gender), pool in FIRST.items() for name in pool}
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 PATTERNS = (
     ("email", r"[\p{L}\p{N}_%+-]+(?:\.[\p{L}\p{N}_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
@@ -77,9 +82,13 @@ PATTERNS = (
     ("card", r"(?<![\p{L}\p{N}])[0-9]{4}(?:[ -][0-9]{4}){3}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[0-9]{13,19}(?![\p{L}\p{N}])"),
     ("phone", r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{L}\p{N}])"),
     ("person", rf"\b(?P<title>{'|'.join(TITLES)})\.? (?P<person>{_NAME}(?: {_NAME}){{0,2}})"),
+    ("person", rf"(?<![\p{{L}}\p{{N}}])(?P<person>(?P<first>{'|'.join(GENDERS)})(?: {_NAME}){{1,2}})"),
 )
 #: What a text must hold to be searched at all.
-HINT = "[0-9@]|(?:" + "|".join(TITLES) + ")[.]? |[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww]|[Kk][Ee][Yy]['\"]?\\s*[:=]"
+HINT = "[0-9@]|(?:" + "|".join(TITLES) + ")[.]? |(?:" + "|".join(GENDERS) + ") \\p{Lu}|[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww]|[Kk][Ee][Yy]['\"]?\\s*[:=]"
+
+
+_WORD = regex.compile(rf"(?<![\p{{L}}\p{{N}}]){_NAME}")
 
 
 @lru_cache(maxsize=1)
@@ -87,22 +96,22 @@ def _patterns():
     return [(kind, regex.compile(p)) for kind, p in PATTERNS]
 
 
-def number(kind: str, *parts: object, key: bytes = KEY) -> int:
+def number(key: bytes, kind: str, *parts: object) -> int:
     return int.from_bytes(hmac.digest(key, "\x1f".join([kind, *map(str, parts)]).encode(), "sha256")[:16], "big")
 
 
-def permuted(kind: str, digits: str, attempt: int, key: bytes = KEY) -> str:
+def permuted(key: bytes, kind: str, digits: str, attempt: int) -> str:
     """digits under a keyed permutation of all digit strings of their length (a Feistel network)."""
     a = len(digits) // 2
     b = len(digits) - a
     if not a:
-        return str((int(digits) + 1 + number(kind, attempt, key=key) % 9) % 10)
+        return str((int(digits) + 1 + number(key, kind, attempt) % 9) % 10)
     x, y = int(digits[:a]), int(digits[a:])
     for i in range(8):
         if i % 2:
-            y = (y + number(kind, attempt, i, a, x, key=key)) % 10**b
+            y = (y + number(key, kind, attempt, i, a, x)) % 10**b
         else:
-            x = (x + number(kind, attempt, i, b, y, key=key)) % 10**a
+            x = (x + number(key, kind, attempt, i, b, y)) % 10**a
     return f"{x:0{a}d}{y:0{b}d}"
 
 
@@ -133,12 +142,12 @@ def script(word: str) -> str:
     return "Cyrillic" if 0x400 <= first < 0x530 else "Greek" if 0x370 <= first < 0x400 or 0x1F00 <= first < 0x2000 else "Latin"
 
 
-def letters(kind: str, text: str, attempt: int, key: bytes = KEY) -> str:
+def letters(key: bytes, kind: str, text: str, attempt: int) -> str:
     """Letters for letters of the same case, digits for digits; marks stay."""
-    draw, out = number(kind, attempt, text.lower(), key=key), []
+    draw, out = number(key, kind, attempt, text.lower()), []
     for i, c in enumerate(text):
         if i % 24 == 23:
-            draw = number(kind, attempt, i, text.lower(), key=key)
+            draw = number(key, kind, attempt, i, text.lower())
         if c.isdigit():
             draw, r = divmod(draw, 10)
             out.append(str(r))
@@ -150,56 +159,56 @@ def letters(kind: str, text: str, attempt: int, key: bytes = KEY) -> str:
     return "".join(out)
 
 
-def hexed(kind: str, text: str, attempt: int, key: bytes = KEY) -> str:
+def hexed(key: bytes, kind: str, text: str, attempt: int) -> str:
     out = ""
     while len(out) < len(text):
-        out += f"{number(kind, attempt, len(out), text.lower(), key=key):032x}"
+        out += f"{number(key, kind, attempt, len(out), text.lower()):032x}"
     return out[: len(text)].upper() if text.isupper() else out[: len(text)]
 
 
-def surrogate(kind: str, found: str, attempt: int = 0, key: bytes = KEY) -> str:
+def surrogate(key: bytes, kind: str, found: str, attempt: int = 0) -> str:
     """The surrogate of an entity as found, of attempt 0 unless it was drawn anew."""
     if kind == "card":
         digits = normal(kind, found) + "0" * wider(attempt)
-        body = permuted(kind, digits[:-1], attempt, key) if not luhn(digits) else None
+        body = permuted(key, kind, digits[:-1], attempt) if not luhn(digits) else None
         # a valid number stays valid; the others pass the permutation whole
-        fresh = permuted(kind, digits, attempt, key) if body is None else next(body + str(d) for d in range(10) if not luhn(body + str(d)))
+        fresh = permuted(key, kind, digits, attempt) if body is None else next(body + str(d) for d in range(10) if not luhn(body + str(d)))
         return laid_out(found, fresh)
     if kind in ("phone", "ssn"):
         norm = normal(kind, found)
         marked = regex.match(CODES, norm)
         digits, code = norm.lstrip("+") + "0" * wider(attempt), len(marked[0]) - 1 if marked else 0
-        return laid_out(found, digits[:code] + permuted(f"{kind}{digits[:code]}", digits[code:], attempt, key))
+        return laid_out(found, digits[:code] + permuted(key, f"{kind}{digits[:code]}", digits[code:], attempt))
     if kind == "ip":
         n = 0
         for part in found.split("."):
             n = n * 256 + int(part)
         x, y = divmod(n, 65_536)
         for i in range(8):
-            x, y = (x, (y + number(kind, attempt, i, x, key=key)) % 65_536) if i % 2 else ((x + number(kind, attempt, i, y, key=key)) % 65_536, y)
+            x, y = (x, (y + number(key, kind, attempt, i, x)) % 65_536) if i % 2 else ((x + number(key, kind, attempt, i, y)) % 65_536, y)
         return ".".join(str(b) for b in (x >> 8, x & 255, y >> 8, y & 255))
     if kind == "email":
         name, _, host = found.lower().rpartition("@")
         labels = host.split(".")
-        return letters(kind, name + "a" * wider(attempt), attempt, key) + "@" + ".".join([*(letters("host", x, attempt, key) for x in labels[:-1]), labels[-1]])
+        return letters(key, kind, name + "a" * wider(attempt), attempt) + "@" + ".".join([*(letters(key, "host", x, attempt) for x in labels[:-1]), labels[-1]])
     if kind == "secret":
-        return hexed(kind, found, attempt, key) if all(c in "0123456789abcdefABCDEF" for c in found) else letters(kind, found, attempt, key)
+        return hexed(key, kind, found, attempt) if all(c in "0123456789abcdefABCDEF" for c in found) else letters(key, kind, found, attempt)
     if kind == "iban":
-        at = iter(letters(kind, "".join(found[2:].split()), attempt, key))
+        at = iter(letters(key, kind, "".join(found[2:].split()), attempt))
         return found[:2] + "".join(c if c.isspace() else next(at) for c in found[2:])
     return found
 
 
-def person(names: str, gender: str, attempt: int = 0, key: bytes = KEY) -> str:
+def person(key: bytes, names: str, gender: str, attempt: int = 0) -> str:
     """First names by gender and script, the last one a surname of its script; each name maps alone, so parts of a full name keep to it."""
     parts, out = names.split(" "), []
     for i, name in enumerate(parts):
         kind = script(name)
         if i < len(parts) - 1:
-            pool = FIRST.get((kind, gender)) or FIRST[(kind, "f" if number("gender", name.lower(), key=key) % 2 else "m")]
-            made = pool[number("first", attempt, name.lower(), gender, key=key) % len(pool)]
+            pool = FIRST.get((kind, gender)) or FIRST[(kind, "f" if number(key, "gender", name.lower()) % 2 else "m")]
+            made = pool[number(key, "first", attempt, name.lower(), gender) % len(pool)]
         else:
-            draw, syllables = number("last", attempt, name.lower(), key=key), SYLLABLES[kind]
+            draw, syllables = number(key, "last", attempt, name.lower()), SYLLABLES[kind]
             made = ""
             for _ in range((6 if attempt else 5) + wider(attempt)):
                 draw, r = divmod(draw, len(syllables))
@@ -209,28 +218,61 @@ def person(names: str, gender: str, attempt: int = 0, key: bytes = KEY) -> str:
     return " ".join(out)
 
 
-def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, gender) of the entities of a text, in order, without overlaps; earlier patterns win."""
-    taken: list[tuple[int, int, str, str]] = []
+def entities(text: str) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, kind, gender, whole) of the entities of a text, in order, without overlaps; earlier patterns win.
+
+    whole is the entity's text; for a surname that stands alone, where the text
+    also has a full name with it, that name: the nearest before it, or the first.
+    """
+    taken: list[tuple[int, int, str, str, str]] = []
+
+    def take(a: int, b: int, kind: str, gender: str, whole: str) -> None:
+        at = bisect(taken, (a,))
+        if (at == len(taken) or b <= taken[at][0]) and (not at or taken[at - 1][1] <= a):
+            taken.insert(at, (a, b, kind, gender, whole))
+
     for kind, pattern in _patterns():
         for m in pattern.finditer(text):
             group = kind if kind in pattern.groupindex else 0
-            a, b = m.span(group)
-            if all(b <= x or a >= y for x, y, *_ in taken):
-                taken.append((a, b, kind, TITLES[m["title"]] if kind == "person" else ""))
-    return sorted(taken)
-
-
-def replaced(text: str, found: list[tuple[int, int, str, str]], again: dict[str, dict]) -> str:
+            said = m.groupdict()
+            take(*m.span(group), kind, TITLES[said["title"]] if said.get("title") else GENDERS.get(said.get("first"), ""), m[group])
+    full: dict[str, list[tuple[int, str, str]]] = {}
+    for a, _, kind, gender, whole in taken:
+        if kind == "person" and " " in whole:
+            full.setdefault(whole.split(" ")[-1].lower(), []).append((a, whole, gender))
+    if not full:
+        return taken
+
+    def named(at: int, last: str) -> tuple[str, str]:
+        said = full[last.lower()]
+        return said[max(bisect(said, (at,)) - 1, 0)][1:]
+
+    for i, (a, b, kind, gender, whole) in enumerate(taken):
+        if kind == "person" and " " not in whole and whole.lower() in full:
+            name, other = named(a, whole)
+            taken[i] = a, b, kind, gender if gender != "n" else other, name
+    for m in _WORD.finditer(text):
+        if m[0].lower() in full:
+            name, gender = named(m.start(), m[0])
+            take(*m.span(), "person", gender, name)
+    return taken
+
+
+def replaced(key: bytes, text: str, found: list[tuple[int, int, str, str, str]], again: dict[str, dict]) -> str:
     """text with surrogates; again: attempt and gender of the entities that have others than found here."""
     out, at = [], 0
-    for a, b, kind, gender in found:
-        said = text[a:b]
-        if other := again.get(f"{kind}|{normal(kind, said)}"):
+    for a, b, kind, gender, whole in found:
+        said, attempt = text[a:b], 0
+        if other := again.get(f"{kind}|{normal(kind, whole)}"):
             attempt, gender = other["attempt"], other["gender"]
-        else:
-            attempt = 0
-        out += [text[at:a], person(said, gender, attempt) if kind == "person" else surrogate(kind, said, attempt)]
+        if kind != "person":
+            made = surrogate(key, kind, said, attempt)
+        elif said == whole:
+            made = person(key, said, gender, attempt)
+        else:  # a surname alone
+            made = person(key, whole, gender, attempt).split(" ")[-1]
+            made = made.upper() if said.isupper() else made.capitalize()
+        out += [text[at:a], made]
         at = b
     return "".join(out) + text[at:]
 
@@ -252,8 +294,8 @@ def corpus_entities(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in sliced(batches, text):
             rows, out = batch.column(0), {"__row": [], "kind": [], "norm": [], "found": [], "gender": []}
             for i, said, found in _searched(batch, text):
-                for a, b, kind, gender in found:
-                    for name, value in zip(out, (rows[i].as_py(), kind, normal(kind, said[a:b]), said[a:b], gender)):
+                for _, _, kind, gender, whole in found:
+                    for name, value in zip(out, (rows[i].as_py(), kind, normal(kind, whole), whole, gender)):
                         out[name].append(value)
             if out["kind"]:
                 yield pa.RecordBatch.from_pydict(out, pa.schema([("__row", pa.int64()), *((c, pa.string()) for c in ("kind", "norm", "found", "gender"))]))
@@ -261,14 +303,14 @@ def corpus_entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("__row", text).mapInArrow(run, "__row long, kind string, norm string, found string, gender string")
 
 
-def collisions(every: DataFrame) -> DataFrame | None:
+def collisions(every: DataFrame, key: bytes) -> DataFrame | None:
     """kind, norm, attempt and gender of the entities that must be drawn anew or have several genders; None if there are none."""
 
     def draw(batches):
         for batch in batches:
             rows = batch.to_pylist()
             for r in rows:
-                made = person(r["found"], r["gender"], r["attempt"]) if r["kind"] == "person" else surrogate(r["kind"], r["found"], r["attempt"])
+                made = person(key, r["found"], r["gender"], r["attempt"]) if r["kind"] == "person" else surrogate(key, r["kind"], r["found"], r["attempt"])
                 r["made"] = normal(r["kind"], made)
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("kind", pa.string()), ("norm", pa.string()), ("found", pa.string()), ("gender", pa.string()), ("attempt", pa.int32()), ("made", pa.string())]))
 
@@ -296,13 +338,13 @@ def collisions(every: DataFrame) -> DataFrame | None:
     return None if again.isEmpty() else again
 
 
-def pseudonymise(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the text replaced, n_entities and kinds (how many of each kind)."""
+def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
+    """docs with the text replaced, n_entities and kinds (how many of each kind); who has the key can tell entities from surrogates."""
     docs = without(docs, "n_entities", "kinds", "__row", "__again")
     own = docs.columns
     rows = docs.withColumn("__row", F.xxhash64(text))
     every = saved(corpus_entities(rows, text), "entities")
-    again = collisions(every)
+    again = collisions(every, key)
     if again is None:
         rows = rows.drop("__row").withColumn("__again", F.lit(None).cast("map<string,struct<attempt:int,gender:string>>"))
     else:
@@ -315,10 +357,10 @@ def pseudonymise(docs: DataFrame, text: str = "text") -> DataFrame:
             at, again_at = batch.schema.get_field_index(text), batch.schema.get_field_index("__again")
             fresh, n, kinds = {}, [0] * batch.num_rows, [[]] * batch.num_rows
             for i, said, found in _searched(batch, text):
-                fresh[i] = replaced(said, found, dict(batch.column(again_at)[i].as_py() or ()))
+                fresh[i] = replaced(key, said, found, dict(batch.column(again_at)[i].as_py() or ()))
                 n[i] = len(found)
                 counts: dict[str, int] = {}
-                for _, _, kind, _ in found:
+                for _, _, kind, _, _ in found:
                     counts[kind] = counts.get(kind, 0) + 1
                 kinds[i] = sorted(counts.items())
             texts = batch.column(at)

@@ -29,27 +29,16 @@ LEAST_WORDS = 50
 MOST_LOST = 0.5
 MARK_EVERY = 5
 BOILERPLATE_CHARS = 200
+#: Repeated windows of a text that are looked up one by one.
+FEW = 24
 #: A document without any of these has no line that fails for its marks or bars.
 SUSPECT = "[#*$%&|<>»•·]|!!"
-SENTENCE_END = "[.!?…。！？][\"'”’»)]*(\\s|$)"
-#: Phrases of boilerplate lines, in lower case.
+SENTENCE_END = r"""[.!?…。！？]["'”’»)]*([ \t\x0B\f\r]|\z)"""
+#: What boilerplate lines say, in lower case. "Sign in" and "log in" count where the line says little else.
 BOILERPLATE = (
-    "all rights reserved",
-    "licensed under",
-    "is licensed",
-    "under the mit license",
-    "copyright ©",
-    "copyright (c)",
-    "cookie policy",
-    "privacy policy",
-    "terms of use",
-    "terms of service",
-    "enable javascript",
-    "sign in",
-    "log in",
-    "subscribe to our",
-    "back to top",
-    "skip to content",
+    r"(?:^|[^a-z])(?:all rights reserved|(?:licen[cs]ed|released|distributed|available) under (?:the|an?) [a-z0-9 .-]{2,40} licen[cs]e|licen[cs]ed under cc"
+    r"|copyright (?:©|\(c\))|cookie policy|privacy policy|terms of (?:use|service)|enable javascript|subscribe to our|back to top|skip to content)(?:[^a-z]|\z)"
+    r"|^[^a-z]*(?:[a-z]+[^a-z]+)?(?:sign|log) in(?:[^a-z]+[a-z]+)?[^a-z]*\z"
 )
 
 
@@ -57,20 +46,13 @@ def _count_of(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
-
-
 def line_fails(line: Column, suspect: Column) -> Column:
     """Whether a line with a word fails a line rule; suspect: its text holds marks or bars."""
     marks = _count_of(line, SYMBOLS) + 2 * (F.size(F.split(line, "!!")) - 1)
     return (
         ~line.rlike(SENTENCE_END)
         | (suspect & ((_count_of(line, "|»•·") >= 2) | (marks * MARK_EVERY > F.size(word_array(line)))))
-        | ((F.length(line) <= BOILERPLATE_CHARS) & let(F.lower(line), lambda low: _any([low.contains(p) for p in BOILERPLATE])))
+        | ((F.length(line) <= BOILERPLATE_CHARS) & F.lower(line).rlike(BOILERPLATE))
     )
 
 
@@ -97,7 +79,8 @@ def repeat_words(words: Column) -> Column:
 
     def counted(hashes: Column) -> Column:
         twice = let(F.sort_array(hashes), lambda r: F.array_distinct(F.filter(r, lambda h, i: F.get(r, i - 1).eqNullSafe(h))))
-        return let(twice, lambda t: F.when(F.size(t) == 0, F.lit(0)).when(F.size(t) <= 24, few(hashes, t)).otherwise(many(hashes)))
+        # two ways to the same count: a look-up in few repeated windows costs less than a sort
+        return let(twice, lambda t: F.when(F.size(t) == 0, F.lit(0)).when(F.size(t) <= FEW, few(hashes, t)).otherwise(many(hashes)))
 
     return let(let(words, windows), counted)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, saved, vocabulary, word_array
+from .sql import ORACLE as ORACLE
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import dedup
 
     found = dedup(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("kept_sha256"), "removed")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("clean_text", F.lit("")), 256).alias("kept_sha256"), "removed", "n_repeated")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import remove_repeats
 
     found = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "removed")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "removed", "n_repeated")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,10 +67,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The secret in pairfield.surrogates.key; without one, surrogates can be reversed by whoever reads this line."""
+    return (spark.conf.get("pairfield.surrogates.key", None) or "not a secret").encode()
+
+
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pseudonymise
 
-    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), surrogate_key(spark))
 
 
 def op9_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +91,3 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_suffix_dedup, op4_mixing, op5_ngram_jaccard, op6_fingerprints, op7_quality_rules, op8_pii_surrogates, op9_binary_tokens, op10_token_counts)}
-ORACLE: dict[str, str] = {}

@@ -4,9 +4,9 @@ A gear hash rolls over the UTF-8 bytes; where it falls under a threshold a chunk
 ends, at the next character. A cut depends on the last 32 bytes only, so an
 insertion changes the chunks around it and no others. Every chunk's 128-bit
 digest is counted over the corpus; chunks after the first one of their digest
-(by doc_id, then place) are repeats. Runs of repeats with LEAST_RUN
+(by doc_id, then place) are repeats. Runs of repeats with `least` (LEAST_RUN)
 bytes or more are removed; shorter ones stay, since short phrases recur in texts
-that have nothing else in common.
+that have nothing else in common, and are counted only.
 
 Null and empty texts have no chunks and stay as they are. Rows of one doc_id are
 one document: a row that repeats another has the same result. Null doc_ids come
@@ -76,9 +76,9 @@ def chunks(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("__id", text).mapInArrow(run, "id long, place int, size int, d1 long, d2 long")
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with clean_text, n_bytes, n_removed, n_spans and removed, the spans as (start, end) bytes."""
-    docs = without(docs, "clean_text", "n_bytes", "n_removed", "n_spans", "removed", "__id", "__found")
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int = LEAST_RUN) -> DataFrame:
+    """docs with clean_text, n_bytes, n_removed, n_spans, removed (the spans as (start, end) bytes) and n_repeated (bytes of all repeats, also in runs under least)."""
+    docs = without(docs, "clean_text", "n_bytes", "n_removed", "n_spans", "removed", "n_repeated", "__id", "__found")
     own = docs.columns
     rows = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))))
     every = chunks(rows, text)
@@ -90,7 +90,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     def run(batches):
         for batch in sliced(batches, text):
             texts, spans = batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index("__found")).to_pylist()
-            clean, sizes, gone, runs = [], [], [], []
+            clean, sizes, gone, runs, repeated = [], [], [], [], []
             for t, got in zip(texts, spans):
                 data = (t or "").encode()
                 merged: list[list[int]] = []
@@ -100,7 +100,8 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
                         merged[-1][1] = b
                     else:
                         merged.append([a, b])
-                merged = [x for x in merged if x[1] - x[0] >= LEAST_RUN]
+                repeated.append(sum(b - a for a, b in merged))
+                merged = [x for x in merged if x[1] - x[0] >= least]
                 edges = [0, *(e for x in merged for e in x), len(data)]
                 clean.append(t if not merged else b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])).decode())
                 sizes.append(len(data))
@@ -109,10 +110,10 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             kept = batch.drop_columns(["__found"])
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(clean, pa.string()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(r) for r in runs], pa.int64()), pa.array(runs, span)],
-                [*kept.schema.names, "clean_text", "n_bytes", "n_removed", "n_spans", "removed"],
+                [*kept.columns, pa.array(clean, pa.string()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(r) for r in runs], pa.int64()), pa.array(runs, span), pa.array(repeated, pa.int64())],
+                [*kept.schema.names, "clean_text", "n_bytes", "n_removed", "n_spans", "removed", "n_repeated"],
             )
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in own) + ", clean_text string, n_bytes long, n_removed long, n_spans long, removed array<struct<start: bigint, end: bigint>>"
+    schema = ", ".join(f"`{c}` {types[c]}" for c in own) + ", clean_text string, n_bytes long, n_removed long, n_spans long, removed array<struct<start: bigint, end: bigint>>, n_repeated long"
     return rows.join(found, "__id", "left").select(*own, "__found").mapInArrow(run, schema)

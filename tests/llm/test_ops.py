@@ -29,11 +29,15 @@ def corpus():
     texts += base + base[:3]  # exact copies
     texts += [b + " tail." for b in base[3:6]]  # near copies
     texts += [f"{prose(rng, 30)}\n{passage}\n{prose(rng, 25)}" for _ in range(4)]
+    for size in (280, 299, 300, 301, 399, 400, 401, 640):  # shared passages near the lengths of repeats, in two orders
+        said = prose(rng, 200)[:size].strip()
+        texts += [f"{prose(rng, 20)} {said}{prose(rng, 9)}", f"{said}{prose(rng, 30)}", f"{prose(rng, 60)}{said[: size * 9 // 10]}"]
     texts += [prose(rng, 6000)]
     return list(enumerate(texts))
 
 
 DOCS = corpus()
+KEY = b"a key of the tests"
 
 
 @pytest.fixture(scope="module")
@@ -79,6 +83,21 @@ def test_substring_dedup(docs, empty):
     assert dedup(empty).count() == 0
 
 
+def test_substring_dedup_resists_insertions(spark):
+    from pairfield.llm.substring import dedup
+
+    rng = random.Random(7)
+    base = prose(rng, 1500)
+    rows = [(0, base), (1, "An insertion. " + base), (2, base[:3001] + " and one more here " + base[3001:]), (3, base[:2000] + base[2100:]), (4, prose(rng, 800))]
+    got = {r.doc_id: r for r in dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].n_removed == 0 and all(got[i].n_removed > len(rows[i][1]) - 800 for i in (1, 2, 3)) and got[4].n_removed == 0
+    # a passage of 51 words is met in whatever surroundings
+    said = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(6)) for _ in range(51))
+    rows = [(i, f"{prose(rng, 40 + i)} {said} {prose(rng, 40)}") for i in range(40)]
+    got = dedup(spark.createDataFrame(rows, "doc_id long, text string"), least=1).collect()
+    assert sum(r.n_removed > 100 for r in got) >= 38 and all(r.n_removed == r.n_repeated for r in got)
+
+
 def test_bpe_agrees_with_the_library(docs, empty):
     from tokenizers import Tokenizer
 
@@ -109,27 +128,40 @@ def test_bpe_joins_are_repaired():
             assert whole == data and ids.tolist() == enc.encode(data), (text, cuts)
 
 
-def test_suffix_array_and_removal(docs, empty, monkeypatch):
+def test_suffix_array_is_sorted():
     rng = random.Random(1)
-    for _ in range(200):
-        parts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 20))) for _ in range(rng.randint(1, 5))]
-        text = "".join("".join(chr(50 + ord(c)) for c in p) + chr(k) for k, p in enumerate(parts))
-        assert suffix.suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
+    for size, letters in ((20, "ab"), (60, "a"), (200, "abc"), (300, "ab")):
+        for _ in range(100):
+            text = np.array([ord(rng.choice(letters)) for _ in range(rng.randint(1, size))], np.uint16)
+            assert suffix.suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+    for text in ("ab" * 150 + "a", "a" * 400 + "b" + "a" * 400, "abaababaabaab" * 20):
+        codes = np.frombuffer(text.encode(), np.uint8).astype(np.uint16)
+        assert suffix.suffix_array(codes) == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def test_removal_of_repeats(docs, empty, monkeypatch):
     data = [(t or "").encode() for _, t in REPEATED]
-    count = Counter(d[i : i + 400] for d in data for i in range(len(d) - 399))
-    want = {}
-    for i, t in DOCS:
-        d = (t or "").encode()
-        gone = bytearray(len(d))
-        for j in range(len(d) - 399):
-            if count[d[j : j + 400]] > 1:
-                gone[j : j + 400] = b"\1" * 400
-        want[i] = (bytes(b for b, g in zip(d, gone) if not g), sum(gone))
-    for crowd in (2_000, 1):
+
+    def covered(size):
+        count = Counter(d[i : i + size] for d in data for i in range(len(d) - size + 1))
+        out = {}
+        for i, t in DOCS:
+            d = (t or "").encode()
+            gone = out[i] = bytearray(len(d))
+            for j in range(len(d) - size + 1):
+                if count[d[j : j + size]] > 1:
+                    gone[j : j + size] = b"\1" * size
+        return out
+
+    gone, noted = covered(suffix.LENGTH), covered(suffix.NOTED)
+    want = {i: (bytes(b for b, g in zip((t or "").encode(), gone[i]) if not g), sum(gone[i]), sum(noted[i])) for i, t in DOCS}
+    assert any(w[2] > w[1] for w in want.values())
+    for crowd, bits in ((2_000, None), (1, 64)):
         monkeypatch.setattr(suffix, "CROWD", crowd)
+        monkeypatch.setattr(suffix, "bloom_filter", partial(bloom_filter, bits=bits))
         rows = suffix.remove_repeats(docs).collect()
         assert len(rows) == len(REPEATED)
-        assert all((bytes(r.kept), r.n_removed) == want[r.doc_id] for r in rows)
+        assert all((bytes(r.kept), r.n_removed, r.n_repeated) == want[r.doc_id] for r in rows)
     assert suffix.remove_repeats(empty).count() == 0
 
 
@@ -186,7 +218,7 @@ def test_jaccard_groups(docs, empty, monkeypatch):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     # few and many chunks, blocks and heavy tokens; a filter that lets all pass
-    for block, chunk, least, bits in ((2_000, 512, 50, None), (2, 2, 0, 64), (2, 3, 1, None)):
+    for block, chunk, least, bits in ((2_000, 512, 50, None), (2, 2, 2, 64), (2, 3, 3, None)):
         monkeypatch.setattr(ngram_join, "BLOCK", block)
         monkeypatch.setattr(ngram_join, "CHUNK", chunk)
         monkeypatch.setattr(ngram_join, "HEAVY_DOCS", least)
@@ -201,8 +233,8 @@ def test_jaccard_groups(docs, empty, monkeypatch):
 def test_jaccard_keeps_heavy_tokens_bounded(docs):
     from pairfield.llm import ngram_join
 
-    every = ngram_join.heavy_tokens(docs, "text", 4, 85, 1, 1 << 20)
-    few = ngram_join.heavy_tokens(docs, "text", 4, 85, 1, 3)
+    counts = ngram_join.token_counts(docs, "text", 4, 85, 2)
+    every, few = (ngram_join.heavy_tokens(counts, 2, most) for most in (1 << 20, 3))
     assert len(every) > 3 >= len(few) and set(few) <= set(every) and (np.diff(every.astype(object)) > 0).all()
 
 
@@ -291,6 +323,25 @@ def test_quality_counts(docs, empty):
     assert judge(empty).count() == 0
 
 
+def test_quality_counts_do_not_depend_on_the_way(docs, monkeypatch):
+    from pairfield.llm import quality
+
+    want = {r.doc_id: r.n_repeat_words for r in quality.judge(docs).collect()}
+    for few in (0, 1, 10**6):
+        monkeypatch.setattr(quality, "FEW", few)
+        assert {r.doc_id: r.n_repeat_words for r in quality.judge(docs).collect()} == want
+
+
+def test_quality_boilerplate_is_told_from_prose(spark):
+    from pairfield.llm.quality import judge
+
+    clean = ["You can log in with a key that we sent you.", "A design in wood and a blog in Dutch.", "They assign in turn.", "The data is licensed to us.", "He drove under the influence without a license."]
+    boiler = ["Log in.", "Sign in here.", "All rights reserved.", "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "See our privacy policy."]
+    rows = [(i, t) for i, t in enumerate(clean + boiler)]
+    got = {r.doc_id: r.n_lines_removed for r in judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i >= len(clean)) for i in range(len(rows))}
+
+
 def test_quality_lines(spark):
     from pairfield.llm.quality import judge
 
@@ -307,7 +358,7 @@ def test_surrogates(spark, empty):
 
     said = "Write to Anna.Lee@mail.example.com or +1 (017) 555-7713, card 4929348385146306, host 97.51.17.173, token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\". Mr Paul Smith met Mrs Eva Smith."
     rows = [(0, said), (1, "Again anna.lee@mail.example.com and 97.51.17.173."), (2, "Nothing here but words."), (3, None), (4, ""), (5, "Frau Müller; Господин Иванов")]
-    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
     for secret in ("Anna.Lee", "555-7713", "4929348385146306", "97.51.17.173", "04dbebab", "Paul Smith", "Eva"):
         assert secret not in got[0].text
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[0].text) and re.search(r"\b\d{16}\b", got[0].text)
@@ -317,22 +368,22 @@ def test_surrogates(spark, empty):
     assert first in pii.FIRST["Latin", "m"] and got[0].text.count(last) == 2
     assert (got[2].text, got[2].n_entities, got[3].text, got[4].text) == ("Nothing here but words.", 0, None, "")
     assert re.search(r"Господин [А-я]+$", got[5].text) and "Иванов" not in got[5].text and "Müller" not in got[5].text
-    assert pii.pseudonymise(empty).count() == 0
+    assert pii.pseudonymise(empty, KEY).count() == 0
 
 
 def test_surrogates_are_distinct(spark, monkeypatch):
     from pairfield.llm import pii
 
-    assert len({pii.permuted("card", f"{n:04d}", 0) for n in range(10_000)}) == 10_000
+    assert len({pii.permuted(KEY, "card", f"{n:04d}", 0) for n in range(10_000)}) == 10_000
     # with few surnames to draw from, people get the same one unless collisions are mended
     names = [f"Mr Aa B{chr(97 + i // 26)}{chr(97 + i % 26)}q" for i in range(40)]
     df = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string").repartition(3)
     every = pii.corpus_entities(df.withColumn("__row", F.col("doc_id")))
-    plain = Counter(pii.person(n[3:], "m") for n in names)
-    again = pii.collisions(every)
+    plain = Counter(pii.person(KEY, n[3:], "m") for n in names)
+    again = pii.collisions(every, KEY)
     if max(plain.values()) > 1:
         assert again is not None
-    texts = [r.text for r in pii.pseudonymise(df).collect()]
+    texts = [r.text for r in pii.pseudonymise(df, KEY).collect()]
     assert len(set(texts)) == 40
 
 
@@ -343,9 +394,9 @@ def test_surrogates_of_all_spellings_agree(spark, monkeypatch):
     for kind, a, b in pairs:
         assert pii.normal(kind, a) == pii.normal(kind, b)
         for attempt in (0, 1, 12):
-            assert pii.normal(kind, pii.surrogate(kind, a, attempt)) == pii.normal(kind, pii.surrogate(kind, b, attempt))
+            assert pii.normal(kind, pii.surrogate(KEY, kind, a, attempt)) == pii.normal(kind, pii.surrogate(KEY, kind, b, attempt))
     rows = ["Mr Kim Lee", "Dr Kim Lee", "Dr KIM LEE", "Mr Jo Ray", "Mrs Jo Ray", "Call +1 555 123 4567", "Call +15551234567"]
-    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)).collect()}
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3), KEY).collect()}
     assert got[0][3:] == got[1][3:] and got[2][3:] == got[0][3:].upper() and got[0].split()[1] in pii.FIRST["Latin", "m"]
     assert got[3][3:] == got[4][4:] and got[3].split()[1] in pii.FIRST["Latin", "n"]
     assert re.sub(r"\D", "", got[5]) == re.sub(r"\D", "", got[6]) and got[5].startswith("Call +1 ")
@@ -353,7 +404,53 @@ def test_surrogates_of_all_spellings_agree(spark, monkeypatch):
     monkeypatch.setattr(pii, "person", lambda *_: "Same Name")
     with pytest.raises(RuntimeError):
         monkeypatch.setattr(pii, "ROUNDS", 1)
-        pii.collisions(spark.createDataFrame([("person", f"a{i}", f"A{i}", "m") for i in range(2)], "kind string, norm string, found string, gender string"))
+        pii.collisions(spark.createDataFrame([("person", f"a{i}", f"A{i}", "m") for i in range(2)], "kind string, norm string, found string, gender string"), KEY)
+
+
+def test_surrogates_of_names(spark):
+    from pairfield.llm import pii
+
+    rows = ["Paul Smith met Anna Jones. Later Smith and JONES left; Smithson stayed.", "Mr Kim Lee and Lee said. Ms Lee too.", "A Jones nobody named.", "+1 202 555 0123 or +12025550123 or +1 (202) 555-0123"]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), KEY).collect()}
+    m = re.fullmatch(r"(\w+) (\w+) met (\w+) (\w+)\. Later (\w+) and (\w+) left; Smithson stayed\.", got[0])
+    assert m and m[5] == m[2] and m[6] == m[4].upper() and m[1] in pii.FIRST["Latin", "m"] and m[3] in pii.FIRST["Latin", "f"] and not {"Smith", "Jones"} & set(m.groups())
+    m = re.fullmatch(r"Mr (\w+) (\w+) and (\w+) said\. Ms (\w+) too\.", got[1])
+    assert m and m[2] == m[3] == m[4] != "Lee"
+    assert got[2] == rows[2]
+    numbers = [re.sub(r"\D", "", x) for x in got[3].split(" or ")]
+    assert len(set(numbers)) == 1 and numbers[0] != "12025550123" and all(x.startswith("+1") for x in got[3].split(" or "))
+    # another key, other surrogates
+    other = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), b"other").collect()}
+    assert all(other[i] != got[i] for i in (0, 1, 3))
+
+
+def test_entities_of_a_long_text_take_linear_time():
+    import time
+
+    from pairfield.llm import pii
+
+    text = " ".join(f"user{i}@mail.example.com" for i in range(20_000))
+    began = time.time()
+    assert len(pii.entities(text)) == 20_000 and time.time() - began < 10
+
+
+def test_surrogates_by_brute_force(spark):
+    """Every entity has one surrogate, all surrogates differ from each other and from all entities, and the rest of the text stays."""
+    from pairfield.llm import pii
+
+    rng = random.Random(6)
+    people = [f"{rng.choice(['Mr', 'Mrs', 'Dr'])} {rng.choice(['Adam', 'Eva', 'Kim', 'Jo'])} {rng.choice(['Ray', 'Lee', 'Fox', 'Day', 'Poe'])}" for _ in range(60)]
+    others = [f"u{i}@h{i % 3}.org" for i in range(30)] + [f"10.0.{i}.7" for i in range(30)] + [f"{i:03d}-22-{i:04d}" for i in range(100, 130)]
+    said = [(i, f"Start {x} middle {y} end.", x, y) for i, (x, y) in enumerate(zip(rng.choices(people, k=150), rng.choices(others, k=150)))]
+    df = spark.createDataFrame([(i, t) for i, t, _, _ in said], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in pii.pseudonymise(df, KEY).collect()}
+    made: dict = {}
+    for i, _, x, y in said:
+        m = re.fullmatch(r"Start (Mr|Mrs|Dr) (.+) middle (.+) end\.", got[i])
+        assert m and x.startswith(m[1] + " ")
+        for entity, fresh in ((x.split(" ", 1)[1], m[2]), (y, m[3])):
+            assert made.setdefault(entity, fresh) == fresh
+    assert len(set(made.values())) == len(made) and not set(made) & set(made.values())
 
 
 def test_token_files(docs, empty):
