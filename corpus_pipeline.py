@@ -29,6 +29,7 @@ from pairfield.llm.mixing import mix
 from pairfield.llm.ngram_join import jaccard_groups
 from pairfield.llm.pii import pseudonymise
 from pairfield.llm.quality import judge
+from pairfield.llm.queries import surrogate_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 OTHERS = ("lang", "source", "n_chars")
@@ -68,7 +69,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _documents(pseudonymise(docs))
+    return _documents(pseudonymise(docs, surrogate_key(spark)))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
