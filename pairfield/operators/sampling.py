@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keyed as K
 from ..functions import points as P
+from .order import running
 
 
 def draw(spec: dict, seed: int, stream: str, *keys) -> Column:
@@ -80,11 +81,9 @@ def sample_grid(grid: DataFrame, ids: DataFrame, spec: dict, key: str, seed: int
     Cells lie on [0, 1) by cumulative weight. That line is cut into buckets: a cell
     stands in every bucket it reaches into, a draw in one, and they meet on equal keys.
     """
-    w = Window.orderBy("cell_id").rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy()
     weighted = grid.withColumn("w", grid_weight(F.col("score"), spec)).where("w > 0")
-    line = weighted.withColumns({"hi": F.sum("w").over(w) / F.sum("w").over(total), "share": F.col("w") / F.sum("w").over(total)})
-    line = line.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("cell_id")), F.lit(0.0)))
+    whole = weighted.agg(F.sum("w")).first()[0] or 1.0
+    line = running(weighted, "cell_id", weight="w", name="hi", before="lo").withColumns({c: F.col(c) / F.lit(whole) for c in ("lo", "hi")})
     reach = F.sequence(F.floor(F.col("lo") * buckets), F.least(F.lit(buckets - 1), F.floor(F.col("hi") * buckets)))
     cells = line.withColumn("bucket", F.explode(reach)).select("bucket", "lo", "hi", "cell_id", "x", "y", "score")
     draws = ids.withColumn("u", K.unit(seed, "grid", key)).withColumn("bucket", F.floor(F.col("u") * buckets))
@@ -231,13 +230,20 @@ def sample_power(ids: DataFrame, lo: float, off: float, key: str, seed: int, deb
     return ids.withColumn("power", F.lit(lo + off / 2) if debug else K.uniform(lo, lo + off, seed, "power", key))
 
 
+#: Parts of the catalogue that are ranked by themselves first.
+POOL_PARTS = 16
+
+
 def sample_pool(calls: DataFrame, catalog: DataFrame, size: int, every: int, seed: int) -> DataFrame:
     """GEN-20: the pool of each epoch of `every` calls: the `size` assets with the least draws; calls: call_no."""
     epochs = calls.select(F.floor(F.col("call_no") / every).cast("long").alias("epoch")).distinct()
-    # assets are drawn per epoch: a row for each of both, so few epochs at a time
-    rows = epochs.withColumn("k", F.lit(1)).join(catalog.select("asset_id").withColumn("k", F.lit(1)), "k").drop("k")
-    rank = F.row_number().over(Window.partitionBy("epoch").orderBy(K.unit(seed, "pool", "epoch", "asset_id"), "asset_id"))
-    return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= size)
+    first, last = epochs.agg(F.min("epoch"), F.max("epoch")).first()
+    # each part of the catalogue keeps its least draws of each epoch; only these meet
+    draws = catalog.select("asset_id", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("epoch")).join(epochs, "epoch", "left_semi").withColumns({"u": K.unit(seed, "pool", "epoch", "asset_id"), "part": F.pmod(F.xxhash64("asset_id"), F.lit(POOL_PARTS))})
+    order = ["u", "asset_id"]
+    few = draws.withColumn("rank", F.row_number().over(Window.partitionBy("epoch", "part").orderBy(*order))).where(F.col("rank") <= size)
+    rank = F.row_number().over(Window.partitionBy("epoch").orderBy(*order))
+    return few.withColumn("rank", rank.cast("long")).where(F.col("rank") <= size).select("epoch", "asset_id", "rank")
 
 
 def adapt_pool(hits: DataFrame, step: int = 5, low: float = 0.5, high: float = 0.8) -> DataFrame:
@@ -253,12 +259,12 @@ def sample_frames(ids: DataFrame, n: int, key: str, seed: int, length: str = "le
 
 def sample_assets(catalog: DataFrame, n: int, random: bool, seed: int) -> DataFrame:
     """GEN-23: the first n assets by id, or n drawn with replacement (pick, asset_id)."""
-    ranked = catalog.withColumns({"r": (F.row_number().over(Window.orderBy("asset_id")) - 1).cast("long"), "total": F.count(F.lit(1)).over(Window.partitionBy())})
+    ranked = running(catalog, "asset_id", name="r").withColumn("r", (F.col("r") - 1).cast("long"))
     if not random:
-        return ranked.where(F.col("r") < n).drop("total").withColumnRenamed("r", "pick")
-    total = ranked.select("total").distinct()
+        return ranked.where(F.col("r") < n).withColumnRenamed("r", "pick")
+    total = catalog.agg(F.count(F.lit(1)).alias("total"))
     picks = total.withColumn("pick", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("r", K.randint(F.col("total"), seed, "asset", "pick"))
-    return picks.select("pick", "r").join(ranked.drop("total"), "r").drop("r")
+    return picks.select("pick", "r").join(ranked, "r").drop("r")
 
 
 def sample_points(matches: DataFrame, m: int, seed: int, order: list[str] = ("y2", "x2")) -> DataFrame:

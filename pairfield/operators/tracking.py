@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import unit
+from .order import running
 
 
 def running_best(metrics: DataFrame, by: list[str] = ("benchmark",), order: list[str] = ("epoch",), value: str = "value") -> DataFrame:
@@ -29,26 +30,28 @@ def select_checkpoints(df: DataFrame, policy: str, by: list[str] = ("run",), tim
     """WIN-7: all checkpoints, each run's last, or its best (the earliest of equal ones)."""
     if policy == "all":
         return df
-    order = [F.col(time).desc()] if policy == "last" else [F.col(score).desc(), F.col(time)]
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("rn = 1").drop("rn")
+    order = F.struct(time) if policy == "last" else F.struct(score, -F.col(time))
+    best = df.groupBy(*by).agg(F.max_by(F.struct(*df.columns), order).alias("__best"))
+    return best.select("__best.*")
 
 
-def assign_batches(df: DataFrame, size: int, order: list, by: list[str] = (), drop_last: bool = False) -> DataFrame:
-    """WIN-9: batch numbers of consecutive rows; drop_last leaves out a batch that is not full."""
-    out = df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / F.lit(size)).cast("long"))
+def assign_batches(df: DataFrame, size: int, order: list[str], by: list[str] = (), drop_last: bool = False) -> DataFrame:
+    """WIN-9: batch numbers of consecutive rows; drop_last leaves out a batch that is not full. The first column of order is a number."""
+    out = running(df, order[0], tuple(order[1:]), tuple(by), name="batch").withColumn("batch", F.floor((F.col("batch") - 1) / F.lit(size)).cast("long"))
     if not drop_last:
         return out
     return out.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by, "batch"))).where(F.col("n") == size).drop("n")
 
 
-def number_objects(df: DataFrame, order: list, by: list[str] = ()) -> DataFrame:
-    """WIN-10: numbers from 1."""
-    return df.withColumn("object_no", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+def number_objects(df: DataFrame, order: list[str], by: list[str] = ()) -> DataFrame:
+    """WIN-10: numbers from 1. The first column of order is a number."""
+    return running(df, order[0], tuple(order[1:]), tuple(by), name="object_no").withColumn("object_no", F.col("object_no").cast("long"))
 
 
 def shuffle_order(df: DataFrame, seed: int, epoch: int, key: str, by: list[str] = ()) -> DataFrame:
     """GEN-22: a place for each row, drawn anew for each epoch."""
-    return df.withColumn("place", (F.row_number().over(Window.partitionBy(*by).orderBy(unit(seed, f"shuffle/{epoch}", key), key)) - 1).cast("long"))
+    drawn = df.withColumn("__u", unit(seed, f"shuffle/{epoch}", key))
+    return running(drawn, "__u", (key,), tuple(by), name="place").withColumn("place", (F.col("place") - 1).cast("long")).drop("__u")
 
 
 def training_summary(metrics: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, features, flows, logs, points, sampling, surfaces, tables  # noqa: F401  they register their queries
+from . import evaluation, features, files, flows, logs, points, sampling, surfaces, tables  # noqa: F401  they register their queries
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -81,6 +81,18 @@ def annotation_points(ann: DataFrame, key: list[str]) -> DataFrame:
     return rows.select(*key, F.col("kp_idx").cast("long").alias("kp_idx"), F.col("p.src_kps")[0].alias("src_x"), F.col("p.src_kps")[1].alias("src_y"), F.col("p.trg_kps")[0].alias("trg_x"), F.col("p.trg_kps")[1].alias("trg_y"))
 
 
+def annotation_files(files: DataFrame) -> DataFrame:
+    """SRC-5 over rows: path and value, the JSON of one annotation; a broken one is an error."""
+    parsed = F.from_json("value", S.SPAIR, {"mode": "FAILFAST"})
+    return files.select(F.regexp_replace(path_seg(F.col("path"), -1), "\\.json$", "").alias("name"), parsed.alias("a")).select("name", "a.*")
+
+
+def annotation_maps(texts: DataFrame) -> DataFrame:
+    """SRC-6 over rows: value, a JSON object of annotations keyed by pair name."""
+    fields = S.SPAIR.replace(" array", ": array").replace(" string", ": string").replace(" int", ": int")
+    return texts.select(F.explode(F.from_json("value", f"map<string, struct<{fields}>>")).alias("name", "a")).select("name", "a.*")
+
+
 def read_annotations_json(spark: SparkSession, glob: str) -> DataFrame:
     """SRC-5: one file an annotation, keyed by its name."""
     rows = spark.read.schema(S.SPAIR).options(multiLine=True, mode="FAILFAST").json(glob)
@@ -89,15 +101,18 @@ def read_annotations_json(spark: SparkSession, glob: str) -> DataFrame:
 
 def read_annotations_map(spark: SparkSession, path: str) -> DataFrame:
     """SRC-6: one object keyed by pair name."""
-    text = spark.read.text(path, wholetext=True)
-    parsed = text.select(F.explode(F.from_json("value", f"map<string, struct<{S.SPAIR.replace(' array', ': array').replace(' string', ': string').replace(' int', ': int')}>>")).alias("name", "a"))
-    return parsed.select("name", "a.*")
+    return annotation_maps(spark.read.text(path, wholetext=True))
 
 
 def compact_annotations(spark: SparkSession, glob: str, pairs: DataFrame, path: str, files: int = 1) -> None:
     """SRC-7: many small JSON files to Parquet, the split's pairs only."""
-    ann = read_annotations_json(spark, glob).join(pairs.select("name", "split"), "name")
-    ann.repartition(files).write.mode("overwrite").partitionBy("split").parquet(path)
+    compact(read_annotations_json(spark, glob), pairs, path, files)
+
+
+def compact(annotations: DataFrame, pairs: DataFrame, path: str, files: int = 1) -> None:
+    """SRC-7 over rows: annotations of pairs (name, split) to Parquet, by split, in about `files` files each."""
+    held = annotations.join(pairs.select("name", "split"), "name")
+    held.repartition(files).write.mode("overwrite").partitionBy("split").parquet(path)
 
 
 def keyed_lines(lines: DataFrame, names: list[str], col: str = "value") -> DataFrame:
@@ -130,11 +145,15 @@ def read_nested_joints(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pair_list(spark: SparkSession, path: str, kind: str = "random_pairs", limit: int | None = 10_000) -> DataFrame:
     """SRC-11: `src trg` lines; the limit counts lines of the one file, in its order."""
-    text = spark.read.text(f"{path}/{kind}.txt", wholetext=True)
-    lines = text.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).where("trim(line) <> ''")
+    return pair_lines(spark.read.text(f"{path}/{kind}.txt", wholetext=True), limit)
+
+
+def pair_lines(texts: DataFrame, limit: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """SRC-11 over rows: value, the lines of a file; the limit counts lines of each."""
+    lines = texts.select(*by, F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).where("trim(line) <> ''")
     if limit is not None:
         lines = lines.where(F.col("line_no") < limit)
-    return lines.select(F.col("line_no").cast("long").alias("line_no"), F.split("line", " ")[0].alias("src_image"), F.split("line", " ")[1].alias("trg_image"))
+    return lines.select(*by, F.col("line_no").cast("long").alias("line_no"), F.split("line", " ")[0].alias("src_image"), F.split("line", " ")[1].alias("trg_image"))
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -145,9 +164,16 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 def scan_tss(spark: SparkSession, root: str) -> DataFrame:
     """SRC-12: subset folders by name as labels, pair folders, and the flip flag of flip_gt.txt."""
     flags = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "flip_gt.txt").text(root, wholetext=True)
-    at = F.col("_metadata.file_path")
-    rows = flags.select(path_seg(at, -3).alias("subset"), path_seg(at, -2).alias("pair"), (F.trim(F.regexp_replace("value", "\\s+$", "")).cast("int") == 1).alias("flip"))
-    return rows.withColumn("label", F.dense_rank().over(Window.orderBy("subset")) - 1)
+    return tss_flags(flags.select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def tss_flags(files: DataFrame) -> DataFrame:
+    """SRC-12 over rows: path `.../subset/pair/flip_gt.txt` and value."""
+    at = F.col("path")
+    rows = files.select(path_seg(at, -3).alias("subset"), path_seg(at, -2).alias("pair"), (F.trim(F.regexp_replace("value", "\\s+$", "")).cast("int") == 1).alias("flip"))
+    # the few subsets are numbered, not the pairs
+    labels = rows.select("subset").distinct().withColumn("label", F.dense_rank().over(Window.orderBy("subset")) - 1)
+    return rows.join(labels, "subset")
 
 
 def scan_kitti(files: DataFrame, mode: str = "occ") -> DataFrame:
@@ -179,15 +205,23 @@ def read_homographies(spark: SparkSession, csv: str) -> DataFrame:
 
 def scan_images(spark: SparkSession, root: str) -> DataFrame:
     """SRC-16: paths of images by suffix, in any case."""
-    return list_files(spark, root).where(F.lower(F.regexp_extract("path", "\\.([^./]+)$", 1)).isin(*IMAGES)).select("path")
+    return images_of(list_files(spark, root))
+
+
+def images_of(files: DataFrame) -> DataFrame:
+    """SRC-16 over rows: path."""
+    return files.where(F.lower(F.regexp_extract("path", "\\.([^./]+)$", 1)).isin(*IMAGES)).select("path")
 
 
 def manifest_rows(segments: DataFrame, segs: int | None, offset: int, limit: int | None) -> DataFrame:
     """SRC-17, TOP-5: entries of the first segs segments in order of segment and key, from offset on. segments: segment, entries (map)."""
     if segs is not None:
         segments = segments.withColumn("s", F.dense_rank().over(Window.orderBy("segment"))).where(F.col("s") <= segs).drop("s")
-    rows = segments.select("segment", F.explode("entries").alias("key", "e"))
-    rows = rows.withColumn("row_no", (F.row_number().over(Window.orderBy("segment", "key")) - 1).cast("long")).where(F.col("row_no") >= offset)
+    # a row for each segment goes through the one order of all: where its entries begin
+    held = segments.groupBy("segment").agg(F.sum(F.size("entries")).alias("n"))
+    bases = held.select("segment", (F.sum("n").over(Window.orderBy("segment")) - F.col("n")).alias("base"))
+    rows = segments.select("segment", F.explode("entries").alias("key", "e")).withColumn("at", F.row_number().over(Window.partitionBy("segment").orderBy("key")) - 1).join(bases, "segment")
+    rows = rows.withColumn("row_no", (F.col("base") + F.col("at")).cast("long")).drop("base", "at").where(F.col("row_no") >= offset)
     return rows if limit is None else rows.where(F.col("row_no") < offset + limit)
 
 
