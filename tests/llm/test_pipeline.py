@@ -73,6 +73,43 @@ def test_near_duplicates_tell_rows_by_their_text(spark):
         assert mine[:2] == ["", ""] and mine[2:] == [min((one, one + " end"), key=lambda t: hashlib.md5(t.encode()).hexdigest())]
 
 
+def test_stages_on_hostile_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows, ids of several texts, clashing columns; and no rows at all."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as C
+
+    rng = random.Random(4)
+
+    def prose(n):
+        return " ".join(f"w{rng.randrange(10**6)}" + ("." if i % 9 == 8 else "") for i in range(n)) + "."
+
+    one, two, long = prose(80), prose(90) + " Write to a.b@mail.example.com.", prose(40_000)
+    said = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, one, None, None, 7), (None, one, "en", "s", None), (3, two, "en", None, 1), (3, two, "en", None, 1), (3, long, "en", "t", 1), (4, " \n ", "en", "t", 3), (5, one + " More.", "en", "s", 1)]
+    docs = spark.createDataFrame(said, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("x") for c in ("kept", "clean_text", "__key", "size", "copies", "rate", "target", "n_entities", "kinds", "ids", "component_id", "n")})
+    kept = {}
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, "")
+        kept[name] = sorted(map(tuple, out.collect()), key=repr)
+        if name == "tokens":
+            assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns) and len(kept[name]) == len(kept["mixing"])
+        else:
+            assert out.columns == list(C.COLUMNS)
+            docs = spark.createDataFrame(kept[name], out.schema).withColumn("extra", F.lit(1))
+    texts = {name: sorted(r[1] for r in rows) for name, rows in kept.items() if name != "tokens"}
+    assert texts["quality"] == sorted([one, one, two, two, long, one + " More."])
+    # like texts: the least id that is known stays
+    assert sorted((r[0], r[1]) for r in kept["near_duplicates"]) == sorted([(3, two), (3, long), (5, one + " More.")])
+    assert len(texts["personal_data"]) == 3 and not any("a.b@" in t for t in texts["personal_data"]) and long in texts["personal_data"]
+    assert set(texts["mixing"]) <= set(texts["personal_data"])
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in C.STAGES:
+        assert stage(spark, docs, "").count() == 0
+
+
 def test_every_operator_is_registered():
     import __spark_entry__
 
