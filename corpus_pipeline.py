@@ -41,6 +41,7 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, without their failing lines. Null and empty texts go; repeated rows are judged one by one; other columns go."""
     judged = judge(docs, keep=("doc_id", "lang", "source"))
     return _documents(judged.where("kept").withColumnRenamed("clean_text", "text"))
 
@@ -56,6 +57,8 @@ def text_key(docs: DataFrame) -> Column:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of like texts: the least of (has an id, doc_id, text digest, other columns). Texts without words are alone: repeated rows of one id stay once, rows without an id all stay. Other columns go."""
+    docs = docs.select(*COLUMNS)
     rows = docs.withColumn("__key", text_key(docs))
     groups = jaccard_groups(rows, key="__key", gram=5, percent=80).select(F.col("doc_id").alias("__key"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("__group"))
     slim = rows.select("__key", F.col("doc_id").isNull().alias("last"), "doc_id", F.md5("text").alias("digest"), *OTHERS).distinct()
@@ -69,15 +72,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _documents(pseudonymise(docs, surrogate_key(spark)))
+    """Every row, with surrogates in its text. Null texts stay null; other columns go."""
+    return _documents(pseudonymise(docs.select(*COLUMNS), surrogate_key(spark)))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mix(docs.withColumn("size", F.size(word_array(F.col("text"))).cast("long")))
+    """Each row as often as the mix takes it, 0 to 3 times. Rows without words stay once; a null source is one of its own; other columns go."""
+    mixed = mix(docs.select(*COLUMNS).withColumn("size", F.size(word_array(F.col("text"))).cast("long")))
     return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; null texts count as empty."""
     return encode(docs, vocabulary("byte_bpe_50k.json"))
 
 
