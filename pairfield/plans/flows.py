@@ -16,11 +16,20 @@ from .fixtures import fixture
 from .registry import query
 
 
+@query("""SELECT pair_id, 'column' AS kind FROM fx_pairs WHERE split = 'P' UNION ALL SELECT pair_id, 'table' FROM fx_pairs WHERE src_image % 3 <> 0""")
+def q05d_split(spark, sf_dir):
+    """FLT-10: by the column, and by a table of flags."""
+    p = fixture(spark, sf_dir, "fx_pairs")
+    flags = p.select(F.col("src_image").alias("image_id"), (F.col("src_image") % 3 != 0).alias("is_train")).distinct()
+    by_table = L.select_split(p.withColumn("image_id", F.col("src_image")), "train", flags)
+    return L.select_split(p, "P").select("pair_id", F.lit("column").alias("kind")).unionByName(by_table.select("pair_id", F.lit("table").alias("kind")))
+
+
 def _flow(spark, sf_dir):
     return fixture(spark, sf_dir, "fx_flow")
 
 
-@query("""WITH m AS (SELECT pair_id, 1.0E0 + (pair_id % 5) / 50.0E0 AS a, (pair_id % 7) / 100.0E0 AS b, (pair_id % 3) * 1.0E0 AS c, (pair_id % 4) / 100.0E0 AS d, 1.0E0 - (pair_id % 6) / 60.0E0 AS e, (pair_id % 2) * 2.0E0 AS f, (pair_id % 3) / 1000.0E0 AS g FROM fx_pairs WHERE split = 'P'),
+@query("""WITH m AS (SELECT pair_id, 1.0E0 + (pair_id % 5) / 50.0E0 AS a, (pair_id % 7) / 100.0E0 AS b, (pair_id % 3) * 1.0E0 AS c, (pair_id % 4) / 100.0E0 AS d, 1.0E0 - (pair_id % 6) / 60.0E0 AS e, (pair_id % 2) * 2.0E0 AS f, (pair_id % 3) / 1000.0E0 AS g FROM fx_pairs),
           g AS (SELECT m.*, y, x FROM m, (SELECT unnest(range(0, 8)) AS y) r, (SELECT unnest(range(0, 8)) AS x) s),
           w AS (SELECT pair_id, y, x, (a * x + b * y + c) / (g * x + 1.0E0 + 1e-8) AS wx, (d * x + e * y + f) / (g * x + 1.0E0 + 1e-8) AS wy FROM g)
           SELECT pair_id, y, x, wx BETWEEN 0 AND 7 AND wy BETWEEN 0 AND 7 AS valid,
@@ -29,7 +38,7 @@ def q05_homography_flow(spark, sf_dir):
     p = F.col("pair_id")
     one, zero = F.lit(1.0), F.lit(0.0)
     mat = F.array(1.0 + (p % 5) / 50.0, (p % 7) / 100.0, (p % 3) * 1.0, (p % 4) / 100.0, 1.0 - (p % 6) / 60.0, (p % 2) * 2.0, (p % 3) / 1000.0, zero, one)
-    pairs = L.select_split(fixture(spark, sf_dir, "fx_pairs"), "P").select("pair_id", mat.alias("mat"))
+    pairs = fixture(spark, sf_dir, "fx_pairs").select("pair_id", mat.alias("mat"))
     got = Y.homography_flow(pairs, 8, 8)
     return got.select("pair_id", "y", "x", "valid", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
 

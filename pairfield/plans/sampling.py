@@ -166,7 +166,7 @@ def q41c_location_masks(spark, sf_dir):
 
 @query()
 def q41d_warp_pairs(spark, sf_dir):
-    ids = L.select_split(fixture(spark, sf_dir, "fx_pairs"), "P").select("pair_id")
+    ids = fixture(spark, sf_dir, "fx_pairs").select("pair_id")
     return Y.crop_pixels(S.warp_pairs(ids, 16, 16, "pair_id", SEED), 4, 4, 8, 8)
 
 
