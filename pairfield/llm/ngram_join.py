@@ -21,7 +21,7 @@ are joined by sorting at any size.
    verified and components formed, so that a cluster of near copies costs one pair
    a member.
 5. While long lists hold several components, chains of one member of each join
-   what they can.
+   what they can, as long as each round halves what is left.
 6. Then lists that hold more than one component are worked off whole: first the
    nearest pair of each two components, then, of those that have several and are
    still apart, every pair that no bound rules out. A pair inside a component can
@@ -460,9 +460,12 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", gra
         found = docs.sparkSession.createDataFrame([], "node long, label long")
     mixed = mixed_lists(lists, members, found)
     listed, cut = placed(mixed, found)
-    while not (long := cut.where(F.col("held") > CHUNK)).isEmpty():
-        more = joined(found, list_pairs(head_rows(listed, long, members), percent, CHAIN).groupBy("a").agg(nearest))
-        if more is None:
+    held = math.inf
+    while True:
+        # as long as it at least halves the components in long lists; what is left is found below
+        long = cut.where(F.col("held") > CHUNK)
+        before, held = held, long.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+        if not held or held > before / 2 or (more := joined(found, list_pairs(head_rows(listed, long, members), percent, CHAIN).groupBy("a").agg(nearest))) is None:
             break
         found = more
         listed, cut = placed(mixed, found)

@@ -67,18 +67,20 @@ def count_tokens(blocks: DataFrame, key: str = "doc_id", end: int = END) -> Data
                 )
 
     found = saved(blocks.select("file", "block", "data", "names").mapInArrow(run, "file int, block int, n long, ends array<bigint>, names array<bigint>"), "token-ends")
+    # only a block's summary goes through the file's order
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    based = found.select(
+    sums = found.select("file", "block", "n", F.size("ends").alias("k"), F.try_element_at("ends", F.lit(-1)).alias("e")).select(
         "*",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"),
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("first"),
+        F.coalesce(F.sum("k").over(before), F.lit(0)).alias("first"),
         F.lead("block").over(order).isNull().alias("final"),
     )
-    last = F.when(F.size("ends") > 0, F.col("base") + F.element_at("ends", -1) + 1)
-    based = based.withColumn("open", F.coalesce(F.max(last).over(before), F.lit(0)))
+    last = F.when(F.col("k") > 0, F.col("base") + F.col("e") + 1)
+    sums = sums.withColumn("last", last).withColumn("open", F.coalesce(F.max("last").over(before), F.lit(0)))
+    based = found.select("file", "block", "ends", "names").join(sums, ["file", "block"])
     cut = F.col("base") + F.col("n")
-    done = F.coalesce(last, F.col("open"))
+    done = F.coalesce("last", "open")
     # ids after the last end of a file stand for one more document
     every = F.transform("ends", lambda e, i: F.struct(i.alias("i"), F.get("names", i).alias(key), F.coalesce(F.get("ends", i - 1) + F.col("base") + 1, F.col("open")).alias("start"), (e + F.col("base")).alias("stop")))
     tail = F.when(F.col("final") & (done < cut), F.array(F.struct(F.size("ends").alias("i"), F.lit(None).cast("long").alias(key), done.alias("start"), cut.alias("stop")))).otherwise(F.expr("array()"))
