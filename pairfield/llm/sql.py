@@ -12,13 +12,13 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-_WORDS = f"list_filter(regexp_split_to_array(t, '{_SPACE}'), x -> x <> '')"
+_WORDS = f"list_filter(regexp_split_to_array(t, '{_SPACE}'), lambda x: x <> '')"
 
 JACCARD = f"""
 WITH RECURSIVE d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT doc_id, {_WORDS} AS ws FROM d),
 s AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {GRAM} THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - {GRAM - 2}), i -> array_to_string(ws[i:i + {GRAM - 1}], ' '))) END) AS s FROM w),
+    ELSE list_distinct(list_transform(range(1, len(ws) - {GRAM - 2}), lambda i: array_to_string(ws[i:i + {GRAM - 1}], ' '))) END) AS s FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 k AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM k JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {PERCENT} * (x.n + y.n - k)),
@@ -34,7 +34,7 @@ w AS (SELECT doc_id, t, {_WORDS} AS ws FROM d),
 g AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 twice AS (SELECT doc_id, a, b, c FROM g GROUP BY ALL HAVING count(*) > 1),
 again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g JOIN twice USING (doc_id, a, b, c)) GROUP BY doc_id),
-l AS (SELECT doc_id, l, regexp_matches(t, {_quoted(SUSPECT)}) AS suspect, len(list_filter(regexp_split_to_array(l, '{_SPACE}'), x -> x <> '')) AS n
+l AS (SELECT doc_id, l, regexp_matches(t, {_quoted(SUSPECT)}) AS suspect, len(list_filter(regexp_split_to_array(l, '{_SPACE}'), lambda x: x <> '')) AS n
     FROM (SELECT doc_id, t, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
 f AS (SELECT doc_id, l, n, NOT regexp_matches(l, {_quoted(SENTENCE_END)})
     OR (suspect AND (length(regexp_replace(l, '[^|»•·]', '', 'g')) >= 2
