@@ -234,33 +234,54 @@ def suffix_array(text: np.ndarray) -> list[int]:
     return out
 
 
+def _agreements(words: list[bytes]) -> list[int]:
+    """How many bytes each word begins with that another one begins with too: a neighbour in their order agrees for longest."""
+    out, order = [0] * len(words), sorted(range(len(words)), key=words.__getitem__)
+    for i, j in zip(order, order[1:]):
+        k = min(len(words[i]), len(words[j]))
+        unlike = int.from_bytes(words[i][:k], "big") ^ int.from_bytes(words[j][:k], "big")
+        k -= (unlike.bit_length() + 7) // 8
+        out[i], out[j] = max(out[i], k), max(out[j], k)
+    return out
+
+
 def repeats(parts: list[tuple[bytes, int, int]]) -> list[tuple[list[int], list[int]]]:
     """For each part (both sides, length of the left one, strings) the strings that another part has too: of NOTED bytes, and of LENGTH.
 
-    Parts with equal sides and core places must be given once.
+    Parts with equal sides and core places must be given once. Strings hold the
+    core, so bytes further from it than any other part agrees are cut off first,
+    and parts that are too short then fall away.
     """
-    m = len(parts)
-    pieces = []
-    for k, (side, left, _) in enumerate(parts):
-        data = np.frombuffer(side, np.uint8).astype(np.uint16) + np.uint16(m + 1)
-        pieces += [data[:left], [m], data[left:], [k]]
+    none: tuple[list[int], list[int]] = ([], [])
+    before = _agreements([side[:left][::-1] for side, left, _ in parts])
+    after = _agreements([side[left:] for side, left, _ in parts])
+    held = [k for k in range(len(parts)) if before[k] + 1 + after[k] >= STEP]
+    if len(held) < 2:
+        return [none] * len(parts)
+    m, at = len(held), 0
+    pieces, number = [], {}
+    for i, k in enumerate(held):
+        side, left, n = parts[k]
+        cut = left - before[k]
+        data = np.frombuffer(side[cut : left + after[k]], np.uint8).astype(np.uint16) + np.uint16(m + 1)
+        pieces += [data[: before[k]], [m], data[before[k] :], [i]]
+        # a string is the core and STEP - 1 bytes beside it
+        number.update({at + j - cut: (k, j) for j in range(cut, min(n, left + 1))})
+        at += len(data) + 2
     symbols = np.concatenate(pieces).astype(np.uint16)
-    firsts = np.cumsum([0, *(len(side) + 2 for side, _, _ in parts)]).tolist()
     text = "".join(map(chr, symbols.tolist()))
-    # a string is the core and STEP - 1 bytes beside it
-    number = {first + j: (k, j) for k, (first, (_, _, n)) in enumerate(zip(firsts, parts)) for j in range(n)}
-    noted: list[set[int]] = [set() for _ in parts]
-    gone: list[set[int]] = [set() for _ in parts]
+    noted: dict[int, set[int]] = defaultdict(set)
+    gone: dict[int, set[int]] = defaultdict(set)
     last = -1
     for s in suffix_array(symbols):
         if s in number and last in number and text[s : s + STEP] == text[last : last + STEP]:
+            full = text[s : s + STEP + MORE] == text[last : last + STEP + MORE]
             for k, j in (number[last], number[s]):
                 noted[k].add(j)
-            if text[s : s + STEP + MORE] == text[last : last + STEP + MORE]:
-                for k, j in (number[last], number[s]):
+                if full:
                     gone[k].add(j)
         last = s
-    return [(sorted(x), sorted(y)) for x, y in zip(noted, gone)]
+    return [(sorted(noted[k]), sorted(gone[k])) if k in noted else none for k in range(len(parts))]
 
 
 def _long(side: bytes, n: int) -> int:
