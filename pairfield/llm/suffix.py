@@ -11,10 +11,11 @@ machine, so strings that can be equal are brought together first, without loss:
    once has no repeat; items with equal bytes, up to LENGTH after their last
    string's start, repeat each other whole.
 2. Items left over, whose anchors occur in items with other bytes, are cut by the
-   anchor's place in the string into parts of STEP strings. All strings of a part
-   share a core of NOTED - STEP + 1 bytes, which equal strings share as well:
-   parts are grouped by the core's digest. A part is the core, one symbol, with
-   up to STEP - 1 bytes before it and LENGTH - NOTED more after it.
+   anchor's place in the string into parts of STEP strings, here one part an item.
+   All strings of a part share a core of NOTED - STEP + 1 bytes, the anchor, which
+   equal strings share as well: parts are grouped by the core's digest. A part is
+   the core, one symbol, with up to STEP - 1 bytes before it and LENGTH - NOTED
+   more after it.
 3. Each group gets the suffix array of its parts. Suffixes stand in groups by
    their longest Lyndon prefix, first by its first symbol. From the greatest group
    down, each group finds its members' pointers to the previous suffix of a smaller
@@ -46,7 +47,9 @@ from pyspark.sql import functions as F
 
 from .common import bloom_filter, bloom_hits, saved, shuffle_width, sliced, text_buffers, without
 
-LENGTH, NOTED, GRAM, STEP = 400, 300, 32, 128
+LENGTH, NOTED, GRAM = 400, 300, 32
+#: With as many strings as can hold one gram, an item is one part, and its anchor the core.
+STEP = NOTED - GRAM + 1
 CORE, MORE = NOTED - STEP + 1, LENGTH - NOTED
 CROWD = 2_000
 #: Parts into which the copies of one text are dealt where their spans meet them.
