@@ -106,7 +106,7 @@ def rule_lengths(rules: np.ndarray) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
+def _opened(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
     """The ids that symbols stand for: rules are opened level by level."""
     a = symbols.astype(np.uint16)
     while True:
@@ -122,6 +122,22 @@ def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
         a = out
 
 
+def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
+    """The ids that symbols stand for: every rule is opened once, and dealt out to the places of its symbol."""
+    open_ = symbols >= BASE
+    if not open_.any():
+        return symbols.astype(np.uint16)
+    lengths = rule_lengths(rules).astype(np.int64)
+    flat = _opened(np.arange(BASE, BASE + len(rules), dtype=np.uint16), rules)
+    rule = symbols[open_].astype(np.int64) - BASE
+    n, start = np.ones(len(symbols), np.int64), np.zeros(len(symbols), np.int64)
+    n[open_], start[open_] = lengths[rule], (np.cumsum(lengths) - lengths)[rule]
+    ends = np.cumsum(n)
+    out = flat[np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]))]
+    out[ends[~open_] - 1] = symbols[~open_]
+    return out
+
+
 def decode_range(row: dict, start: int, stop: int) -> np.ndarray:
     """Ids start..stop-1 of a block, opening only the symbols that cover them."""
     symbols, rules = np.frombuffer(row["symbols"], np.uint16), np.frombuffer(row["rules"], np.uint16).reshape(-1, 2)

@@ -9,7 +9,7 @@ country code; secrets are told by their case). A surrogate is drawn from the
 normal form and laid out as the entity was found, so all spellings share it. A
 name has one gender: the one that its titles (or, without any, its known first
 names) tell, none if they differ. People are found by a title, or by a first name
-of FIRST before a surname; their surnames are found wherever else the text has
+of FIRST or KNOWN before a surname; their surnames are found wherever else the text has
 them, and get the surname of the full name's surrogate. Different entities of a
 type get different ones:
 
@@ -69,8 +69,14 @@ SYLLABLES = {
     "Greek": "βα βε δα δε κα κε κο λα λε λο μα με μο να νε νο πα πε πο ρα ρε ρο σα σε τα τε το".split(),
 }
 
+#: More first names by which people without a title are found.
+KNOWN = {
+    "m": "James John Robert Michael William Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Steven Andrew Kevin Brian George Peter Hans Stefan Klaus Pierre Jean Luc José Juan Luis Pedro Miguel".split(),
+    "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Margaret Anna Anne Emily Eva Ursula Sabine Monika Marie Sophie Claire Camille Ana Carmen Isabel Lucía Elena Sofía".split(),
+}
 #: Genders of the first names; those of several pools tell none.
 GENDERS = {name: gender if sum(name in pool for pool in FIRST.values()) == 1 else "n" for (_, gender), pool in FIRST.items() for name in pool}
+GENDERS |= {name: gender for gender, names in KNOWN.items() for name in names}
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 PATTERNS = (
     ("email", r"[\p{L}\p{N}_%+-]+(?:\.[\p{L}\p{N}_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
