@@ -90,4 +90,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(write_flat(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_suffix_dedup, op4_mixing, op5_ngram_jaccard, op6_fingerprints, op7_quality_rules, op8_pii_surrogates, op9_binary_tokens, op10_token_counts)}
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE, number, scan, shown
+
+    secrets = F.col("secrets")
+    base = F.filter(secrets, lambda s: s["kind"].isin(*BASE))
+    return scan(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id", *[number(secrets, k).alias(f"n_{k}") for k in BASE], F.sha2(shown(base), 256).alias("base_sha256"), shown(secrets).alias("spans"), (F.size(secrets) - F.size(base)).cast("long").alias("n_checked")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_suffix_dedup, op4_mixing, op5_ngram_jaccard, op6_fingerprints, op7_quality_rules, op8_pii_surrogates, op9_binary_tokens, op10_token_counts, op11_secret_scan)}
