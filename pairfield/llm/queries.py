@@ -100,4 +100,10 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_suffix_dedup, op4_mixing, op5_ngram_jaccard, op6_fingerprints, op7_quality_rules, op8_pii_surrogates, op9_binary_tokens, op10_token_counts, op11_secret_scan)}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked import ranked
+
+    return ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_suffix_dedup, op4_mixing, op5_ngram_jaccard, op6_fingerprints, op7_quality_rules, op8_pii_surrogates, op9_binary_tokens, op10_token_counts, op11_secret_scan, op13_ranked_search)}

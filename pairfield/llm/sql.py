@@ -48,4 +48,19 @@ SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base
     NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND n_words_removed <= {MOST_LOST} * n_words AS kept FROM m
 """
 
-ORACLE = {"op5_ngram_jaccard": JACCARD, "op7_quality_rules": QUALITY}
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+s AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0),
+m AS (SELECT r, doc_id, 75 + (25 * len(ts) * n_docs) // n_terms AS m FROM d, s WHERE len(ts) > 0),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY r, t),
+f AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY item_id, t),
+h AS (SELECT item_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM q JOIN f USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY item_id, r)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM h JOIN m USING (r) WHERE score > 0 QUALIFY rank <= 20
+"""
+
+ORACLE = {"op5_ngram_jaccard": JACCARD, "op7_quality_rules": QUALITY, "op13_ranked_search": RANKED}
