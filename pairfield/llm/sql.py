@@ -63,4 +63,23 @@ SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 FROM h JOIN m USING (r) WHERE score > 0 QUALIFY rank <= 20
 """
 
-ORACLE = {"op5_ngram_jaccard": JACCARD, "op7_quality_rules": QUALITY, "op13_ranked_search": RANKED}
+_CRC32 = """list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, _: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))"""
+
+TRIE = f"""
+WITH t AS (SELECT conv_id, turn, md5(concat(strlen(coalesce(role, ''))::VARCHAR, ':', coalesce(role, ''), coalesce(text, ''))) AS id, strlen(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(id ORDER BY turn NULLS FIRST, id) AS ids FROM t GROUP BY conv_id),
+h AS (SELECT *, xor({_CRC32}, 4294967295) % 9 AS h FROM o),
+r AS (SELECT a.conv_id, list_concat(coalesce(b.ids, [])[1:a.h], a.ids[a.h + 1:]) AS ids FROM h a LEFT JOIN o b ON b.conv_id = a.conv_id - a.conv_id % 5),
+p AS (SELECT conv_id, unnest(range(len(ids) + 1)) AS depth, ids FROM r),
+n AS (SELECT depth, ids[1:depth] AS way, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(ids) = depth), '')) AS ends_sha256 FROM p GROUP BY depth, way),
+s AS (SELECT id, any_value(size) AS size FROM t GROUP BY id),
+k AS (SELECT depth - 1 AS depth, way[1:depth - 1] AS way, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+c AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * coalesce(size, 0) AS own FROM n LEFT JOIN k USING (depth, way) LEFT JOIN s ON s.id = way[depth]),
+u AS (SELECT way[1:d] AS way, d AS depth, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS d FROM c) GROUP BY ALL)
+SELECT c.conv_id, c.depth, q.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, c.ends_sha256
+FROM c JOIN u ON u.depth = c.depth AND u.way = c.way LEFT JOIN n q ON q.depth = c.depth - 1 AND q.way = c.way[1:c.depth - 1]
+"""
+
+ORACLE = {"op5_ngram_jaccard": JACCARD, "op7_quality_rules": QUALITY, "op12_prefix_trie": TRIE, "op13_ranked_search": RANKED}
