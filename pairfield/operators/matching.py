@@ -67,28 +67,55 @@ def cells_for_points(points: DataFrame, feat: tuple[int, int], stride: int, rf:
     return points.withColumn("row", F.explode(run(y, feat[0]))).withColumn("col", F.explode(run(x, feat[1])))
 
 
-def _voxels(df: DataFrame, radius: float) -> DataFrame:
-    return df.withColumns({f"v{c}": F.floor(F.col(f"c{c}") / radius).cast("int") for c in "xyz"})
+def _edge(max_sq: float) -> tuple[float, float]:
+    """Radius, with a little to spare for rounding, and the edge of a cube."""
+    radius = math.sqrt(max_sq) * (1 + 1e-9)
+    return radius, 2 * radius
 
 
-def match_surfaces(src: DataFrame, trg: DataFrame, by: list[str], max_sq: float = RADIUS_SQ) -> DataFrame:
-    """JON-6: for each target pixel the nearest source pixel in 3-D, if the squared distance is at most max_sq; ties go to the least (y, x).
+def _cube(places: list[Column]) -> Column:
+    """One number for a cube; two cubes with one number only meet in vain."""
+    return F.xxhash64(*places)
+
 
-    Space is cut into cubes whose edge is the radius. Every source pixel stands in
-    its own cube and the 26 around it, so that the join is on equal keys.
+def near_pixels(src: DataFrame, trg: DataFrame, by: list[str], max_sq: float, also: Column | None = None) -> DataFrame:
+    """Pairs of a source pixel (y1, x1) and a target pixel (y2, x2) within the radius, with d2; background (0, 0, 0) has none.
+
+    src: by, y1, x1, sx, sy, sz; trg: by, y2, x2, cx, cy, cz; both may have more columns.
+    Space is cut into cubes of an edge of twice the radius. A target pixel stands in
+    its own cube; what is within the radius of a source pixel can only lie in the 8 cubes on
+    its nearer halves, so there it stands 8 times and a pair meets once. The join is on
+    equal keys, and by sorting: Spark's guess of a size knows nothing of the 8 copies.
+    also: a condition of the pairs.
     """
-    radius = math.sqrt(max_sq)
-    step = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    s = _voxels(src.where("NOT (cx = 0 AND cy = 0 AND cz = 0)"), radius).select(*by, F.col("y").alias("y1"), F.col("x").alias("x1"), *[F.col(f"c{c}").alias(f"s{c}") for c in "xyz"], "vx", "vy", "vz")
-    for c in "xyz":
-        s = s.withColumn("o", step).withColumn(f"v{c}", F.col(f"v{c}") + F.col("o")).drop("o")
-    t = _voxels(trg.where("NOT (cx = 0 AND cy = 0 AND cz = 0)"), radius).select(*by, F.col("y").alias("y2"), F.col("x").alias("x2"), "cx", "cy", "cz", "vx", "vy", "vz")
+    radius, edge = _edge(max_sq)
+    own = {c: F.floor(F.col(f"s{c}") / edge).cast("long") for c in "xyz"}
+    sides = {c: (v, v + F.when(F.col(f"s{c}") - v * edge >= radius, 1).otherwise(-1)) for c, v in own.items()}
+    s = src.where("NOT (sx = 0 AND sy = 0 AND sz = 0)").withColumn("__cube", F.explode(F.array(*[_cube([sides[c][i >> k & 1] for k, c in enumerate("xyz")]) for i in range(8)])))
+    t = trg.where("NOT (cx = 0 AND cy = 0 AND cz = 0)").withColumn("__cube", _cube([F.floor(F.col(f"c{c}") / edge).cast("long") for c in "xyz"]))
     d2 = sum(((F.col(f"c{c}") - F.col(f"s{c}")) * (F.col(f"c{c}") - F.col(f"s{c}")) for c in "yz"), (F.col("cx") - F.col("sx")) * (F.col("cx") - F.col("sx")))
-    near = t.join(s, [*by, "vx", "vy", "vz"]).withColumn("d2", d2).where(F.col("d2") <= max_sq)
+    near = t.join(s.hint("merge"), [*by, "__cube"])
+    return (near if also is None else near.where(also)).withColumn("d2", d2).where(F.col("d2") <= max_sq).drop("__cube")
+
+
+def _sources(df: DataFrame, *keep: Column | str) -> DataFrame:
+    return df.select(*keep, F.col("y").alias("y1"), F.col("x").alias("x1"), *[F.col(f"c{c}").alias(f"s{c}") for c in "xyz"])
+
+
+def _targets(df: DataFrame, *keep: Column | str) -> DataFrame:
+    return df.select(*keep, F.col("y").alias("y2"), F.col("x").alias("x2"), "cx", "cy", "cz")
+
+
+def _nearest(near: DataFrame, by: list[str]) -> DataFrame:
     best = near.groupBy(*by, "y2", "x2").agg(F.min(F.struct("d2", "y1", "x1")).alias("m"))
     return best.select(*by, "y2", "x2", F.col("m.y1").alias("y1"), F.col("m.x1").alias("x1"), F.col("m.d2").alias("d2"))
 
 
+def match_surfaces(src: DataFrame, trg: DataFrame, by: list[str], max_sq: float = RADIUS_SQ) -> DataFrame:
+    """JON-6: for each target pixel the nearest source pixel in 3-D, if the squared distance is at most max_sq; ties go to the least (y, x)."""
+    return _nearest(near_pixels(_sources(src, *by), _targets(trg, *by), by, max_sq), by)
+
+
 def matches_to_flow(matches: DataFrame, by: list[str], grid: DataFrame | None = None) -> DataFrame:
     """JON-7: source minus target at the target pixel; with a grid (by, y, x) pixels without a match are NULL."""
     flow = matches.select(*by, F.col("y2").alias("y"), F.col("x2").alias("x"), (F.col("x1") - F.col("x2")).cast("double").alias("dx"), (F.col("y1") - F.col("y2")).cast("double").alias("dy"))
@@ -102,37 +129,37 @@ def image_pairs(images: DataFrame) -> DataFrame:
     return a.join(b, "object_id").where("image1 < image2")
 
 
-def _all_pairs(surface: DataFrame, order: DataFrame, max_sq: float) -> DataFrame:
-    """Nearest matches of all image pairs of all objects; order: object_id, image_id, place; the later image queries.
+def _view_pairs(surface: DataFrame, max_sq: float, later: Column, *keep: str) -> DataFrame:
+    """Pixels within the radius in the image pairs of all objects for which `later` holds; keep: columns of the surface, as name1 and name2.
 
     The join runs on (object, cube), never on images alone.
     """
-    placed = surface.join(order, ["object_id", "image_id"])
-    radius = math.sqrt(max_sq)
-    step = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    s = _voxels(placed.where("NOT (cx = 0 AND cy = 0 AND cz = 0)"), radius).select("object_id", F.col("image_id").alias("image1"), F.col("place").alias("p1"), F.col("y").alias("y1"), F.col("x").alias("x1"), *[F.col(f"c{c}").alias(f"s{c}") for c in "xyz"], "vx", "vy", "vz")
-    t = _voxels(placed.where("NOT (cx = 0 AND cy = 0 AND cz = 0)"), radius).select("object_id", F.col("image_id").alias("image2"), F.col("place").alias("p2"), F.col("y").alias("y2"), F.col("x").alias("x2"), "cx", "cy", "cz", "vx", "vy", "vz")
-    for c in "xyz":
-        s = s.withColumn("o", step).withColumn(f"v{c}", F.col(f"v{c}") + F.col("o")).drop("o")
-    d2 = sum(((F.col(f"c{c}") - F.col(f"s{c}")) * (F.col(f"c{c}") - F.col(f"s{c}")) for c in "yz"), (F.col("cx") - F.col("sx")) * (F.col("cx") - F.col("sx")))
-    near = t.join(s, ["object_id", "vx", "vy", "vz"]).where("p1 < p2").withColumn("d2", d2).where(F.col("d2") <= max_sq)
-    best = near.groupBy("object_id", "image1", "image2", "y2", "x2").agg(F.min(F.struct("d2", "y1", "x1")).alias("m"))
-    return best.select("object_id", "image1", "image2", "y2", "x2", F.col("m.y1").alias("y1"), F.col("m.x1").alias("x1"), F.col("m.d2").alias("d2"))
+    kept = [[F.col(c).alias(f"{c}{i}") for c in keep] for i in (1, 2)]
+    s = _sources(surface, "object_id", F.col("image_id").alias("image1"), *kept[0])
+    t = _targets(surface, "object_id", F.col("image_id").alias("image2"), *kept[1])
+    return near_pixels(s, t, ["object_id"], max_sq, later)
 
 
 def pairwise_matches(surface: DataFrame, max_sq: float = RADIUS_SQ) -> DataFrame:
     """JON-9: matches of all image pairs a < b of each object, keyed 'a-b'; b's pixels query a's."""
-    images = surface.select("object_id", "image_id").distinct().withColumn("place", F.col("image_id"))
-    return _all_pairs(surface, images, max_sq).withColumn("pair", F.concat_ws("-", F.col("image1").cast("string"), F.col("image2").cast("string")))
+    best = _nearest(_view_pairs(surface, max_sq, F.col("image1") < F.col("image2")), ["object_id", "image1", "image2"])
+    return best.withColumn("pair", F.concat_ws("-", F.col("image1").cast("string"), F.col("image2").cast("string")))
 
 
 def view_overlap(surface: DataFrame, max_sq: float = RADIUS_SQ) -> DataFrame:
-    """AGG-20, TOP-2: matches of two views over their mean of visible pixels; the view with fewer pixels (then the greater id) queries."""
+    """AGG-20, TOP-2: matches of two views over their mean of visible pixels; the view with fewer pixels (then the greater id) queries.
+
+    Which pixel matches is not asked for: target pixels that have a match are bits of
+    64-pixel words, or-ed before they are shuffled and counted after.
+    """
     seen = surface.where("NOT (cx = 0 AND cy = 0 AND cz = 0)").groupBy("object_id", "image_id").agg(F.count(F.lit(1)).alias("n"))
-    order = seen.withColumn("place", F.row_number().over(Window.partitionBy("object_id").orderBy(F.col("n").desc(), "image_id")))
-    counts = _all_pairs(surface, order.select("object_id", "image_id", "place"), max_sq).groupBy("object_id", "image1", "image2").agg(F.count(F.lit(1)).alias("matches"))
-    a, b = order.select("object_id", F.col("image_id").alias("image1"), F.col("n").alias("n1"), F.col("place").alias("p1")), order.select("object_id", F.col("image_id").alias("image2"), F.col("n").alias("n2"), F.col("place").alias("p2"))
-    every = a.join(b, "object_id").where("p1 < p2").drop("p1", "p2")
+    later = (F.col("n1") > F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("image1") < F.col("image2")))
+    near = _view_pairs(surface.join(seen, ["object_id", "image_id"]), max_sq, later, "n")
+    column = F.expr("CAST(floor(x2 / 64) AS BIGINT)").alias("word")
+    words = near.groupBy("object_id", "image1", "image2", "y2", column).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(x2, 64) AS INT))")).alias("bits"))
+    counts = words.groupBy("object_id", "image1", "image2").agg(F.sum(F.bit_count("bits")).alias("matches"))
+    a, b = (seen.select("object_id", F.col("image_id").alias(f"image{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
+    every = a.join(b, "object_id").where(later)
     return every.join(counts, ["object_id", "image1", "image2"], "left").select("object_id", "image1", "image2", (F.coalesce("matches", F.lit(0)) / (0.5 * (F.col("n1") + F.col("n2")))).alias("overlap"))
 
 

@@ -77,6 +77,32 @@ def test_surface_match_against_brute_force(spark):
     assert got == want and want
 
 
+def test_pixels_within_the_radius_meet_once(spark):
+    """Points on a lattice whose cubes' edges and halves fall on points; each source pixel stands in 8 cubes, not 27."""
+    radius = 2.0
+    grid = [(1, i, 0, *map(float, p)) for i, p in enumerate((x, y, z) for x in range(-5, 6) for y in range(-2, 4) for z in range(1, 4))]
+    a = frame(spark, grid, "o long, y1 long, x1 long, sx double, sy double, sz double")
+    b = frame(spark, grid, "o long, y2 long, x2 long, cx double, cy double, cz double")
+    near = X.near_pixels(a, b, ["o"], radius * radius)
+    got = sorted((r.y1, r.y2) for r in near.collect())
+    want = sorted((i, j) for _, i, _, *p in grid for _, j, _, *q in grid if sum((u - v) ** 2 for u, v in zip(p, q)) <= radius * radius)
+    assert got == want
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and next(x for x in plan.splitlines() if "Generate explode" in x).count("xxhash64") == 8
+
+
+def test_overlap_counts_pixels_of_wide_images(spark):
+    rng = np.random.default_rng(8)
+    rows = [(o, i, int(k // 200), int(k % 200), *map(float, rng.integers(1, 9, 3) / 256)) for o in (1, 2) for i in range(3) for k in rng.choice(600, 80 + 40 * (i == 1), False)]
+    got = {(r.object_id, r.image1, r.image2): r.overlap for r in X.view_overlap(frame(spark, rows, "object_id long, image_id long, y long, x long, cx double, cy double, cz double")).collect()}
+    assert len(got) == 6
+    for (o, a, b), overlap in got.items():
+        one, two = ([r[4:] for r in rows if r[:2] == (o, i)] for i in (a, b))
+        assert len(one) > len(two) or (len(one) == len(two) and a < b)
+        hits = sum(any(sum((u - v) ** 2 for u, v in zip(p, q)) <= 5e-5 for p in one) for q in two)
+        assert math.isclose(overlap, hits / (0.5 * (len(one) + len(two))))
+
+
 def test_blocked_correlation_agrees(spark):
     rng = np.random.default_rng(1)
     rows = [(p, i, v.tolist()) for p in range(3) for i, v in enumerate(rng.normal(size=(6, 5)))]
