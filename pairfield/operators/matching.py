@@ -1,4 +1,4 @@
-"""Joins of annotations, surfaces and features: JON-1..14, 19, 21, WIN-1, 2, AGG-33..37, 28, TOP-6, SET-3, 4."""
+"""Joins of annotations, surfaces and features: JON-1..13, 19, 21, WIN-1, 2, AGG-33..37, TOP-6, SET-3, 4."""
 
 from __future__ import annotations
 
@@ -325,50 +325,6 @@ def mean_corr(corrs: list[DataFrame]) -> DataFrame:
     return every.groupBy("pair_id", "src_pos", "trg_pos").agg(F.avg("score").alias("score"))
 
 
-#: Rows of a block of queries and of a block of the database.
-QUERY_BLOCK, DB_BLOCK = 1_000, 20_000
-
-
-def knn_graph(queries: DataFrame, db: DataFrame, k: int, metric: str = "cosine", n_queries: int | None = None, n_db: int | None = None) -> DataFrame:
-    """AGG-28, JON-14: the k nearest rows of db (id, vec) of each query (id, vec), itself left out; ties go to the least id.
-
-    Both sides are cut into blocks; a task holds one block of each and sends each
-    query's k best of that block. metric: cosine, euclidean, manhattan or hamming.
-    """
-    blocks_q = max(1, math.ceil((n_queries or queries.count()) / QUERY_BLOCK))
-    blocks_d = max(1, math.ceil((n_db or db.count()) / DB_BLOCK))
-    q = queries.select(F.col("id").cast("long").alias("id"), "vec", F.pmod(F.xxhash64("id"), F.lit(blocks_q)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks_d - 1))).alias("db"))
-    d = db.select(F.col("id").cast("long").alias("id"), "vec", F.pmod(F.xxhash64("id"), F.lit(blocks_d)).cast("int").alias("db"), F.explode(F.sequence(F.lit(0), F.lit(blocks_q - 1))).alias("qb"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"id": [], "neighbor": [], "distance": []}
-        if left.num_rows and right.num_rows:
-            a = np.array(left.column("vec").to_pylist(), float)
-            b = np.array(right.column("vec").to_pylist(), float)
-            ids = right.column("id").to_numpy()
-            order = np.argsort(ids)
-            b, ids = b[order], ids[order]
-            if metric == "cosine":
-                a, b = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True)
-            for i, v in zip(left.column("id").to_pylist(), a):
-                gap = {"cosine": lambda: 1 - b @ v, "euclidean": lambda: np.sqrt(((b - v) ** 2).sum(1)), "manhattan": lambda: np.abs(b - v).sum(1), "hamming": lambda: (b != v).mean(1)}[metric]()
-                gap[ids == i] = np.inf
-                best = [j for j in np.argsort(gap, kind="stable")[:k] if gap[j] < np.inf]
-                out["id"] += [i] * len(best)
-                out["neighbor"] += ids[best].tolist()
-                out["distance"] += gap[best].tolist()
-        return pa.table(out, pa.schema([("id", pa.int64()), ("neighbor", pa.int64()), ("distance", pa.float64())]))
-
-    found = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInArrow(run, "id long, neighbor long, distance double")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor"))
-    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
-
-
-def find_nn(queries: DataFrame, db: DataFrame) -> DataFrame:
-    """JON-14: the nearest row by Euclidean distance."""
-    return knn_graph(queries, db, 1, "euclidean").drop("rank")
-
-
 def assign_match(df: DataFrame, key: str, group: str, p: float, seed: int) -> DataFrame:
     """JON-19, SET-4: each row's own id with probability p, else another of its group, found by a shift of its rank: no row is compared with all others."""
     w = Window.partitionBy(group).orderBy(key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import matching as X
+from ..operators import nearest as N
 from ..operators import profiling as R
 from .fixtures import fixture
 from .registry import query
@@ -90,7 +91,7 @@ def q16c_covisibility_loss(spark, sf_dir):
           SELECT id, neighbor, round(distance, 6) AS distance, rank FROM r WHERE rank <= 10""")
 def q17_knn_graph(spark, sf_dir):
     db = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return X.knn_graph(db.where("id % 50 = 0"), db, 10).withColumn("distance", F.round("distance", 6))
+    return N.knn_graph(db.where("id % 50 = 0"), db, 10).withColumn("distance", F.round("distance", 6))
 
 
 @query("""SELECT label AS category, CAST(count(*) AS BIGINT) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share, row_number() OVER (ORDER BY count(*) DESC, label) AS rank FROM fx_features GROUP BY label""")
@@ -137,7 +138,7 @@ def q35_pca_project(spark, sf_dir):
 def q17b_find_nn(spark, sf_dir):
     """JON-14."""
     db = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return X.find_nn(db.where("id % 50 = 0"), db).withColumn("distance", F.round("distance", 6))
+    return N.find_nn(db.where("id % 50 = 0"), db).withColumn("distance", F.round("distance", 6))
 
 
 @query("""WITH c AS (SELECT category, count(*) AS n FROM fx_catalog GROUP BY category), r AS (SELECT category, CAST(n AS BIGINT) AS n, row_number() OVER (ORDER BY n DESC, category) AS rank FROM c) SELECT category, n, rank FROM r WHERE rank <= 10""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of local sessions that name none, by application.
 _own: dict[str, str] = {}
@@ -22,3 +22,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="pairfield-")
         base = _own[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: lineage ends here."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
