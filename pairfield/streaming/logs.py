@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..sources.shared import shared_path
+
+BEST = "benchmark string, epoch long, value double"
 
 
 def metric_windows(logs: DataFrame, window: str, slide: str | None = None, watermark: str | None = None, session: bool = False) -> DataFrame:
@@ -24,22 +29,62 @@ def metric_windows(logs: DataFrame, window: str, slide: str | None = None, water
     return got.select("run", "benchmark", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "mean", "lo", "hi")
 
 
+class _Best(StatefulProcessor):
+    """The greatest value of a benchmark so far, as typed state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getValueState("best", "value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        best = self.best.get()[0] if self.best.exists() else float("-inf")
+        seen = pd.concat(list(rows)).dropna(subset=["value"]).sort_values("epoch", kind="stable")
+        before = seen["value"].cummax().shift(fill_value=float("-inf")).clip(lower=best)
+        won = seen[seen["value"] > before]
+        if len(won):
+            self.best.update((float(won["value"].iloc[-1]),))
+        yield pd.DataFrame({"benchmark": pd.Series([key[0]] * len(won), dtype=object), "epoch": won["epoch"].to_numpy(), "value": won["value"].to_numpy()})
+
+    def close(self) -> None:
+        pass
+
+
 def stream_best(logs: DataFrame) -> DataFrame:
     """STR-2: a row whenever a benchmark's value beats all before it; the state is one number, NaN and NULL never win.
 
-    logs: benchmark, epoch, value. Rows of a batch are taken in order of epoch.
+    logs: benchmark, epoch, value. Rows of a batch are taken in order of epoch. The state lies
+    in the checkpoint, so a stream that stops goes on where it was; see typed_state().
     """
+    return logs.select("benchmark", "epoch", "value").groupBy("benchmark").transformWithStateInPandas(_Best(), BEST, "Append", "None")
+
+
+@contextmanager
+def typed_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB, which typed state asks for."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def catch_up(job: Callable[[DataFrame], DataFrame], inbox: str, schema, sink: str, checkpoint: str, spark: SparkSession) -> None:
+    """Runs job over the files that came to the inbox since its last run, appends to the sink and stops; fails as the stream does."""
+    with typed_state(spark):
+        out = job(spark.readStream.schema(schema).parquet(inbox))
+        query = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get[0] if state.exists else float("-inf")
-        rows = pd.concat(list(frames)).dropna(subset=["value"]).sort_values("epoch", kind="stable")
-        before = rows["value"].cummax().shift(fill_value=float("-inf")).clip(lower=best)
-        won = rows[rows["value"] > before]
-        if len(rows):
-            state.update((max(best, float(rows["value"].max())),))
-        yield pd.DataFrame({"benchmark": [key[0]] * len(won), "epoch": won["epoch"].to_numpy(), "value": won["value"].to_numpy()})
 
-    return logs.select("benchmark", "epoch", "value").groupBy("benchmark").applyInPandasWithState(step, "benchmark string, epoch long, value double", "best double", "append", GroupStateTimeout.NoTimeout)
+def replayed(parts: list[DataFrame], job: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What job has written after the parts came one after the other as files, with a stop and a new start between any two."""
+    spark, schema = parts[0].sparkSession, parts[0].schema
+    inbox, sink, checkpoint = (shared_path(spark, f"{name}-{x}") for x in ("inbox", "sink", "checkpoint"))
+    for part in parts:
+        part.write.mode("append").parquet(inbox)
+        catch_up(job, inbox, schema, sink, checkpoint, spark)
+    return spark.read.parquet(sink)
 
 
 def best_so_far(logs: DataFrame) -> DataFrame:

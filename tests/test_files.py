@@ -9,7 +9,7 @@ import pytest
 from pairfield.operators import matching as X
 from pairfield.sources import readers as D
 from pairfield.sources import writers as W
-from pairfield.streaming.logs import best_so_far, metric_windows, stream_best
+from pairfield.streaming.logs import best_so_far, metric_windows, stream_best, typed_state
 
 
 def put(path, text):
@@ -128,7 +128,8 @@ def test_streams_agree_with_batch(spark, tmp_path):
     logs = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("user_id % 4 run", "event_type benchmark", "event_id epoch", "value", "CAST(ts AS TIMESTAMP) ts").orderBy("epoch")
     logs.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    drain(stream_best(stream), "best")
+    with typed_state(spark):
+        drain(stream_best(stream), "best")
     assert sorted(map(tuple, spark.table("best").collect())) == sorted(map(tuple, best_so_far(logs).collect()))
     drain(metric_windows(stream, "6 hours", watermark="1 hour"), "windows")
     got, want = ({(r.run, r.benchmark, r.start): r.n for r in d.collect()} for d in (spark.table("windows"), metric_windows(logs, "6 hours")))
