@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-
 from pyspark.sql import functions as F
 
 from ..functions import sql as functions
@@ -14,6 +12,7 @@ from ..operators.profiling import curvature_stats
 from ..sources import readers as D
 from ..sources import schemas as S
 from ..sources import writers as W
+from ..sources.flo import read_flo, write_flo
 from ..sources.shared import shared_path
 from .evaluation import DISTANCE, PER_PAIR, _flows, _per_pair
 from .fixtures import fixture
@@ -130,19 +129,15 @@ def q44e_image_listing(spark, sf_dir):
     return D.images_of(c.select(F.concat(F.lit("/img/"), "category", F.lit("/"), F.col("asset_id").cast("string"), suffix).alias("path")))
 
 
-@query("SELECT '/flow/' || pair_id || '.flo' AS path, y, x, dx, dy FROM (SELECT *, count(*) OVER (PARTITION BY pair_id) AS n FROM fx_flow) t WHERE n = 256")
+@query("""WITH s AS (SELECT pair_id, max(x) + 1 AS w, max(y) + 1 AS h FROM fx_flow GROUP BY pair_id),
+          p AS (SELECT pair_id, w, unnest(range(w * h)) AS k FROM s)
+          SELECT 'flow/' || p.pair_id || '.flo' AS path, k // w AS y, k % w AS x, dx, dy FROM p LEFT JOIN fx_flow f ON f.pair_id = p.pair_id AND f.y = k // w AND f.x = k % w""")
 def q40d_flow_files(spark, sf_dir):
-    """Whole flows as .flo files of 16 x 16, written to the shared folder with their names, and read back."""
+    """All flows as .flo files in the shared folder, and read back; pixels that a flow lacks come back as invalid."""
     path = shared_path(spark, "flo")
-    words = F.create_map(*[F.lit(x) for v in range(-10, 11) for x in (float(v), struct.pack("<f", v).hex())])
-
-    def word(c: str):
-        return F.coalesce(F.element_at(words, F.col(c)), F.lit(struct.pack("<f", 2e9).hex()))
-
-    head = (D.FLO_TAG + struct.pack("<ii", 16, 16)).hex()
-    f = fixture(spark, sf_dir, "fx_flow").groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", F.concat(word("dx"), word("dy")).alias("w")))).alias("p")).where("size(p) = 256")
-    f.select(F.concat(F.lit("/flow/"), F.col("pair_id").cast("string"), F.lit(".flo")).alias("path"), F.unhex(F.concat(F.lit(head), F.array_join("p.w", ""))).alias("content")).write.parquet(path)
-    return D.flo_pixels(spark.read.schema("path string, content binary").parquet(path))
+    name = F.concat(F.lit("flow/"), F.col("pair_id").cast("string"), F.lit(".flo")).alias("path")
+    write_flo(fixture(spark, sf_dir, "fx_flow").select(name, "y", "x", "dx", "dy"), path)
+    return read_flo(spark, path)
 
 
 @query("""SELECT CASE side WHEN 0 THEN 'src' ELSE 'trg' END AS dataset_name, CAST(count(*) AS BIGINT) AS n_rows, CAST(min(len(vec)) AS INT) AS dim FROM fx_features GROUP BY side""")

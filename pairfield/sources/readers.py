@@ -1,14 +1,11 @@
-"""Readers: SRC-1..24.
+"""Readers: SRC-1..18, 20..24 (SRC-19 is `flo.read_flo`).
 
 Parsers of single layouts work on DataFrames of lines or of listings, so the same
-code serves files and tables. Files are split and listed by Spark; only the flow
-codec (SRC-19) runs Python, a file at a time.
+code serves files and tables. Files are split and listed by Spark.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -250,35 +247,6 @@ def build_manifest(spark: SparkSession, root: str) -> DataFrame:
     return manifest_of(list_files(spark, root))
 
 
-FLO_TAG = b"PIEH"
-
-
-def flo_pixels(files: DataFrame) -> DataFrame:
-    """SRC-19: .flo files (path, content) to pixels; sizes above 1e9 are invalid. A file with another tag is an error."""
-
-    def run(batches):
-        for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = data.as_buffer()
-                head = raw.slice(0, 12).to_pybytes()
-                if head[:4] != FLO_TAG:
-                    raise ValueError(f"{path} is no flow file")
-                w, h = np.frombuffer(head[4:], "<i4").tolist()
-                uv = np.frombuffer(raw.slice(12), "<f4").reshape(h, w, 2).astype(float)
-                bad = (np.abs(uv) > 1e9).any(2)
-                step = max(1, 1_000_000 // w)
-                for a in range(0, h, step):
-                    part, gone = uv[a : a + step], bad[a : a + step].ravel()
-                    y, x = np.mgrid[a : a + len(part), 0:w].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(gone)), pa.array(y.ravel()), pa.array(x.ravel()), pa.array(part[..., 0].ravel(), mask=gone), pa.array(part[..., 1].ravel(), mask=gone)], ["path", "y", "x", "dx", "dy"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, y long, x long, dx double, dy double")
-
-
-def ingest_flo(spark: SparkSession, glob: str) -> DataFrame:
-    return flo_pixels(spark.read.format("binaryFile").load(glob))
-
-
 def decode_kitti(raw: DataFrame, noc: DataFrame | None = None) -> DataFrame:
     """SRC-20: 16-bit channels (c0 flag, c1, c2) to flow: (v - 32768) / 64, tiny values 1e-10, flag 0 invalid; with a second file also whether each pixel is visible."""
 

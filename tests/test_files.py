@@ -9,6 +9,7 @@ import pytest
 from pairfield.operators import matching as X
 from pairfield.sources import readers as D
 from pairfield.sources import writers as W
+from pairfield.sources.flo import read_flo, write_flo
 from pairfield.streaming.logs import best_so_far, metric_windows, stream_best, typed_state
 
 
@@ -90,12 +91,35 @@ def test_scans(spark, tmp_path):
 def test_flow_files(spark, tmp_path):
     uv = np.arange(12, dtype="<f4").reshape(2, 3, 2)
     uv[1, 2] = 2e9
-    put(tmp_path / "a.flo", b"PIEH" + struct.pack("<ii", 3, 2) + uv.tobytes())
-    rows = {(r.y, r.x): (r.dx, r.dy) for r in D.ingest_flo(spark, str(tmp_path / "*.flo")).collect()}
+    (tmp_path / "in").mkdir()
+    put(tmp_path / "in" / "a.flo", b"PIEH" + struct.pack("<ii", 3, 2) + uv.tobytes())
+    rows = {(r.y, r.x): (r.dx, r.dy) for r in read_flo(spark, str(tmp_path)).where("path = 'in/a.flo'").collect()}
     assert rows[0, 1] == (2.0, 3.0) and rows[1, 2] == (None, None) and len(rows) == 6
-    put(tmp_path / "b.flo", b"XXXX" + struct.pack("<ii", 3, 2) + uv.tobytes())
+    put(tmp_path / "in" / "b.flo", b"XXXX" + struct.pack("<ii", 3, 2) + uv.tobytes())
     with pytest.raises(Exception, match="no flow file"):
-        D.ingest_flo(spark, str(tmp_path / "b.flo")).collect()
+        read_flo(spark, str(tmp_path)).collect()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:  # the broken file is not even opened
+        assert read_flo(spark, str(tmp_path)).where("path IN ('in/a.flo', 'none')").count() == 6
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_flow_files_are_read_in_ranges(spark, tmp_path):
+    """Two large flows and a ragged one, written and read in parts of 100 pixels; columns that aren't asked for aren't made."""
+    rng = np.random.default_rng(2)
+    rows = [(name, int(y), int(x), float(np.float32(u)), float(np.float32(v))) for name, h, w in (("a/1.flo", 20, 30), ("b.flo", 7, 41)) for y in range(h) for x in range(w) for u, v in [rng.normal(size=2)]]
+    rows += [("c.flo", 0, 3, 1.0, 2.0), ("c.flo", 4, 1, None, 5.0)]
+    df = spark.createDataFrame(rows, "path string, y long, x long, dx double, dy double").repartition(4)
+    write_flo(df, str(tmp_path / "out"))
+    got = read_flo(spark, str(tmp_path / "out"), partition_bytes=800)
+    assert got.rdd.getNumPartitions() >= 9
+    want = {r[:3]: r[3:] if None not in r else (None, None) for r in rows}
+    want |= {("c.flo", y, x): (None, None) for y in range(5) for x in range(4) if ("c.flo", y, x) not in want}
+    assert {(r.path, r.y, r.x): (r.dx, r.dy) for r in got.collect()} == want
+    assert read_flo(spark, str(tmp_path / "out"), "y long, x long").columns == ["y", "x"]
+    assert read_flo(spark, str(tmp_path / "out"), "y long").count() == len(want)
+    assert not [p for p in (tmp_path / "out").rglob(".*")]
 
 
 def test_feature_sets_and_writers(spark, tmp_path):
