@@ -34,8 +34,10 @@ whole sets.
 
 A text with fewer than GRAM words has one shingle, all of them; null and empty
 texts and those without words have none, and are alone. Repeated rows have one
-set and stay together; rows of one doc_id are one document. An empty table gives
-an empty result; other columns are not read.
+set and stay together; rows of one doc_id are one document. Rows without a doc_id
+are documents told apart by their texts: they link as others do, and their
+component_id is the least doc_id that they reach, null if there is none. An empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bloom_filter, bloom_hits, bloom_places, saved, shuffle_width, sliced
@@ -59,6 +61,8 @@ SEEDS, CHUNK, BLOCK = 4, 512, 2_000
 SMALL = 48
 #: Parts into which the rows of one hot token are dealt where they meet a small table.
 SALTS = 4
+#: Rows without a doc_id are numbered from here on.
+NO_ID = 2**62
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -248,9 +252,30 @@ def list_pairs(rows: DataFrame, percent: int, kind: int) -> DataFrame:
 
     CHAIN: for each member (a) the nearest one after it by size; NEAREST: for each
     two components (in ca, cb) the nearest pair, and whether there are several; ALL:
-    all.
+    all, each at the least token that both members have in these lists; rows then also
+    have `tokens`, those of the member.
     """
 
+    def repeated(x, y, token, tokens):
+        """Which pairs have met at a lesser token; they meet in each list that holds both."""
+        flat = pc.list_flatten(tokens).to_numpy()
+        sizes = pc.list_value_length(tokens).to_numpy()
+        names, codes = np.unique(flat, return_inverse=True)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        earlier = flat < token[row]
+        own = np.sort(row[earlier] * len(names) + codes[earlier])
+        ends = np.searchsorted(own, np.arange(len(sizes) + 1) * len(names))
+        out = np.zeros(len(x), bool)
+        for a in range(0, len(x), 50_000):
+            i, j = x[a : a + 50_000], y[a : a + 50_000]
+            n = ends[i + 1] - ends[i]
+            at = np.repeat(ends[i] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            pair = np.repeat(np.arange(len(i)), n)
+            want = own[at] % len(names) + j[pair] * len(names)
+            place = np.minimum(np.searchsorted(own, want), max(len(own) - 1, 0))
+            out[a + pair[own[place] == want]] = True
+        return out
+
     def bounded(x, y, n, pos, comp, block, cell, maps):
         ok = (comp[x] != comp[y]) & (100 * n[x] >= percent * n[y]) & (cell[x] | (block[x] != block[y]))
         x, y = x[ok], y[ok]
@@ -315,6 +340,9 @@ def list_pairs(rows: DataFrame, percent: int, kind: int) -> DataFrame:
         if not found:
             return
         x, y, apart, went = (np.concatenate(c) for c in zip(*found))
+        if kind == ALL and len(x):
+            fresh = ~repeated(x, y, token, group.column("tokens").combine_chunks())
+            x, y, apart, went = x[fresh], y[fresh], apart[fresh], went[fresh]
         again = {(i, j) for i, j in zip(comp[x[went]].tolist(), comp[y[went]].tolist())}
         x, y, apart, several = least(x, y, apart, comp)
         if again:
@@ -340,7 +368,7 @@ def list_pairs(rows: DataFrame, percent: int, kind: int) -> DataFrame:
             yield from pairs(carry)
 
     ordered = rows.repartition(shuffle_width(rows.sparkSession), "token", "b1", "b2").sortWithinPartitions("token", "b1", "b2", "n", "member")
-    return ordered.select(*LISTED).mapInArrow(run, "a long, b long, apart long, ca long, cb long, several boolean").where("a <> b")
+    return ordered.select(*LISTED, *(["tokens"] if kind == ALL else [])).mapInArrow(run, "a long, b long, apart long, ca long, cb long, several boolean").where("a <> b")
 
 
 def member_sets(docs: DataFrame, pairs: DataFrame, text: str, key: str, gram: int) -> DataFrame:
@@ -431,8 +459,42 @@ def cross_rows(listed: DataFrame, cut: DataFrame, members: DataFrame) -> DataFra
     return rows.join(members.hint("merge"), ["gid", "member"]).select(*LISTED)
 
 
+def text_key(docs: DataFrame, text: str = "text", low: int = -(2**63)) -> Column:
+    """A long, `low` or more, for each text of docs: different texts have different ones, null as empty.
+
+    Texts are told apart by their 128-bit digests. Of two texts with one hash (n texts have
+    some n²/2^65 such pairs: 3 for 10^10 texts, 270 for 10^11) one is hashed anew, until all differ.
+    """
+    digest, moved = F.md5(F.coalesce(F.col(text), F.lit(""))), {}
+    while True:
+        salt = F.lit(0)
+        if moved:
+            salt = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in moved.items() for x in pair]), digest), salt)
+        hashed = F.xxhash64(salt, F.coalesce(F.col(text), F.lit("")))
+        key = hashed if low == -(2**63) else F.lit(low) + F.pmod(hashed, F.lit(2**63 - low))
+        told = docs.select(key.alias("k"), digest.alias("d")).groupBy("k").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a <> b")
+        met = [r.b for r in told.select("b").collect()]
+        if not met:
+            return key
+        for d in met:
+            moved[d] = moved.get(d, 0) + 1
+
+
 def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    unnamed = docs.where("doc_id IS NULL AND text IS NOT NULL")
+    if unnamed.isEmpty():
+        return _groups(docs, "text", "doc_id", gram, percent)
+    # numbers above all doc_ids: a component's least number is a doc_id if it has one
+    if (docs.agg(F.max("doc_id")).first()[0] or 0) >= NO_ID:
+        raise ValueError("doc_ids of 2^62 and more leave no numbers for rows without one")
+    named = docs.withColumn("doc_id", F.coalesce("doc_id", F.when(F.col("text").isNotNull(), text_key(unnamed, "text", NO_ID))))
+    real = [F.when(F.col(c) < NO_ID, F.col(c)).alias(c) for c in ("doc_id", "component_id")]
+    return _groups(named, "text", "doc_id", gram, percent).select(real[0], "n_shingles", real[1])
+
+
+def _groups(docs: DataFrame, text: str, key: str, gram: int, percent: int) -> DataFrame:
     heavy = heavy_tokens(token_counts(docs, text, gram, percent, HEAVY_DOCS), HEAVY_DOCS, MOST_HEAVY)
     every = saved(prefixes(docs, heavy, text, key, gram, percent), "ngram-prefixes")
     full = every.where("n > 0 AND doc_id IS NOT NULL").withColumn("gid", F.xxhash64("p1", "p2", "n"))
@@ -480,7 +542,11 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", gra
     if not open_.isEmpty():
         left = listed.join(open_.hint("merge"), "comp", "left_semi").select("token", "gid", "pos", "member")
         found = more or found
-        more = joined(found, list_pairs(cross_rows(*placed(saved(left, "ngram-left"), found), members), percent, ALL))
+        left = saved(left, "ngram-left")
+        # no more than a member's prefix has
+        tokens = left.groupBy("member").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+        rows = cross_rows(*placed(left, found), members).join(tokens.hint("merge"), "member")
+        more = joined(found, list_pairs(rows, percent, ALL))
     found = more or found
     named = classes.select("k1", "k2", "member").join(found.select(F.col("node").alias("member"), "label"), "member", "left").select("k1", "k2", F.coalesce("label", "member").alias("component_id"))
     return every.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
