@@ -13,15 +13,17 @@ most about BUCKET documents: a hot source is split over many tasks. The words
 that rounding misses are then made up with the part's smallest documents.
 
 A null source is a source of its own, last in order. Texts without words have
-size 0; they keep one copy and take no words. Repeated rows count each. An empty
-table gives an empty result; other columns pass through,
-those with the name of a result are replaced.
+size 0; they keep one copy and take no words. Repeated rows count each. Ties in size and
+key, null keys too, go by a hash of all columns, so the order of rows and partitions changes
+nothing. An empty table gives an empty result; other columns pass through, those with the
+name of a result are replaced. A solution that isn't found in ITERATIONS steps is an error.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from .common import saved, without
 
@@ -108,24 +110,27 @@ def solve(counts: DataFrame, targets: DataFrame, most: int = MOST_COPIES) -> Dat
             "mix-state",
         )
         if state.where(~F.col("done")).isEmpty():
-            break
-    return state.drop("lo", "hi", "done")
+            return state.drop("lo", "hi", "done")
+    open_ = state.where(~F.col("done")).select("source", "target", "lo", "hi").limit(5).collect()
+    raise ArithmeticError(f"no rates after {ITERATIONS} iterations for {open_}")
 
 
 def mix(docs: DataFrame, size: str = "size", source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """docs with source_size, target, rate and copies; size: a column of word counts."""
-    docs = without(docs, "source_size", "target", "rate", "copies", "lam", "mean_size", "n_docs")
+    docs = without(docs, "source_size", "target", "rate", "copies")
     own = docs.columns
     keyed = docs.withColumns({"__source": F.col(source), "__size": F.col(size).cast("long")})
     counts = saved(keyed.groupBy(F.col("__source").alias("source"), F.col("__size").alias("size")).agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     solved = solve(counts, source_targets(counts, weights, most), most)
-    p = solved.select(F.col("source").alias("__p"), "source_size", "target", "lam", "mean_size", "n_docs")
-    rate = F.when(F.col("__size") == 0, F.lit(1.0)).otherwise(F.exp(F.least(F.col("lam") * F.col("__size") / F.col("mean_size"), F.log(F.lit(float(most))))))
+    p = solved.select(F.col("source").alias("__p"), "source_size", "target", F.col("lam").alias("__lam"), F.col("mean_size").alias("__mean"), F.col("n_docs").alias("__n"))
+    rate = F.when(F.col("__size") == 0, F.lit(1.0)).otherwise(F.exp(F.least(F.col("__lam") * F.col("__size") / F.col("__mean"), F.log(F.lit(float(most))))))
     rated = keyed.join(p, _same(F.col("__source"), F.col("__p"))).withColumn("rate", rate)
     # a rate within 1e-9 of a whole number is that number: exp and log need not agree on the last bit
     rated = rated.withColumn("rate", F.when(F.abs(F.col("rate") - F.rint("rate")) < 1e-9, F.rint("rate")).otherwise(F.col("rate")))
-    rated = rated.withColumn("__u", F.xxhash64(F.lit("mix"), F.col(key), F.col("__size")))
-    rated = rated.withColumn("__part", F.pmod("__u", F.ceil(F.col("n_docs") / BUCKET)))
+    # rows of one key, or of none, are told apart by all that they hold; those that hold the same change places unseen
+    held = [F.col(f.name) for f in docs.schema.fields if not isinstance(f.dataType, MapType | VariantType)]
+    rated = rated.withColumn("__u", F.xxhash64(F.lit("mix"), F.col(key), F.col("__size"), *held))
+    rated = rated.withColumn("__part", F.pmod("__u", F.ceil(F.col("__n") / BUCKET)))
     part = Window.partitionBy("__source", "__part")
     order = part.orderBy("__size", "__u", key)
     running = order.rowsBetween(Window.unboundedPreceding, 0)
