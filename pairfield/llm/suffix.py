@@ -388,27 +388,28 @@ def _merged(spans) -> list[list[int]]:
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with kept (binary), n_bytes, n_removed, n_spans, removed (the spans as (start, end) bytes) and n_repeated."""
-    docs = without(docs, "kept", "n_bytes", "n_removed", "n_spans", "removed", "n_repeated", "t1", "t2", "salt", "__found")
+    docs = without(docs, "kept", "n_bytes", "n_removed", "n_spans", "removed", "n_repeated", "__t1", "__t2", "__salt", "__found")
     own = docs.columns
     # rows are told apart by their texts: equal texts lose the same bytes
-    rows = docs.withColumns({"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)})
+    told = {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)}
     again = saved(anchor_rows(docs, text).groupBy("h").count().where("count > 1").select("h"), "suffix-anchors")
-    every = saved(item_rows(rows, again, text), "suffix-items")
+    slim = docs.select(F.col(text).alias("__text"), *[v.alias(k) for k, v in told.items()])
+    every = saved(item_rows(slim, again, "__text"), "suffix-items")
     kinds = every.groupBy("h", "d1", "d2").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
     run = F.struct(F.lit(0).alias("at"), F.col("n"), F.lit(NOTED).alias("size")), F.struct(F.lit(0).alias("at"), F.col("m").alias("n"), F.lit(LENGTH).alias("size"))
     whole = kinds.where("k > 1").select("d1", "d2", F.array_distinct(F.when(F.col("m") > 0, F.array(*run)).otherwise(F.array(run[0]))).alias("runs"))
     open_ = saved(kinds.groupBy("h").count().where("count > 1").select("h"), "suffix-open")
     # parts of one item come from every text that holds it: they count once
-    parts = saved(part_rows(docs, open_, text), "suffix-parts")
-    crowds = parts.select("c1", "c2", "i1", "i2").distinct().groupBy("c1", "c2").count().where(f"count > {CROWD}").select("c1", "c2")
+    parts = saved(part_rows(docs, open_, text).dropDuplicates(["c1", "c2", "i1", "i2"]), "suffix-parts")
+    crowds = parts.groupBy("c1", "c2").count().where(f"count > {CROWD}").select("c1", "c2")
     crowds = saved(crowds, "suffix-crowds")
     calm = parts.join(crowds, ["c1", "c2"], "left_anti")
-    crowd = parts.join(crowds, ["c1", "c2"], "left_semi").dropDuplicates(["c1", "c2", "i1", "i2"])
+    crowd = parts.join(crowds, ["c1", "c2"], "left_semi")
     found = group_repeats(calm).unionByName(crowd_repeats(crowd)).groupBy(F.col("i1").alias("d1"), F.col("i2").alias("d2")).agg(F.collect_set(F.struct("at", "n", "size")).alias("runs"))
     marked = saved(whole.unionByName(found), "suffix-found")
     spans = every.join(marked, ["d1", "d2"]).select("t1", "t2", F.explode("runs").alias("r"), "start")
     spans = spans.select("t1", "t2", (F.col("start") + F.col("r.at")).alias("a"), (F.col("start") + F.col("r.at") + F.col("r.n") + F.col("r.size") - 1).alias("b"), (F.col("r.size") == LENGTH).alias("gone"))
-    per = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b", "gone")).alias("__found")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    per = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b", "gone")).alias("__found")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed({"t1": "__t1", "t2": "__t2"})
 
     def cut(batches):
         for batch in sliced(batches, text):
@@ -432,5 +433,5 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {types[c]}" for c in own) + ", kept binary, n_bytes long, n_removed long, n_spans long, removed array<struct<start: bigint, end: bigint>>, n_repeated long"
-    salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    return salted.join(per, ["t1", "t2", "salt"], "left").select(*own, "__found").mapInArrow(cut, schema)
+    salted = docs.withColumns({"__t1": told["t1"], "__t2": told["t2"], "__salt": F.pmod(F.spark_partition_id(), F.lit(SALTS))})
+    return salted.join(per, ["__t1", "__t2", "__salt"], "left").select(*own, "__found").mapInArrow(cut, schema)
