@@ -9,9 +9,10 @@ bytes or more are removed; shorter ones stay, since short phrases recur in texts
 that have nothing else in common, and are counted only.
 
 Null and empty texts have no chunks and stay as they are. Rows of one doc_id are
-one document: a row that repeats another has the same result. Null doc_ids come
-first and count as one. An empty table gives an empty result; other columns
-pass through, those with the name of a result are replaced.
+one document: a row that repeats another has the same result. Rows without a doc_id
+come after all others and are told apart by their texts: equal texts are one document,
+in an order of hashes. An empty table gives an empty result; other columns pass
+through, those with the name of a result are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import sliced, text_buffers, without
 MEAN_CHUNK = 40
 MOST_CHUNK = 4096
 LEAST_RUN = 100
+#: Rows without a doc_id are numbered from here on; a doc_id of this size may share a number, and then the rows are one document.
+NO_ID = 2**62
 #: The gear table: 256 numbers from a fixed seed.
 GEAR = np.random.Generator(np.random.PCG64(20_240)).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -80,7 +83,9 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: int =
     """docs with clean_text, n_bytes, n_removed, n_spans, removed (the spans as (start, end) bytes) and n_repeated (bytes of all repeats, also in runs under least)."""
     docs = without(docs, "clean_text", "n_bytes", "n_removed", "n_spans", "removed", "n_repeated", "__id", "__found")
     own = docs.columns
-    rows = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))))
+    # numbers above those of documents, so that rows without one don't meet at one key
+    unnamed = F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_ID))
+    rows = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), unnamed))
     every = chunks(rows, text)
     here = F.struct("id", "place")
     twice = every.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first")).where("n > 1")

@@ -518,3 +518,64 @@ def test_repair_folds_long_copies():
     for ids in (np.tile(rng.integers(2, 40_000, 1000), 40).astype(np.uint16), np.full(4096, 5, np.uint16)):
         symbols, _, rules = compress(ids, np.array([len(ids)]))
         assert (expand(symbols, rules) == ids).all() and len(ids) > 100 * len(symbols)
+
+
+def test_rows_without_an_id_link_as_others_do(spark):
+    from pairfield.llm.ngram_join import jaccard_groups, text_key
+
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 120) for _ in range(3))
+    rows = [(5, a), (None, a), (None, a + " more"), (9, a + " more than"), (None, b), (None, b), (None, b + " tail"), (3, c), (None, None), (None, ""), (None, "two words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_groups(df).collect()), key=str)
+    sizes = [len({tuple(t.lower().split()[i : i + 4]) for i in range(len(t.split()) - 3)}) for _, t in rows[:8]]
+    want = [(i, n, 5 if t.startswith(a) else 3 if t == c else None) for (i, t), n in zip(rows[:8], sizes)] + [(None, 0, None), (None, 0, None), (None, 1, None)]
+    assert got == sorted(want, key=str)
+    keyed = df.select("text", text_key(df).alias("k")).distinct().collect()
+    assert len({r.k for r in keyed}) == len({r.text or "" for r in keyed})
+
+
+def test_text_keys_after_collisions(spark, monkeypatch):
+    """With hashes of a few bits texts collide at once, and are hashed again until they differ."""
+    from pairfield.llm import ngram_join
+
+    df = spark.createDataFrame([(f"text {i}",) for i in range(200)], "text string")
+    key = ngram_join.text_key(df, "text", 2**63 - 4_000)
+    got = df.select(key.alias("k")).collect()
+    assert len({r.k for r in got}) == 200 and min(r.k for r in got) >= 2**63 - 4_000
+
+
+def test_substring_dedup_without_ids(spark):
+    from pairfield.llm.substring import dedup
+
+    rng = random.Random(22)
+    a = prose(rng, 400)
+    df = spark.createDataFrame([(None, a), (None, a), (None, a + " and a tail of its own"), (4, a)], "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, len(r.text)): (r.n_removed, r.n_bytes) for r in dedup(df).collect()}
+    assert got[4, len(a)][0] == 0
+    assert all(gone > 0.9 * size for (i, _), (gone, size) in got.items() if i is None)
+
+
+def test_mix_does_not_depend_on_the_order_of_rows(spark):
+    from pairfield.llm.mixing import mix
+
+    rng = random.Random(23)
+    rows = [(None if i % 3 else i // 30, f"t{i}", 40, "ab"[i % 7 == 0], 1.5, {"x": i}) for i in range(300)]
+    schema = "doc_id long, text string, size long, source string, lam double, mean_size map<string,int>"
+    seen = set()
+    for parts in (1, 3, 7):
+        rng.shuffle(rows)
+        got = mix(spark.createDataFrame(rows, schema).repartition(parts))
+        assert set(schema.replace(",", " ").split()[::2]) >= {"lam"} and {"lam", "mean_size"} <= set(got.columns)
+        seen.add(tuple(sorted((r.text, r.copies, r.rate) for r in got.collect())))
+    assert len(seen) == 1 and len({c for _, c, _ in next(iter(seen))}) > 1
+
+
+def test_suffix_dedup_keeps_columns_and_one_part_an_item(spark):
+    rng = random.Random(24)
+    line = prose(rng, 200)[:450]
+    rows = [(i, f"{prose(rng, 12)} {line} {prose(rng, 12)}", "a", 1.0, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t1 string, t2 double, salt int").repartition(20)
+    got = suffix.remove_repeats(df)
+    assert {"t1", "t2", "salt"} <= set(got.columns)
+    assert all(r.t1 == "a" and r.t2 == 1.0 and r.salt == r.doc_id and r.n_removed >= 450 for r in got.collect())
