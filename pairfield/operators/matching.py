@@ -208,19 +208,71 @@ def correlate_blocked(src: DataFrame, trg: DataFrame, top: int | None = None, ep
     return a.cogroup(b).applyInArrow(run, "pair_id long, src_pos long, trg_pos long, score double")
 
 
-def _offsets(k: int) -> Column:
+#: Cells of a tile's side.
+TILE = 16
+
+
+def window_products(cells: DataFrame, around: DataFrame, key: str, offsets: list[tuple[int, int]], cosine: bool = False, mean: bool = False) -> DataFrame:
+    """key, row_i, col_i, oy, ox, score: products of each cell's vector with those of `around` at the offsets; where that has no cell 0.
+
+    Cells go to tiles of TILE by TILE, those of `around` to each tile whose halo, as wide
+    as the offsets reach, they lie in: one to four for most. Products run inside the tile, so no
+    vector is copied for each offset. cosine: vectors of length 1; a vector of no length has score
+    NULL. mean: over the channels. Both tables: key, row_i, col_i, vec, with one row a cell.
+    """
+    reach = max((max(abs(y), abs(x)) for y, x in offsets), default=0)
+    kind = dict(cells.dtypes)[key]
+
+    def tile(c: str, to: int) -> Column:
+        return F.floor((F.col(c) + to) / TILE).cast("long")
+
+    def spread(c: str) -> Column:
+        return F.explode(F.sequence(tile(c, -reach), tile(c, reach)))
+
+    own = cells.select(key, "row_i", "col_i", "vec", tile("row_i", 0).alias("tr"), tile("col_i", 0).alias("tc"))
+    # names of its own: of a table that meets itself, Spark would else drop columns of one side
+    halo = around.withColumn("tr", spread("row_i")).withColumn("tc", spread("col_i")).select(*[F.col(c).alias(f"around_{c}") for c in (key, "row_i", "col_i", "vec", "tr", "tc")])
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        m = table.column(3).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(table.num_rows, -1)
+        if cosine:
+            n = np.sqrt((m * m).sum(1, keepdims=True))
+            m = np.divide(m, n, out=np.full_like(m, np.nan), where=n > 0)
+        return m
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        y, x = (left.column(c).to_numpy().astype(np.int64) for c in ("row_i", "col_i"))
+        names, out = left.column(key).combine_chunks(), []
+        if left.num_rows:
+            top, side = (left.column("tr")[0].as_py() * TILE - reach, left.column("tc")[0].as_py() * TILE - reach), TILE + 2 * reach
+            at = np.full((side, side), -1)
+            if right.num_rows:
+                at[right.column(1).to_numpy().astype(np.int64) - top[0], right.column(2).to_numpy().astype(np.int64) - top[1]] = np.arange(right.num_rows)
+            b, a = matrix(left), matrix(right) if right.num_rows else None
+            for oy, ox in offsets:
+                j = at[y + oy - top[0], x + ox - top[1]]
+                score, there = np.zeros(len(y)), j >= 0
+                if there.any():
+                    score[there] = np.einsum("ij,ij->i", b[there], a[j[there]]) / (b.shape[1] if mean else 1)
+                out.append((oy, ox, score))
+        n = left.num_rows
+        score = np.concatenate([s for *_, s in out] or [np.zeros(0)])
+        return pa.table({
+            key: pa.concat_arrays([names] * len(out)) if out else names.slice(0, 0), "row_i": np.tile(y, len(out)), "col_i": np.tile(x, len(out)),
+            "oy": pa.array(np.repeat(np.array([o[0] for o in out], np.int32), n)), "ox": pa.array(np.repeat(np.array([o[1] for o in out], np.int32), n)), "score": pa.array(score, mask=np.isnan(score)),
+        })
+
+    return own.groupBy(key, "tr", "tc").cogroup(halo.groupBy(*[f"around_{c}" for c in (key, "tr", "tc")])).applyInArrow(run, f"{key} {kind}, row_i long, col_i long, oy int, ox int, score double")
+
+
+def _square(k: int) -> list[tuple[int, int]]:
     r = k // 2
-    return F.array(*[F.struct(F.lit(i).alias("oy"), F.lit(j).alias("ox")) for i in range(-r, r + 1) for j in range(-r, r + 1)])
+    return [(i, j) for i in range(-r, r + 1) for j in range(-r, r + 1)]
 
 
 def correlate_local(src: DataFrame, trg: DataFrame, k: int, mode: str = "cosine") -> DataFrame:
     """JON-11: each target cell against the k by k source cells around it; outside the grid 0. mode raw: dot over channels."""
-    cosine = mode == "cosine"
-    b = trg.select("pair_id", "row_i", "col_i", (unit_vec(F.col("vec")) if cosine else F.transform("vec", lambda x: x.cast("double"))).alias("b"))
-    b = b.withColumn("o", F.explode(_offsets(k))).select("pair_id", "row_i", "col_i", "b", F.col("o.oy").alias("oy"), F.col("o.ox").alias("ox"), (F.col("row_i") + F.col("o.oy")).alias("r"), (F.col("col_i") + F.col("o.ox")).alias("c"))
-    a = src.select("pair_id", F.col("row_i").alias("r"), F.col("col_i").alias("c"), (unit_vec(F.col("vec")) if cosine else F.transform("vec", lambda x: x.cast("double"))).alias("a"))
-    score = dot(F.col("a"), F.col("b")) if cosine else dot(F.col("a"), F.col("b")) / F.size("b")
-    return b.join(a, ["pair_id", "r", "c"], "left").select("pair_id", "row_i", "col_i", "oy", "ox", F.when(F.col("a").isNull(), F.lit(0.0)).otherwise(score).alias("score"))
+    return window_products(trg, src, "pair_id", _square(k), cosine=mode == "cosine", mean=mode != "cosine")
 
 
 def correlate_blocks(src: DataFrame, trg: DataFrame, coarse: DataFrame, ratio: int) -> DataFrame:
@@ -240,14 +292,8 @@ _DIRECTIONS = {"diagonal": (1, 1), "column": (1, 0), "anti": (1, -1), "row": (0,
 def self_similarity(feat: DataFrame, k: int, pattern: str = "full") -> DataFrame:
     """JON-13: dot products of each cell with its neighbourhood, 0 outside; full: k by k, sparse: four directions without the centre."""
     r = k // 2
-    if pattern == "full":
-        offs = _offsets(k)
-    else:
-        offs = F.array(*[F.struct(F.lit(d[0] * i).alias("oy"), F.lit(d[1] * i).alias("ox")) for d in _DIRECTIONS.values() for i in range(-r, r + 1) if i])
-    cells = feat.select("image_id", "row_i", "col_i", F.transform("vec", lambda x: x.cast("double")).alias("v"))
-    a = cells.withColumn("o", F.explode(offs)).select("image_id", "row_i", "col_i", F.col("v").alias("a"), F.col("o.oy").alias("oy"), F.col("o.ox").alias("ox"), (F.col("row_i") + F.col("o.oy")).alias("r"), (F.col("col_i") + F.col("o.ox")).alias("c"))
-    b = cells.select("image_id", F.col("row_i").alias("r"), F.col("col_i").alias("c"), F.col("v").alias("b"))
-    return a.join(b, ["image_id", "r", "c"], "left").select("image_id", "row_i", "col_i", "oy", "ox", F.when(F.col("b").isNull(), F.lit(0.0)).otherwise(dot(F.col("a"), F.col("b"))).alias("score"))
+    offsets = _square(k) if pattern == "full" else [(d[0] * i, d[1] * i) for d in _DIRECTIONS.values() for i in range(-r, r + 1) if i]
+    return window_products(feat, feat, "image_id", offsets)
 
 
 def mutual_nn(corr: DataFrame, eps: float = 1e-7) -> DataFrame:

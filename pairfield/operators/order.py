@@ -1,40 +1,69 @@
-"""Numbers and running sums along one order of a whole table, without a task that holds it.
+"""Numbers and running sums along one order of a whole table, without a task that holds it: WIN-9, WIN-10, GEN-5, GEN-22, GEN-23.
 
-Rows are dealt out by ranges of a numeric key, numbered inside each range, and
-moved by what is in the ranges before it: one row for each range.
+Rows are dealt by ranges of the whole order (group, key, ties, and at last their
+place in the input, so that equal keys can be split too), as many ranges as a shuffle
+has partitions. Each range counts along its rows; then what comes before a range is added,
+which takes one row for each group and range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+from ..sources.shared import saved
 
 
-def range_of(df: DataFrame, key: str, ranges: int = RANGES) -> Column:
-    """The number of the key's range among about `ranges` equal ones; null comes first."""
-    got = df.select(F.percentile_approx(F.col(key), [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else None
-    bounds = sorted(set(got or []))
-    if not bounds:
-        return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(key))), F.lit(0))
+def _local(groups: list[str], weight: str | None, ranges: str):
+    """Appends the range's number, whether a row begins a group in it, and the running amount inside group and range."""
 
+    def run(batches):
+        from pyspark import TaskContext
 
-def running(df: DataFrame, key: str, ties: tuple[str, ...] = (), by: tuple[str, ...] = (), weight: str | None = None, name: str = "row_no", before: str | None = None, ranges: int = RANGES) -> DataFrame:
+        part, last, total = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            for c in groups:
+                codes = batch.column(batch.schema.get_field_index(c)).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= codes[1:] != codes[:-1]
+            own = tuple(batch.column(batch.schema.get_field_index(c))[0].as_py() for c in groups)
+            new[0] = last is None or own != last
+            amount = np.ones(n, np.int64) if weight is None else batch.column(batch.schema.get_field_index(weight)).fill_null(0).to_numpy(zero_copy_only=False)
+            upto = np.cumsum(amount)
+            begin = np.flatnonzero(new)
+            base = np.zeros(n, upto.dtype)
+            base[begin] = upto[begin] - amount[begin]
+            group = np.cumsum(new)
+            offset = np.concatenate([[-total], base[begin]])[group]
+            upto = upto - offset
+            last, total = tuple(batch.column(batch.schema.get_field_index(c))[n - 1].as_py() for c in groups), upto[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(upto), pa.array(upto - amount)], [*batch.schema.names, ranges, "__upto", "__before"])
+
+    return run
+
+
+def running(df: DataFrame, key: str, ties: tuple[str, ...] = (), by: tuple[str, ...] = (), weight: str | None = None, name: str = "row_no", before: str | None = None) -> DataFrame:
     """df with the running count (from 1) or sum of weight along key and ties, inside groups of equal `by`; before: a name for the value without the row itself."""
-    dealt = df.withColumn("__range", range_of(df, key, ranges))
-    amount = F.lit(1) if weight is None else F.col(weight)
-    order = Window.partitionBy(*by, "__range").orderBy(key, *ties)
+    spark = df.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    kind = "long" if weight is None or df.schema[weight].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "double"
+    order = [*by, key, *ties]
+    fed = df if weight is None else df.withColumn("__weight", F.col(weight).cast(kind))
+    dealt = fed.withColumn("__place", F.monotonically_increasing_id()).repartitionByRange(width, *order, "__place").sortWithinPartitions(*order, "__place").drop("__place")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields) + f", __range int, __upto {kind}, __before {kind}"
+    counted = saved(dealt.mapInArrow(_local(list(by), None if weight is None else "__weight", "__range"), schema), "running")
+    # negative weights may make the last amount of a range not its greatest: the sum is taken
+    amount = F.lit(1) if weight is None else F.col("__weight")
+    sums = counted.groupBy(*by, "__range").agg(F.coalesce(F.sum(amount), F.lit(0)).alias("__n"))
     earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy(*by, "__range").agg(F.sum(amount).alias("__n"))
-    bases = sums.withColumn("__base", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
-    bases = bases.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(by)], F.col("__range").alias("__r"), "__base")
+    bases = sums.withColumn("__base", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).cast(kind)).select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(by)], F.col("__range").alias("__r"), "__base")
     same = F.col("__range") == F.col("__r")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"__{i}"))
-    sums = {name: F.sum(amount).over(order.rowsBetween(Window.unboundedPreceding, 0))}
-    if before:
-        sums[before] = F.coalesce(F.sum(amount).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = dealt.withColumns(sums).join(bases, same)
-    return numbered.withColumns({c: F.col(c) + F.col("__base") for c in sums}).drop("__range", "__r", "__base", *[f"__{i}" for i in range(len(by))])
+    out = {name: F.col("__upto") + F.col("__base")} | ({before: F.col("__before") + F.col("__base")} if before else {})
+    return counted.join(bases, same).withColumns(out).drop("__range", "__upto", "__before", "__weight", "__r", "__base", *[f"__{i}" for i in range(len(by))])

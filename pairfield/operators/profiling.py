@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved
+
 
 def curvature(surface: DataFrame) -> DataFrame:
     """WIN-3: along columns and rows 2 sin(acos(n1 . n2) / 2) / |p2 - p1| of the two neighbours, their mean and product.
@@ -72,44 +74,99 @@ def flatten_patches(df: DataFrame, vec: str = "vec") -> DataFrame:
     return df.select(*[c for c in df.columns if c != vec], F.posexplode(vec).alias("dim", "v"))
 
 
-def pca_project(features: DataFrame, key: list[str], k: int = 3, per: str | None = None, whiten: bool = True, vec: str = "vec") -> DataFrame:
-    """AGG-27: k principal components, whitened, as sigmoid(2x); over all rows, or per group of the column per.
+#: Sums of products that one task adds up at each level, and the bytes of them that a task holds at once.
+FAN_IN, HELD_BYTES = 32, 1 << 28
+
 
-    Tasks send sums of vectors and of their products; the small eigenproblem is
-    solved once a group. A component's greatest loading is positive.
+def moments(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """__g, n, s and q: number, sum and sum of products (matrices as bytes) of the vectors (vec) of each group (__g).
+
+    Every task sends one row a group; these are added up fan_in at a time, level by
+    level, and one after the other in a task, so that no task holds more than two matrices
+    a group, or reads more than fan_in.
     """
-    group = F.col(per).cast("string") if per else F.lit("all")
-    rows = features.select(*key, vec, group.alias("__g"))
 
     def partial(batches):
+        from pyspark import TaskContext
+
         held: dict[str, list] = {}
+        part = TaskContext.get().partitionId() << 24
+
+        def rows():
+            for g, (n, s, q) in held.items():
+                yield pa.RecordBatch.from_pydict({"__g": [g], "part": pa.array([part]), "n": pa.array([n]), "s": [s.tobytes()], "q": [q.tobytes()]})
+
         for batch in batches:
-            names = np.array(batch.column(1).to_pylist(), dtype=object)
-            m = np.array(batch.column(0).to_pylist(), float)
-            for g in sorted(set(names.tolist())):
-                part = m[names == g]
+            names = batch.column(1).dictionary_encode()
+            values, codes = names.dictionary.to_pylist(), names.indices.to_numpy(zero_copy_only=False)
+            m = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            for i, g in enumerate(values):
+                own = m[codes == i]
                 h = held.setdefault(g, [0, 0.0, 0.0])
-                h[0], h[1], h[2] = h[0] + len(part), h[1] + part.sum(0), h[2] + part.T @ part
-        if held:
-            yield pa.RecordBatch.from_pydict({"__g": list(held), "n": [h[0] for h in held.values()], "s": [h[1].tobytes() for h in held.values()], "q": [h[2].tobytes() for h in held.values()]})
-
-    def solve(table: pa.Table) -> pa.Table:
-        n = sum(table.column("n").to_pylist())
-        s = sum(np.frombuffer(x) for x in table.column("s").to_pylist())
-        q = sum(np.frombuffer(x) for x in table.column("q").to_pylist()).reshape(len(s), -1)
-        mean = s / n
-        values, vectors = np.linalg.eigh((q - np.outer(s, s) / n) / max(n - 1, 1))
-        w = vectors[:, ::-1][:, :k].T
-        w = w * np.sign(w[np.arange(len(w)), np.abs(w).argmax(1)])[:, None]
-        if whiten:
-            w = w / np.sqrt(np.maximum(values[::-1][: len(w)], 1e-12))[:, None]
-        return pa.table({"__g": table.column("__g").slice(0, 1), "mean": pa.array([mean.tolist()], pa.list_(pa.float64())), "axes": pa.array([w.tolist()], pa.list_(pa.list_(pa.float64())))})
-
-    sums = rows.select(vec, "__g").mapInArrow(partial, "__g string, n long, s binary, q binary")
-    models = sums.groupBy("__g").applyInArrow(solve, "__g string, mean array<double>, axes array<array<double>>")
-    centred = F.zip_with(F.col(vec), F.col("mean"), lambda a, b: a.cast("double") - b)
+                h[0], h[1], h[2] = h[0] + len(own), h[1] + own.sum(0), h[2] + own.T @ own
+                if len(held) * h[2].nbytes > HELD_BYTES:  # many groups: what is there goes on
+                    yield from rows()
+                    held, part = {}, part + 1
+        yield from rows()
+
+    def merge(batches):
+        key, held = None, None
+
+        def row():
+            return pa.RecordBatch.from_pydict({"__g": [key[0]], "part": pa.array([key[1]]), "n": pa.array([held[0]]), "s": [held[1].tobytes()], "q": [held[2].tobytes()]})
+
+        for batch in batches:
+            for g, part, n, s, q in zip(*(batch.column(i) for i in range(5))):
+                s, q = (np.frombuffer(x.as_buffer()) for x in (s, q))
+                if (g.as_py(), part.as_py()) != key:
+                    if key is not None:
+                        yield row()
+                    key, held = (g.as_py(), part.as_py()), [0, np.zeros(len(s)), np.zeros(len(q))]
+                held[0] += n.as_py()
+                held[1] += s
+                held[2] += q
+        if key is not None:
+            yield row()
+
+    schema, spark = "__g string, part long, n long, s binary, q binary", rows.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    sums = saved(rows.where(F.col("vec").isNotNull()).select("vec", "__g").mapInArrow(partial, schema), "moments")
+    parts = sums.groupBy("__g").count().agg(F.max("count")).first()[0] or 0
+    while parts > 1:
+        # any fan_in parts of a group: by their place, not their number, as some tasks hold no row of it
+        place = F.row_number().over(Window.partitionBy("__g").orderBy("part")) - 1
+        at = sums.select("__g", "part").withColumn("next", F.floor(place / fan_in).cast("int"))
+        dealt = sums.join(at, ["__g", "part"]).select("__g", F.col("next").alias("part"), "n", "s", "q")
+        sums = saved(dealt.repartition(width, "__g", "part").sortWithinPartitions("__g", "part").mapInArrow(merge, schema), "moments")
+        parts = -(-parts // fan_in)
+    return sums.select("__g", "n", "s", "q")
+
+
+def pca_project(features: DataFrame, key: list[str], k: int = 3, per: str | None = None, whiten: bool = True, vec: str = "vec", fan_in: int = FAN_IN) -> DataFrame:
+    """AGG-27: k principal components, whitened, as sigmoid(2x); over all rows, or per group of the column per.
+
+    The sums of products come from moments(); the small eigenproblem is solved once a
+    group. A component's greatest loading is positive. Rows without a vector have no components.
+    """
+    group = F.col(per).cast("string") if per else F.lit("all")
+    rows = features.select(*key, F.col(vec).alias("vec"), group.alias("__g"))
+
+    def solve(batches):
+        for batch in batches:
+            for g, n, s, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                s = np.frombuffer(s.as_buffer())
+                q = np.frombuffer(q.as_buffer()).reshape(len(s), -1)
+                values, vectors = np.linalg.eigh((q - np.outer(s, s) / n) / max(n - 1, 1))
+                w = vectors[:, ::-1][:, :k].T
+                w = w * np.sign(w[np.arange(len(w)), np.abs(w).argmax(1)])[:, None]
+                if whiten:
+                    w = w / np.sqrt(np.maximum(values[::-1][: len(w)], 1e-12))[:, None]
+                yield pa.RecordBatch.from_pydict({"__g": [g], "mean": pa.array([(s / n).tolist()], pa.list_(pa.float64())), "axes": pa.array([w.tolist()], pa.list_(pa.list_(pa.float64())))})
+
+    models = moments(rows, fan_in).mapInArrow(solve, "__g string, mean array<double>, axes array<array<double>>")
+    centred = F.zip_with("vec", F.col("mean"), lambda a, b: a.cast("double") - b)
     scores = F.transform("axes", lambda axis: 1 / (1 + F.exp(-2 * F.aggregate(F.zip_with(axis, centred, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))))
-    return rows.join(models, "__g").select(*key, scores.alias("components"))
+    return rows.where(F.col("vec").isNotNull()).join(models, "__g").select(*key, scores.alias("components"))
 
 
 def union_datasets(named: dict[str, DataFrame], tag: str = "dataset_name") -> DataFrame:

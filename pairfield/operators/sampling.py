@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keyed as K
 from ..functions import points as P
+from ..sources.shared import saved
 from .order import running
 
 
@@ -230,20 +231,36 @@ def sample_power(ids: DataFrame, lo: float, off: float, key: str, seed: int, deb
     return ids.withColumn("power", F.lit(lo + off / 2) if debug else K.uniform(lo, lo + off, seed, "power", key))
 
 
-#: Parts of the catalogue that are ranked by themselves first.
-POOL_PARTS = 16
-
-
 def sample_pool(calls: DataFrame, catalog: DataFrame, size: int, every: int, seed: int) -> DataFrame:
-    """GEN-20: the pool of each epoch of `every` calls: the `size` assets with the least draws; calls: call_no."""
+    """GEN-20: the pool of each epoch of `every` calls: the `size` assets with the least draws; calls: call_no.
+
+    An asset's draw in an epoch becomes a row only if it is under a threshold that some more than
+    `size` draws of the catalogue pass; epochs that it leaves short are ranked once more without one.
+    """
     epochs = calls.select(F.floor(F.col("call_no") / every).cast("long").alias("epoch")).distinct()
     first, last = epochs.agg(F.min("epoch"), F.max("epoch")).first()
-    # each part of the catalogue keeps its least draws of each epoch; only these meet
-    draws = catalog.select("asset_id", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("epoch")).join(epochs, "epoch", "left_semi").withColumns({"u": K.unit(seed, "pool", "epoch", "asset_id"), "part": F.pmod(F.xxhash64("asset_id"), F.lit(POOL_PARTS))})
-    order = ["u", "asset_id"]
-    few = draws.withColumn("rank", F.row_number().over(Window.partitionBy("epoch", "part").orderBy(*order))).where(F.col("rank") <= size)
-    rank = F.row_number().over(Window.partitionBy("epoch").orderBy(*order))
-    return few.withColumn("rank", rank.cast("long")).where(F.col("rank") <= size).select("epoch", "asset_id", "rank")
+    total = catalog.count()
+    order = Window.partitionBy("epoch").orderBy("u", "asset_id")
+
+    def drawn(wanted: DataFrame, under: float) -> DataFrame:
+        near = F.filter(F.sequence(F.lit(first), F.lit(last)), lambda e: K.unit(seed, "pool", e, F.col("asset_id")) < under)
+        rows = catalog.select("asset_id", F.explode(near).alias("epoch")).join(wanted, "epoch", "left_semi").withColumn("u", K.unit(seed, "pool", "epoch", "asset_id"))
+        return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= size)
+
+    if first is None or not total:
+        return drawn(epochs, 1.0).select("epoch", "asset_id", "rank")
+    under = min(1.0, pool_margin(size) / total)
+    most = saved(drawn(epochs, under), "pool")
+    if under < 1:
+        short = saved(epochs.join(most.groupBy("epoch").count(), "epoch", "left").where(F.coalesce("count", F.lit(0)) < min(size, total)).select("epoch"), "pool-short")
+        if not short.isEmpty():
+            most = most.join(short, "epoch", "left_anti").unionByName(drawn(short, 1.0))
+    return most.select("epoch", "asset_id", "rank")
+
+
+def pool_margin(size: int) -> float:
+    """How many draws should pass so that fewer than `size` pass but once in some 10^9 epochs."""
+    return size + 6 * math.sqrt(size) + 10
 
 
 def adapt_pool(hits: DataFrame, step: int = 5, low: float = 0.5, high: float = 0.8) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import matching as X
@@ -132,6 +133,26 @@ def q35_pca_project(spark, sf_dir):
     return R.pca_project(fixture(spark, sf_dir, "fx_features"), ["pair_id", "side", "pos"], 3)
 
 
+@query("""WITH i AS (SELECT unnest(range(0, 3)) AS component) SELECT CAST(component AS INTEGER) AS component, (SELECT count(*) FROM fx_features) AS n, 0.0E0 AS mean, 1.0E0 AS variance, 0.0E0 AS covariance FROM i""")
+def q35b_pca_invariants(spark, sf_dir):
+    """AGG-27: before the sigmoid whitened components have mean 0 and variance 1, and none goes with the next."""
+    scores = R.pca_project(fixture(spark, sf_dir, "fx_features"), ["pair_id", "side", "pos"], 3, fan_in=2)
+    raw = F.transform("components", lambda c: F.log(c / (1 - c)) / 2)
+    each = scores.select(raw.alias("c")).select(F.posexplode("c").alias("component", "v"), F.get("c", (F.col("component") + 1) % 3).alias("next"))
+    got = each.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.var_samp("v").alias("variance"), F.covar_samp("v", "next").alias("covariance"))
+    return got.select("component", "n", *[(F.round(c, 5) + 0.0).alias(c) for c in ("mean", "variance", "covariance")])
+
+
+@query("""WITH d AS (SELECT i, var_samp(CAST(vec[i] AS DOUBLE)) AS v FROM fx_features, (SELECT unnest(range(1, 65)) AS i) r GROUP BY i) SELECT round(sum(v), 4) AS total_variance, 64 AS n_components, TRUE AS falling FROM d""")
+def q35c_pca_variance(spark, sf_dir):
+    """AGG-27: all components together have the variance of the features, the first ones the most."""
+    scores = R.pca_project(fixture(spark, sf_dir, "fx_features"), ["pair_id", "side", "pos"], 64, whiten=False)
+    raw = F.transform("components", lambda c: F.log(c / (1 - c)) / 2)
+    per = scores.select(F.posexplode(raw).alias("component", "v")).groupBy("component").agg(F.var_samp("v").alias("v"))
+    before = F.lag("v").over(Window.orderBy("component"))  # a row for each component
+    return per.withColumn("falls", F.coalesce(F.col("v") <= before * (1 + 1e-9), F.lit(True))).agg(F.round(F.sum("v"), 4).alias("total_variance"), F.count(F.lit(1)).cast("int").alias("n_components"), F.bool_and("falls").alias("falling"))
+
+
 @query("""WITH e AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
           d AS (SELECT a.id, b.id AS neighbor, list_distance(a.v, b.v) AS distance FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbor) AS k FROM d)
           SELECT id, neighbor, round(distance, 6) AS distance FROM r WHERE k = 1""")

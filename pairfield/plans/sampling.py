@@ -164,10 +164,18 @@ def q41c_location_masks(spark, sf_dir):
     return got.select("object_id", "y", "x", F.round("mask", 6).alias("mask"))
 
 
-@query()
+@query(f"""WITH c AS (SELECT pair_id, {", ".join(f"{b[0]} - 0.2 + 0.4 * {U(f'corner/x{i}', 'pair_id')} AS x{i}, {b[1]} - 0.2 + 0.4 * {U(f'corner/y{i}', 'pair_id')} AS y{i}" for i, b in enumerate([(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0)]))},
+              0.9 + 0.2 * {U("scale", "pair_id")} AS s, -0.2 + 0.4 * {U("angle", "pair_id")} AS a, -0.1 + 0.2 * {U("shear", "pair_id")} AS r, -0.1 + 0.2 * {U("tx", "pair_id")} AS tx, -0.1 + 0.2 * {U("ty", "pair_id")} AS ty FROM fx_pairs),
+           d AS (SELECT *, x0 - x1 + x2 - x3 AS sx, y0 - y1 + y2 - y3 AS sy, (x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2) AS det FROM c),
+           q AS (SELECT *, (sx * (y3 - y2) - (x3 - x2) * sy) / det AS g, ((x1 - x2) * sy - sx * (y1 - y2)) / det AS h FROM d),
+           p AS (SELECT q.*, CAST(v AS BIGINT) AS y, CAST(u AS BIGINT) AS x, (2 * (u + 8) / 15.0E0) / 2 AS px, (2 * (v + 4) / 15.0E0) / 2 AS py FROM q, (SELECT unnest(range(0, 8)) AS v) e, (SELECT unnest(range(0, 8)) AS u) f),
+           w AS (SELECT *, ((x1 - x0 + g * x1) * px + (x3 - x0 + h * x3) * py + x0) / (g * px + h * py + 1) AS hx, ((y1 - y0 + g * y1) * px + (y3 - y0 + h * y3) * py + y0) / (g * px + h * py + 1) AS hy FROM p),
+           n AS (SELECT *, s * cos(a) * hx - s * sin(a + r) * hy + tx AS nx, s * sin(a) * hx + s * cos(a + r) * hy + ty AS ny FROM w)
+           SELECT pair_id, y, x, CASE WHEN nx BETWEEN -1 AND 1 AND ny BETWEEN -1 AND 1 THEN round((nx + 1) * 7.5 - (x + 8), 6) END AS dx, CASE WHEN nx BETWEEN -1 AND 1 AND ny BETWEEN -1 AND 1 THEN round((ny + 1) * 7.5 - (y + 4), 6) END AS dy FROM n""")
 def q41d_warp_pairs(spark, sf_dir):
     ids = fixture(spark, sf_dir, "fx_pairs").select("pair_id")
-    return Y.crop_pixels(S.warp_pairs(ids, 16, 16, "pair_id", SEED), 4, 4, 8, 8)
+    got = Y.crop_pixels(S.warp_pairs(ids, 16, 16, "pair_id", SEED), 4, 8, 8, 8)
+    return got.select("pair_id", "y", "x", F.round("dx", 6).alias("dx"), F.round("dy", 6).alias("dy"))
 
 
 @query("""WITH c AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_regionkey AS warp_id, n_nationkey * 20.0E0 AS cx, n_regionkey * 100.0E0 AS cy, 1e-6 * n_nationkey AS kx, -1e-6 * n_regionkey AS ky FROM nation),
@@ -209,9 +217,11 @@ def q42c_colors(spark, sf_dir):
     return got.select("asset_id", *[F.round(c, 6).alias(c) for c in "rgb"])
 
 
-@query()
+@query(f"""WITH n AS (SELECT asset_id, {", ".join(f"sqrt(-2 * ln(1 - {U(f'quat/{i}/a', 'asset_id')})) * cos(2 * pi() * {U(f'quat/{i}/b', 'asset_id')}) AS n{i}" for i in range(4))}, list_sort([{", ".join(U(f"quat/r/{i}", "asset_id") for i in range(15))}])[12] AS r FROM fx_catalog),
+           s AS (SELECT *, r / sqrt(n0 * n0 + n1 * n1 + n2 * n2 + n3 * n3) AS s FROM n)
+           SELECT asset_id, {", ".join(f"round(n{i} * s, 6) AS q{i}" for i in range(4))} FROM s""")
 def q42d_quaternions(spark, sf_dir):
-    """Rows only: the beta radius is the twelfth of fifteen draws, which SQL can't sort in a row."""
+    """The beta radius is the twelfth of fifteen draws."""
     got = S.sample_quaternions(fixture(spark, sf_dir, "fx_catalog").select("asset_id"), "asset_id", SEED)
     return got.select("asset_id", *[F.round(f"q{i}", 6).alias(f"q{i}") for i in range(4)])
 
