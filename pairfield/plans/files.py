@@ -17,7 +17,7 @@ from ..sources.shared import shared_path
 from .evaluation import DISTANCE, PER_PAIR, _flows, _per_pair
 from .fixtures import fixture
 from .registry import ORACLE, query
-from .surfaces import q13_view_overlap
+from .surfaces import PAIRS, q13_view_overlap
 
 PASCAL = """SELECT CAST(src_image AS VARCHAR) || '.jpg' AS src_image, CAST(trg_image AS VARCHAR) || '.jpg' AS trg_image,
                    CAST(pair_id % 20 AS INT) AS category_id, pair_id % 3 = 1 AS flip FROM fx_pairs"""
@@ -72,12 +72,12 @@ def q46d_annotation_maps(spark, sf_dir):
     return D.annotation_points(D.annotation_maps(texts), ["name"])
 
 
-@query("""SELECT CASE WHEN split = 'F' THEN 'trn' ELSE 'test' END AS split, 'c' || (p.pair_id % 18) AS category, CAST(count(*) AS BIGINT) AS n_points, CAST(count(DISTINCT p.pair_id) AS BIGINT) AS n_pairs
-          FROM fx_pairs p JOIN fx_kp k ON p.pair_id = k.pair_id WHERE split <> 'P' GROUP BY 1, 2""")
+@query("""SELECT CASE split WHEN 'F' THEN 'trn' WHEN 'P' THEN 'val' ELSE 'test' END AS split, 'c' || (p.pair_id % 18) AS category, CAST(count(*) AS BIGINT) AS n_points, CAST(count(DISTINCT p.pair_id) AS BIGINT) AS n_pairs
+          FROM fx_pairs p JOIN fx_kp k ON p.pair_id = k.pair_id GROUP BY 1, 2""")
 def q46e_compacted_annotations(spark, sf_dir):
     path = shared_path(spark, "compacted")
     a = _annotations(spark, sf_dir)
-    pairs = fixture(spark, sf_dir, "fx_pairs").where("split <> 'P'").select(F.concat(F.lit("pair-"), F.col("pair_id").cast("string")).alias("name"), F.when(F.col("split") == "F", "trn").otherwise("test").alias("split"))
+    pairs = fixture(spark, sf_dir, "fx_pairs").select(F.concat(F.lit("pair-"), F.col("pair_id").cast("string")).alias("name"), F.when(F.col("split") == "F", "trn").when(F.col("split") == "P", "val").otherwise("test").alias("split"))
     D.compact(D.annotation_files(a.select(F.concat("name", F.lit(".json")).alias("path"), "value")), pairs, path, 4)
     back = spark.read.parquet(path)
     return back.groupBy("split", "category").agg(F.sum(F.size("src_kps")).alias("n_points"), F.count(F.lit(1)).alias("n_pairs"))
@@ -140,11 +140,22 @@ def q40d_flow_files(spark, sf_dir):
     return read_flo(spark, path)
 
 
-@query("""SELECT CASE side WHEN 0 THEN 'src' ELSE 'trg' END AS dataset_name, CAST(count(*) AS BIGINT) AS n_rows, CAST(min(len(vec)) AS INT) AS dim FROM fx_features GROUP BY side""")
-def q18f_feature_sets(spark, sf_dir):
+def _feature_sets(spark, sf_dir) -> str:
     path = shared_path(spark, "features")
     fixture(spark, sf_dir, "fx_features").select("pair_id", "pos", "vec", F.when(F.col("side") == 0, "src").otherwise("trg").alias("dataset_name")).write.partitionBy("dataset_name").parquet(path)
-    return D.read_feature_sets(spark, path)[1]
+    return path
+
+
+@query("""SELECT CASE side WHEN 0 THEN 'src' ELSE 'trg' END AS dataset_name, CAST(count(*) AS BIGINT) AS n_rows, CAST(min(len(vec)) AS INT) AS dim FROM fx_features GROUP BY side""")
+def q18f_feature_sets(spark, sf_dir):
+    return D.read_feature_sets(spark, _feature_sets(spark, sf_dir))[1]
+
+
+@query("""SELECT CASE side WHEN 0 THEN 'src' ELSE 'trg' END AS dataset_name, pair_id, pos, CAST(i - 1 AS INTEGER) AS dim, round(CAST(vec[i] AS DOUBLE), 6) AS v FROM fx_features, (SELECT unnest(range(1, 65)) AS i) r""")
+def q18g_feature_set_rows(spark, sf_dir):
+    """SRC-21: every number of every row."""
+    rows = D.read_feature_sets(spark, _feature_sets(spark, sf_dir))[0]
+    return rows.select("dataset_name", "pair_id", "pos", F.posexplode("vec").alias("dim", "v")).withColumn("v", F.round(F.col("v").cast("double"), 6))
 
 
 @query()
@@ -185,14 +196,13 @@ def q07c_written_errors(spark, sf_dir):
     return spark.read.parquet(path).withColumn("epe", F.round("epe", 6))
 
 
-@query("""WITH n AS (SELECT a.object_id, a.image_id AS image1, b.image_id AS image2, b.y AS y2, b.x AS x2 FROM fx_surface a JOIN fx_surface b ON a.object_id = b.object_id AND a.image_id < b.image_id
-                     WHERE (b.cx - a.cx) * (b.cx - a.cx) + (b.cy - a.cy) * (b.cy - a.cy) + (b.cz - a.cz) * (b.cz - a.cz) <= 5e-5)
-          SELECT object_id, image1 || '-' || image2 AS pair, CAST(count(DISTINCT (y2, x2)) AS BIGINT) AS n FROM n GROUP BY object_id, image1, image2""")
+@query(f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY object_id, image1, image2, y2, x2 ORDER BY d2, y1, x1) AS k FROM n WHERE image1 < image2)
+           SELECT object_id, image1 || '-' || image2 AS pair, y2, x2, y1, x1 FROM r WHERE k = 1""")
 def q12c_written_matches(spark, sf_dir):
     path = shared_path(spark, "matches")
     for _ in range(2):  # the second write leaves what is there
         W.write_matches(X.pairwise_matches(fixture(spark, sf_dir, "fx_surface")), path)
-    return spark.read.parquet(path).groupBy(F.col("object_id").cast("long").alias("object_id"), "pair").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(path).select(F.col("object_id").cast("long").alias("object_id"), "pair", "y2", "x2", "y1", "x1")
 
 
 @query("SELECT CAST(asset_id AS VARCHAR) AS asset_id, category AS kind, '1k' AS resolution, 'jpg' AS format, '/assets/' || name AS path FROM fx_catalog")
@@ -242,9 +252,10 @@ def q49_sql_functions(spark, sf_dir):
     )
 
 
-@query("""WITH s AS (SELECT src_image AS a, trg_image AS b, pair_id FROM fx_pairs WHERE split = 'F' UNION ALL SELECT trg_image, src_image, pair_id FROM fx_pairs WHERE split = 'F')
-          SELECT a AS image, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY a""")
+@query("""WITH p AS (SELECT pair_id, split, src_image, trg_image % 500 AS trg_image FROM fx_pairs),
+          s AS (SELECT split, src_image AS a FROM p UNION ALL SELECT split, trg_image FROM p)
+          SELECT split, a AS image, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY split, a""")
 def q49b_transform_chain(spark, sf_dir):
     """UDF-2: a chain of transforms as one."""
-    chain = functions.compose(lambda d: d.where("split = 'F'"), G.make_bidirectional, lambda d: d.groupBy(F.col("src_image").alias("image")).agg(F.count(F.lit(1)).alias("n")))
+    chain = functions.compose(lambda d: d.withColumn("trg_image", F.col("trg_image") % 500), G.make_bidirectional, lambda d: d.groupBy("split", F.col("src_image").alias("image")).agg(F.count(F.lit(1)).alias("n")))
     return chain(fixture(spark, sf_dir, "fx_pairs").select("pair_id", "split", "src_image", "trg_image"))
