@@ -8,10 +8,16 @@ its normal form: digits without layout, lower case, and a + before a phone's
 country code; secrets are told by their case). A surrogate is drawn from the
 normal form and laid out as the entity was found, so all spellings share it. A
 name has one gender: the one that its titles (or, without any, its known first
-names) tell, none if they differ. People are found by a title, or by a first name
-of FIRST or KNOWN before a surname; their surnames are found wherever else the text has
-them, and get the surname of the full name's surrogate. Different entities of a
-type get different ones:
+names) tell, none if they differ. People are found by a title, by what stands around
+two or three capitalised words (CUES: "my name is", "Dear", "written by", a mail address
+in brackets after them), or by a first name of FIRST or KNOWN before a surname; names
+that end as streets and places do are none. Their surnames are found wherever else the
+text has them, and get the surname of the full name's surrogate.
+
+Types keep what makes them valid: cards the Luhn digit, IBANs their country and check
+digits, addresses of private networks the network, public ones stay public; American
+numbers are one entity with or without +1, and keep an area code from 2 on; letters stay
+in their script. Different entities of a type get different ones:
 
 - numbers pass a keyed permutation of all numbers of their length, so two never
   meet;
@@ -29,6 +35,7 @@ columns pass through, those with the name of a result are replaced.
 from __future__ import annotations
 
 import hmac
+import ipaddress
 from bisect import bisect
 from functools import lru_cache
 
@@ -77,21 +84,29 @@ KNOWN = {
 #: Genders of the first names; those of several pools tell none.
 GENDERS = {name: gender if sum(name in pool for pool in FIRST.values()) == 1 else "n" for (_, gender), pool in FIRST.items() for name in pool}
 GENDERS |= {name: gender for gender, names in KNOWN.items() for name in names}
+#: What stands before a name, and the words that end streets and places named after people.
+CUES = "(?i:my name is|name is|name:|dear|regards,|sincerely,|signed by|written by|author:|contact:?|attn:?|mich heiße|ich heiße|mein name ist|je m'appelle|me llamo|mi nombre es)"
+PLACES = "Street Avenue Road Boulevard Lane Square Drive Park Bridge Station Airport University Museum Prize Straße Strasse Platz Allee Weg Gasse Brücke".lower().split()
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 PATTERNS = (
     ("email", r"[\p{L}\p{N}_%+-]+(?:\.[\p{L}\p{N}_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("email", r"[\p{L}\p{N}_%+-]+(?:\.[\p{L}\p{N}_%+-]+)*@[\p{L}\p{M}\p{N}-]+(?:\.[\p{L}\p{M}\p{N}-]+)*\.\p{L}{2,}"),
     ("secret", r"(?i:\b(?:access[_-]?|auth[_-]?|api[_-]?)?(?:token|secret|password|passwd|key))['\"]?\s*[:=]\s*['\"]?(?P<secret>[A-Za-z0-9_./+=-]{8,})"),
     ("secret", r"(?<![\p{L}\p{N}])(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,}(?![\p{L}\p{N}])"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ip", r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])"),
+    ("ipv6", r"(?<![\p{L}\p{N}:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?=[0-9A-Fa-f:]*::)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4})(?![\p{L}\p{N}:])"),
     ("ssn", r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"),
     ("card", r"(?<![\p{L}\p{N}])[0-9]{4}(?:[ -][0-9]{4}){3}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[0-9]{13,19}(?![\p{L}\p{N}])"),
     ("phone", r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\p{L}\p{N}])"),
+    ("phone", r"(?<![\p{L}\p{N}+.,-])(?<![0-9] )(?:[2-9][0-9]{2} [0-9]{3} [0-9]{4}|0[1-9][0-9]{1,3}[ /-][0-9]{5,8})(?![\p{L}\p{N}]| [0-9])"),
     ("person", rf"\b(?P<title>{'|'.join(TITLES)})\.? (?P<person>{_NAME}(?: {_NAME}){{0,2}})"),
+    ("person", rf"\b(?:{CUES}) (?P<person>{_NAME}(?: {_NAME}){{1,2}})"),
+    ("person", rf"(?<![\p{{L}}\p{{N}}])(?P<person>{_NAME}(?: {_NAME}){{1,2}})(?= ?[<(\[][^\s@<>()]{{1,64}}@)"),
     ("person", rf"(?<![\p{{L}}\p{{N}}])(?P<person>(?P<first>{'|'.join(GENDERS)})(?: {_NAME}){{1,2}})"),
 )
 #: What a text must hold to be searched at all.
-HINT = "[0-9@]|(?:" + "|".join(TITLES) + ")[.]? |(?:" + "|".join(GENDERS) + ") \\p{Lu}|[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww]|[Kk][Ee][Yy]['\"]?\\s*[:=]"
+HINT = "[0-9@]|::|" + CUES + " \\p{Lu}|(?:" + "|".join(TITLES) + ")[.]? |(?:" + "|".join(GENDERS) + ") \\p{Lu}|[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww]|[Kk][Ee][Yy]['\"]?\\s*[:=]"
 
 
 _WORD = regex.compile(rf"(?<![\p{{L}}\p{{N}}]){_NAME}")
@@ -125,6 +140,42 @@ def luhn(digits: str) -> int:
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10
 
 
+def mod97(text: str) -> int:
+    """The remainder of letters and digits read as a number, A as 10."""
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+#: Networks that are not public, and their bits.
+NETWORKS = (((10, 0), 8), ((127, 0), 8), ((172, 16), 12), ((192, 168), 16), ((169, 254), 16))
+
+
+def network(n: int) -> tuple[int, int] | None:
+    """The private network of an address, as its first address and the bits after it."""
+    for (a, b), bits in NETWORKS:
+        first = a << 24 | b << 16
+        if n >> 32 - bits == first >> 32 - bits:
+            return first, 32 - bits
+    return None
+
+
+def moved_address(key: bytes, found: str, attempt: int) -> str:
+    """An address under a keyed permutation of its private network, or of the public ones."""
+    n = int(ipaddress.IPv4Address(".".join(str(int(p)) for p in found.split("."))))
+    first, bits = network(n) or (0, 32)
+    half = bits // 2
+    n -= first
+    while True:
+        x, y = n >> half, n & (1 << half) - 1
+        for i in range(8):
+            if i % 2:
+                y = (y + number(key, "ip", attempt, i, bits, x)) % (1 << half)
+            else:
+                x = (x + number(key, "ip", attempt, i, bits, y)) % (1 << bits - half)
+        n = x << half | y
+        if bits < 32 or network(n) is None:  # going on along the permutation keeps addresses apart
+            return str(ipaddress.IPv4Address(first + n))
+
+
 def wider(attempt: int) -> int:
     return max(0, attempt - WIDER + 1)
 
@@ -137,7 +188,12 @@ def laid_out(found: str, fresh: str) -> str:
 
 def normal(kind: str, found: str) -> str:
     if kind in ("phone", "card", "ssn"):
-        return ("+" if kind == "phone" and found.startswith("+") else "") + "".join(c for c in found if c.isdigit())
+        digits = "".join(c for c in found if c.isdigit())
+        if kind == "phone" and not found.startswith("+") and len(digits) == 10 and digits[0] in "23456789":
+            return "+1" + digits
+        return ("+" if kind == "phone" and found.startswith("+") else "") + digits
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(found).exploded
     if kind == "ip":
         return ".".join(str(int(part)) for part in found.split("."))
     return "".join(found.split()).lower() if kind in ("email", "iban") else found.lower() if kind == "person" else found
@@ -148,6 +204,10 @@ def script(word: str) -> str:
     return "Cyrillic" if 0x400 <= first < 0x530 else "Greek" if 0x370 <= first < 0x400 or 0x1F00 <= first < 0x2000 else "Latin"
 
 
+#: The first letter and the number of letters in a row of each script.
+_ALPHABETS = {"Latin": ("a", 26), "Cyrillic": ("а", 32), "Greek": ("α", 17)}
+
+
 def letters(key: bytes, kind: str, text: str, attempt: int) -> str:
     """Letters for letters of the same case, digits for digits; marks stay."""
     draw, out = number(key, kind, attempt, text.lower()), []
@@ -158,8 +218,9 @@ def letters(key: bytes, kind: str, text: str, attempt: int) -> str:
             draw, r = divmod(draw, 10)
             out.append(str(r))
         elif c.isalpha():
-            draw, r = divmod(draw, 26)
-            out.append(chr((65 if c.isupper() else 97) + r))
+            kind_, n = _ALPHABETS[script(c)]
+            draw, r = divmod(draw, n)
+            out.append(chr(ord(kind_) + r).upper() if c.isupper() else chr(ord(kind_) + r))
         else:
             out.append(c)
     return "".join(out)
@@ -183,16 +244,21 @@ def surrogate(key: bytes, kind: str, found: str, attempt: int = 0) -> str:
     if kind in ("phone", "ssn"):
         norm = normal(kind, found)
         marked = regex.match(CODES, norm)
-        digits, code = norm.lstrip("+") + "0" * wider(attempt), len(marked[0]) - 1 if marked else 0
-        return laid_out(found, digits[:code] + permuted(key, f"{kind}{digits[:code]}", digits[code:], attempt))
+        digits, code = norm.lstrip("+") + "0" * wider(attempt), len(marked[0]) - 1 if marked else int(kind == "phone" and norm.startswith("0"))
+        made, american = permuted(key, f"{kind}{digits[:code]}", digits[code:], attempt), norm.startswith("+1") and digits[1] > "1"
+        while american and made[0] < "2":  # an area code; going on along the permutation keeps numbers apart
+            made = permuted(key, f"{kind}{digits[:code]}", made, attempt)
+        return laid_out(found, ("" if norm.startswith("+") and not found.startswith("+") else digits[:code]) + made)
     if kind == "ip":
-        n = 0
-        for part in found.split("."):
-            n = n * 256 + int(part)
-        x, y = divmod(n, 65_536)
-        for i in range(8):
-            x, y = (x, (y + number(key, kind, attempt, i, x)) % 65_536) if i % 2 else ((x + number(key, kind, attempt, i, y)) % 65_536, y)
-        return ".".join(str(b) for b in (x >> 8, x & 255, y >> 8, y & 255))
+        return moved_address(key, found, attempt)
+    if kind == "ipv6":
+        draw, at = hexed(key, kind, normal(kind, found), attempt), 0
+        parts = found.split(":")
+        for i, part in enumerate(parts):
+            if part and int(part, 16):
+                parts[i] = f"{int(draw[at : at + 4], 16) % 0xEFFF + 0x1000:x}"
+                at += 4
+        return ":".join(parts)
     if kind == "email":
         name, _, host = found.lower().rpartition("@")
         labels = host.split(".")
@@ -200,7 +266,10 @@ def surrogate(key: bytes, kind: str, found: str, attempt: int = 0) -> str:
     if kind == "secret":
         return hexed(key, kind, found, attempt) if all(c in "0123456789abcdefABCDEF" for c in found) else letters(key, kind, found, attempt)
     if kind == "iban":
-        at = iter(letters(key, kind, "".join(found[2:].split()), attempt))
+        said = "".join(found.split()).upper()
+        made = letters(key, kind, said[4:], attempt)
+        check = f"{98 - mod97(made + said[:2] + '00'):02d}" if mod97(said[4:] + said[:4]) == 1 else letters(key, "iban check", said[2:4] + said[4:], attempt)[:2]
+        at = iter(check + made)
         return found[:2] + "".join(c if c.isspace() else next(at) for c in found[2:])
     return found
 
@@ -224,6 +293,13 @@ def person(key: bytes, names: str, gender: str, attempt: int = 0) -> str:
     return " ".join(out)
 
 
+def _is_ipv6(text: str) -> bool:
+    try:
+        return ipaddress.IPv6Address(text).exploded.count("0000") < 6
+    except ValueError:
+        return False
+
+
 def entities(text: str) -> list[tuple[int, int, str, str, str]]:
     """(start, end, kind, gender, whole) of the entities of a text, in order, without overlaps; earlier patterns win.
 
@@ -241,6 +317,8 @@ def entities(text: str) -> list[tuple[int, int, str, str, str]]:
         for m in pattern.finditer(text):
             group = kind if kind in pattern.groupindex else 0
             said = m.groupdict()
+            if kind == "person" and m[group].split(" ")[-1].lower() in PLACES or kind == "ipv6" and not _is_ipv6(m[0]):
+                continue
             take(*m.span(group), kind, TITLES[said["title"]] if said.get("title") else GENDERS.get(said.get("first"), ""), m[group])
     full: dict[str, list[tuple[int, str, str]]] = {}
     for a, _, kind, gender, whole in taken:

@@ -68,8 +68,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def surrogate_key(spark: SparkSession) -> bytes:
-    """The secret in pairfield.surrogates.key; without one, surrogates can be reversed by whoever reads this line."""
-    return (spark.conf.get("pairfield.surrogates.key", None) or "not a secret").encode()
+    """The secret in pairfield.surrogates.key. Only a local session may do without one: what it makes can be reversed by whoever reads this line."""
+    key = spark.conf.get("pairfield.surrogates.key", None)
+    if not key and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("pairfield.surrogates.key must hold a secret")
+    return (key or "not a secret").encode()
 
 
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
