@@ -208,6 +208,43 @@ def correlate_blocked(src: DataFrame, trg: DataFrame, top: int | None = None, ep
     return a.cogroup(b).applyInArrow(run, "pair_id long, src_pos long, trg_pos long, score double")
 
 
+#: Scores that a task works out at once.
+SCORES = 4_000_000
+
+
+def best_matches(src: DataFrame, trg: DataFrame, eps: float = 1e-5) -> DataFrame:
+    """JON-10, WIN-2, TOP-6 at once: each source patch's best target, its score, and whether each is the other's best; ties go to the least position.
+
+    The scores of a pair run through a task in blocks of rows; none of them becomes a row.
+    """
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        m = table.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(table.num_rows, -1)
+        return m / np.sqrt((m * m).sum(1, keepdims=True) + eps)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = (t.sort_by(t.column_names[1]) for t in (left, right))
+        n, m = (left.num_rows, right.num_rows) if left.num_rows and right.num_rows else (0, 0)
+        to, score = np.zeros(n, np.int64), np.zeros(n)
+        top, back = np.full(m, -np.inf), np.zeros(m, np.int64)
+        if n:
+            a, b, step = matrix(left), matrix(right), max(1, SCORES // m)
+            for i in range(0, n, step):
+                c = a[i : i + step] @ b.T
+                to[i : i + step] = c.argmax(1)
+                score[i : i + step] = c.max(1)
+                more = c.max(0) > top
+                back[more], top[more] = c[:, more].argmax(0) + i, c[:, more].max(0)
+        s, t = (x.column(1).to_numpy() if n else np.zeros(0, np.int64) for x in (left, right))
+        names = left.column(0).combine_chunks() if n else pa.array([], pa.int64())
+        return pa.table({"pair_id": names, "src_pos": s, "trg_pos": t[to] if n else s, "mutual": back[to] == np.arange(n) if n else np.zeros(0, bool), "score": score})
+
+    # names of their own, as both sides may come from one table
+    a = src.select(*[F.col(c).alias(f"src_{c}") for c in ("pair_id", "pos", "vec")]).groupBy("src_pair_id")
+    b = trg.select(*[F.col(c).alias(f"trg_{c}") for c in ("pair_id", "pos", "vec")]).groupBy("trg_pair_id")
+    return a.cogroup(b).applyInArrow(run, "pair_id long, src_pos long, trg_pos long, mutual boolean, score double")
+
+
 #: Cells of a tile's side.
 TILE = 16
 

@@ -39,6 +39,13 @@ def q14b_argmax_and_mutual(spark, sf_dir):
     return X.argmax_match(corr).join(mutual, ["pair_id", "src_pos"], "left").select("pair_id", "src_pos", "trg_pos", F.coalesce("m", F.lit(False)).alias("mutual"), F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {CORR}, r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, src_pos ORDER BY score DESC, trg_pos) AS ra, row_number() OVER (PARTITION BY pair_id, trg_pos ORDER BY score DESC, src_pos) AS rb FROM c)
+           SELECT pair_id, src_pos, trg_pos, rb = 1 AS mutual, round(score, 6) AS score FROM r WHERE ra = 1""")
+def q14c_best_matches(spark, sf_dir):
+    """The same without a row for each pair of patches."""
+    return X.best_matches(*_sides(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH {UNIT}, o AS (SELECT a.d AS oy, b.d AS ox FROM (SELECT unnest([-1, 0, 1]) AS d) a, (SELECT unnest([-1, 0, 1]) AS d) b)
            SELECT t.pair_id, t.row_i, t.col_i, CAST(o.oy AS INTEGER) AS oy, CAST(o.ox AS INTEGER) AS ox, round(coalesce(list_dot_product(s.v, t.v) / (s.n0 * t.n0), 0), 6) AS score
            FROM u t CROSS JOIN o LEFT JOIN u s ON s.side = 0 AND s.pair_id = t.pair_id AND s.row_i = t.row_i + o.oy AND s.col_i = t.col_i + o.ox WHERE t.side = 1""")

@@ -98,3 +98,17 @@ def test_pools_are_exact_below_and_beyond_the_threshold(spark, monkeypatch, marg
     assert got == sorted(want)
     assert S.sample_pool(calls, catalog.where("false"), 12, 10, 3).count() == 0
     assert S.sample_pool(calls, catalog.limit(5), 12, 10, 3).count() == 15
+
+
+@pytest.mark.parametrize("scores", [4_000_000, 7])
+def test_best_matches_keep_ties(spark, monkeypatch, scores):
+    monkeypatch.setattr(X, "SCORES", scores)
+    rng = np.random.default_rng(9)
+    schema = "pair_id long, pos long, vec array<double>"
+    a, b = ([(p, int(i), rng.integers(-1, 2, 2).astype(float).tolist()) for p in ids for i in rng.permutation(n)] for ids, n in (((1, 2), 9), ((1, 3), 6)))
+    a, b = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    got = sorted((r.pair_id, r.src_pos, r.trg_pos, r.mutual, round(r.score, 9)) for r in X.best_matches(a, b).collect())
+    corr = X.correlate(a, b).withColumn("score", F.round("score", 9))
+    mutual = {(r.pair_id, r.src_pos) for r in X.mutual_nn_pairs(corr).collect()}
+    want = [(r.pair_id, r.src_pos, r.trg_pos, (r.pair_id, r.src_pos) in mutual, r.score) for r in X.argmax_match(corr).collect()]
+    assert got == sorted(want) and got
