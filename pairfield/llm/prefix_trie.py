@@ -266,7 +266,9 @@ def prefix_trie(turns: DataFrame, container: int = CONTAINER) -> DataFrame:
         heads = saved(heads.withColumn("burst", (F.col("n_convs") > 1) & (F.col("n_convs") + F.col("left") > container)), "trie-heads")
         big = heads.where("burst")
         still = heads.where("NOT burst").select("head", (F.col("n_convs") == 1).alias("alone"))
-        settled.append(saved(state.join(still.hint("merge"), "head"), "trie-settled"))
+        # the conversations of hot containers, which burst, need not be sorted to tell that
+        hot = big.where(F.col("n_convs") * HOT >= total).select("head")
+        settled.append(saved(state.join(F.broadcast(hot), "head", "left_anti").join(still.hint("merge"), "head"), "trie-settled"))
         if big.isEmpty():
             break
         # what comes next, up to the end of the segment
