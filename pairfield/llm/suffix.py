@@ -1,21 +1,18 @@
 """Removal of long repeats, found in suffix arrays by Lyndon grouping.
 
 A byte goes if some string of LENGTH bytes that covers it starts anywhere else in
-the corpus too. Bytes that a string of NOTED bytes covers which starts elsewhere
-are counted beside it (n_repeated), and stay. One suffix array of a corpus fits no
-machine, so strings that can be equal are brought together first, without loss:
+the corpus too. One suffix array of a corpus fits no machine, so strings that can be
+equal are brought together first, without loss:
 
-1. Of each NOTED-byte string the least hash of its GRAM-byte grams (rightmost of
+1. Of each LENGTH-byte string the least hash of its GRAM-byte grams (rightmost of
    several) is its anchor. Strings with the same anchor follow each other; they
    are an item. Equal strings have equal anchors, so an item whose anchor occurs
-   once has no repeat; items with equal bytes, up to LENGTH after their last
-   string's start, repeat each other whole.
+   once has no repeat; items with equal bytes repeat each other whole.
 2. Items left over, whose anchors occur in items with other bytes, are cut by the
    anchor's place in the string into parts of STEP strings, here one part an item.
-   All strings of a part share a core of NOTED - STEP + 1 bytes, the anchor, which
+   All strings of a part share a core of LENGTH - STEP + 1 bytes, the anchor, which
    equal strings share as well: parts are grouped by the core's digest. A part is
-   the core, one symbol, with up to STEP - 1 bytes before it and LENGTH - NOTED
-   more after it.
+   the core, one symbol, with up to STEP - 1 bytes before it and after it.
 3. Each group gets the suffix array of its parts. Suffixes stand in groups by
    their longest Lyndon prefix, first by its first symbol. From the greatest group
    down, each group finds its members' pointers to the previous suffix of a smaller
@@ -29,7 +26,7 @@ machine, so strings that can be equal are brought together first, without loss:
 A group of more than CROWD parts, which one task might not hold, is cut into
 single strings, and these are grouped by their whole bytes instead of the core's.
 
-Null and empty texts and those of fewer than NOTED bytes lose nothing, repeated
+Null and empty texts and those of fewer than LENGTH bytes lose nothing, repeated
 rows are repeats of each other, an empty table gives an empty result; other
 columns pass through, those with the name of a result are replaced. Bytes are
 removed wherever they are: what is kept need not be valid UTF-8, and is binary.
@@ -47,10 +44,10 @@ from pyspark.sql import functions as F
 
 from .common import bloom_filter, bloom_hits, saved, shuffle_width, sliced, text_buffers, without
 
-LENGTH, NOTED, GRAM = 400, 300, 32
+LENGTH, GRAM = 400, 32
 #: With as many strings as can hold one gram, an item is one part, and its anchor the core.
-STEP = NOTED - GRAM + 1
-CORE, MORE = NOTED - STEP + 1, LENGTH - NOTED
+STEP = LENGTH - GRAM + 1
+CORE = LENGTH - STEP + 1
 CROWD = 2_000
 #: Parts into which the copies of one text are dealt where their spans meet them.
 SALTS = 4
@@ -59,7 +56,7 @@ SALTS = 4
 def items(data: np.ndarray, offsets: np.ndarray):
     """First strings, numbers of strings, anchors and anchor hashes of all items."""
     n = len(data)
-    if n < NOTED:
+    if n < LENGTH:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     with np.errstate(over="ignore"):
         h, b, w = data.astype(np.uint64) + np.uint64(1), np.uint64(0x9E3779B97F4A7C15), 1
@@ -71,14 +68,14 @@ def items(data: np.ndarray, offsets: np.ndarray):
         h ^= h >> np.uint64(32)
     # the hash's upper half, then the place counted down: the least is the rightmost least
     m = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(h), dtype=np.uint64))
-    span, w = NOTED - GRAM + 1, 1
+    span, w = LENGTH - GRAM + 1, 1
     while 2 * w <= span:
         m = np.minimum(m[:-w], m[w:])
         w *= 2
     m = np.minimum(m[: len(m) - (span - w)], m[span - w :])
     at = (np.uint64(0xFFFFFFFF) - (m & np.uint64(0xFFFFFFFF))).astype(np.int64)
-    begins = offsets[:-1][np.diff(offsets) >= NOTED]
-    lasts = offsets[1:][np.diff(offsets) >= NOTED] - NOTED
+    begins = offsets[:-1][np.diff(offsets) >= LENGTH]
+    lasts = offsets[1:][np.diff(offsets) >= LENGTH] - LENGTH
     fresh = np.zeros(len(at) + 1, bool)
     fresh[1:-1] = at[1:] != at[:-1]
     fresh[begins] = True
@@ -115,12 +112,12 @@ def _held(words: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _ids(whole: bytes, starts, sizes, ends) -> np.ndarray:
-    """Digests (n, 2) of items: how many strings they have, and the bytes up to LENGTH after the last one's start or the text's end."""
+    """Digests (n, 2) of items: how many strings they have, and the bytes of them."""
     return np.frombuffer(b"".join([blake2b(whole[a : min(a + k - 1 + LENGTH, end)], digest_size=16, salt=k.to_bytes(4, "big")).digest() for a, k, end in zip(starts.tolist(), sizes.tolist(), ends.tolist())]), "<i8").reshape(-1, 2)
 
 
 def item_rows(docs: DataFrame, again: DataFrame, text: str) -> DataFrame:
-    """t1, t2 (the text's hashes), start, n strings, m of which have LENGTH bytes, h and digest of the items whose anchors occur again (h); a Bloom filter lets some others pass."""
+    """t1, t2 (the text's hashes), start, n strings, h and digest of the items whose anchors occur again (h); a Bloom filter lets some others pass."""
     bloom = docs.sparkSession.sparkContext.broadcast(bloom_filter(again, *_places(F.col("h"))))
 
     def run(batches):
@@ -133,13 +130,13 @@ def item_rows(docs: DataFrame, again: DataFrame, text: str) -> DataFrame:
             starts, sizes, h = starts[hit], sizes[hit], h[hit]
             doc = np.searchsorted(offsets, starts, "right") - 1
             ends = offsets[doc + 1]
-            d, full = _ids(data.tobytes(), starts, sizes, ends), np.clip(ends - LENGTH + 1 - starts, 0, sizes)
+            d = _ids(data.tobytes(), starts, sizes, ends)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), *(pa.array(x.astype(np.int32)) for x in (starts - offsets[doc], sizes, full)), pa.array(h.view(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1])],
-                ["t1", "t2", "start", "n", "m", "h", "d1", "d2"],
+                [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), *(pa.array(x.astype(np.int32)) for x in (starts - offsets[doc], sizes)), pa.array(h.view(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1])],
+                ["t1", "t2", "start", "n", "h", "d1", "d2"],
             )
 
-    return docs.select("t1", "t2", text).mapInArrow(run, "t1 long, t2 long, start int, n int, m int, h long, d1 long, d2 long")
+    return docs.select("t1", "t2", text).mapInArrow(run, "t1 long, t2 long, start int, n int, h long, d1 long, d2 long")
 
 
 PART = "c1 long, c2 long, i1 long, i2 long, at int, n int, side binary, core int"
@@ -248,19 +245,18 @@ def _agreements(words: list[bytes]) -> list[int]:
     return out
 
 
-def repeats(parts: list[tuple[bytes, int, int]]) -> list[tuple[list[int], list[int]]]:
-    """For each part (both sides, length of the left one, strings) the strings that another part has too: of NOTED bytes, and of LENGTH.
+def repeats(parts: list[tuple[bytes, int, int]]) -> list[list[int]]:
+    """For each part (both sides, length of the left one, strings) the strings that another part has too.
 
     Parts with equal sides and core places must be given once. Strings hold the
     core, so bytes further from it than any other part agrees are cut off first,
     and parts that are too short then fall away.
     """
-    none: tuple[list[int], list[int]] = ([], [])
     before = _agreements([side[:left][::-1] for side, left, _ in parts])
     after = _agreements([side[left:] for side, left, _ in parts])
     held = [k for k in range(len(parts)) if before[k] + 1 + after[k] >= STEP]
     if len(held) < 2:
-        return [none] * len(parts)
+        return [[]] * len(parts)
     m, at = len(held), 0
     pieces, number = [], {}
     for i, k in enumerate(held):
@@ -273,23 +269,14 @@ def repeats(parts: list[tuple[bytes, int, int]]) -> list[tuple[list[int], list[i
         at += len(data) + 2
     symbols = np.concatenate(pieces).astype(np.uint16)
     text = "".join(map(chr, symbols.tolist()))
-    noted: dict[int, set[int]] = defaultdict(set)
     gone: dict[int, set[int]] = defaultdict(set)
     last = -1
     for s in suffix_array(symbols):
         if s in number and last in number and text[s : s + STEP] == text[last : last + STEP]:
-            full = text[s : s + STEP + MORE] == text[last : last + STEP + MORE]
             for k, j in (number[last], number[s]):
-                noted[k].add(j)
-                if full:
-                    gone[k].add(j)
+                gone[k].add(j)
         last = s
-    return [(sorted(noted[k]), sorted(gone[k])) if k in noted else none for k in range(len(parts))]
-
-
-def _long(side: bytes, n: int) -> int:
-    """How many of a part's n strings have LENGTH bytes."""
-    return max(0, min(n, len(side) + 1 - (STEP + MORE) + 1))
+    return [sorted(gone[k]) if k in gone else [] for k in range(len(parts))]
 
 
 def _runs(strings: list[int]):
@@ -301,7 +288,7 @@ def _runs(strings: list[int]):
 
 
 def group_repeats(parts: DataFrame) -> DataFrame:
-    """i1, i2, at, n, size: strings of items that repeat (n of size bytes from at on), from parts grouped by their cores."""
+    """i1, i2, at, n: strings of items that repeat (n from at on), from parts grouped by their cores."""
 
     def run(batches):
         carry = None
@@ -318,14 +305,13 @@ def group_repeats(parts: DataFrame) -> DataFrame:
                 if sum(map(len, sides.values())) < 2:
                     return
                 kinds = list(sides)
-                found = repeats([(side, core, n) for side, core, n in kinds]) if len(kinds) > 1 else [([], [])]
+                found = repeats([(side, core, n) for side, core, n in kinds]) if len(kinds) > 1 else [[]]
                 for (side, core, n), again in zip(kinds, found):
                     owners = sides[side, core, n]
                     if len(owners) > 1:
-                        again = list(range(n)), list(range(_long(side, n)))
-                    for strings, size in zip(again, (NOTED, LENGTH)):
-                        for first, count in _runs(strings) if strings else ():
-                            out.extend((i1, i2, at + first, count, size) for i1, i2, at in owners)
+                        again = list(range(n))
+                    for first, count in _runs(again) if again else ():
+                        out.extend((i1, i2, at + first, count) for i1, i2, at in owners)
 
             for c1, c2, *rest in rows:
                 if (c1, c2) != key:
@@ -336,7 +322,7 @@ def group_repeats(parts: DataFrame) -> DataFrame:
             if len(held) > 1:
                 close()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int64()] * 2 + [pa.int32()] * 3)], ["i1", "i2", "at", "n", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int64()] * 2 + [pa.int32()] * 2)], ["i1", "i2", "at", "n"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -352,7 +338,7 @@ def group_repeats(parts: DataFrame) -> DataFrame:
             yield from work(carry)
 
     ordered = parts.repartition(shuffle_width(parts.sparkSession), "c1", "c2").sortWithinPartitions("c1", "c2", "i1", "i2")
-    return ordered.mapInArrow(run, "i1 long, i2 long, at int, n int, size int")
+    return ordered.mapInArrow(run, "i1 long, i2 long, at int, n int")
 
 
 def crowd_repeats(parts: DataFrame) -> DataFrame:
@@ -362,18 +348,17 @@ def crowd_repeats(parts: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for c1, c2, i1, i2, at, n, side, core in zip(*(c.to_pylist() for c in batch.columns)):
-                for size, beside, count in ((NOTED, STEP - 1, n), (LENGTH, STEP - 1 + MORE, _long(side, n))):
-                    for j in range(count):
-                        # string j: the left side from j on, the core, then as much as makes it whole
-                        w1, w2 = np.frombuffer(blake2b(side[j : j + beside], digest_size=16, salt=(core - j).to_bytes(2, "big")).digest(), "<i8").tolist()
-                        out.append((c1, c2, w1, w2, size, i1, i2, at + j))
+                for j in range(n):
+                    # string j: the left side from j on, the core, then as much as makes it whole
+                    w1, w2 = np.frombuffer(blake2b(side[j : j + STEP - 1], digest_size=16, salt=(core - j).to_bytes(2, "big")).digest(), "<i8").tolist()
+                    out.append((c1, c2, w1, w2, i1, i2, at + j))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()])], ["c1", "c2", "w1", "w2", "size", "i1", "i2", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int64()] * 6 + [pa.int32()])], ["c1", "c2", "w1", "w2", "i1", "i2", "at"])
 
-    strings = parts.mapInArrow(run, "c1 long, c2 long, w1 long, w2 long, size int, i1 long, i2 long, at int")
-    key = ["c1", "c2", "w1", "w2", "size"]
+    strings = parts.mapInArrow(run, "c1 long, c2 long, w1 long, w2 long, i1 long, i2 long, at int")
+    key = ["c1", "c2", "w1", "w2"]
     again = strings.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*key)
-    return strings.join(again, key).select("i1", "i2", "at", F.lit(1).alias("n"), "size")
+    return strings.join(again, key).select("i1", "i2", "at", F.lit(1).alias("n"))
 
 
 def _merged(spans) -> list[list[int]]:
@@ -387,17 +372,16 @@ def _merged(spans) -> list[list[int]]:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with kept (binary), n_bytes, n_removed, n_spans, removed (the spans as (start, end) bytes) and n_repeated."""
-    docs = without(docs, "kept", "n_bytes", "n_removed", "n_spans", "removed", "n_repeated", "__t1", "__t2", "__salt", "__found")
+    """docs with kept (binary), n_bytes, n_removed, n_spans and removed (the spans as (start, end) bytes)."""
+    docs = without(docs, "kept", "n_bytes", "n_removed", "n_spans", "removed", "__t1", "__t2", "__salt", "__found")
     own = docs.columns
     # rows are told apart by their texts: equal texts lose the same bytes
     told = {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)}
     again = saved(anchor_rows(docs, text).groupBy("h").count().where("count > 1").select("h"), "suffix-anchors")
     slim = docs.select(F.col(text).alias("__text"), *[v.alias(k) for k, v in told.items()])
     every = saved(item_rows(slim, again, "__text"), "suffix-items")
-    kinds = every.groupBy("h", "d1", "d2").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
-    run = F.struct(F.lit(0).alias("at"), F.col("n"), F.lit(NOTED).alias("size")), F.struct(F.lit(0).alias("at"), F.col("m").alias("n"), F.lit(LENGTH).alias("size"))
-    whole = kinds.where("k > 1").select("d1", "d2", F.array_distinct(F.when(F.col("m") > 0, F.array(*run)).otherwise(F.array(run[0]))).alias("runs"))
+    kinds = every.groupBy("h", "d1", "d2").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+    whole = kinds.where("k > 1").select("d1", "d2", F.array(F.struct(F.lit(0).alias("at"), "n")).alias("runs"))
     open_ = saved(kinds.groupBy("h").count().where("count > 1").select("h"), "suffix-open")
     # parts of one item come from every text that holds it: they count once
     parts = saved(part_rows(docs, open_, text).dropDuplicates(["c1", "c2", "i1", "i2"]), "suffix-parts")
@@ -405,33 +389,32 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     crowds = saved(crowds, "suffix-crowds")
     calm = parts.join(crowds, ["c1", "c2"], "left_anti")
     crowd = parts.join(crowds, ["c1", "c2"], "left_semi")
-    found = group_repeats(calm).unionByName(crowd_repeats(crowd)).groupBy(F.col("i1").alias("d1"), F.col("i2").alias("d2")).agg(F.collect_set(F.struct("at", "n", "size")).alias("runs"))
+    found = group_repeats(calm).unionByName(crowd_repeats(crowd)).groupBy(F.col("i1").alias("d1"), F.col("i2").alias("d2")).agg(F.collect_set(F.struct("at", "n")).alias("runs"))
     marked = saved(whole.unionByName(found), "suffix-found")
     spans = every.join(marked, ["d1", "d2"]).select("t1", "t2", F.explode("runs").alias("r"), "start")
-    spans = spans.select("t1", "t2", (F.col("start") + F.col("r.at")).alias("a"), (F.col("start") + F.col("r.at") + F.col("r.n") + F.col("r.size") - 1).alias("b"), (F.col("r.size") == LENGTH).alias("gone"))
-    per = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b", "gone")).alias("__found")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed({"t1": "__t1", "t2": "__t2"})
+    spans = spans.select("t1", "t2", (F.col("start") + F.col("r.at")).alias("a"), (F.col("start") + F.col("r.at") + F.col("r.n") + (LENGTH - 1)).alias("b"))
+    per = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("__found")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed({"t1": "__t1", "t2": "__t2"})
 
     def cut(batches):
         for batch in sliced(batches, text):
             texts, spans = batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index("__found")).to_pylist()
-            kept, sizes, gone, runs, noted = [], [], [], [], []
+            kept, sizes, gone, runs = [], [], [], []
             for t, got in zip(texts, spans):
                 data = (t or "").encode()
-                merged = _merged((g["a"], g["b"]) for g in got or () if g["gone"])
+                merged = _merged((g["a"], g["b"]) for g in got or ())
                 edges = [0, *(e for x in merged for e in x), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 sizes.append(len(data))
                 gone.append(sum(b - a for a, b in merged))
                 runs.append([{"start": a, "end": b} for a, b in merged])
-                noted.append(sum(b - a for a, b in _merged((g["a"], g["b"]) for g in got or ())))
             left = batch.drop_columns(["__found"])
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [*left.columns, pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(r) for r in runs], pa.int64()), pa.array(runs, span), pa.array(noted, pa.int64())],
-                [*left.schema.names, "kept", "n_bytes", "n_removed", "n_spans", "removed", "n_repeated"],
+                [*left.columns, pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(r) for r in runs], pa.int64()), pa.array(runs, span)],
+                [*left.schema.names, "kept", "n_bytes", "n_removed", "n_spans", "removed"],
             )
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in own) + ", kept binary, n_bytes long, n_removed long, n_spans long, removed array<struct<start: bigint, end: bigint>>, n_repeated long"
+    schema = ", ".join(f"`{c}` {types[c]}" for c in own) + ", kept binary, n_bytes long, n_removed long, n_spans long, removed array<struct<start: bigint, end: bigint>>"
     salted = docs.withColumns({"__t1": told["t1"], "__t2": told["t2"], "__salt": F.pmod(F.spark_partition_id(), F.lit(SALTS))})
     return salted.join(per, ["__t1", "__t2", "__salt"], "left").select(*own, "__found").mapInArrow(cut, schema)
