@@ -29,7 +29,7 @@ from pairfield.llm.mixing import mix
 from pairfield.llm.ngram_join import jaccard_groups, text_key
 from pairfield.llm.pii import pseudonymise
 from pairfield.llm.quality import judge
-from pairfield.llm.queries import surrogate_key
+from pairfield.llm.queries import run_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 OTHERS = ("lang", "source", "n_chars")
@@ -62,7 +62,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row, with surrogates in its text. Null texts stay null; other columns go."""
-    return _documents(pseudonymise(docs.select(*COLUMNS), surrogate_key(spark)))
+    return _documents(pseudonymise(docs.select(*COLUMNS), run_key(spark)))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,10 +77,22 @@ def surrogate_key(spark: SparkSession) -> bytes:
     return (key or "not a secret").encode()
 
 
+#: Secrets of applications on a cluster that name none.
+_drawn: dict[str, bytes] = {}
+
+
+def run_key(spark: SparkSession) -> bytes:
+    """The key of surrogate_key; on a cluster without one a secret drawn for the application, so that surrogates agree inside it, and nobody can reverse or repeat them."""
+    try:
+        return surrogate_key(spark)
+    except ValueError:
+        return _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
 def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pseudonymise
 
-    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), surrogate_key(spark))
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), run_key(spark))
 
 
 def op9_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,10 +110,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import BASE, number, scan, shown
 
-    secrets = F.col("secrets")
-    base = F.filter(secrets, lambda s: s["kind"].isin(*BASE))
+    found = F.col("secrets")
+    base = F.filter(found, lambda s: s["kind"].isin(*BASE))
     return scan(documents(spark, sf_dir).select("doc_id", "text")).select(
-        "doc_id", *[number(secrets, k).alias(f"n_{k}") for k in BASE], F.sha2(shown(base), 256).alias("base_sha256"), shown(secrets).alias("spans"), (F.size(secrets) - F.size(base)).cast("long").alias("n_checked")
+        "doc_id", *[number(found, k).alias(f"n_{k}") for k in BASE], F.sha2(shown(base), 256).alias("base_sha256"), shown(found).alias("spans"), (F.size(found) - F.size(base)).cast("long").alias("n_checked")
     )
 
 

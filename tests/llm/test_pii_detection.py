@@ -7,7 +7,7 @@ import re
 import pytest
 
 from pairfield.llm import pii as P
-from pairfield.llm.queries import surrogate_key
+from pairfield.llm.queries import run_key, surrogate_key
 
 KEY = b"a key of the tests"
 
@@ -92,3 +92,23 @@ def test_a_cluster_needs_a_key():
 
     with pytest.raises(ValueError, match="must hold a secret"):
         surrogate_key(Session)
+
+
+def test_a_cluster_without_a_key_draws_one():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default=None: None)
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app-1"
+
+    class Other(Session):
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app-2"
+
+    class Named(Session):
+        class conf:
+            get = staticmethod(lambda name, default=None: "mine")
+
+    assert run_key(Session) == run_key(Session) != run_key(Other)
+    assert len(run_key(Session)) == 32 and run_key(Named) == b"mine"
