@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,31 +233,56 @@ def sample_power(ids: DataFrame, lo: float, off: float, key: str, seed: int, deb
     return ids.withColumn("power", F.lit(lo + off / 2) if debug else K.uniform(lo, lo + off, seed, "power", key))
 
 
+#: Assets and epochs of one block of draws.
+POOL_BLOCK, EPOCH_BLOCK = 16_384, 1_024
+
+
+def _under(seed: int, limit: int):
+    """Draws below limit / 2^32 of blocks of epochs and assets, as rows epoch, asset_id, u."""
+
+    def run(batches):
+        for batch in batches:
+            for firsts, ids in zip(batch.column(0), batch.column(1)):
+                firsts, ids = (np.asarray(v.values.to_numpy(zero_copy_only=False), np.int64) for v in (firsts, ids))
+                for epoch, heads in K.heads(seed, "pool", firsts, ids):
+                    at = np.flatnonzero(heads < limit)
+                    yield pa.RecordBatch.from_pydict({"epoch": np.full(len(at), epoch, np.int64), "asset_id": ids[at], "u": heads[at] / 4294967296.0})
+
+    return run
+
+
 def sample_pool(calls: DataFrame, catalog: DataFrame, size: int, every: int, seed: int) -> DataFrame:
     """GEN-20: the pool of each epoch of `every` calls: the `size` assets with the least draws; calls: call_no.
 
-    An asset's draw in an epoch becomes a row only if it is under a threshold that some more than
-    `size` draws of the catalogue pass; epochs that it leaves short are ranked once more without one.
+    Every asset is drawn in every epoch, in blocks; a draw becomes a row only if it is under
+    a threshold that some more than `size` draws of the catalogue pass; epochs that it
+    leaves short are ranked once more without one. Assets without a whole number go the second way.
     """
-    epochs = calls.select(F.floor(F.col("call_no") / every).cast("long").alias("epoch")).distinct()
-    first, last = epochs.agg(F.min("epoch"), F.max("epoch")).first()
-    total = catalog.count()
+    epochs = saved(calls.select(F.floor(F.col("call_no") / every).cast("long").alias("epoch")).where("epoch IS NOT NULL").distinct(), "pool-epochs")
+    assets = catalog.select("asset_id")
     order = Window.partitionBy("epoch").orderBy("u", "asset_id")
 
-    def drawn(wanted: DataFrame, under: float) -> DataFrame:
-        near = F.filter(F.sequence(F.lit(first), F.lit(last)), lambda e: K.unit(seed, "pool", e, F.col("asset_id")) < under)
-        rows = catalog.select("asset_id", F.explode(near).alias("epoch")).join(wanted, "epoch", "left_semi").withColumn("u", K.unit(seed, "pool", "epoch", "asset_id"))
-        return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= size)
-
-    if first is None or not total:
-        return drawn(epochs, 1.0).select("epoch", "asset_id", "rank")
-    under = min(1.0, pool_margin(size) / total)
-    most = saved(drawn(epochs, under), "pool")
-    if under < 1:
-        short = saved(epochs.join(most.groupBy("epoch").count(), "epoch", "left").where(F.coalesce("count", F.lit(0)) < min(size, total)).select("epoch"), "pool-short")
-        if not short.isEmpty():
-            most = most.join(short, "epoch", "left_anti").unionByName(drawn(short, 1.0))
-    return most.select("epoch", "asset_id", "rank")
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.select("epoch", "asset_id", F.row_number().over(order).cast("long").alias("rank")).where(F.col("rank") <= size)
+
+    def all_drawn(wanted: DataFrame, of: DataFrame) -> DataFrame:
+        return of.crossJoin(wanted).withColumn("u", K.unit(seed, "pool", "epoch", "asset_id"))
+
+    kind, total = assets.schema["asset_id"].dataType.simpleString(), assets.count()
+    if kind not in ("tinyint", "smallint", "int", "bigint") or total <= pool_margin(size):
+        return ranked(all_drawn(epochs, assets))
+    limit = math.ceil(2**32 * pool_margin(size) / total)
+    width = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ids = assets.where("asset_id IS NOT NULL").select(F.col("asset_id").cast("long").alias("id"))
+    ids = ids.groupBy(F.pmod(F.xxhash64("id"), F.lit(-(-total // POOL_BLOCK)))).agg(F.collect_list("id").alias("ids"))
+    firsts = epochs.groupBy(F.floor(F.col("epoch") / EPOCH_BLOCK)).agg(F.collect_list("epoch").alias("firsts"))
+    blocks = firsts.select("firsts").crossJoin(ids.select("ids")).repartition(width)
+    near = blocks.mapInArrow(_under(seed, limit), "epoch long, asset_id long, u double").withColumn("asset_id", F.col("asset_id").cast(kind))
+    most = saved(ranked(near.unionByName(all_drawn(epochs, assets.where("asset_id IS NULL")))), "pool")
+    short = saved(epochs.join(most.groupBy("epoch").count(), "epoch", "left").where(F.coalesce("count", F.lit(0)) < min(size, total)).select("epoch"), "pool-short")
+    if not short.isEmpty():
+        most = most.join(short, "epoch", "left_anti").unionByName(ranked(all_drawn(short, assets)))
+    return most
 
 
 def pool_margin(size: int) -> float:

@@ -100,6 +100,24 @@ def test_pools_are_exact_below_and_beyond_the_threshold(spark, monkeypatch, marg
     assert S.sample_pool(calls, catalog.limit(5), 12, 10, 3).count() == 15
 
 
+def test_draws_in_blocks_are_the_keyed_draws(spark):
+    ids = np.array([0, 9, 10, -5, 1_199_999, 10**17 + 3, 2**62, *range(300)])
+    firsts = np.array([0, 7, 123, -2, 10**16])
+    made = spark.createDataFrame([(int(f), int(i)) for f in firsts for i in ids], "f long, i long").select(K.unit(3, "pool", "f", "i")).toPandas().iloc[:, 0]
+    assert (np.concatenate([h for _, h in K.heads(3, "pool", firsts, ids)]) / 2**32 == made).all()
+
+
+def test_pools_make_no_row_for_a_draw_beyond_the_threshold(spark):
+    calls = spark.createDataFrame([(i,) for i in (0, 5, 10**12)], "call_no long")  # epochs far apart
+    catalog = spark.range(40_000).selectExpr("CAST(id * 3 AS INT) AS asset_id")
+    got = S.sample_pool(calls, catalog, 12, 10, 3)
+    draws = catalog.crossJoin(spark.createDataFrame([(0,), (10**11,)], "epoch long")).withColumn("u", K.unit(3, "pool", "epoch", "asset_id"))
+    order = Window.partitionBy("epoch").orderBy("u", "asset_id")
+    want = draws.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 12").select("epoch", "asset_id", "rank")
+    assert [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 @pytest.mark.parametrize("scores", [4_000_000, 7])
 def test_best_matches_keep_ties(spark, monkeypatch, scores):
     monkeypatch.setattr(X, "SCORES", scores)
