@@ -85,8 +85,9 @@ def sample_grid(grid: DataFrame, ids: DataFrame, spec: dict, key: str, seed: int
     stands in every bucket it reaches into, a draw in one, and they meet on equal keys.
     """
     weighted = grid.withColumn("w", grid_weight(F.col("score"), spec)).where("w > 0")
-    whole = weighted.agg(F.sum("w")).first()[0] or 1.0
-    line = running(weighted, "cell_id", weight="w", name="hi", before="lo").withColumns({c: F.col(c) / F.lit(whole) for c in ("lo", "hi")})
+    line = running(weighted, "cell_id", weight="w", name="hi", before="lo")
+    whole = line.agg(F.max("hi")).first()[0] or 1.0
+    line = line.withColumns({c: F.col(c) / F.lit(whole) for c in ("lo", "hi")})
     reach = F.sequence(F.floor(F.col("lo") * buckets), F.least(F.lit(buckets - 1), F.floor(F.col("hi") * buckets)))
     cells = line.withColumn("bucket", F.explode(reach)).select("bucket", "lo", "hi", "cell_id", "x", "y", "score")
     draws = ids.withColumn("u", K.unit(seed, "grid", key)).withColumn("bucket", F.floor(F.col("u") * buckets))
