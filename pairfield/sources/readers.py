@@ -107,9 +107,10 @@ def compact_annotations(spark: SparkSession, glob: str, pairs: DataFrame, path:
 
 
 def compact(annotations: DataFrame, pairs: DataFrame, path: str, files: int = 1) -> None:
-    """SRC-7 over rows: annotations of pairs (name, split) to Parquet, by split, in about `files` files each."""
+    """SRC-7 over rows: annotations of pairs (name, split) to Parquet, by split, in up to about `files` files each, or more where those would be large: Spark cuts them at its advisory size of partitions."""
     held = annotations.join(pairs.select("name", "split"), "name")
-    held.repartition(files).write.mode("overwrite").partitionBy("split").parquet(path)
+    dealt = held.withColumn("__file", F.pmod(F.xxhash64("name"), F.lit(files))).hint("rebalance", "split", "__file").drop("__file")
+    dealt.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
 def keyed_lines(lines: DataFrame, names: list[str], col: str = "value") -> DataFrame:

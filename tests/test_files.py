@@ -143,6 +143,21 @@ def test_feature_sets_and_writers(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "k" / "objects")).first()["mean"] == 1.0
 
 
+def test_compaction_of_more_rows_takes_more_tasks(spark, tmp_path):
+    rows = spark.range(20_000).select(F.concat(F.lit("p"), "id").alias("name"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    pairs = rows.select("name", F.lit("trn").alias("split"))
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    try:
+        for size, n in ((before, [1]), ("200k", range(2, 200))):
+            spark.conf.set(key, size)
+            D.compact(rows, pairs, str(tmp_path / size), 1)
+            assert len(list((tmp_path / size / "split=trn").glob("*.parquet"))) in n
+            assert sorted(spark.read.parquet(str(tmp_path / size)).collect()) == sorted(rows.withColumn("split", F.lit("trn")).collect())
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_matches_of_many_objects_take_few_files(spark, tmp_path):
     m = spark.range(2000).select((F.col("id") % 500).alias("object_id"), F.col("id").alias("y2"))
     path = str(tmp_path / "m")
