@@ -21,12 +21,20 @@ def sample_flow(points: DataFrame, flow: DataFrame, w: int, h: int, clamp_base:
 
 def sample_bilinear(points: DataFrame, grid: DataFrame, values: list[str], by: list[str], key: list[str], x: str = "px", y: str = "py") -> DataFrame:
     """JON-16: values of a grid (by, y, x) at places between pixels; pixels outside count 0."""
-    x0, y0 = F.floor(x), F.floor(y)
-    fx, fy = F.col(x) - x0, F.col(y) - y0
-    corners = F.array(*[F.struct((y0 + j).cast("long").alias("y"), (x0 + i).cast("long").alias("x"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w")) for j in (0, 1) for i in (0, 1)])
-    spread = points.select(*by, *key, F.explode(corners).alias("c")).select(*by, *key, F.col("c.y").alias("y"), F.col("c.x").alias("x"), F.col("c.w").alias("w"))
-    joined = spread.join(grid.select(*by, "y", "x", *values), [*by, "y", "x"], "left")
-    return joined.groupBy(*by, *key).agg(*[F.sum(F.col("w") * F.coalesce(F.col(v), F.lit(0.0))).alias(v) for v in values])
+    x0, y0 = F.floor(x).cast("long"), F.floor(y).cast("long")
+    fx, fy = F.col(x) - F.floor(x), F.col(y) - F.floor(y)
+    at = [(j, i) for j in (0, 1) for i in (0, 1)]
+    # the four pixels around a place as one row, so that points meet the grid once; only of grids that have points
+    asked = grid.select(*by, "y", "x", *values).join(points.select(*by).distinct(), by, "left_semi")
+    near = asked.select(*by, *values, F.explode(F.array(*[F.struct((F.col("y") - j).alias("y"), (F.col("x") - i).alias("x"), F.lit(2 * j + i).alias("c")) for j, i in at])).alias("c"))
+    cells = near.groupBy(*by, F.col("c.y").alias("__y"), F.col("c.x").alias("__x")).agg(*[F.sum(F.when(F.col("c.c") == 2 * j + i, F.col(v))).alias(f"__{v}{j}{i}") for v in values for j, i in at])
+    joined = points.select(*by, *key, x0.alias("__x"), y0.alias("__y"), fx.alias("__fx"), fy.alias("__fy")).join(cells, [*by, "__y", "__x"], "left")
+
+    def read(v: str) -> Column:
+        parts = [(F.col("__fx") if i else 1 - F.col("__fx")) * (F.col("__fy") if j else 1 - F.col("__fy")) * F.coalesce(F.col(f"__{v}{j}{i}"), F.lit(0.0)) for j, i in at]
+        return sum(parts[1:], parts[0])
+
+    return joined.select(*by, *key, *[read(v).alias(v) for v in values])
 
 
 def resize_grid(grid: DataFrame, from_wh: tuple[int, int], to_wh: tuple[int, int], values: list[str], by: list[str], mode: str = "bilinear", align_corners: bool = False) -> DataFrame:
@@ -77,9 +85,9 @@ def add_flow(base: DataFrame, residual: DataFrame, base_wh: tuple[int, int], wh:
 def keypoint_distance(kp: DataFrame, flow: DataFrame, x: str = "trg_x", y: str = "trg_y") -> DataFrame:
     """AGG-13: mean distance between the source point and the mapping read between pixels at the target point."""
     grid = flow.where("dx IS NOT NULL").select("pair_id", "y", "x", (F.col("x") + F.col("dx")).alias("mx"), (F.col("y") + F.col("dy")).alias("my"))
-    at = kp.select("pair_id", "kp_idx", F.col(x).alias("px"), F.col(y).alias("py"))
-    got = sample_bilinear(at, grid, ["mx", "my"], ["pair_id"], ["kp_idx"])
-    return got.join(kp, ["pair_id", "kp_idx"]).groupBy("pair_id").agg(F.avg(F.hypot(F.col("mx") - F.col("src_x"), F.col("my") - F.col("src_y"))).alias("distance"))
+    at = kp.select("pair_id", "src_x", "src_y", F.col(x).alias("px"), F.col(y).alias("py"))
+    got = sample_bilinear(at, grid, ["mx", "my"], ["pair_id"], ["src_x", "src_y"])
+    return got.groupBy("pair_id").agg(F.avg(F.hypot(F.col("mx") - F.col("src_x"), F.col("my") - F.col("src_y"))).alias("distance"))
 
 
 def probability_map(points: DataFrame, w: int, h: int, kernel: list[list[float]] | None = None, key: list[str] = ("pair_id", "kp_idx")) -> DataFrame:

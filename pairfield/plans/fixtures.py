@@ -60,10 +60,31 @@ FX = {
         FROM {orders}""",
 }
 
+#: The same rows for Spark, with windows over columns that the result keeps: Spark then knows how its rows are dealt, and deals them no second time for groups of them.
+SPARK = {
+    "fx_kp": """
+        SELECT pair_id, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS BIGINT) AS kp_idx, src_x, src_y, trg_x, trg_y,
+               src_x + q * 2 - 51 AS pred_x, src_y + n * 11 - 44 AS pred_y
+        FROM (SELECT CAST(l_orderkey AS BIGINT) AS pair_id, l_linenumber, l_partkey, l_suppkey,
+                     CAST((l_partkey * 29 + 11) % 512 AS DOUBLE) AS src_x,
+                     CAST((l_suppkey * 53 + l_linenumber * 71) % 512 AS DOUBLE) AS src_y,
+                     CAST((l_partkey * 37) % 512 AS DOUBLE) AS trg_x,
+                     CAST((l_suppkey * 41 + l_linenumber * 59) % 512 AS DOUBLE) AS trg_y,
+                     l_quantity AS q, CAST(l_linenumber AS DOUBLE) AS n
+              FROM {lineitem}) t""",
+    "fx_surface": """
+        SELECT object_id, image_id, CAST(floor(rn / 16.0) AS BIGINT) AS y, CAST(rn % 16 AS BIGINT) AS x,
+               (a % 16 + 1) / 256.0E0 AS cx, (b % 16 + 1) / 256.0E0 AS cy, (a % 5 + 1) / 256.0E0 AS cz
+        FROM (SELECT object_id, image_id, a, b, row_number() OVER (PARTITION BY object_id, image_id ORDER BY l_orderkey, l_partkey, b, l_extendedprice) - 1 AS rn
+              FROM (SELECT CAST(l_suppkey AS BIGINT) AS object_id, CAST(l_linenumber AS BIGINT) AS image_id, l_orderkey, l_partkey, l_extendedprice,
+                           CAST(l_partkey AS DOUBLE) AS a, l_quantity AS b
+                    FROM {lineitem}) s) t""",
+}
+
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture table over the Parquet tables of sf_dir."""
-    sql = FX[name]
+    sql = SPARK.get(name, FX[name])
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"{(\w+)}", sql))}
     return spark.sql(sql, **tables)
 
