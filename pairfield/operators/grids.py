@@ -169,19 +169,38 @@ def polygon_mask(points: DataFrame, w: int, h: int, by: list[str] = ("pair_id",)
     A pixel belongs if its centre line y crosses the outline an odd number of times
     at or left of x: an edge from y1 to y2 counts where min <= y < max, and spans
     run from the first crossing, rounded up, to before the second; spans of a line do not
-    overlap, so no pixel comes twice.
+    overlap, so no pixel comes twice. A polygon's outline is one row, from which its lines are made;
+    nothing is sorted but points by polygon.
     """
-    w_ = Window.partitionBy(*by).orderBy("kp_idx")
-    whole = Window.partitionBy(*by).orderBy("kp_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = points.select(*by, "x", "y", F.coalesce(F.lead("x").over(w_), F.first("x").over(whole)).alias("nx"), F.coalesce(F.lead("y").over(w_), F.first("y").over(whole)).alias("ny"))
-    lo, hi = F.ceil(F.least("y", "ny")), F.ceil(F.greatest("y", "ny")) - 1
-    rows = edges.where("y <> ny").withColumns({"lo": F.greatest(F.lit(0), lo), "hi": F.least(F.lit(h - 1), hi)}).where("lo <= hi")
-    lines = rows.withColumn("py", F.explode(F.sequence(F.col("lo").cast("long"), F.col("hi").cast("long"))))
-    cross = lines.select(*by, "py", (F.col("x") + (F.col("py") - F.col("y")) * (F.col("nx") - F.col("x")) / (F.col("ny") - F.col("y"))).alias("cx"))
-    order = Window.partitionBy(*by, "py").orderBy("cx")
-    paired = cross.withColumns({"k": F.row_number().over(order), "end": F.lead("cx").over(order)}).where("k % 2 = 1 AND end IS NOT NULL")
-    spans = paired.withColumns({"a": F.greatest(F.lit(0), F.ceil("cx")), "b": F.least(F.lit(w - 1), F.ceil("end") - 1)}).where("a <= b")
-    return spans.select(*by, F.col("py").alias("y"), F.explode(F.sequence(F.col("a").cast("long"), F.col("b").cast("long"))).alias("x"))
+    lines = F.sort_array(F.collect_list(F.struct("kp_idx", "x", "y")))
+    polygons = points.select(*by, "kp_idx", "x", "y").groupBy(*by).agg(lines.alias("k"))
+
+    def edge(p: Column, i: Column) -> Column:
+        after = F.get("k", i + 1)
+        nx, ny = F.coalesce(after["x"], F.get("k", F.lit(0))["x"]), F.coalesce(after["y"], F.get("k", F.lit(0))["y"])
+        lo, hi = F.ceil(F.least(p["y"], ny)), F.ceil(F.greatest(p["y"], ny)) - 1
+        return F.struct(p["x"].alias("x"), p["y"].alias("y"), nx.alias("nx"), ny.alias("ny"), F.greatest(F.lit(0), lo).cast("long").alias("lo"), F.least(F.lit(h - 1), hi).cast("long").alias("hi"))
+
+    whole = F.forall("k", lambda p: F.coalesce((F.abs(p["x"]) < 1e300) & (F.abs(p["y"]) < 1e300), F.lit(False))).alias("whole")
+    edges = polygons.select(*by, whole, F.filter(F.transform("k", edge), lambda e: (e["y"] != e["ny"]) & (e["lo"] <= e["hi"])).alias("e")).where(F.size("e") > 0)
+    # lines of a closed outline have crossings in pairs, so all of them are paired at once; without some coordinate line by line
+    first, last = F.array_min(F.transform("e", lambda e: e["lo"])), F.array_max(F.transform("e", lambda e: e["hi"]))
+    parts = F.when(F.col("whole"), F.array(F.struct(first.alias("lo"), last.alias("hi")))).otherwise(F.transform(F.sequence(first, last), lambda p: F.struct(p.alias("lo"), p.alias("hi"))))
+    rows = edges.select(*by, "e", F.explode(parts).alias("s"))
+
+    def crossings(e: Column) -> Column:
+        at = F.sequence(F.greatest(e["lo"], F.col("s.lo")), F.least(e["hi"], F.col("s.hi")))
+        return F.transform(at, lambda p: F.struct(p.alias("y"), (e["x"] + (p - e["y"]) * (e["nx"] - e["x"]) / (e["ny"] - e["y"])).alias("cx")))
+
+    crossed = F.sort_array(F.flatten(F.transform(F.filter("e", lambda e: (e["lo"] <= F.col("s.hi")) & (e["hi"] >= F.col("s.lo"))), crossings)))
+
+    def span(i: Column) -> Column:
+        c, end = F.get("c", 2 * i), F.get("c", 2 * i + 1)["cx"]
+        return F.struct(c["y"].alias("y"), F.greatest(F.lit(0), F.ceil(c["cx"])).alias("a"), F.when(end.isNotNull(), F.least(F.lit(w - 1), F.ceil(end) - 1)).alias("b"))
+
+    paired = rows.select(*by, crossed.alias("c")).where(F.size("c") > 1)
+    spans = paired.select(*by, F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("c") / 2).cast("int") - 1), span)).alias("s")).where("s.a <= s.b")
+    return spans.select(*by, F.col("s.y").alias("y"), F.explode(F.sequence(F.col("s.a").cast("long"), F.col("s.b").cast("long"))).alias("x"))
 
 
 def minmax_rescale(df: DataFrame, by: list[str], col: str) -> DataFrame:
