@@ -90,7 +90,17 @@ def keypoint_distance(kp: DataFrame, flow: DataFrame, x: str = "trg_x", y: str =
     return got.groupBy("pair_id").agg(F.avg(F.hypot(F.col("mx") - F.col("src_x"), F.col("my") - F.col("src_y"))).alias("distance"))
 
 
-def probability_map(points: DataFrame, w: int, h: int, kernel: list[list[float]] | None = None, key: list[str] = ("pair_id", "kp_idx")) -> DataFrame:
+def _four(w: int, h: int) -> tuple[list[tuple[Column, Column, Column, Column]], Column]:
+    """The four pixels around (x, y): row, column, weight and whether it is in the image; and the length of the weights that are."""
+    x0, y0 = F.floor("x"), F.floor("y")
+    fx, fy = F.col("x") - x0, F.col("y") - y0
+    cells = [((y0 + j).cast("long"), (x0 + i).cast("long"), (2 - F.abs(fx - i) - F.abs(fy - j)) / 4) for j in (0, 1) for i in (0, 1)]
+    cells = [(cy, cx, p, F.coalesce(cy.between(0, h - 1) & cx.between(0, w - 1), F.lit(False))) for cy, cx, p in cells]
+    squares = [F.when(ok, p * p).otherwise(F.lit(0.0)) for _, _, p, ok in cells]
+    return cells, F.sqrt(sum(squares[1:], squares[0]))
+
+
+def probability_map(points: DataFrame, w: int, h: int, kernel: list[list[float]] | None = None, key: list[str] = ("pair_id", "kp_idx"), single: bool = False) -> DataFrame:
     """AGG-14: a point's four pixels by their normalised closeness, smoothed by a kernel if given, with length 1 for each point.
 
     The weight of a pixel is 1 - |distance along x and y| shared over the four.
@@ -111,9 +121,25 @@ def probability_map(points: DataFrame, w: int, h: int, kernel: list[list[float]]
 
 def location_loss(maps: DataFrame, corr: DataFrame, key: list[str] = ("pair_id",)) -> DataFrame:
     """AGG-15: mean over pairs of the Frobenius distance of two tables (key, kp_idx, y, x, p) and (..., score)."""
-    both = maps.join(corr, [*key, "kp_idx", "y", "x"], "full")
-    d = F.coalesce("p", F.lit(0.0)) - F.coalesce("score", F.lit(0.0))
-    return both.groupBy(*key).agg(F.sqrt(F.sum(d * d)).alias("loss")).agg(F.avg("loss").alias("loss"))
+    cell = [*key, "kp_idx", "y", "x"]
+    alone = F.array_contains(F.array(*[F.col(c).isNull() for c in cell]), True)  # no cell equals one without a key
+    a = maps.select(*cell, F.coalesce("p", F.lit(0.0)).alias("v"), F.when(alone, 1).alias("__side"))
+    b = corr.select(*cell, (-F.coalesce("score", F.lit(0.0))).alias("v"), F.when(alone, 2).alias("__side"))
+    d = a.unionByName(b).groupBy(*cell, "__side").agg(F.sum("v").alias("d"))
+    return d.groupBy(*key).agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("loss")).agg(F.avg("loss").alias("loss"))
+
+
+def point_location_loss(points: DataFrame, w: int, h: int, key: list[str] = ("pair_id",)) -> DataFrame:
+    """AGG-14 and AGG-15 at once, where each point (key, kp_idx, x, y), named once, has a correlation of one pixel (sy, sx, score): no pixel becomes a row."""
+    cells, length = _four(w, h)
+    known = F.array_contains(F.array(*[F.col(c).isNotNull() for c in (*key, "kp_idx")]), False) == F.lit(False)
+    score = F.coalesce("score", F.lit(0.0))
+    hits = [F.coalesce(known & ok & (cy == F.col("sy")) & (cx == F.col("sx")), F.lit(False)) for cy, cx, _, ok in cells]
+    away = [F.coalesce(F.try_divide(p, F.col("__length")), F.lit(0.0)) - F.when(hit, score).otherwise(F.lit(0.0)) for (_, _, p, _), hit in zip(cells, hits)]
+    squares = [F.when(ok, d * d).otherwise(F.lit(0.0)) for (_, _, _, ok), d in zip(cells, away)]
+    alone = F.when(hits[0] | hits[1] | hits[2] | hits[3], F.lit(0.0)).otherwise(score * score)
+    rows = points.withColumn("__length", length).select(*key, sum(squares, alone).alias("__d2"))
+    return rows.groupBy(*key).agg(F.sqrt(F.sum("__d2")).alias("loss")).agg(F.avg("loss").alias("loss"))
 
 
 def keypoints_to_flow(cells: DataFrame, image: int, feat: int) -> DataFrame:
