@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import uniform
+from ..sources.shared import saved
 
 
 def sample_flow(points: DataFrame, flow: DataFrame, w: int, h: int, clamp_base: bool = False, x: str = "trg_x", y: str = "trg_y") -> DataFrame:
@@ -231,15 +235,26 @@ def polygon_mask(points: DataFrame, w: int, h: int, by: list[str] = ("pair_id",)
 
 def minmax_rescale(df: DataFrame, by: list[str], col: str) -> DataFrame:
     """AGG-40: c_min, c_max and the column between them; a flat group is 0."""
-    w = Window.partitionBy(*by)
-    out = df.withColumns({"c_min": F.min(col).over(w), "c_max": F.max(col).over(w)})
+    out = with_groups(df, by, {"c_min": F.min(col), "c_max": F.max(col)})
     return out.withColumn(col, F.coalesce(F.try_divide(F.col(col) - F.col("c_min"), F.col("c_max") - F.col("c_min")), F.lit(0.0)))
 
 
 def standardize_by(df: DataFrame, by: list[str], cols: list[str], eps: float = 1e-6) -> DataFrame:
     """AGG-41: (v - mean) / (std + eps) in each group."""
-    w = Window.partitionBy(*by)
-    return df.withColumns({c: (F.col(c) - F.avg(c).over(w)) / (F.coalesce(F.stddev_samp(c).over(w), F.lit(0.0)) + eps) for c in cols})
+    stats = {f"__{k}{i}": f(c) for i, c in enumerate(cols) for k, f in (("mean", F.avg), ("std", F.stddev_samp))}
+    out = with_groups(df, by, stats)
+    return out.withColumns({c: (F.col(c) - F.col(f"__mean{i}")) / (F.coalesce(f"__std{i}", F.lit(0.0)) + eps) for i, c in enumerate(cols)}).drop(*stats)
+
+
+def with_groups(df: DataFrame, by: list[str], values: dict[str, Column]) -> DataFrame:
+    """df with aggregates of each row's group (equal `by`, null included).
+
+    They are written first: Spark then knows their size and broadcasts them if they are small,
+    so that a few large groups do not come to a few tasks, as in a window.
+    """
+    groups = saved(df.groupBy(*by).agg(*[v.alias(c) for c, v in values.items()]), "groups").withColumnsRenamed({c: f"__by{i}" for i, c in enumerate(by)})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)])
+    return df.join(groups, same).drop(*[f"__by{i}" for i in range(len(by))])
 
 
 def respread(df: DataFrame, by: list[str], col: str, mean: tuple[float, float], std: tuple[float, float], seed: int) -> DataFrame:
