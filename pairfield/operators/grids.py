@@ -108,10 +108,16 @@ def probability_map(points: DataFrame, w: int, h: int, kernel: list[list[float]]
     """AGG-14: a point's four pixels by their normalised closeness, smoothed by a kernel if given, with length 1 for each point.
 
     The weight of a pixel is 1 - |distance along x and y| shared over the four.
+    single: no two points have one key; without a kernel a point's pixels are then worked out in its row.
     """
     key = list(key)
     x0, y0 = F.floor("x"), F.floor("y")
     fx, fy = F.col("x") - x0, F.col("y") - y0
+    if single and kernel is None:
+        cells, length = _four(w, h)
+        ready = points.select(*key, "x", "y", length.alias("__length"))
+        four = F.array(*[F.struct(cy.alias("y"), cx.alias("x"), F.try_divide(p, F.col("__length")).alias("p")) for cy, cx, p, _ in cells])
+        return ready.select(*key, F.explode(four).alias("c")).select(*key, "c.y", "c.x", "c.p").where(F.col("y").between(0, h - 1) & F.col("x").between(0, w - 1))
     corners = F.array(*[F.struct((y0 + j).cast("long").alias("py"), (x0 + i).cast("long").alias("px"), ((2 - F.abs(fx - i) - F.abs(fy - j)) / 4).alias("p")) for j in (0, 1) for i in (0, 1)])
     rows = points.select(*key, F.explode(corners).alias("c")).select(*key, F.col("c.py").alias("y"), F.col("c.px").alias("x"), F.col("c.p").alias("p"))
     if kernel is not None:
