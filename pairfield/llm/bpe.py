@@ -212,8 +212,9 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
     pieces = read_.where(F.col("kind") == SHARED)
     known = pieces.groupBy("d1", "d2").agg(F.first("data", ignorenulls=True).alias("data")).mapInArrow(once, "d1 long, d2 long, ids binary")
     uses = pieces.select("k1", "k2", "place", "d1", "d2").distinct().join(known, ["d1", "d2"]).select("k1", "k2", "place", "ids")
-    own = read_.where(F.col("kind") == OWN).groupBy("k1", "k2", "place").agg(F.first("data").alias("ids"))
-    texts = uses.unionByName(own).groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("parts"))
+    # documents with one text bring the same pieces: they meet as a set, so that ids are shuffled once
+    own = read_.where(F.col("kind") == OWN).select("k1", "k2", "place", F.col("data").alias("ids"))
+    texts = uses.unionByName(own).groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("place", "ids"))).alias("parts"))
 
     def join(batches):
         enc = coder(vocabulary)

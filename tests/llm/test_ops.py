@@ -114,6 +114,20 @@ def test_bpe_agrees_with_the_library(docs, empty):
     assert encode(empty, path).count() == 0
 
 
+def test_bpe_shuffles_ids_once(spark):
+    """Pieces of one text, copied over many partitions, meet as a set; no shuffle before that one carries them."""
+    from pairfield.llm.bpe import coder, digests, encode
+
+    path, rng = vocabulary("byte_bpe_50k.json"), random.Random(8)
+    line = prose(rng, 900)
+    texts = [f"{prose(rng, 300)} {line} {prose(rng, 300)}" for _ in range(3)] * 20
+    got = encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(12), path)
+    assert not re.search(r"hashpartitioning\(k1#\d+L, k2#\d+L, place#\d+, \d+\)", got._jdf.queryExecution().executedPlan().toString())
+    enc = coder(path)
+    want = {i: digests(enc.whole.encode(t, add_special_tokens=False).ids, enc) for i, t in enumerate(texts)}
+    assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == want and got.count() == len(texts)
+
+
 def test_bpe_joins_are_repaired():
     from pairfield.llm.bpe import coder, joined
 
