@@ -14,19 +14,21 @@ def curvature(surface: DataFrame) -> DataFrame:
     """WIN-3: along columns and rows 2 sin(acos(n1 . n2) / 2) / |p2 - p1| of the two neighbours, their mean and product.
 
     A neighbour counts only if it is the next pixel; values that are not finite are left out.
+    Each window's first key is a hash of its line of pixels: Spark sorts by that number and compares rows only where it ties.
     """
 
-    def along(axis: str, other: str, name: str) -> tuple[Column, Column]:
-        w = Window.partitionBy("object_id", "image_id", other).orderBy(axis)
-        near = {c: (F.lag(c).over(w), F.lead(c).over(w)) for c in ("cx", "cy", "cz", "nx", "ny", "nz")}
-        there = (F.lag(axis).over(w) == F.col(axis) - 1) & (F.lead(axis).over(w) == F.col(axis) + 1)
-        dotted = sum((near[c][0] * near[c][1] for c in ("ny", "nz")), near["nx"][0] * near["nx"][1])
-        d = {c: near[c][1] - near[c][0] for c in ("cx", "cy", "cz")}
+    def along(df: DataFrame, axis: str, other: str, name: str) -> DataFrame:
+        w = Window.partitionBy(F.xxhash64("object_id", "image_id", other), "object_id", "image_id", other).orderBy(axis)
+        before, after = (f(F.struct(axis, "cx", "cy", "cz", "nx", "ny", "nz")).over(w) for f in (F.lag, F.lead))
+        both = df.withColumns({"__a": before, "__b": after})
+        there = (F.col(f"__a.{axis}") == F.col(axis) - 1) & (F.col(f"__b.{axis}") == F.col(axis) + 1)
+        dotted = sum((F.col(f"__a.{c}") * F.col(f"__b.{c}") for c in ("ny", "nz")), F.col("__a.nx") * F.col("__b.nx"))
+        d = {c: F.col(f"__b.{c}") - F.col(f"__a.{c}") for c in ("cx", "cy", "cz")}
         length = F.sqrt(d["cx"] * d["cx"] + d["cy"] * d["cy"] + d["cz"] * d["cz"])
-        return there, F.when(there, F.try_divide(2 * F.sin(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dotted))) / 2), length))
+        k = F.when(there, F.try_divide(2 * F.sin(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dotted))) / 2), length))
+        return both.withColumn(name, k).drop("__a", "__b")
 
-    (_, down), (_, across) = along("y", "x", "k1"), along("x", "y", "k2")
-    rows = surface.withColumns({"k1": down, "k2": across}).where("k1 IS NOT NULL AND k2 IS NOT NULL AND NOT isnan(k1) AND NOT isnan(k2)")
+    rows = along(along(surface, "y", "x", "k1"), "x", "y", "k2").where("k1 IS NOT NULL AND k2 IS NOT NULL AND NOT isnan(k1) AND NOT isnan(k2)")
     return rows.withColumns({"mean_curv": (F.col("k1") + F.col("k2")) / 2, "gauss_curv": F.col("k1") * F.col("k2")})
 
 
