@@ -78,24 +78,37 @@ def _cube(places: list[Column]) -> Column:
     return F.xxhash64(*places)
 
 
-def near_pixels(src: DataFrame, trg: DataFrame, by: list[str], max_sq: float, also: Column | None = None) -> DataFrame:
-    """Pairs of a source pixel (y1, x1) and a target pixel (y2, x2) within the radius, with d2; background (0, 0, 0) has none.
+def near_pixels(src: DataFrame, trg: DataFrame, by: list[str], max_sq: float, also: Column | None = None, unmatched: bool = False) -> DataFrame:
+    """Pairs of a source pixel (y1, x1) and a target pixel (y2, x2) within the radius, with d2 and the target's __cube; background (0, 0, 0) has none.
 
     src: by, y1, x1, sx, sy, sz; trg: by, y2, x2, cx, cy, cz; both may have more columns.
     Space is cut into cubes of an edge of twice the radius. A target pixel stands in
     its own cube; what is within the radius of a source pixel can only lie in the 8 cubes on
-    its nearer halves, so there it stands 8 times and a pair meets once. The join is on
-    equal keys, and by sorting: Spark's guess of a size knows nothing of the 8 copies.
-    also: a condition of the pairs.
+    its nearer halves, so there it stands 8 times and a pair meets once, and all pairs of a
+    target pixel meet in one cube. The join is on one number for `by` and cube, as Spark sorts by one
+    number without comparing rows, and by sorting: Spark's guess of a size knows nothing of the copies.
+    also: a condition of the pairs. unmatched: target pixels without a pair give one row, whose source is NULL.
     """
     radius, edge = _edge(max_sq)
     own = {c: F.floor(F.col(f"s{c}") / edge).cast("long") for c in "xyz"}
     sides = {c: (v, v + F.when(F.col(f"s{c}") - v * edge >= radius, 1).otherwise(-1)) for c, v in own.items()}
-    s = src.where("NOT (sx = 0 AND sy = 0 AND sz = 0)").withColumn("__cube", F.explode(F.array(*[_cube([sides[c][i >> k & 1] for k, c in enumerate("xyz")]) for i in range(8)])))
-    t = trg.where("NOT (cx = 0 AND cy = 0 AND cz = 0)").withColumn("__cube", _cube([F.floor(F.col(f"c{c}") / edge).cast("long") for c in "xyz"]))
+    # equal values of two types have two hashes: such columns stay keys of the join
+    kinds = [dict(df.dtypes) for df in (src, trg)]
+    hashed = [c for c in by if kinds[0][c] == kinds[1][c]]
+    part = [F.col(c) for c in hashed]
+    # sides first, as columns: the explode would work them out again for each of its cubes
+    s = src.where("NOT (sx = 0 AND sy = 0 AND sz = 0)").withColumns({f"__{c}{k}": v for c, two in sides.items() for k, v in enumerate(two)})
+    s = s.withColumn("__meet", F.explode(F.array(*[_cube([*part, *(F.col(f"__{c}{i >> k & 1}") for k, c in enumerate("xyz"))]) for i in range(8)]))).drop(*[f"__{c}{k}" for c in "xyz" for k in (0, 1)])
+    s = s.withColumnsRenamed({c: f"__{c}" for c in by})
+    t = trg.withColumn("__cube", _cube([*part, *(F.floor(F.col(f"c{c}") / edge).cast("long") for c in "xyz")]))
     d2 = sum(((F.col(f"c{c}") - F.col(f"s{c}")) * (F.col(f"c{c}") - F.col(f"s{c}")) for c in "yz"), (F.col("cx") - F.col("sx")) * (F.col("cx") - F.col("sx")))
-    near = t.join(s.hint("merge"), [*by, "__cube"])
-    return (near if also is None else near.where(also)).withColumn("d2", d2).where(F.col("d2") <= max_sq).drop("__cube")
+    near = F.col("__cube") == F.col("__meet")
+    near = (near if also is None else near & also) & (d2 <= max_sq) & ~((F.col("cx") == 0) & (F.col("cy") == 0) & (F.col("cz") == 0))
+    for c in by:
+        # said as no equality, which would become a key
+        near &= (F.col(c) >= F.col(f"__{c}")) & (F.col(c) <= F.col(f"__{c}")) if c in hashed else F.col(c) == F.col(f"__{c}")
+    pairs = t.join(s.hint("merge"), near, "left" if unmatched else "inner")
+    return pairs.withColumn("d2", d2).drop("__meet", *[f"__{c}" for c in by])
 
 
 def _sources(df: DataFrame, *keep: Column | str) -> DataFrame:
@@ -107,13 +120,14 @@ def _targets(df: DataFrame, *keep: Column | str) -> DataFrame:
 
 
 def _nearest(near: DataFrame, by: list[str]) -> DataFrame:
-    best = near.groupBy(*by, "y2", "x2").agg(F.min(F.struct("d2", "y1", "x1")).alias("m"))
+    """The nearest source pixel of each target pixel; its pairs lie in one cube, so they are not shuffled again. The first key is a hash, as Spark compares rows only where the first key ties."""
+    best = near.groupBy(F.xxhash64(*by, "y2", "x2").alias("__pixel"), *by, "y2", "x2", "__cube").agg(F.min(F.when(F.col("y1").isNotNull(), F.struct("d2", "y1", "x1"))).alias("m"))
     return best.select(*by, "y2", "x2", F.col("m.y1").alias("y1"), F.col("m.x1").alias("x1"), F.col("m.d2").alias("d2"))
 
 
-def match_surfaces(src: DataFrame, trg: DataFrame, by: list[str], max_sq: float = RADIUS_SQ) -> DataFrame:
-    """JON-6: for each target pixel the nearest source pixel in 3-D, if the squared distance is at most max_sq; ties go to the least (y, x)."""
-    return _nearest(near_pixels(_sources(src, *by), _targets(trg, *by), by, max_sq), by)
+def match_surfaces(src: DataFrame, trg: DataFrame, by: list[str], max_sq: float = RADIUS_SQ, unmatched: bool = False) -> DataFrame:
+    """JON-6: for each target pixel the nearest source pixel in 3-D, if the squared distance is at most max_sq; ties go to the least (y, x). unmatched: target pixels without one are NULL, not left out."""
+    return _nearest(near_pixels(_sources(src, *by), _targets(trg, *by), by, max_sq, unmatched=unmatched), by)
 
 
 def matches_to_flow(matches: DataFrame, by: list[str], grid: DataFrame | None = None) -> DataFrame:

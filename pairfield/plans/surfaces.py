@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grids as G
 from ..operators import matching as X
+from ..sources.shared import saved
 from .fixtures import fixture
 from .registry import query
 
@@ -18,7 +19,9 @@ PAIRS = """p AS (SELECT b.object_id, a.image_id AS image1, b.image_id AS image2,
 @query(f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY object_id, image1, image2, y2, x2 ORDER BY d2, y1, x1) AS k FROM n WHERE image1 < image2)
            SELECT object_id, image1 || '-' || image2 AS pair, y2 AS y, x2 AS x, CAST(x1 - x2 AS DOUBLE) AS dx, CAST(y1 - y2 AS DOUBLE) AS dy FROM r WHERE k = 1""")
 def q12_surface_match_flow(spark, sf_dir):
-    return X.matches_to_flow(X.pairwise_matches(fixture(spark, sf_dir, "fx_surface")), ["object_id", "pair"])
+    # both sides of the join read it: its rows are numbered once
+    surface = saved(fixture(spark, sf_dir, "fx_surface"), "surface")
+    return X.matches_to_flow(X.pairwise_matches(surface), ["object_id", "pair"])
 
 
 @query("""WITH a AS (SELECT object_id, image_id + 1 AS view, y, x, cx, cy, cz FROM fx_surface), b AS (SELECT object_id, image_id AS view, y, x, cx, cy, cz FROM fx_surface),
