@@ -29,9 +29,9 @@ def q12_surface_match_flow(spark, sf_dir):
           r AS (SELECT *, row_number() OVER (PARTITION BY object_id, view, y2, x2 ORDER BY d2, y1, x1) AS k FROM n WHERE d2 <= 5e-5)
           SELECT b.object_id, b.view, b.y, b.x, CAST(r.x1 - r.x2 AS DOUBLE) AS dx, CAST(r.y1 - r.y2 AS DOUBLE) AS dy FROM b LEFT JOIN r ON b.object_id = r.object_id AND b.view = r.view AND b.y = r.y2 AND b.x = r.x2 AND r.k = 1""")
 def q12b_next_view_flow(spark, sf_dir):
-    s = fixture(spark, sf_dir, "fx_surface")
+    s = saved(fixture(spark, sf_dir, "fx_surface"), "surface")
     before, view = s.withColumn("view", F.col("image_id") + 1), s.withColumn("view", F.col("image_id"))
-    return X.matches_to_flow(X.match_surfaces(before, view, ["object_id", "view"]), ["object_id", "view"], view)
+    return X.matches_to_flow(X.match_surfaces(before, view, ["object_id", "view"], unmatched=True), ["object_id", "view"])
 
 
 @query(f"""WITH {PAIRS}, c AS (SELECT object_id, image_id, count(*) AS n FROM fx_surface GROUP BY object_id, image_id),
