@@ -26,6 +26,12 @@ equal are brought together first, without loss:
 A group of more than CROWD parts, which one task might not hold, is cut into
 single strings, and these are grouped by their whole bytes instead of the core's.
 
+Shorter repeats stay, and are counted (n_repeated): of SPAN grams in a row the least
+hash names a piece, its gram and BESIDE bytes on either side. Pieces that stand
+anywhere else too, told by 64 bits, count with the removed bytes. Each repeat of
+SHORT bytes or more holds such a piece, so none is missed; what is counted is the
+pieces' bytes, less than the repeat's up to its ends. No suffix array is made for them.
+
 Null and empty texts and those of fewer than LENGTH bytes lose nothing, repeated
 rows are repeats of each other, an empty table gives an empty result; other
 columns pass through, those with the name of a result are replaced. Bytes are
@@ -51,13 +57,15 @@ CORE = LENGTH - STEP + 1
 CROWD = 2_000
 #: Parts into which the copies of one text are dealt where their spans meet them.
 SALTS = 4
+#: Pieces of repeats that are counted only.
+SPAN, BESIDE = 128, 48
+PIECE, SHORT = GRAM + 2 * BESIDE, SPAN + GRAM - 1 + 2 * BESIDE
+#: Bytes of texts that are hashed at once: their arrays fit a processor's cache.
+BLOCK = 300_000
 
 
-def items(data: np.ndarray, offsets: np.ndarray):
-    """First strings, numbers of strings, anchors and anchor hashes of all items."""
-    n = len(data)
-    if n < LENGTH:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all GRAM-byte grams, and numbers that are least for the least hash, the rightmost of several."""
     with np.errstate(over="ignore"):
         h, b, w = data.astype(np.uint64) + np.uint64(1), np.uint64(0x9E3779B97F4A7C15), 1
         while w < GRAM:  # grams of 2, 4, ... bytes
@@ -66,40 +74,79 @@ def items(data: np.ndarray, offsets: np.ndarray):
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-    # the hash's upper half, then the place counted down: the least is the rightmost least
-    m = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(h), dtype=np.uint64))
-    span, w = LENGTH - GRAM + 1, 1
+    # the hash's upper half, then the place counted down
+    return h, (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(len(h), dtype=np.uint64))
+
+
+def _least(m: np.ndarray, span: int, w: int = 1) -> np.ndarray:
+    """Minima over span numbers in a row, from those over w."""
     while 2 * w <= span:
         m = np.minimum(m[:-w], m[w:])
         w *= 2
-    m = np.minimum(m[: len(m) - (span - w)], m[span - w :])
+    return np.minimum(m[: len(m) - (span - w)], m[span - w :]) if w < span else m
+
+
+def _named(m: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places m names, and where each is named first, between firsts and lasts (of each document); the lasts of their documents."""
     at = (np.uint64(0xFFFFFFFF) - (m & np.uint64(0xFFFFFFFF))).astype(np.int64)
-    begins = offsets[:-1][np.diff(offsets) >= LENGTH]
-    lasts = offsets[1:][np.diff(offsets) >= LENGTH] - LENGTH
     fresh = np.zeros(len(at) + 1, bool)
     fresh[1:-1] = at[1:] != at[:-1]
-    fresh[begins] = True
+    fresh[firsts] = True
     inside = np.zeros(len(at) + 1, np.int8)
-    np.add.at(inside, begins, 1)
+    np.add.at(inside, firsts, 1)
     np.add.at(inside, lasts + 1, -1)
     inside = np.cumsum(inside[:-1]).astype(bool)
     starts = np.flatnonzero(fresh[:-1] & inside)
+    return at[starts], starts, lasts[np.searchsorted(firsts, starts, "right") - 1]
+
+
+def _items(data: np.ndarray, offsets: np.ndarray, both: bool):
+    n, none = len(data), (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    if n < (SHORT if both else LENGTH):
+        return none + none[2:] if both else none
+    h, m = grams(data)
+    m, sizes = _least(m, SPAN), np.diff(offsets)
+    short = ()
+    if both:
+        held = sizes >= SHORT
+        a, _, _ = _named(m, offsets[:-1][held] + BESIDE, offsets[1:][held] - (SHORT - BESIDE))
+        p = np.zeros(len(a), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(-BESIDE, PIECE - BESIDE, GRAM):
+                p = (p ^ h[a + k]) * np.uint64(0x94D049BB133111EB)
+                p ^= p >> np.uint64(31)
+        short = a - BESIDE, p
+    held = sizes >= LENGTH
+    if not held.any():
+        return none + short
+    at, starts, lasts = _named(_least(m, LENGTH - GRAM + 1, SPAN), offsets[:-1][held], offsets[1:][held] - LENGTH)
     # an item ends before the next one, or with its document
-    doc_last = lasts[np.searchsorted(begins, starts, "right") - 1]
-    sizes = np.minimum(np.append(starts[1:], n), doc_last + 1) - starts
-    return starts, sizes, at[starts], h[at[starts]]
+    return starts, np.minimum(np.append(starts[1:], n), lasts + 1) - starts, at, h[at], *short
+
+
+def items(data: np.ndarray, offsets: np.ndarray, both: bool = False):
+    """First strings, numbers of strings, anchors and anchor hashes of all items; both: and places and hashes of all pieces."""
+    cuts = [0, *(np.flatnonzero(np.diff(offsets[1:] // BLOCK)) + 1).tolist(), len(offsets) - 1]
+    found = []
+    for a, b in zip(cuts, cuts[1:]):
+        starts, sizes, at, h, *pieces = _items(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], both)
+        if both:
+            pieces[0] = pieces[0] + offsets[a]
+        found.append((starts + offsets[a], sizes, at + offsets[a], h, *pieces))
+    return tuple(map(np.concatenate, zip(*found)))
 
 
 def anchor_rows(docs: DataFrame, text: str) -> DataFrame:
-    """The anchor hash of every item."""
+    """The anchor hash of every item, and every piece's hash."""
 
     def run(batches):
         for batch in sliced(batches, text):
-            _, _, _, h = items(*text_buffers(batch.column(0)))
-            if len(h):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+            _, _, _, h, _, p = items(*text_buffers(batch.column(0)), both=True)
+            for x, piece in ((h, False), (p, True)):
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(np.full(len(x), piece))], ["h", "piece"])
 
-    return docs.select(text).mapInArrow(run, "h long")
+    return docs.select(text).mapInArrow(run, "h long, piece boolean")
 
 
 def _places(h):
@@ -117,24 +164,34 @@ def _ids(whole: bytes, starts, sizes, ends) -> np.ndarray:
 
 
 def item_rows(docs: DataFrame, again: DataFrame, text: str) -> DataFrame:
-    """t1, t2 (the text's hashes), start, n strings, h and digest of the items whose anchors occur again (h); a Bloom filter lets some others pass."""
-    bloom = docs.sparkSession.sparkContext.broadcast(bloom_filter(again, *_places(F.col("h"))))
+    """t1, t2 (the text's hashes), start, n strings, h and digest of the items whose anchors occur again (h); a Bloom filter lets some others pass.
+
+    And t1, t2, start and h of pieces whose hashes occur again, with n 0; copies of a text in one batch give theirs once.
+    """
+    blooms = docs.sparkSession.sparkContext.broadcast([bloom_filter(again.where(which), *_places(F.col("h"))) for which in ("NOT piece", "piece")])
+
+    def rows(batch, offsets, starts, sizes, h, d):
+        doc = np.searchsorted(offsets, starts, "right") - 1
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), *(pa.array(x.astype(np.int32)) for x in (starts - offsets[doc], sizes)), pa.array(h.view(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1])],
+            ["t1", "t2", "start", "n", "h", "d1", "d2"],
+        )
 
     def run(batches):
         for batch in sliced(batches, text):
             data, offsets = text_buffers(batch.column(2))
-            starts, sizes, _, h = items(data, offsets)
-            hit = _held(bloom.value, h)
-            if not hit.any():
-                continue
-            starts, sizes, h = starts[hit], sizes[hit], h[hit]
-            doc = np.searchsorted(offsets, starts, "right") - 1
-            ends = offsets[doc + 1]
-            d = _ids(data.tobytes(), starts, sizes, ends)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), *(pa.array(x.astype(np.int32)) for x in (starts - offsets[doc], sizes)), pa.array(h.view(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1])],
-                ["t1", "t2", "start", "n", "h", "d1", "d2"],
-            )
+            starts, sizes, _, h, places, p = items(data, offsets, both=True)
+            hit = _held(blooms.value[0], h)
+            if hit.any():
+                starts, sizes, h = starts[hit], sizes[hit], h[hit]
+                ends = offsets[np.searchsorted(offsets, starts, "right")]
+                yield rows(batch, offsets, starts, sizes, h, _ids(data.tobytes(), starts, sizes, ends))
+            fresh = np.zeros(batch.num_rows, bool)
+            fresh[np.unique(np.stack([batch.column(c).to_numpy() for c in (0, 1)]), axis=1, return_index=True)[1]] = True
+            hit = _held(blooms.value[1], p) & fresh[np.searchsorted(offsets, places, "right") - 1]
+            if hit.any():
+                none = np.zeros((hit.sum(), 2), np.int64)
+                yield rows(batch, offsets, places[hit], none[:, 0], p[hit], none)
 
     return docs.select("t1", "t2", text).mapInArrow(run, "t1 long, t2 long, start int, n int, h long, d1 long, d2 long")
 
@@ -372,14 +429,15 @@ def _merged(spans) -> list[list[int]]:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with kept (binary), n_bytes, n_removed, n_spans and removed (the spans as (start, end) bytes)."""
-    docs = without(docs, "kept", "n_bytes", "n_removed", "n_spans", "removed", "__t1", "__t2", "__salt", "__found")
+    """docs with kept (binary), n_bytes, n_removed, n_spans, removed (the spans as (start, end) bytes) and n_repeated (bytes removed or in pieces that stand elsewhere too)."""
+    docs = without(docs, "kept", "n_bytes", "n_removed", "n_spans", "removed", "n_repeated", "__t1", "__t2", "__salt", "__found", "__noted")
     own = docs.columns
     # rows are told apart by their texts: equal texts lose the same bytes
     told = {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)}
-    again = saved(anchor_rows(docs, text).groupBy("h").count().where("count > 1").select("h"), "suffix-anchors")
+    again = saved(anchor_rows(docs, text).groupBy("h", "piece").count().where("count > 1").select("h", "piece"), "suffix-anchors")
     slim = docs.select(F.col(text).alias("__text"), *[v.alias(k) for k, v in told.items()])
-    every = saved(item_rows(slim, again, "__text"), "suffix-items")
+    both = saved(item_rows(slim, again, "__text"), "suffix-items")
+    every, pieces = both.where("n > 0"), both.where("n = 0").select("t1", "t2", "start", "h")
     kinds = every.groupBy("h", "d1", "d2").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
     whole = kinds.where("k > 1").select("d1", "d2", F.array(F.struct(F.lit(0).alias("at"), "n")).alias("runs"))
     open_ = saved(kinds.groupBy("h").count().where("count > 1").select("h"), "suffix-open")
@@ -393,13 +451,15 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     marked = saved(whole.unionByName(found), "suffix-found")
     spans = every.join(marked, ["d1", "d2"]).select("t1", "t2", F.explode("runs").alias("r"), "start")
     spans = spans.select("t1", "t2", (F.col("start") + F.col("r.at")).alias("a"), (F.col("start") + F.col("r.at") + F.col("r.n") + (LENGTH - 1)).alias("b"))
-    per = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("__found")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed({"t1": "__t1", "t2": "__t2"})
+    per = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("__found"))
+    noted = pieces.join(again.where("piece").select("h"), "h", "left_semi").groupBy("t1", "t2").agg(F.collect_set("start").alias("__noted"))
+    per = per.join(noted, ["t1", "t2"], "full").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed({"t1": "__t1", "t2": "__t2"})
 
     def cut(batches):
         for batch in sliced(batches, text):
-            texts, spans = batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index("__found")).to_pylist()
-            kept, sizes, gone, runs = [], [], [], []
-            for t, got in zip(texts, spans):
+            texts, spans, places = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (text, "__found", "__noted"))
+            kept, sizes, gone, runs, repeated = [], [], [], [], []
+            for t, got, also in zip(texts, spans, places):
                 data = (t or "").encode()
                 merged = _merged((g["a"], g["b"]) for g in got or ())
                 edges = [0, *(e for x in merged for e in x), len(data)]
@@ -407,14 +467,15 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                 sizes.append(len(data))
                 gone.append(sum(b - a for a, b in merged))
                 runs.append([{"start": a, "end": b} for a, b in merged])
-            left = batch.drop_columns(["__found"])
+                repeated.append(sum(b - a for a, b in _merged([*map(tuple, merged), *((a, a + PIECE) for a in also or ())])))
+            left = batch.drop_columns(["__found", "__noted"])
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [*left.columns, pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(r) for r in runs], pa.int64()), pa.array(runs, span)],
-                [*left.schema.names, "kept", "n_bytes", "n_removed", "n_spans", "removed"],
+                [*left.columns, pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(r) for r in runs], pa.int64()), pa.array(runs, span), pa.array(repeated, pa.int64())],
+                [*left.schema.names, "kept", "n_bytes", "n_removed", "n_spans", "removed", "n_repeated"],
             )
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in own) + ", kept binary, n_bytes long, n_removed long, n_spans long, removed array<struct<start: bigint, end: bigint>>"
+    schema = ", ".join(f"`{c}` {types[c]}" for c in own) + ", kept binary, n_bytes long, n_removed long, n_spans long, removed array<struct<start: bigint, end: bigint>>, n_repeated long"
     salted = docs.withColumns({"__t1": told["t1"], "__t2": told["t2"], "__salt": F.pmod(F.spark_partition_id(), F.lit(SALTS))})
-    return salted.join(per, ["__t1", "__t2", "__salt"], "left").select(*own, "__found").mapInArrow(cut, schema)
+    return salted.join(per, ["__t1", "__t2", "__salt"], "left").select(*own, "__found", "__noted").mapInArrow(cut, schema)

@@ -589,3 +589,51 @@ def test_suffix_dedup_keeps_columns_and_one_part_an_item(spark):
     got = suffix.remove_repeats(df)
     assert {"t1", "t2", "salt"} <= set(got.columns)
     assert all(r.t1 == "a" and r.t2 == 1.0 and r.salt == r.doc_id and r.n_removed >= 450 for r in got.collect())
+
+
+def test_suffix_items_do_not_depend_on_blocks(monkeypatch):
+    rng = random.Random(32)
+    texts = [prose(rng, rng.choice((0, 1, 50, 90, 400))) for _ in range(60)]
+    texts[7:9] = ["a" * 3000, "日本語のテキスト。" * 60]
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    whole = suffix.items(data, offsets, both=True)
+    assert len(whole[0]) and len(whole[4])
+    for block in (1, 700, 5_000):
+        monkeypatch.setattr(suffix, "BLOCK", block)
+        assert all(np.array_equal(x, y) for x, y in zip(whole, suffix.items(data, offsets, both=True)))
+        assert all(np.array_equal(x, y) for x, y in zip(whole[:4], suffix.items(data, offsets)))
+
+
+def test_suffix_dedup_counts_repeats_that_stay(spark, monkeypatch):
+    """Passages of SHORT to LENGTH - 1 bytes stay, and documents that share one are told from those that share none."""
+    rng = random.Random(31)
+    word = lambda n, letters="etaoinshrdlu": " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(n))
+    texts = [word(rng.choice((20, 60, 150))) for _ in range(40)] + [None, ""]
+    sizes = [0] * len(texts)
+    for k, size in enumerate((suffix.SHORT, 280, 330, suffix.LENGTH - 1)):
+        for letters in ("etaoinshrdlu", "日本語のテキスト文章"):
+            passage = word(150, letters).encode()[:size].decode(errors="ignore")
+            passage += "." * (size - len(passage.encode()))
+            texts += [f"{k}{word(rng.randint(0, 40))}|{passage}!{word(30)}", passage, f"{word(9)}?{passage}"]
+            sizes += [size] * 3
+    common = word(60)[:300]
+    texts += [f"{word(5)}={common}#{i}{word(5)}" for i in range(150)]
+    sizes += [300] * 150
+    texts.append(f"{word(20)}<{passage}>{word(10)}[{passage}]")  # twice in one document
+    sizes.append(2 * size)
+    texts += [word(40)] * 3 + ["short, and given twice"] * 2
+    sizes += [len(t.encode()) if len(t.encode()) >= suffix.SHORT else 0 for t in texts[-5:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(12)
+    seen = set()
+    for bits in (None, 64):
+        monkeypatch.setattr(suffix, "bloom_filter", partial(bloom_filter, bits=bits))
+        rows = sorted(suffix.remove_repeats(df).collect())
+        seen.add(tuple(r.n_repeated for r in rows))
+        for r in rows:
+            if r.doc_id >= len(texts) - 5 and r.n_removed:
+                continue
+            assert r.n_removed == 0
+            # a few bytes beside a passage may agree by chance
+            assert (r.n_repeated == 0) if not sizes[r.doc_id] else suffix.PIECE <= r.n_repeated <= sizes[r.doc_id] + 8, (r, sizes[r.doc_id])
+    assert len(seen) == 1
